@@ -1,4 +1,4 @@
-"""Helpers that the text operators share: scratch tables, words, hashing, chunked Arrow batches."""
+"""Helpers that the text operators share: scratch tables, words, hashing, bounded Arrow slices."""
 
 from __future__ import annotations
 
@@ -9,14 +9,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: ASCII white space that separates words; everything else is a word character.
-WORD = re.compile("[^\x20\x09-\x0d]+")
-
-#: Rows handled at once inside a task, by bytes of text; bounds a Python worker's memory.
+#: Bytes of text that a task handles at once; bounds a Python worker's memory.
 CHUNK_BYTES = 8 << 20
 
 
@@ -38,26 +36,34 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path if re.match(r"[a-z0-9+]+:", path) else f"file://{path}"
 
 
-def materialize(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and lost executors cost no rerun."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame, *frames: DataFrame) -> None:
+def drop_scratch(*frames: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once a later table has replaced it."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for frame in (df, *frames):
+    for frame in frames:
+        jvm = frame.sparkSession.sparkContext._jvm
+        conf = frame.sparkSession.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
             if "/docgraph/" in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
 
 
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def tasks_for(docs: DataFrame, n_bytes: int, per_task: int) -> int:
+    """Partitions for ``n_bytes``: the session's shuffle partitions, and more where a task would get over ``per_task``."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // per_task))
+
+
 def doc_bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; 0 for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(n)), F.lit(0))
@@ -68,7 +74,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum([len(v) for v in _buffers(batch.column(text))])
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         begin, done = 0, 0
         while begin < batch.num_rows:
             end = max(begin + 1, int(np.searchsorted(sizes, done + limit, "right")))
@@ -76,24 +82,16 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             begin, done = end, int(sizes[end - 1])
 
 
-def _buffers(column: pa.Array) -> list:
-    import pyarrow.compute as pc
-
-    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    return [range(int(n)) for n in lengths]
-
-
-def map_arrow(
-    df: DataFrame, f: Callable[[pa.RecordBatch], Iterable[dict]], schema: str | T.StructType, text: str = "text"
+def map_slices(
+    df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str | T.StructType, text: str = "text", limit: int = CHUNK_BYTES
 ) -> DataFrame:
-    """``mapInArrow`` in bounded slices. ``f`` gets a slice and yields dicts of equally long columns."""
+    """``mapInArrow`` in bounded slices. ``f`` gets a slice and gives equally long columns by name."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches, text):
-            for columns in f(piece):
-                yield to_batch(columns, arrow)
+        for piece in chunks(batches, text, limit):
+            yield to_batch(f(piece), arrow)
 
     return df.mapInArrow(run, struct)
 
@@ -105,13 +103,12 @@ def arrow_schema(struct: T.StructType) -> pa.Schema:
 
 
 def to_batch(columns: dict, arrow: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            columns[f.name].cast(f.type) if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)
-            for f in arrow
-        ],
-        schema=arrow,
-    )
+    def column(value, kind):  # noqa: ANN001, ANN202
+        if isinstance(value, pa.ChunkedArray):
+            value = value.combine_chunks()
+        return value.cast(kind) if isinstance(value, pa.Array) else pa.array(value, kind)
+
+    return pa.RecordBatch.from_arrays([column(columns[f.name], f.type) for f in arrow], schema=arrow)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -128,21 +125,71 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word's UTF-8 bytes, remembered while a task runs; memory is bounded by ``limit`` words."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 400_000) -> None:
         import xxhash
 
-        self._hash, self._seed, self._limit = xxhash.xxh3_64_intdigest, seed, limit
+        self._hash, self._limit = xxhash.xxh3_64_intdigest, limit
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self._limit:
             self.clear()
-        value = self[word] = self._hash(word, self._seed)
+        value = self[word] = self._hash(word)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One per Python worker.
+WORD_HASHES = None
+
+
+def word_hashes() -> WordHashes:
+    global WORD_HASHES
+    if WORD_HASHES is None:
+        WORD_HASHES = WordHashes()
+    return WORD_HASHES
+
+
 def utf8(text: str | None) -> bytes:
-    """UTF-8 bytes of a text; nothing for null. Lone surrogates, which Arrow can't carry, don't occur."""
     return b"" if text is None else text.encode("utf-8")
+
+
+def split_words(texts: list[str | None]) -> list[list[bytes]]:
+    """The maximal runs outside ASCII white space (20, 09 to 0D) of each text; bytes.split cuts at just these."""
+    return [utf8(t).split() for t in texts]
+
+
+def bounds(lengths: Iterable[int]) -> np.ndarray:
+    """Start of each document in the concatenation, and the end."""
+    return np.concatenate([[0], np.cumsum(np.fromiter(lengths, np.int64))]).astype(np.int64)
+
+
+def sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sum of ``values`` over each document of ``bounds``; empty documents give 0."""
+    total = np.concatenate([np.zeros(1, np.float64 if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
+    return total[edges[1:]] - total[edges[:-1]]
+
+
+#: Odd multiplier of the rolling hashes.
+BASE = 0x9E3779B97F4A7C15
+
+
+def rolling(h: np.ndarray, n: int) -> np.ndarray:
+    """Polynomial hash of each run of ``n`` neighbours of ``h``, built by doubling; shorter input gives an empty array."""
+    if len(h) < n:
+        return h[:0]
+    out, done = None, 0
+    part, width, factor = h, 1, BASE
+    while True:  # binary expansion of n: append blocks whose widths are powers of two
+        if n & width:
+            if out is None:
+                out, done = part, width
+            else:
+                m = len(h) - done - width + 1
+                out, done = out[:m] * np.uint64(factor) + part[done : done + m], done + width
+        if width * 2 > n:
+            break
+        m = len(part) - width
+        part, width, factor = part[:m] * np.uint64(factor) + part[width:], width * 2, factor * factor & (1 << 64) - 1
+    return mix64(out[: len(h) - n + 1])

@@ -21,14 +21,17 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 class SegmentEncoder:
     """``encode(texts)`` gives an id array for each text. Remembers at most ``limit`` segments."""
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 200) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task per core
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._first: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
-        self._limit, self._longest = limit, longest
+        self._limit = limit
         size = self._tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
 
