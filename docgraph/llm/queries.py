@@ -22,6 +22,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgraph.llm.simhash import hex_fingerprint, near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), words=4, max_diff=4)
+    return out.select("doc_id", hex_fingerprint(out["f0"]).alias("fingerprint"), "component_id")
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgraph.llm.sstable import token_shards
 
@@ -50,7 +57,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op5_token_shards, op7_language_id, op8_secret_scan)}
+    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op4_simhash, op5_token_shards, op7_language_id, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
