@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docgraph.llm.common import table
 from docgraph.session import ship_package
@@ -35,6 +36,13 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgraph.llm.substrings import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgraph.llm.langid import identify
 
@@ -57,7 +65,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op4_simhash, op5_token_shards, op7_language_id, op8_secret_scan)}
+    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op4_simhash, op5_token_shards, op6_substring_dedup, op7_language_id, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
