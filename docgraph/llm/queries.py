@@ -55,6 +55,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgraph.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -65,7 +71,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op4_simhash, op5_token_shards, op6_substring_dedup, op7_language_id, op8_secret_scan)}
+    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op4_simhash, op5_token_shards, op6_substring_dedup, op7_language_id, op8_secret_scan, op9_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:

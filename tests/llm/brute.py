@@ -55,3 +55,14 @@ def removed_words(docs: dict[int, str | None], n: int = 13) -> dict[int, tuple[i
         kept = " ".join(w for i, w in enumerate(ws) if i not in gone)
         out[d] = (len(ws), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def base_scores(docs: dict[int, str | None]) -> dict[int, tuple[int, int, int, float]]:
+    import math
+    import zlib
+    from collections import Counter
+
+    tokens = {d: [*WORD.findall(lower_ascii(t or "")), None] for d, t in docs.items()}
+    count = Counter(w for d, ws in tokens.items() if zlib.crc32(str(d).encode()) % 10 for w in ws)
+    n, kinds = sum(count.values()), len(count)
+    return {d: (len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (kinds + 1))) for w in ws)) for d, ws in tokens.items()}
