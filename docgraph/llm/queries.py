@@ -23,6 +23,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgraph.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgraph.llm.simhash import hex_fingerprint, near_duplicates
 
@@ -71,7 +77,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op4_simhash, op5_token_shards, op6_substring_dedup, op7_language_id, op8_secret_scan, op9_lm_score)}
+    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op3_decontaminate, op4_simhash, op5_token_shards, op6_substring_dedup, op7_language_id, op8_secret_scan, op9_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
