@@ -67,6 +67,12 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgraph.llm.main_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -77,7 +83,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op3_decontaminate, op4_simhash, op5_token_shards, op6_substring_dedup, op7_language_id, op8_secret_scan, op9_lm_score)}
+    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op3_decontaminate, op4_simhash, op5_token_shards, op6_substring_dedup, op7_language_id, op8_secret_scan, op9_lm_score, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
