@@ -11,9 +11,9 @@ from docgraph.session import ship_package
 
 #: Least probability of the predicted language; evenly spread probabilities over four languages are 0.25.
 MIN_LANG_SCORE = 0.35
-#: Near-duplicates: five-word shingles in four 64-bit lanes. Texts of Jaccard similarity 0.8 differ in 39 of 256 bits on
-#: average; a lane within seven bits brings two texts together, the sum over lanes decides.
-WORDS, LANES, LANE_BITS, ALL_BITS = 5, 4, 7, 42
+#: Near-duplicates: five-word shingles in eight 64-bit lanes. A lane within seven bits brings two texts together; the first
+#: two lanes decide: texts of Jaccard similarity 0.8 differ there in 19.5 of 128 bits on average.
+WORDS, LANES, LANE_BITS, VERIFY_LANES, VERIFY_BITS = 5, 8, 7, 2, 24
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group stays. A row is known by a hash of its id and text, so null and repeated ids do no harm."""
     ship_package(spark)
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    groups = simhash.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), WORDS, LANE_BITS, LANES, ALL_BITS)
+    groups = simhash.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), WORDS, LANE_BITS, LANES, VERIFY_LANES, VERIFY_BITS)
     first = materialize(groups.select(F.col("component_id").alias("__row")).distinct(), "kept")
     return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 

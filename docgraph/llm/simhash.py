@@ -1,7 +1,7 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 A fingerprint has one or more lanes of 64 bits. Fingerprints link when some lane differs in at most ``max_diff``
-bits and all lanes together in at most ``max_total``. Two lanes within d bits agree on at least one of d + 1 blocks,
+bits and, where asked, the first ``verify`` lanes together in at most ``max_total``. Two lanes within d bits agree on at least one of d + 1 blocks,
 so every distinct fingerprint is dealt by each block's value; a group above ``group_rows`` is dealt again by blocks of
 its other bits, which agree on one for the same reason, so no link is lost at any depth.
 
@@ -99,12 +99,12 @@ def _mask(bits: list[int]) -> int:
 
 
 class GrayIndex:
-    """Index of one group. ``lanes``: (lane, fingerprint) arrays, the first sorted by Gray rank."""
+    """Index of one group: ``codes`` in Gray rank order, and their ``verify`` lanes as rows of an array (none: no further test)."""
 
     FANOUT = 8
 
-    def __init__(self, codes: np.ndarray, all_lanes: np.ndarray, max_diff: int, max_total: int) -> None:
-        self.codes, self.all, self.max_diff, self.max_total = codes, all_lanes, max_diff, max_total
+    def __init__(self, codes: np.ndarray, verify: np.ndarray, max_diff: int, max_total: int) -> None:
+        self.codes, self.verify, self.max_diff, self.max_total = codes, verify, max_diff, max_total
         ones, zeros = codes, ~codes
         self.levels = [(ones, ones | zeros)]
         while len(ones) > 1:
@@ -154,8 +154,10 @@ class GrayIndex:
                 apart = self.root[i] != self.root[j]
                 i, j = i[apart], j[apart]
                 if len(i):
-                    near = np.bitwise_count(self.all[:, i] ^ self.all[:, j]).sum(0, dtype=np.int64) <= self.max_total
-                    self._union(i[near], j[near])
+                    if len(self.verify):
+                        near = np.bitwise_count(self.verify[:, i] ^ self.verify[:, j]).sum(0, dtype=np.int64) <= self.max_total
+                        i, j = i[near], j[near]
+                    self._union(i, j)
                 continue
             if len(i) > step // (f * f):
                 half = max(1, step // (f * f))
@@ -179,105 +181,87 @@ class GrayIndex:
         return self.root
 
 
-def _group_links(n_lanes: int, max_diff: int, max_total: int):  # noqa: ANN202
-    schema = "u long, v long"
-
-    def links(group: dict, lane: int) -> tuple[np.ndarray, np.ndarray]:
-        codes = np.stack([group[f"f{k}"].view(np.uint64) for k in range(n_lanes)])
-        root = GrayIndex(codes[lane], codes, max_diff, max_total).components()
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return group["id"][moved], group["id"][root[moved]]
+def _group_links(n_verify: int, max_diff: int, max_total: int):  # noqa: ANN202
+    """Links inside each (pid, key) group of a sorted partition, from every linked fingerprint to the first of its component."""
+    checks = [f"f{k}" for k in range(n_verify)]
+    names = ["pid", "key", "id", "own", *checks]
+    arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def solved(cols: dict) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero((np.diff(cols["pid"]) != 0) | (np.diff(cols["key"]) != 0)) + 1
+        us, vs = [], []
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(cols["pid"])]):
+            if b - a > 1:
+                verify = np.stack([cols[c][a:b].view(np.uint64) for c in checks]) if checks else np.zeros((0, b - a), np.uint64)
+                root = GrayIndex(cols["own"][a:b].view(np.uint64), verify, max_diff, max_total).components()
+                moved = np.flatnonzero(root != np.arange(b - a))
+                us.append(cols["id"][a:b][moved])
+                vs.append(cols["id"][a:b][root[moved]])
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        names = ["pid", "key", "id", *(f"f{k}" for k in range(n_lanes))]
         rest: dict | None = None
-
-        def solved(cols: dict) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero((np.diff(cols["pid"]) != 0) | (np.diff(cols["key"]) != 0)) + 1
-            us, vs = [], []
-            for a, b in zip([0, *cut], [*cut, len(cols["pid"])]):
-                if b - a > 1:
-                    u, v = links({n: cols[n][a:b] for n in names}, int(cols["pid"][a] % n_lanes))
-                    us.append(u)
-                    vs.append(v)
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], schema=arrow)
-
         for b in batches:
             if not b.num_rows:
                 continue
             cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
             if rest is not None:
                 cols = {n: np.concatenate([rest[n], cols[n]]) for n in names}
-            last = np.flatnonzero((cols["pid"] != cols["pid"][-1]) | (cols["key"] != cols["key"][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
+            before = np.flatnonzero((cols["pid"] != cols["pid"][-1]) | (cols["key"] != cols["key"][-1]))
+            cut = int(before[-1]) + 1 if len(before) else 0
             if cut:
                 yield from solved({n: c[:cut] for n, c in cols.items()})
             rest = {n: c[cut:] for n, c in cols.items()}
         if rest is not None:
             yield from solved(rest)
 
-    return run, schema
+    return run
 
 
-def similar_links(nodes: DataFrame, n_lanes: int, max_diff: int, max_total: int, group_rows: int = 2000, depth: int = 3) -> DataFrame:
+def similar_links(nodes: DataFrame, n_lanes: int, max_diff: int, verify: int = 0, max_total: int = 0, group_rows: int = 2000, depth: int = 3) -> DataFrame:
     """(u, v): links that connect exactly what the similarity connects. ``nodes``: id, f0.. with distinct fingerprints."""
-    fps = [f"f{k}" for k in range(n_lanes)]
-    found: list[DataFrame] = []
-    run, schema = _group_links(n_lanes, max_diff, max_total)
-
-    rows = nodes.select("id", *fps)
+    checks = [f"f{k}" for k in range(verify)]
     numbers: dict[tuple, int] = {}
 
-    def pid_of(lane: int, path: tuple) -> int:  # (number of the block path) * lanes + lane
-        return numbers.setdefault(path, len(numbers) + 1) * n_lanes + lane
+    def pid_of(path: tuple) -> int:  # path: lane, then the block chosen at each depth
+        return numbers.setdefault(path, len(numbers) + 1)
 
-    state: list[tuple[int, tuple, list[int], list[int]]] = []  # lane, path, fixed bits, free bits
+    state: list[tuple[tuple, list[int], list[int]]] = []  # path, fixed bits, free bits
     for lane in range(n_lanes):
         for b, block in enumerate(block_masks(list(range(64)), max_diff + 1)):
-            state.append((lane, (b,), block, [x for x in range(64) if x not in block]))
-
-    def keyed(base: DataFrame, entries: list, parented: bool) -> DataFrame:
-        if not parented:
-            options = [F.struct(F.lit(pid_of(lane, path)).cast("long").alias("pid"), F.col(f"f{lane}").bitwiseAND(F.lit(_mask(fixed))).alias("key")) for lane, path, fixed, _ in entries]
-            return base.select("id", *fps, F.explode(F.array(*options)).alias("at")).select("at.pid", "at.key", "id", *fps)
-        by_parent: dict[int, list] = {}
-        for lane, path, fixed, _ in entries:
-            by_parent.setdefault(pid_of(lane, path[:-1]), []).append(F.struct(F.lit(pid_of(lane, path)).cast("long").alias("pid"), F.col(f"f{lane}").bitwiseAND(F.lit(_mask(fixed))).alias("key")))
-        choice = None
-        for parent, options in by_parent.items():
-            test = F.col("pid") == parent
-            choice = F.when(test, F.array(*options)) if choice is None else choice.when(test, F.array(*options))
-        return base.select("id", *fps, F.explode(choice).alias("at")).select("at.pid", "at.key", "id", *fps)
-
-    now = keyed(rows, state, False)
+            state.append(((lane, b), block, [x for x in range(64) if x not in block]))
+
+    def place(path: tuple, fixed: list[int], code: Column) -> Column:
+        return F.struct(F.lit(pid_of(path)).cast("long").alias("pid"), code.bitwiseAND(F.lit(_mask(fixed))).alias("key"), code.alias("own"))
+
+    def exploded(rows: DataFrame, places: Column) -> DataFrame:
+        return rows.select("id", *checks, F.explode(places).alias("at")).select("at.pid", "at.key", "id", "at.own", *checks)
+
+    run = _group_links(verify, max_diff, max_total)
+    now = exploded(nodes, F.array(*[place(path, fixed, F.col(f"f{path[0]}")) for path, fixed, _ in state]))
+    found: list[DataFrame] = []
     for d in range(depth):
-        last = d == depth - 1
         deeper = None
-        if not last:
+        if d < depth - 1:
             large = materialize(now.groupBy("pid", "key").count().filter(F.col("count") > group_rows).select("pid", "key"), "large-groups")
-            if large.isEmpty():
-                last = True
-            else:
+            if not large.isEmpty():
                 deeper = materialize(now.join(large, ["pid", "key"], "left_semi"), "split-groups")
                 now = now.join(large, ["pid", "key"], "left_anti")
-        lane_of = F.col("pid") % n_lanes
-        own = F.col("f0")
-        for k in range(1, n_lanes):
-            own = F.when(lane_of == k, F.col(f"f{k}")).otherwise(own)
-        work = now.repartition("pid", "key").withColumn("rank", gray_rank(own)).sortWithinPartitions("pid", "key", "rank", "id")
-        found.append(work.select("pid", "key", "id", *fps).mapInArrow(run, schema))
-        if last:
+        work = now.repartition("pid", "key").withColumn("rank", gray_rank(F.col("own"))).sortWithinPartitions("pid", "key", "rank", "id")
+        found.append(work.select("pid", "key", "id", "own", *checks).mapInArrow(run, "u long, v long"))
+        if deeper is None:
             break
-        parents = {r[0] for r in deeper.select("pid").distinct().collect()}  # as many as there are block paths at most
-        following = []
-        for lane, path, fixed, free in state:
-            if pid_of(lane, path) in parents:
-                for b, block in enumerate(block_masks(free, max_diff + 1)):
-                    following.append((lane, (*path, b), fixed + block, [x for x in free if x not in block]))
+        parents = {r[0] for r in deeper.select("pid").distinct().collect()}  # at most as many as block paths
+        following, choice = [], None
+        for path, fixed, free in state:
+            if pid_of(path) in parents:
+                below = [((*path, b), fixed + block, [x for x in free if x not in block]) for b, block in enumerate(block_masks(free, max_diff + 1))]
+                following += below
+                test, places = F.col("pid") == pid_of(path), F.array(*[place(p, bits, F.col("own")) for p, bits, _ in below])
+                choice = F.when(test, places) if choice is None else choice.when(test, places)
         state = following
-        now = keyed(deeper, state, True)
+        now = exploded(deeper, choice)
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -285,7 +269,7 @@ def similar_links(nodes: DataFrame, n_lanes: int, max_diff: int, max_total: int,
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 4, max_diff: int = 4, lanes: int = 1, max_total: int | None = None, lower: bool = True, group_rows: int = 2000
+    docs: DataFrame, words: int = 4, max_diff: int = 4, lanes: int = 1, verify: int = 0, max_total: int = 0, lower: bool = True, group_rows: int = 2000
 ) -> DataFrame:
     """doc_id, f0.., component_id (smallest doc_id reachable over links, itself included) for each row of ``docs``.
 
@@ -296,7 +280,7 @@ def near_duplicates(
     fps = [f"f{k}" for k in range(lanes)]
     prints = materialize(fingerprints(docs, words, lanes, lower), "fingerprints")
     nodes = materialize(prints.groupBy(*fps).agg(F.min("doc_id").alias("id")), "fingerprint-nodes")
-    links = similar_links(nodes.filter("id IS NOT NULL"), lanes, max_diff, max_diff if max_total is None else max_total, group_rows)
+    links = similar_links(nodes.filter("id IS NOT NULL"), lanes, max_diff, verify, max_total, group_rows)
     parts = connected_components(links)
     known = nodes.join(parts, "id", "left").select(*[F.col(f).alias(f"n_{f}") for f in fps], F.coalesce("component", "id").alias("component_id"))
     same = [F.col(f) == F.col(f"n_{f}") for f in fps]
