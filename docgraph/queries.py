@@ -1,36 +1,417 @@
-"""Registered queries of the graph operators, with oracle SQL."""
+"""Registered queries of the graph operators over the driver's tables, each with oracle SQL.
+
+Graph view of the tables: region, nation, customer and orders as a containment tree; lineitem as an association with order,
+part and supplier; supplier refers to nation; events are roles that represent a user's hub; parts are entities to resolve.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docgraph.functions import scalars
+from docgraph.operators import build, graph, resolve
 
-def er_text_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    key = F.regexp_replace(F.lower(F.trim("p_name")), " ", "_")
-    return (
-        part.filter(F.trim("p_name") != "")
-        .groupBy(key.alias("match_key"))
-        .agg(F.count("*").alias("resolved_count"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"))
-        .filter("resolved_count >= 2")
-        .select(F.concat(F.lit("RE_"), F.substring(F.sha2("match_key", 256), 1, 12)).alias("entity_id"), "match_key", "resolved_count", "brands")
-    )
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-ER_TEXT_CLUSTERS = """
-SELECT 'RE_' || substr(sha256(match_key), 1, 12) AS entity_id, match_key, resolved_count, brands FROM (
-  SELECT replace(lower(trim(p_name)), ' ', '_') AS match_key, count(*) AS resolved_count,
-         string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands
-  FROM part WHERE trim(p_name) <> '' GROUP BY 1 HAVING count(*) >= 2)
-"""
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _id(kind: str, key: Column | str) -> Column:
+    return F.concat(F.lit(kind), (F.col(key) if isinstance(key, str) else key).cast("string"))
+
+
+def contains(spark: SparkSession, d: str) -> DataFrame:
+    """CONTAINS edges region -> nation -> customer -> order."""
+    n = _t(spark, d, "nation").select(_id("r", "n_regionkey").alias("src"), _id("n", "n_nationkey").alias("dst"))
+    c = _t(spark, d, "customer").select(_id("n", "c_nationkey"), _id("c", "c_custkey"))
+    o = _t(spark, d, "orders").select(_id("c", "o_custkey"), _id("o", "o_orderkey"))
+    return n.union(c).union(o).withColumn("rel_type", F.lit("CONTAINS"))
+
+
+CONTAINS = """contains AS (
+  SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL
+  SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
+
+
+def part_entities(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    p = _t(spark, d, "part")
+    return p.select(_id("p", "p_partkey").alias("node_id"), F.lit("part").alias("qname"), F.col("p_brand").alias("source_file"), F.col("p_type").alias("upload_id"), F.col("p_name").alias("full_name"), *[none.alias(c) for c in resolve.FEATURES if c != "full_name"])
+
+
+KEYED = "keyed AS (SELECT p_partkey, p_brand, p_type, p_name, replace(lower(trim(p_name)), ' ', '_') AS match_key FROM part WHERE trim(p_name) <> '')"
+CLUSTERS = f"{KEYED}, clusters AS (SELECT match_key, 'RE_' || substr(sha256(match_key), 1, 12) AS entity_id, count(*) AS n FROM keyed GROUP BY 1 HAVING count(*) >= 2)"
+
+
+@query(
+    f"""WITH {KEYED} SELECT 'RE_' || substr(sha256(match_key), 1, 12) AS entity_id, min_by(p_name, 'p' || p_partkey) AS name, match_key, count(*) AS resolved_count,
+    string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS source_docs, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS upload_ids FROM keyed GROUP BY match_key HAVING count(*) >= 2"""
+)
+def er_text_clusters(spark: SparkSession, d: str) -> DataFrame:
+    clusters, _ = resolve.text_clusters(part_entities(spark, d))
+    return clusters.select("entity_id", "name", "match_key", "resolved_count", F.array_join("source_docs", ",").alias("source_docs"), F.array_join("upload_ids", ",").alias("upload_ids"))
+
+
+@query(f"WITH {CLUSTERS} SELECT 'p' || p_partkey AS node_id, entity_id, 0.95::DOUBLE AS confidence, 'full_name' AS matched_on FROM keyed JOIN clusters USING (match_key)")
+def er_members(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.text_clusters(part_entities(spark, d))[1]
+
+
+def _part_links(spark: SparkSession, d: str) -> DataFrame:
+    """Parts on one order: an edge from each line to the next."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    li = _t(spark, d, "lineitem").withColumn("next", F.lead("l_partkey").over(w)).filter("next IS NOT NULL")
+    return li.select(_id("p", "l_partkey").alias("src"), _id("p", "next").alias("dst"), F.lit("NEXT_ON_ORDER").alias("rel_type")).distinct()
+
+
+@query(
+    f"""WITH {CLUSTERS}, m AS (SELECT p_partkey, entity_id FROM keyed JOIN clusters USING (match_key)),
+    e AS (SELECT DISTINCT l_partkey AS a, b FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem) WHERE b IS NOT NULL)
+    SELECT x.entity_id AS src, y.entity_id AS dst, 'NEXT_ON_ORDER' AS rel_type, count(*) AS n FROM e JOIN m x ON x.p_partkey = a JOIN m y ON y.p_partkey = b GROUP BY 1, 2"""
+)
+def er_edge_lift(spark: SparkSession, d: str) -> DataFrame:
+    _, members = resolve.text_clusters(part_entities(spark, d))
+    return resolve.lift_edges(_part_links(spark, d), members).select("src", "dst", "rel_type", F.size("original_ids").cast("long").alias("n"))
+
+
+@query(f"WITH {KEYED} SELECT match_key, count(DISTINCT p_brand) AS n_sources FROM keyed GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT p_brand) > 1")
+def er_cross_source(spark: SparkSession, d: str) -> DataFrame:
+    clusters, _ = resolve.text_clusters(part_entities(spark, d))
+    return clusters.filter(F.size("source_docs") > 1).select("match_key", F.size("source_docs").cast("long").alias("n_sources"))
+
+
+@query(
+    """SELECT 'Entity_' || user_id AS label, count(*) AS role_count, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS role_types
+    FROM events GROUP BY user_id HAVING count(*) >= 2"""
+)
+def hub_detection(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").select(F.lit("d").alias("doc_id"), F.col("user_id").cast("string").alias("uri_id"), F.lit(None).cast("string").alias("sid"), F.lit(False).alias("is_nil"), F.col("event_type").alias("qname"))
+    return build.find_hubs(e).select(F.concat(F.lit("Entity_"), "uri_id").alias("label"), "role_count", F.array_join("role_types", ",").alias("role_types"))
+
+
+@query(
+    """SELECT 'e' || event_id AS src, 'Entity_' || user_id AS dst, CAST(user_id AS VARCHAR) AS id_value, event_type AS role_qname FROM events
+    WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 2)"""
+)
+def represents_edges(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    hubs = e.groupBy("user_id").count().filter("count >= 2").select("user_id")
+    return e.join(hubs, "user_id", "left_semi").select(_id("e", "event_id").alias("src"), F.concat(F.lit("Entity_"), F.col("user_id").cast("string")).alias("dst"), F.col("user_id").cast("string").alias("id_value"), F.col("event_type").alias("role_qname"))
+
+
+@query(
+    f"""WITH {CONTAINS} SELECT src, dst, 1 AS hops FROM contains UNION ALL SELECT a.src, b.dst, 2 FROM contains a JOIN contains b ON a.dst = b.src
+    UNION ALL SELECT a.src, c.dst, 3 FROM contains a JOIN contains b ON a.dst = b.src JOIN contains c ON b.dst = c.src"""
+)
+def contains_1_3(spark: SparkSession, d: str) -> DataFrame:
+    return graph.paths(contains(spark, d), 1, 3, ["CONTAINS"]).select("src", "dst", "hops")
+
+
+@query(
+    f"""WITH RECURSIVE {CONTAINS}, below AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS id, 0 AS depth FROM region
+    UNION ALL SELECT root, dst, depth + 1 FROM below JOIN contains ON src = id) SELECT root, depth, count(*) AS n FROM below GROUP BY 1, 2"""
+)
+def contains_unbounded(spark: SparkSession, d: str) -> DataFrame:
+    roots = _t(spark, d, "region").select(_id("r", "r_regionkey").alias("id"))
+    return graph.descendants(contains(spark, d), ["CONTAINS"], roots).groupBy("root", "depth").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT 'o' || o_orderkey AS id, r_name || '/' || n_name || '/' || c_name AS hierarchy FROM orders JOIN customer ON c_custkey = o_custkey
+    JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"""
+)
+def hierarchy_path(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return o.select(_id("o", "o_orderkey").alias("id"), F.concat_ws("/", "r_name", "n_name", "c_name").alias("hierarchy"))
+
+
+@query("SELECT 'c' || c_custkey AS id, count(o_orderkey) AS n_large FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY 1")
+def optional_match(spark: SparkSession, d: str) -> DataFrame:
+    customers = _t(spark, d, "customer").select(_id("c", "c_custkey").alias("id"))
+    orders = _t(spark, d, "orders").select(_id("c", "o_custkey").alias("src"), _id("o", "o_orderkey").alias("dst"), F.lit("CONTAINS").alias("rel_type"), "o_totalprice")
+    return graph.hop(customers, orders, ["CONTAINS"], optional=True, where=F.col("o_totalprice") > 200000).groupBy("id").agg(F.count("other").alias("n_large"))
+
+
+@query(f"WITH {CONTAINS} SELECT id, count(*) AS degree FROM (SELECT src AS id FROM contains UNION ALL SELECT dst FROM contains) GROUP BY 1")
+def undirected_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(contains(spark, d))
+
+
+@query(f"WITH {CONTAINS} SELECT id, CAST(greatest(20, least(40, 20 + count(*))) AS BIGINT) AS size FROM (SELECT src AS id FROM contains UNION ALL SELECT dst FROM contains) GROUP BY 1")
+def degree_clamped(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(contains(spark, d)).select("id", graph.display_size(F.col("degree")).alias("size"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphans(spark: SparkSession, d: str) -> DataFrame:
+    edges = _t(spark, d, "labels").select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst"), F.lit("LABELS").alias("rel_type"))
+    return graph.orphans(_t(spark, d, "documents").select(F.col("doc_id").alias("id")), edges)
+
+
+@query(
+    """SELECT id, count(*) AS n_refs FROM (SELECT 'Entity_' || user_id AS id FROM events UNION ALL SELECT 'n' || s_nationkey FROM supplier) GROUP BY 1 HAVING count(*) > 1"""
+)
+def multi_ref_entities(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").select(F.concat(F.lit("Entity_"), F.col("user_id").cast("string")).alias("id"))
+    return e.unionByName(_t(spark, d, "supplier").select(_id("n", "s_nationkey").alias("id"))).groupBy("id").agg(F.count("*").alias("n_refs")).filter("n_refs > 1")
+
+
+@query(
+    """SELECT 'n' || a.s_nationkey AS target, 's' || a.s_suppkey AS a, 's' || b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey
+    AND 's' || a.s_suppkey < 's' || b.s_suppkey"""
+)
+def same_role_pairs(spark: SparkSession, d: str) -> DataFrame:
+    s = _t(spark, d, "supplier")
+    edges = s.select(_id("s", "s_suppkey").alias("src"), _id("n", "s_nationkey").alias("dst"), F.lit("REFERS_TO").alias("rel_type"))
+    return graph.same_target_pairs(edges, s.select(_id("s", "s_suppkey").alias("id"), F.lit("supplier").alias("qname")), ["REFERS_TO"])
+
+
+ENDPOINTS = """SELECT 'l' || l_orderkey || '_' || l_linenumber AS src, 'o' || l_orderkey AS dst, 'order' AS role_qname, 'source' AS direction FROM lineitem
+UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber, 'p' || l_partkey, 'part', 'target' FROM lineitem
+UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber, 's' || l_suppkey, 'supplier', 'target' FROM lineitem"""
+
+
+def association_edges(spark: SparkSession, d: str) -> DataFrame:
+    li = _t(spark, d, "lineitem")
+    ends = F.explode(F.array(*[F.struct(_id(k, c).alias("dst"), F.lit(r).alias("role_qname"), F.lit(w).alias("direction")) for k, c, r, w in (("o", "l_orderkey", "order", "source"), ("p", "l_partkey", "part", "target"), ("s", "l_suppkey", "supplier", "target"))]))
+    return li.select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("src"), ends.alias("e")).select("src", "e.*")
+
+
+@query(ENDPOINTS)
+def assoc_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    return association_edges(spark, d)
+
+
+@query(f"SELECT role_qname, direction, count(*) AS n, count(DISTINCT dst) AS n_targets FROM ({ENDPOINTS}) GROUP BY 1, 2")
+def assoc_by_role(spark: SparkSession, d: str) -> DataFrame:
+    return association_edges(spark, d).groupBy("role_qname", "direction").agg(F.count("*").alias("n"), F.countDistinct("dst").alias("n_targets"))
+
+
+@query(
+    """SELECT * FROM (SELECT 'region' AS qname, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer', count(*) FROM customer
+    UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier)"""
+)
+def node_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for name in ("region", "nation", "customer", "orders", "part", "supplier"):
+        part = _t(spark, d, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("qname"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy(F.desc("n"), "qname")
+
+
+@query(f"WITH {CONTAINS} SELECT 'CONTAINS' AS rel_type, count(*) AS n FROM contains UNION ALL SELECT 'ASSOCIATED_WITH', 3 * count(*) FROM lineitem UNION ALL SELECT 'REFERS_TO', count(*) FROM supplier")
+def rel_type_counts(spark: SparkSession, d: str) -> DataFrame:
+    e = contains(spark, d).select("rel_type").unionByName(association_edges(spark, d).select(F.lit("ASSOCIATED_WITH").alias("rel_type"))).unionByName(_t(spark, d, "supplier").select(F.lit("REFERS_TO").alias("rel_type")))
+    return e.groupBy("rel_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rel_type")
+
+
+@query("SELECT source, lang, count(*) AS nodes, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1, 2")
+def upload_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("nodes"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT o_orderkey, 'syn_' || substr(sha1('orders|' || o_custkey || '|' || o_orderkey), 1, 16) AS id, substr(sha1('orders' || '_' || o_orderpriority), 1, 8) AS prefix FROM orders")
+def synthetic_ids(spark: SparkSession, d: str) -> DataFrame:
+    o = _t(spark, d, "orders")
+    spot = F.concat_ws("|", F.lit("orders"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", F.concat(F.lit("syn_"), F.substring(F.sha1(spot), 1, 16)).alias("id"), F.substring(F.sha1(F.concat_ws("_", F.lit("orders"), "o_orderpriority")), 1, 8).alias("prefix"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_shred_props(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("SELECT page_id, CAST(i AS BIGINT) AS place, l AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS l, generate_subscripts(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), 1) AS i FROM pages)")
+def markup_links(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("p", "href")).select("page_id", (F.col("p") + 1).cast("long").alias("place"), "href")
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '\\s([a-z-]+)=\"', 1)) AS name FROM pages) GROUP BY 1")
+def markup_attrs(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r'\s([a-z-]+)="'), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, 'conversation__turn__' || role AS key, count(*) AS n FROM conversations GROUP BY 1, 2")
+def flatten_keys(spark: SparkSession, d: str) -> DataFrame:
+    key = F.array_join(F.array(F.lit("conversation"), F.lit("turn"), F.col("role")), "__")
+    return _t(spark, d, "conversations").groupBy("conv_id", key.alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn, role, text) AS roles FROM conversations GROUP BY 1")
+def repeat_collect(spark: SparkSession, d: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    return _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["role"]), ",").alias("roles"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1")
+def first_wins_merge(spark: SparkSession, d: str) -> DataFrame:
+    first = _t(spark, d, "orders").groupBy("o_custkey").agg(F.min_by(F.struct("o_orderkey", "o_orderpriority"), "o_orderkey").alias("x"))
+    return first.select("o_custkey", "x.o_orderkey", "x.o_orderpriority")
+
+
+@query(
+    """SELECT p_partkey, 'p_brand' AS brand_key, p_brand AS brand, CAST((CASE WHEN p_name LIKE '%e%' THEN 1 ELSE 0 END) AS BOOLEAN) AS has_e FROM part"""
+)
+def key_suffix_extract(spark: SparkSession, d: str) -> DataFrame:
+    props = F.create_map(F.lit("p_name"), F.col("p_name"), F.lit("p_brand"), F.col("p_brand"), F.lit("p_type"), F.col("p_type"))
+    p = _t(spark, d, "part").select("p_partkey", props.alias("props")).withColumn("brand_key", graph.first_key(lambda k: scalars.key_ends(k, "Brand")))
+    return p.select("p_partkey", "brand_key", F.try_element_at("props", "brand_key").alias("brand"), graph.prop("p_name").contains("e").alias("has_e"))
+
+
+@query("SELECT event_type, count(*) FILTER (value >= 80) AS high, count(*) FILTER (value >= 40 AND value < 80) AS medium, count(*) FILTER (value < 40) AS low FROM events GROUP BY 1")
+def match_quality_hist(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    return _t(spark, d, "events").groupBy("event_type").agg(F.count_if(v >= 80).alias("high"), F.count_if((v >= 40) & (v < 80)).alias("medium"), F.count_if(v < 40).alias("low"))
+
+
+@query(f"WITH {KEYED} SELECT match_key, count(*) AS n FROM keyed GROUP BY 1 ORDER BY n DESC, match_key LIMIT 10")
+def top10_match_keys(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.match_keys(part_entities(spark, d)).groupBy("match_key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "match_key").limit(10)
+
+
+@query("SELECT o_orderpriority AS feature, round(avg(CASE o_orderstatus WHEN 'F' THEN 100 WHEN 'O' THEN 75 ELSE 50 END), 2) AS score FROM orders GROUP BY 1")
+def feature_score_avg(spark: SparkSession, d: str) -> DataFrame:
+    usage = F.when(F.col("o_orderstatus") == "F", 100).when(F.col("o_orderstatus") == "O", 75).otherwise(50)
+    return _t(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("feature")).agg(F.round(F.avg(usage), 2).alias("score"))
+
+
+@query("SELECT event_id, round(CASE WHEN value > 100 THEN least(value / 1000, 1.0) WHEN value > 1 THEN value / 100 ELSE coalesce(value, 0) END, 6) AS confidence FROM events")
+def confidence_norm(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select("event_id", F.round(scalars.confidence(F.col("value")), 6).alias("confidence"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS from_us, strftime(o_orderdate, '%Y-%m-%d') AS from_compact, 'n/a' AS unknown FROM orders")
+def date_normalise(spark: SparkSession, d: str) -> DataFrame:
+    o, day = _t(spark, d, "orders"), F.col("o_orderdate")
+    us = F.when(F.dayofmonth(day) > 12, F.date_format(day, "MM/dd/yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    return o.select("o_orderkey", scalars.normal_date(us).alias("from_us"), scalars.normal_date(F.date_format(day, "yyyyMMdd")).alias("from_compact"), scalars.normal_date(F.lit("n/a")).alias("unknown"))
+
+
+@query(
+    """SELECT qname, CASE WHEN regexp_matches(lower(qname), 'person|driver|child|victim|subject') THEN 'person' WHEN regexp_matches(lower(qname), 'organization|agency|company') THEN 'organization'
+    WHEN regexp_matches(lower(qname), 'address|location') THEN 'address' WHEN regexp_matches(lower(qname), 'vehicle|conveyance') THEN 'vehicle' ELSE 'other' END AS category
+    FROM (SELECT DISTINCT p_type || 'Person' AS qname FROM part UNION SELECT DISTINCT o_orderpriority || 'Agency' FROM orders UNION SELECT DISTINCT event_type || ':Place' FROM events)"""
+)
+def category_by_pattern(spark: SparkSession, d: str) -> DataFrame:
+    q = _t(spark, d, "part").select(F.concat("p_type", F.lit("Person")).alias("qname")).union(_t(spark, d, "orders").select(F.concat("o_orderpriority", F.lit("Agency")))).union(_t(spark, d, "events").select(F.concat("event_type", F.lit(":Place"))))
+    return q.distinct().select("qname", scalars.category(F.col("qname")).alias("category"))
+
+
+@query(
+    """WITH p AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_custkey IN (SELECT c_custkey FROM p)
+    UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_custkey IN (SELECT c_custkey FROM p)"""
+)
+def file_filter_induced(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "customer").select(_id("c", "c_custkey").alias("id"), F.array(F.lit("customer")).alias("labels"), (F.col("c_mktsegment") == "BUILDING").alias("chosen"))
+    o = _t(spark, d, "orders").select(_id("o", "o_orderkey").alias("id"), F.array(F.lit("orders")).alias("labels"), F.lit(False).alias("chosen"))
+    n = _t(spark, d, "nation").select(_id("n", "n_nationkey").alias("id"), F.array(F.lit("nation")).alias("labels"), F.lit(False).alias("chosen"))
+    edges = contains(spark, d).filter(~F.col("src").startswith("r"))
+    return graph.induced(c.unionByName(o).unionByName(n), edges, F.col("chosen")).edges.select("src", "dst")
+
+
+@query("SELECT lower(event_type) AS severity, count(*) AS n, CAST(sum(event_id % 7) AS BIGINT) AS line_sum FROM events GROUP BY 1")
+def issue_severity_counts(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.lit("["), "event_type", F.lit("] a.xml:"), (F.col("event_id") % 7).cast("string"), F.lit(":3: message"))
+    parsed = _t(spark, d, "events").select(line.alias("line")).select(*[c.alias(k) for k, c in scalars.issue_fields(F.col("line")).items()])
+    return parsed.groupBy("severity").agg(F.count("*").alias("n"), F.sum("line").alias("line_sum"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def setops_union(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).union(_t(spark, d, "supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def setops_intersect(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(_t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+def setops_except(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(_t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT o_custkey, o_orderkey, first_value(o_orderkey) OVER w AS first_order, row_number() OVER w AS place FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def window_first_last(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return _t(spark, d, "orders").select("o_custkey", "o_orderkey", F.first("o_orderkey").over(w).alias("first_order"), F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("SELECT coalesce(o_orderstatus, 'all') AS status, coalesce(o_orderpriority, 'all') AS priority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def rollup_types(spark: SparkSession, d: str) -> DataFrame:
+    out = _t(spark, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    return out.select(F.coalesce("o_orderstatus", F.lit("all")).alias("status"), F.coalesce("o_orderpriority", F.lit("all")).alias("priority"), "n")
+
+
+@query("SELECT c_nationkey, c_custkey, k AS place FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k <= 3")
+def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return _t(spark, d, "customer").withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 3").select("c_nationkey", "c_custkey", "place")
+
+
+@query(f"WITH {CONTAINS} SELECT src, rel_type, dst FROM (SELECT *, 'CONTAINS' AS rel_type FROM contains) ORDER BY src, rel_type, dst LIMIT 500")
+def full_graph_limited(spark: SparkSession, d: str) -> DataFrame:
+    nodes = contains(spark, d).select(F.col("dst").alias("id"), F.array(F.lit("node")).alias("labels"))
+    return graph.full_graph(nodes, contains(spark, d)).edges.select("src", "rel_type", "dst")
+
+
+@query(f"WITH {KEYED} SELECT match_key, count(*) AS rows FROM keyed GROUP BY 1 HAVING count(*) > 1")
+def uniqueness_check(spark: SparkSession, d: str) -> DataFrame:
+    return graph.duplicates(resolve.match_keys(part_entities(spark, d)), ["match_key"])
+
+
+@query(
+    f"""WITH RECURSIVE {CONTAINS}, u AS (SELECT src AS a, dst AS b FROM contains UNION SELECT dst, src FROM contains),
+    w AS (SELECT 'n0' AS node, 0 AS hops UNION SELECT b, hops + 1 FROM w JOIN u ON a = node WHERE hops < 2)
+    SELECT 'n0' AS source, node AS target, min(hops) AS hops FROM w GROUP BY node"""
+)
+def bounded_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    edges = contains(spark, d)
+    start = spark.createDataFrame([("n0",)], "id string")
+    return graph.shortest(edges, start, edges.select(F.explode(F.array("src", "dst")).alias("id")), 2)
+
+
+@query("SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def events_by_hour(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").groupBy("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query()
+def xml_shred_nations(spark: SparkSession, d: str) -> DataFrame:
+    """Nations written as XML documents, shredded and built: nodes with their properties."""
+    from docgraph.session import ship_package
+    from docgraph.sources.shred import shred
+
+    ship_package(spark)
+    n = _t(spark, d, "nation")
+    text = F.concat(F.lit('<t:Nation xmlns:t="http://example.org/t/" xmlns:s="http://example.org/structures/5.0/" s:id="N'), F.col("n_nationkey").cast("string"), F.lit('"><t:Name>'), "n_name", F.lit("</t:Name><t:Region><t:Key>"), F.col("n_regionkey").cast("string"), F.lit("</t:Key></t:Region></t:Nation>"))
+    docs = n.select(F.col("n_nationkey").cast("string").alias("doc_id"), F.concat("n_name", F.lit(".xml")).alias("source_file"), F.lit("u").alias("upload_id"), text.alias("content"))
+    g = build.build_graph(shred(docs))
+    return g.nodes.select("doc_id", "id", "label", F.to_json("props").alias("props"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"er_text_clusters": er_text_clusters}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"er_text_clusters": ER_TEXT_CLUSTERS}
+    return dict(_SQL)
