@@ -131,6 +131,12 @@ class Scoring:
 BLOCKS = {"ssn": ["ssn"], "license": ["driver_license"], "name_birth": ["name", "birth_date"], "sound_birth": ["sound", "birth_date"], "email": ["email"]}
 
 
+def feature_sets(entities: DataFrame) -> DataFrame:
+    """node_id and the compared features, trimmed, empty ones as null."""
+    name = scalars.entity_key(F.col("full_name"), F.col("given_name"), F.col("surname"))
+    return entities.select("node_id", F.nullif(name, F.lit("")).alias("name"), *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("ssn", "driver_license", "birth_date", "address", "phone", "email")])
+
+
 def scored_links(entities: DataFrame, scoring: Scoring | None = None) -> DataFrame:
     """(a, b, score, match_key) of pairs that share a block and reach the least score.
 
@@ -138,8 +144,7 @@ def scored_links(entities: DataFrame, scoring: Scoring | None = None) -> DataFra
     in a block. Only different feature sets are compared, within blocks of two strong features or one identifier.
     """
     s = scoring or Scoring()
-    name = scalars.entity_key(F.col("full_name"), F.col("given_name"), F.col("surname"))
-    base = entities.select("node_id", F.nullif(name, F.lit("")).alias("name"), *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("ssn", "driver_license", "birth_date", "address", "phone", "email")])
+    base = feature_sets(entities)
     sets = base.groupBy(*[c for c in base.columns if c != "node_id"]).agg(F.min("node_id").alias("node_id")).withColumn("sound", F.soundex("name"))
     keys = [F.struct(F.lit(b).alias("block"), F.concat_ws("|", *cols).alias("value"), F.forall(F.array(*cols), lambda x: x.isNotNull()).alias("whole")) for b, cols in BLOCKS.items()]
     blocked = sets.withColumn("k", F.explode(F.array(*keys))).filter("k.whole").select(F.col("k.block").alias("block"), F.col("k.value").alias("value"), F.struct(*[c for c in sets.columns if c != "sound"]).alias("e"))
@@ -170,8 +175,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def scored_clusters(entities: DataFrame, scoring: Scoring | None = None) -> DataFrame:
     """(entity_id, node_id) of clusters of linked entities, equal feature sets included."""
-    same = [c for c in ("full_name", "given_name", "surname", "ssn", "driver_license", "birth_date", "address", "phone", "email")]
-    ids = entities.select("node_id", F.sha1(F.to_json(F.struct(*same))).alias("set"))
+    base = feature_sets(entities)
+    ids = base.select("node_id", F.sha1(F.to_json(F.struct(*[c for c in base.columns if c != "node_id"]))).alias("set")).filter("set <> sha1('{}')")
     first = ids.groupBy("set").agg(F.min("node_id").alias("first"))
     equal = ids.join(first, "set").filter("node_id <> first").select(F.col("node_id").alias("a"), F.col("first").alias("b"))
     parts = components(scored_links(entities, scoring).select("a", "b").unionByName(equal))
