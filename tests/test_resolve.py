@@ -36,7 +36,7 @@ def test_scored_clusters(spark) -> None:  # noqa: ANN001
     got = resolve.scored_clusters(people(spark, *ROWS, *twins)).groupBy("entity_id").agg(F.array_sort(F.collect_list("node_id")).alias("m")).collect()
     assert sorted(r.m for r in got) == [sorted(["1", "2", *(t["node_id"] for t in twins)]), ["4", "5"]]
     details = resolve.match_details(resolve.scored_links(people(spark, *ROWS))).collect()
-    assert sum(r.n for r in details if r.kind == "quality") == 2
+    assert sum(r.n for r in details if r.kind == "quality") == 1  # 1 and 2 are one feature set
 
 
 def test_features_and_lifting(spark) -> None:  # noqa: ANN001
