@@ -23,7 +23,7 @@ class HashBits:
         return (self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def collect_bits(hashes: DataFrame, n: int, per_hash: int = 64, most: int = 29) -> HashBits:
+def collect_bits(hashes: DataFrame, n: int, per_hash: int = 32, most: int = 29) -> HashBits:
     """Bits of the one long column of ``hashes`` with ``n`` rows. The table has about ``per_hash`` bits a hash and at most
     2**most bits (64 MB): beyond that it fills up and lets more hashes pass, which callers must be able to bear."""
     bits = min(most, max(SEGMENT_BITS, int(np.ceil(np.log2(max(1, n) * per_hash)))))

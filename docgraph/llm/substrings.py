@@ -4,13 +4,17 @@ A window of w words repeats only if each run of words inside it does. So the sea
 windows whose run at one length repeats are looked at with runs of twice that length, until the runs are the windows
 themselves or no candidate is left. At each length a window is stood for by the smallest hash among its runs of that
 length, which equal windows share; this leaves a fraction of the runs to count. What passes a level is kept in a bit
-table of bounded size, whose errors only let windows through to the last level, and that one is exact.
+table of bounded size, whose errors only let windows through to the last level, and that one is exact up to equal 64-bit
+hashes: for every window that comes so far, the smallest doc_id that has it. Grouped by that doc_id, this tells each
+document which of its windows are first seen in it; its other windows that came so far are repeats. So the many
+copies of a window are combined before they are shuffled, and are never joined one by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from docgraph.llm.bitset import collect_bits
 from docgraph.llm.common import bounds, drop_scratch, map_slices, materialize, mix64, rolling, split_words, word_hashes
 
 SHORTEST = 8
+SLICE = 4 << 20  # bytes of text at once
 
 
 def lengths(window: int) -> list[int]:
@@ -74,42 +79,39 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _level(rows: DataFrame, window: int, done: list[int], tables: list, run: int, last: bool) -> DataFrame:
-    """(h, h2, doc_id): values at length ``run`` of the windows that passed the levels ``done``."""
+def _level(rows: DataFrame, window: int, done: list[int], tables: list, run: int) -> DataFrame:
+    """(h, doc_id): values at length ``run`` of the windows that passed the levels ``done``."""
 
     def emit(batch: pa.RecordBatch) -> dict:
         w = Windows(batch.column("text").to_pylist(), window)
         live = w.passing(done, tables)
         h, doc = w.values(run)[live], w.doc[live]
         ids = np.array(batch.column("doc_id").to_numpy(zero_copy_only=False), np.int64)
-        if not last:
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-            return {"h": h[new].view(np.int64), "doc_id": ids[doc[new]]}
-        second = rolling(mix64(w.hashes), run)[w.at][live] if len(w.hashes) >= run else h
-        return {"h": h.view(np.int64), "h2": second.view(np.int64), "doc_id": ids[doc]}
-
-    return map_slices(rows, emit, "h long, doc_id long" if not last else "h long, h2 long, doc_id long")
-
-
-def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
-    """doc_id, windows (array of window hashes): the windows of each document that also start in one with a smaller doc_id."""
-    rows = _rows(docs).filter("doc_id IS NOT NULL")
-    context = docs.sparkSession.sparkContext
-    steps, tables = lengths(window), []
-    for k, run in enumerate(steps[:-1]):
-        level = _level(rows, window, steps[:k], tables, run, False)
-        seen = level.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        return {"h": h[new].view(np.int64), "doc_id": ids[doc[new]]}
+
+    return map_slices(rows, emit, "h long, doc_id long", limit=SLICE)
+
+
+def passed_levels(rows: DataFrame, window: int) -> tuple[list[int], list]:
+    """The lengths below the window and, for each, the broadcast bit table of what repeats at it."""
+    steps, tables = lengths(window)[:-1], []
+    for k, run in enumerate(steps):
+        seen = _level(rows, window, steps[:k], tables, run).groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
         twice = materialize(seen.filter("a < b").select("h"), "repeated-runs")
         n = twice.count()
-        tables.append(context.broadcast(collect_bits(twice, n)))
+        tables.append(rows.sparkSession.sparkContext.broadcast(collect_bits(twice, n)))
         drop_scratch(twice)
-        if not n:  # no candidate is left
-            return docs.sparkSession.createDataFrame([], "doc_id long, windows array<long>")
-    found = materialize(_level(rows, window, steps[:-1], tables, window, True), "windows")
-    first = found.groupBy("h", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h", "h2", "a")
-    later = found.join(first, ["h", "h2"]).filter("doc_id > a").select("doc_id", "h")
-    return later.groupBy("doc_id").agg(F.collect_set("h").alias("windows"))
+        if not n:  # no candidate is left: the empty table stops all windows
+            break
+    return steps[: len(tables)], tables
+
+
+def first_seen(rows: DataFrame, window: int, done: list[int], tables: list) -> DataFrame:
+    """(m_id, firsts): for each document the hashes of its windows that no document with a smaller id has."""
+    least = _level(rows, window, done, tables, window).groupBy("h").agg(F.min("doc_id").alias("m_id"))
+    return least.groupBy("m_id").agg(F.collect_list("h").alias("firsts"))
 
 
 def covered(w: Windows, marked: np.ndarray) -> np.ndarray:
@@ -128,24 +130,23 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     rows with a null doc_id, do not touch each other; a null doc_id loses nothing. Null text has no words. Texts of
     fewer words than a window, and an empty table, have no windows. Columns other than doc_id and text are not read.
     """
-    marks = repeated_windows(docs, window).withColumnRenamed("doc_id", "m_id")
     rows = _rows(docs)
-    both = rows.join(marks, rows["doc_id"] == marks["m_id"], "left").select("doc_id", "text", "windows")
+    known = rows.filter("doc_id IS NOT NULL")
+    done, tables = passed_levels(known, window)
+    marks = first_seen(known, window, done, tables)
+    both = rows.join(marks, rows["doc_id"] == marks["m_id"], "left").select("doc_id", "text", "firsts")
 
     def strip(batch: pa.RecordBatch) -> dict:
         w = Windows(batch.column("text").to_pylist(), window)
-        lists = batch.column("windows")
-        owner, values = [], []
-        for k, x in enumerate(lists):
-            if x.is_valid:
-                v = x.values.to_numpy(zero_copy_only=False)
-                values.append(v.view(np.uint64) ^ mix64(np.array([k + 1], np.uint64)))
-                owner.append(k)
-        marked = np.zeros(len(w.at), bool)
-        if values and len(w.at):
-            mine = np.isin(w.doc, np.array(owner))
-            keys = w.values(window)[mine] ^ mix64(w.doc[mine].astype(np.uint64) + np.uint64(1))
-            marked[mine] = np.isin(keys, np.concatenate(values))
+        marked = w.passing(done, tables)
+        marked &= batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[w.doc]
+        lists = batch.column("firsts")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        firsts = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        owner = mix64(np.arange(1, batch.num_rows + 1, dtype=np.uint64))
+        at = np.flatnonzero(marked)
+        own = w.values(window)[at] ^ owner[w.doc[at]]
+        marked[at] = ~np.isin(own, firsts ^ np.repeat(owner, sizes))
         gone = covered(w, marked)
         kept, removed = [], []
         for k, words in enumerate(w.words):
@@ -155,4 +156,4 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
             kept.append(b" ".join(x for x, y in zip(words, g) if not y) if n else b" ".join(words))
         return {"doc_id": batch.column("doc_id"), "n_words": np.diff(w.edges), "n_removed": removed, "kept_text": pa.array([x.decode() for x in kept], pa.string())}
 
-    return map_slices(both, strip, "doc_id long, n_words long, n_removed long, kept_text string")
+    return map_slices(both, strip, "doc_id long, n_words long, n_removed long, kept_text string", limit=SLICE)
