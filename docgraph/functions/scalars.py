@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Category -> patterns in lower-case qualified names, in order of precedence; and the matcher's record types.
-CATEGORIES = {"person": ("person", "driver", "child", "victim", "subject"), "organization": ("organization", "agency", "company"), "address": ("address", "location"), "vehicle": ("vehicle", "conveyance")}
+#: Categories with their patterns in lower-case qualified names, in order of precedence.
+CATEGORIES = {
+    "person": ["person", "driver", "passenger", "child", "parent", "guardian", "witness", "victim", "subject", "arrest", "defendant", "plaintiff", "juror"],
+    "organization": ["organization", "org", "company", "agency", "department", "unit", "employer", "enforcement"],
+    "address": ["address", "location", "place"],
+    "vehicle": ["vehicle", "conveyance", "car", "aircraft", "vessel", "boat"],
+}
+#: The matcher's record types.
 RECORD_TYPES = {"person": "PERSON", "organization": "ORGANIZATION", "address": "ADDRESS", "vehicle": "VEHICLE"}
+#: Date formats, in the order they are tried.
 DATE_FORMATS = ("yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyyMMdd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssX")
 
 
@@ -86,10 +93,11 @@ def masked(x: Column, shown: int) -> Column:
 
 
 def match_key_words(key: Column) -> Column:
-    """+NAME+DOB as Name + Date of Birth."""
-    names = F.create_map(*[F.lit(v) for pair in {"DOB": "Date of Birth", "SSN": "Social Security Number", "DLN": "Driver License", "ADDR": "Address"}.items() for v in pair])
-    parts = F.filter(F.split(key, r"\+"), lambda p: p != "")
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(names, p), F.initcap(F.replace(p, F.lit("_"), F.lit(" "))))), " + ")
+    """+NAME+DOB as Name + Date Of Birth; the keys without parts have sentences of their own."""
+    spelt = lambda p: F.when(F.upper(p) == "DOB", "date of birth").when(F.upper(p) == "ADDR", "address").otherwise(F.replace(p, F.lit("_"), F.lit(" ")))
+    parts = F.transform(F.filter(F.split(key, r"\+"), lambda p: p != ""), lambda p: F.initcap(spelt(p)))
+    special = F.when(F.upper(key) == "EXACTLY_SAME", "Exact match (all attributes identical)").when(key == "SAME_ID", "Same identifier").when(F.coalesce(key, F.lit("")) == "", "Unknown match criteria")
+    return special.otherwise(F.array_join(parts, " + "))
 
 
 def short_label(*choices: Column, most: int = 25) -> Column:

@@ -11,8 +11,12 @@ from docgraph.functions import scalars
 from docgraph.operators.graph import paths
 from docgraph.scratch import written
 
-#: Nodes that hold parts of an entity.
+#: Nodes that hold parts of an entity, and types that are never entities themselves.
 PARTS = ["nc:PersonName", "nc:OrganizationName", "nc:PersonBirthDate"]
+COMPONENTS = [
+    "nc:PersonName", "nc:OrganizationName", "nc:PersonBirthDate", "nc:PersonDeathDate", "nc:PersonGivenName", "nc:PersonSurName", "nc:PersonMiddleName", "nc:PersonFullName", "nc:AddressFullText", "nc:Date",
+    "nc:ActivityDate", "nc:TelephoneNumber", "nc:ContactInformation",
+]
 
 
 def _ends(*suffixes: str):  # noqa: ANN202
@@ -48,8 +52,8 @@ FEATURES = {
     "person_id": _without(_either(_ends("IdentificationID"), _has("identification")), "driver"),
     "birth_date": _either(_ends("PersonBirthDate"), _has("birthdate$", "dob")),
     "address": _without(_either(_ends("AddressFullText"), _has("address")), "email"),
-    "city": _has("cityname", "city$"), "state": _has("statename", "statecode", "state$"), "zip": _has("postalcode", "zip"),
-    "phone": _has("telephone", "phone"), "email": _has("email"),
+    "city": _has("city"), "state": _has("state"), "zip": _either(_ends("PostalCode"), _has("zip$", "postal")),
+    "phone": _has("phone"), "email": _either(_ends("ElectronicAddressText"), _has("email")),
 }
 
 
@@ -108,7 +112,7 @@ def lift_edges(edges: DataFrame, members: DataFrame, existing: DataFrame | None
 def discover_types(nodes: DataFrame, edges: DataFrame, skip: list[str] | None = None) -> DataFrame:
     """(qname, category, entities, attributes, keys, recommended): types whose own or part keys hold features."""
     related = related_props(nodes, edges, 2)
-    keyed = nodes.filter(F.col("qname").isNotNull() & ~F.col("qname").isin(skip or PARTS)).join(related, "id", "left")
+    keyed = nodes.filter(F.col("qname").isNotNull() & ~F.col("qname").isin(skip or COMPONENTS)).join(related, "id", "left")
     empty = F.create_map().cast("map<string,string>")
     all_keys = F.array_union(F.map_keys(F.coalesce("props", empty)), F.map_keys(F.coalesce("related", empty)))
     one = keyed.groupBy("qname").agg(F.countDistinct("id").alias("entities"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(all_keys)))).alias("keys"))
@@ -190,6 +194,26 @@ def match_details(links: DataFrame) -> DataFrame:
     return quality.unionByName(top)
 
 
+def matcher_records(nodes: DataFrame, mapping: dict[str, str], lists: list[str], data_source: str = "GRAPH") -> DataFrame:
+    """(node_id, record): a flat JSON record for a matcher. ``mapping``: property key to record field; a later one wins.
+
+    A key is looked up as it is, without its prefix, and without underscores. Fields in ``lists`` join all values with ;,
+    others take the first; dates are brought to one format.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    own, many = F.coalesce("props", empty), F.coalesce("list_props", F.create_map().cast("map<string,array<string>>"))
+    fields: dict[str, Column] = {}
+    for key, name in mapping.items():
+        forms = [key, key.split("_", 1)[-1], key.replace("_", "")]
+        values = F.coalesce(*[F.try_element_at(many, F.lit(k)) for k in forms], *[F.when(F.try_element_at(own, F.lit(k)).isNotNull(), scalars.values_of(F.try_element_at(own, F.lit(k)))) for k in forms])
+        value = F.array_join(values, ";") if name in lists else F.try_element_at(values, F.lit(1))
+        value = scalars.normal_date(value) if "DATE" in name else value
+        fields[name] = F.coalesce(value, fields[name]) if name in fields else value
+    kind = scalars.record_type(scalars.category(F.col("qname")))
+    head = [F.lit(data_source).alias("DATA_SOURCE"), F.col("id").alias("RECORD_ID"), kind.alias("RECORD_TYPE"), F.col("source_file").alias("SOURCE_FILE"), F.col("qname").alias("QNAME")]
+    return nodes.select(F.col("id").alias("node_id"), F.to_json(F.struct(*head, *[v.alias(n) for n, v in fields.items()])).alias("record"))
+
+
 def search(entities: DataFrame, wanted: dict[str, str], most: int = 10) -> DataFrame:
     """The ``most`` entities nearest to the wanted features: equal ones count 1, others by edit distance."""
     total = sum((F.coalesce(F.when(F.lower(c) == v.lower(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(F.lower(c), F.lit(v.lower())) / F.greatest(F.length(c), F.lit(len(v))))), F.lit(0.0)) for c, v in wanted.items()), F.lit(0.0))

@@ -307,8 +307,8 @@ def date_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT qname, CASE WHEN regexp_matches(lower(qname), 'person|driver|child|victim|subject') THEN 'person' WHEN regexp_matches(lower(qname), 'organization|agency|company') THEN 'organization'
-    WHEN regexp_matches(lower(qname), 'address|location') THEN 'address' WHEN regexp_matches(lower(qname), 'vehicle|conveyance') THEN 'vehicle' ELSE 'other' END AS category
+    """SELECT qname, CASE WHEN regexp_matches(lower(qname), 'person|driver|passenger|child|parent|guardian|witness|victim|subject|arrest|defendant|plaintiff|juror') THEN 'person' WHEN regexp_matches(lower(qname), 'organization|org|company|agency|department|unit|employer|enforcement') THEN 'organization'
+    WHEN regexp_matches(lower(qname), 'address|location|place') THEN 'address' WHEN regexp_matches(lower(qname), 'vehicle|conveyance|car|aircraft|vessel|boat') THEN 'vehicle' ELSE 'other' END AS category
     FROM (SELECT DISTINCT p_type || 'Person' AS qname FROM part UNION SELECT DISTINCT o_orderpriority || 'Agency' FROM orders UNION SELECT DISTINCT event_type || ':Place' FROM events)"""
 )
 def category_by_pattern(spark: SparkSession, d: str) -> DataFrame:
@@ -395,18 +395,66 @@ def events_by_hour(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").groupBy("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query()
-def xml_shred_nations(spark: SparkSession, d: str) -> DataFrame:
-    """Nations written as XML documents, shredded and built: nodes with their properties."""
+def _nation_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of nations written as XML documents."""
     from docgraph.session import ship_package
     from docgraph.sources.shred import shred
 
     ship_package(spark)
     n = _t(spark, d, "nation")
     text = F.concat(F.lit('<t:Nation xmlns:t="http://example.org/t/" xmlns:s="http://example.org/structures/5.0/" s:id="N'), F.col("n_nationkey").cast("string"), F.lit('"><t:Name>'), "n_name", F.lit("</t:Name><t:Region><t:Key>"), F.col("n_regionkey").cast("string"), F.lit("</t:Key></t:Region></t:Nation>"))
-    docs = n.select(F.col("n_nationkey").cast("string").alias("doc_id"), F.concat("n_name", F.lit(".xml")).alias("source_file"), F.lit("u").alias("upload_id"), text.alias("content"))
-    g = build.build_graph(shred(docs))
-    return g.nodes.select("doc_id", "id", "label", F.to_json("props").alias("props"))
+    return shred(n.select(F.col("n_nationkey").cast("string").alias("doc_id"), F.concat("n_name", F.lit(".xml")).alias("source_file"), F.lit("u").alias("upload_id"), text.alias("content")))
+
+
+@query(
+    """SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, 't_Nation' AS label, 't_Name' AS key, n_name AS value FROM nation UNION ALL
+    SELECT CAST(n_nationkey AS VARCHAR), 't_Region', 't_Key', CAST(n_regionkey AS VARCHAR) FROM nation"""
+)
+def xml_shred_nations(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as XML documents, shredded and built: nodes with their properties."""
+    g = build.build_graph(_nation_documents(spark, d))
+    return g.nodes.select("doc_id", "label", F.explode("props").alias("key", "value"))
+
+
+@query(
+    """SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, '{"t:Nation":{"@id":"N' || n_nationkey || '","t:Name":"' || n_name || '","t:Region":{"t:Key":"' || n_regionkey || '"}}}' AS json FROM nation"""
+)
+def xml_to_json_nations(spark: SparkSession, d: str) -> DataFrame:
+    from docgraph.operators.records import xml_to_json
+
+    return xml_to_json(_nation_documents(spark, d)).select("doc_id", "json")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS doc_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
+def json_shred_events(spark: SparkSession, d: str) -> DataFrame:
+    """Event properties as JSON documents, shredded and built."""
+    from docgraph.session import ship_package
+    from docgraph.sources.shred import shred
+
+    ship_package(spark)
+    docs = _t(spark, d, "events").select(F.col("event_id").cast("string").alias("doc_id"), F.lit("event.json").alias("source_file"), F.lit("u").alias("upload_id"), F.col("props").alias("content"))
+    return build.build_graph(shred(docs)).props.select("doc_id", "key", "value")
+
+
+@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) >= 0 AS fits, count(*) AS n FROM events GROUP BY 1")
+def json_valid_events(spark: SparkSession, d: str) -> DataFrame:
+    from docgraph.operators.records import validate_json
+    from docgraph.session import ship_package
+
+    ship_package(spark)
+    docs = _t(spark, d, "events").select(F.col("event_id").cast("string").alias("source_file"), F.col("props").alias("content"))
+    issues = validate_json(docs, {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}).select(F.col("file").alias("source_file")).distinct()
+    return docs.join(issues.withColumn("bad", F.lit(True)), "source_file", "left").groupBy(F.col("bad").isNull().alias("fits")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH k AS (SELECT 'p' || p_partkey AS id, replace(lower(trim(p_name)), ' ', '_') AS name, p_brand FROM part WHERE trim(p_name) <> '' AND trim(p_brand) <> ''),
+    g AS (SELECT name, p_brand, min(id) AS first FROM k GROUP BY 1, 2 HAVING count(*) > 1) SELECT k.id AS node_id, 'SE_' || substr(sha256(first), 1, 12) AS entity_id FROM k JOIN g USING (name, p_brand)"""
+)
+def er_scored_equal_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Scored matching where only equal feature sets reach the least score: brands stand for addresses."""
+    e = part_entities(spark, d).withColumn("address", F.col("source_file"))
+    return resolve.scored_clusters(e).select("node_id", "entity_id")
 
 
 def queries() -> dict[str, Query]:

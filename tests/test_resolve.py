@@ -50,6 +50,11 @@ def test_features_and_lifting(spark) -> None:  # noqa: ANN001
     members = spark.createDataFrame([("p", "R1"), ("a", "R2"), ("q", "R1")], "node_id string, entity_id string")
     lifted = {(r.src, r.dst, r.rel_type, len(r.original_ids)) for r in resolve.lift_edges(edges, members).collect()}
     assert lifted == {("R1", "R2", "KNOWS", 1), ("R1", "R1", "KNOWS", 1)}
+    record = resolve.matcher_records(nodes.withColumn("list_props", F.create_map(F.lit("PhoneNo"), F.array(F.lit("1"), F.lit("2")))), {"nc_PersonGivenName": "NAME_FIRST", "nc_PhoneNo": "PHONE", "PersonSurName": "NAME_LAST"}, ["PHONE"])
+    import json
+
+    first = json.loads(record.filter("node_id = 'n'").first().record)
+    assert (first["NAME_FIRST"], first["PHONE"], first["RECORD_TYPE"], first["RECORD_ID"]) == ("Ada", "1;2", "PERSON", "n") and "NAME_LAST" not in first
     top = resolve.search(people(spark, *ROWS), {"full_name": "cy reed"}, 2).collect()
     assert [r.node_id for r in top] == ["4", "5"]
 
@@ -61,7 +66,7 @@ def test_scalar_rules(spark) -> None:  # noqa: ANN001
         scalars.match_key_words(F.lit("+NAME+DOB")).alias("g"), scalars.entity_key(F.lit(" Jan  Ohl\t"), F.lit(None).cast("string"), F.lit("x")).alias("h"), scalars.category(F.lit("j:CrashDriver")).alias("i"),
         F.size(scalars.values_of(F.lit('["a","b"]'))).alias("k"), scalars.short_label(F.lit("x" * 40)).alias("l"), scalars.key_ends(F.lit("nc_Person-Given_Name"), "PersonGivenName").alias("m"),
     ).first()
-    assert tuple(row)[:11] == ("2025-01-15", "1890-05-04", "soon", 0.95, 0.95, 0.0, "Name + Date of Birth", "jan__ohl", "person", 2, "x" * 22 + "...") and row["m"]
+    assert tuple(row)[:11] == ("2025-01-15", "1890-05-04", "soon", 0.95, 0.95, 0.0, "Name + Date Of Birth", "jan__ohl", "person", 2, "x" * 22 + "...") and row["m"]
     lines = spark.createDataFrame([("[error] a.xsd:3:7: bad thing",), ("WARN b.xsd:1:2 -- Rule 9-1: odd",), ("free text",)], "line string")
     got = [tuple(r) for r in lines.select(*[c.alias(k) for k, c in scalars.issue_fields(F.col("line")).items()]).collect()]
     assert got == [("a.xsd", 3, 7, "error", None, "bad thing"), ("b.xsd", 1, 2, "warn", "9-1", "odd"), (None, None, None, "error", None, "free text")]
