@@ -125,7 +125,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word's UTF-8 bytes, remembered while a task runs; memory is bounded by ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 250_000) -> None:
         import xxhash
 
         self._hash, self._limit = xxhash.xxh3_64_intdigest, limit

@@ -29,6 +29,7 @@ ADD = 0.1
 #: Weight of a context seen c times against the word's own frequency: c / (c + TRUST).
 TRUST = 200.0
 BUCKETS_PER_TASK = 4
+SLICE = 2 << 20  # bytes of text at once, beside the filter
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -190,7 +191,7 @@ def train(docs: DataFrame) -> DataFrame:
                 out["counts"].append(counts[a:b].astype(np.uint32).tobytes())
         return out
 
-    blobs = map_slices(docs.select(F.col("text").cast("string").alias("text")), emit, "bucket long, kind int, keys binary, words binary, counts binary")
+    blobs = map_slices(docs.select(F.col("text").cast("string").alias("text")), emit, "bucket long, kind int, keys binary, words binary, counts binary", limit=2 * SLICE)
 
     def piece(rows: list[dict]) -> dict:
         pairs = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint32)) for r in rows if r["kind"]]
@@ -304,7 +305,7 @@ def score_documents(docs: DataFrame, most_bytes: int = 512 << 20, most_words: in
 
     schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, rest array<long>, tf array<long>"
     keyed = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    main = materialize(map_slices(keyed, first_pass, schema, limit=CHUNK_BYTES if fits else 4 * CHUNK_BYTES), "lm-rows")
+    main = materialize(map_slices(keyed, first_pass, schema, limit=SLICE if fits else 2 * CHUNK_BYTES), "lm-rows")
     # Words beyond the broadcast ones. Equal rows share a key here, so their sums are divided by their number.
     pairs = main.filter(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "tf")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.tf").alias("tf"))
     c = F.coalesce(F.col("c"), F.lit(0))
