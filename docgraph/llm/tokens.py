@@ -13,8 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Places where splitting at single spaces would cut a run of white space or an edge.
-_RUNS = re.compile(r"[^\S ] | [^\S ]|  |\A | \Z")
+#: White space but the space and the line feed.
+_OTHER = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -34,16 +34,42 @@ class SegmentEncoder:
         self._limit = limit
         size = self._tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self._opens = np.zeros(size, bool)  # tokens that begin with a space
+        for token, i in self._tok.get_vocab(with_added_tokens=True).items():
+            self._opens[i] = token.startswith("\u0120")
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], segments: set[str], lead: str) -> None:
-        new = [s for s in segments if s not in known]
-        for begin in range(0, len(new), 4096):
-            part = new[begin : begin + 4096]
-            for s, ids in zip(part, self.whole([lead + s for s in part])):
-                known[s] = ids.tobytes()
+    def _learn_first(self, segments: set[str]) -> None:
+        new = [s for s in segments if s not in self._first]
+        for s, ids in zip(new, self.whole(new)):
+            self._first[s] = ids.tobytes()
+
+    def _learn_later(self, segments: set[str]) -> None:
+        """Many segments in one text, cut again at the tokens that begin with a space: one stands at each segment's start."""
+        new = list(segments - self._later.keys())
+        odd = [s for s in new if " " in s]
+        plain = [s for s in new if " " not in s] if odd else new
+        for begin in range(0, len(plain), 2000):
+            part = plain[begin : begin + 2000]
+            (ids,) = self.whole(["a " + " ".join(part)])
+            starts = np.flatnonzero(self._opens[ids])
+            if len(starts) != len(part):
+                odd += part
+                continue
+            data, width = ids.tobytes(), ids.itemsize
+            cuts = (starts * width).tolist()
+            for s, a, b in zip(part, cuts, [*cuts[1:], len(data)]):
+                self._later[s] = data[a:b]
+        for s, ids in zip(odd, self.whole([" " + s for s in odd])):
+            self._later[s] = ids.tobytes()
+
+    @staticmethod
+    def _segments(text: str) -> list[str]:
+        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text):
+            return _CUT.split(text)
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self._first) + len(self._later) > self._limit:
@@ -55,12 +81,15 @@ class SegmentEncoder:
             if any(s in text for s in self._special):
                 split.append(None)
                 continue
-            parts = _CUT.split(text) if _RUNS.search(text) else text.split(" ")
+            parts = self._segments(text)
             split.append(parts)
             first.add(parts[0])
-            later.update(parts[1:])
-        self._learn(self._first, first, "")
-        self._learn(self._later, later, " ")
+            parts[0], head = "", parts[0]
+            later.update(parts)
+            parts[0] = head
+        later.discard("")
+        self._learn_first(first)
+        self._learn_later(later)
         out = []
         get = self._later.__getitem__
         for text, parts in zip(texts, split):
