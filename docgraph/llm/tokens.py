@@ -19,9 +19,13 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class SegmentEncoder:
-    """``encode(texts)`` gives an id array for each text. Remembers at most ``limit`` segments."""
+    """``encode(texts)`` gives an id array for each text.
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    Remembers segments in two generations of about ``limit`` each: when the younger is full the older goes, and what is
+    met again moves up, so that frequent segments stay.
+    """
+
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task per core
@@ -31,6 +35,7 @@ class SegmentEncoder:
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._first: dict[str, bytes] = {}
         self._later: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._limit = limit
         size = self._tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
@@ -48,7 +53,11 @@ class SegmentEncoder:
 
     def _learn_later(self, segments: set[str]) -> None:
         """Many segments in one text, cut again at the tokens that begin with a space: one stands at each segment's start."""
-        new = list(segments - self._later.keys())
+        unknown = segments - self._later.keys()
+        again = unknown & self._old.keys()
+        for s in again:
+            self._later[s] = self._old[s]
+        new = list(unknown - again)
         odd = [s for s in new if " " in s]
         plain = [s for s in new if " " not in s] if odd else new
         for begin in range(0, len(plain), 2000):
@@ -74,7 +83,7 @@ class SegmentEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self._first) + len(self._later) > self._limit:
             self._first.clear()
-            self._later.clear()
+            self._old, self._later = self._later, {}
         split: list[list[str] | None] = []
         first, later = set(), set()
         for text in texts:

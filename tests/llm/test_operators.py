@@ -57,6 +57,17 @@ def test_segments_encode_like_whole_texts(docs) -> None:  # noqa: ANN001
         assert ids.tolist() == ids_of(text)[:-1], text[:80]
 
 
+def test_segment_memory_is_bounded_and_forgetting_is_harmless() -> None:
+    from docgraph.llm.tokens import SegmentEncoder
+
+    rng = np.random.default_rng(8)
+    small, words = SegmentEncoder(default_tokenizer(), limit=60), [f"w{i}é" for i in range(400)]
+    for _ in range(12):
+        texts = [" ".join(rng.choice(words, 30)) for _ in range(3)]
+        assert [x.tolist() for x in small.encode(texts)] == [ids_of(t)[:-1] for t in texts]
+        assert len(small._later) + len(small._old) < 400
+
+
 def check_packed(rows: list, texts: list[tuple]) -> int:
     wanted = Counter()
     for doc_id, text in texts:
