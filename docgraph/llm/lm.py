@@ -193,31 +193,31 @@ def train(docs: DataFrame) -> DataFrame:
 
     blobs = map_slices(docs.select(F.col("text").cast("string").alias("text")), emit, "bucket long, kind int, keys binary, words binary, counts binary", limit=2 * SLICE)
 
-    def piece(rows: list[dict]) -> dict:
-        pairs = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.uint32)) for r in rows if r["kind"]]
-        words = [(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["counts"], np.uint32)) for r in rows if not r["kind"]]
-        join = lambda x: counted(np.concatenate([k for k, _ in x]), np.concatenate([c for _, c in x]).astype(np.int64)) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        (pk, pc), (wh, wc) = join(pairs), join(words)
+    def piece(rows: list[tuple]) -> pa.RecordBatch:
+        """``rows``: (bucket, kind, keys, words, counts), the last three as views of the batches' own memory."""
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
+        for kind, at in ((1, 2), (0, 3)):  # pairs by key, words by hash
+            mine = [r for r in rows if r[1] == kind]
+            keys = [r[at] for r in mine] or [np.zeros(0, np.uint64)]
+            sums.append(counted(np.concatenate(keys), np.concatenate([r[4] for r in mine] or [np.zeros(0, np.uint32)]).astype(np.int64)))
+        (pk, pc), (wh, wc) = sums
         data = build_piece(np.concatenate([pk, word_key(wh)]), np.concatenate([pc, wc]))
         real = wh != BEGIN_HASH
-        return {"data": data.tobytes(), "words": wh[real].astype(np.int64), "counts": wc[real], "tokens": int(wc[real].sum())}
+        arrays = [pa.array([rows[0][0]], pa.int64()), pa.array([data.tobytes()], pa.binary()), pa.array([wh[real].astype(np.int64)], pa.list_(pa.int64())), pa.array([wc[real]], pa.list_(pa.int64())), pa.array([int(wc[real].sum())], pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=["bucket", "data", "words", "counts", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def closed() -> pa.RecordBatch:
-            p = piece(held)
-            arrays = [pa.array([held[0]["bucket"]], pa.int64()), pa.array([p["data"]], pa.binary()), pa.array([p["words"]], pa.list_(pa.int64())), pa.array([p["counts"]], pa.list_(pa.int64())), pa.array([p["tokens"]], pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, names=["bucket", "data", "words", "counts", "tokens"])
-
+        held: list[tuple] = []
         for b in batches:
-            for r in b.to_pylist():
-                if held and held[0]["bucket"] != r["bucket"]:
-                    yield closed()
+            buckets, kinds = b.column("bucket").to_numpy(), b.column("kind").to_numpy()
+            for k in range(b.num_rows):
+                if held and held[0][0] != buckets[k]:
+                    yield piece(held)
                     held = []
-                held.append(r)
+                view = [np.frombuffer(b.column(c)[k].as_buffer(), kind) for c, kind in (("keys", np.uint64), ("words", np.uint64), ("counts", np.uint32))]
+                held.append((int(buckets[k]), int(kinds[k]), *view))
         if held:
-            yield closed()
+            yield piece(held)
 
     dealt = blobs.repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
     out = dealt.mapInArrow(run, "bucket long, data binary, words array<long>, counts array<long>, tokens long")
