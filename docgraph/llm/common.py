@@ -140,15 +140,20 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: One per Python worker.
-WORD_HASHES = None
+_HELD: dict[object, object] = {}
+
+
+def worker_cache(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker remembers between tasks, one thing at a time: workers outlive stages, and each operator's
+    memory would add to that of the ones before."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def word_hashes() -> WordHashes:
-    global WORD_HASHES
-    if WORD_HASHES is None:
-        WORD_HASHES = WordHashes()
-    return WORD_HASHES
+    return worker_cache("word hashes", WordHashes)
 
 
 def utf8(text: str | None) -> bytes:

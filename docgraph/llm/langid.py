@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import bounds, doc_bucket, map_slices, split_words, sums
+from docgraph.llm.common import bounds, doc_bucket, map_slices, split_words, sums, worker_cache
 
 BEGIN, END, PAD = 256, 257, 258
 UNKNOWN = "und"
@@ -220,15 +220,9 @@ class WordSums(dict):
         return total[:, :-1] / np.maximum(total[:, -1:], 1), total[:, -1]
 
 
-_SUMS: dict[int, WordSums] = {}
-
-
 def _sums(model: Model, key: int) -> WordSums:
     """One table a worker for each model."""
-    if key not in _SUMS:
-        _SUMS.clear()
-        _SUMS[key] = WordSums(model)
-    return _SUMS[key]
+    return worker_cache(("word sums", key), lambda: WordSums(model))
 
 
 def has_letter(text: str | None) -> bool:

@@ -9,10 +9,11 @@ tokenizer's special strings is encoded whole.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 
+from docgraph.llm.common import worker_cache
+
 #: White space but the space and the line feed.
 _OTHER = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -111,10 +112,9 @@ class SegmentEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> SegmentEncoder:
     """One encoder a Python worker; what it has learnt serves the worker's later tasks too."""
-    return SegmentEncoder(path)
+    return worker_cache(("encoder", path), lambda: SegmentEncoder(path))
 
 
 def default_tokenizer() -> str:
