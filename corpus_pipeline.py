@@ -30,7 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group stays. A row is known by a hash of its id and text, so null and repeated ids do no harm."""
     ship_package(spark)
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    groups = simhash.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), WORDS, LANE_BITS, LANES, VERIFY_LANES, VERIFY_BITS)
+    groups = simhash.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), WORDS, LANE_BITS, LANES, VERIFY_LANES, VERIFY_BITS, distinct=True)
     first = materialize(groups.select(F.col("component_id").alias("__row")).distinct(), "kept")
     return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 

@@ -55,9 +55,16 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * count > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprint(text: str | None, words: int, lanes: int = 1, lower: bool = True) -> list[int]:
-    """One lane for each rescrambling of the shingle hashes; the first takes them as they are. Signed, as Spark holds them."""
+def fingerprint(text: str | None, words: int, lanes: int = 1, lower: bool = True, distinct: bool = False) -> list[int]:
+    """One lane for each rescrambling of the shingle hashes; the first takes them as they are. Signed, as Spark holds them.
+
+    ``distinct``: a repeated shingle counts once.
+    """
     h = shingle_hashes(text, words, lower)
+    return lanes_of(np.unique(h) if distinct else h, lanes)
+
+
+def lanes_of(h: np.ndarray, lanes: int) -> list[int]:
     out = []
     for _ in range(lanes):
         f = majority_bits(h)
@@ -66,11 +73,11 @@ def fingerprint(text: str | None, words: int, lanes: int = 1, lower: bool = True
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, lower: bool = True) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, lower: bool = True, distinct: bool = False) -> DataFrame:
     """doc_id, f0 .. f<lanes-1> of each row; texts without words, or null, have zeros."""
 
     def hashed(batch: pa.RecordBatch) -> dict:
-        got = [fingerprint(t, words, lanes, lower) for t in batch.column("text").to_pylist()]
+        got = [fingerprint(t, words, lanes, lower, distinct) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id")} | {f"f{k}": [x[k] for x in got] for k in range(lanes)}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -269,7 +276,7 @@ def similar_links(nodes: DataFrame, n_lanes: int, max_diff: int, verify: int = 0
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 4, max_diff: int = 4, lanes: int = 1, verify: int = 0, max_total: int = 0, lower: bool = True, group_rows: int = 2000
+    docs: DataFrame, words: int = 4, max_diff: int = 4, lanes: int = 1, verify: int = 0, max_total: int = 0, lower: bool = True, group_rows: int = 2000, distinct: bool = False
 ) -> DataFrame:
     """doc_id, f0.., component_id (smallest doc_id reachable over links, itself included) for each row of ``docs``.
 
@@ -278,7 +285,7 @@ def near_duplicates(
     An empty table gives an empty result. Other columns are not read.
     """
     fps = [f"f{k}" for k in range(lanes)]
-    prints = materialize(fingerprints(docs, words, lanes, lower), "fingerprints")
+    prints = materialize(fingerprints(docs, words, lanes, lower, distinct), "fingerprints")
     nodes = materialize(prints.groupBy(*fps).agg(F.min("doc_id").alias("id")), "fingerprint-nodes")
     links = similar_links(nodes.filter("id IS NOT NULL"), lanes, max_diff, verify, max_total, group_rows)
     parts = connected_components(links)
