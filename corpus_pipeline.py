@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgraph.llm import decontaminate, langid, packing, secrets, simhash
+from docgraph.llm import decontaminate, langid, near_copies, packing, secrets
 from docgraph.llm.common import materialize, table
 from docgraph.session import ship_package
 
 #: Least probability of the predicted language; evenly spread probabilities over four languages are 0.25.
 MIN_LANG_SCORE = 0.35
-#: Near-duplicates: five-word shingles in eight 64-bit lanes. A lane within seven bits brings two texts together; the first
-#: two lanes decide: texts of Jaccard similarity 0.8 differ there in 19.5 of 128 bits on average.
+#: Near-duplicates: sets of five-word shingles of this Jaccard similarity or more. Of the candidates, some have one of eight 64-bit
+#: lanes within seven bits and the first two within 24 of 128; the others share a MinHash band. The sets themselves decide.
+SIMILARITY = 0.8
 WORDS, LANES, LANE_BITS, VERIFY_LANES, VERIFY_BITS = 5, 8, 7, 2, 24
 
 
@@ -30,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group stays. A row is known by a hash of its id and text, so null and repeated ids do no harm."""
     ship_package(spark)
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    groups = simhash.near_duplicates(keyed.select(F.col("__row").alias("doc_id"), "text"), WORDS, LANE_BITS, LANES, VERIFY_LANES, VERIFY_BITS, distinct=True)
+    groups = near_copies.near_copies(keyed.select(F.col("__row").alias("doc_id"), "text"), WORDS, SIMILARITY, LANE_BITS, LANES, VERIFY_LANES, VERIFY_BITS)
     first = materialize(groups.select(F.col("component_id").alias("__row")).distinct(), "kept")
     return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 

@@ -15,3 +15,19 @@ def test_a_shared_repeated_line_makes_no_copy(spark) -> None:  # noqa: ANN001
     line = " ".join(f"line{k}" for k in range(12))
     texts = {d: " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(150)), *[line] * 20]) for d in range(20)}
     assert kept(spark, texts) == set(texts)
+
+
+def test_the_exact_similarity_decides(spark) -> None:  # noqa: ANN001
+    """Pairs of 100 shingles each of which k are shared: similarity k / (200 - k), 0.8 at 89."""
+    rng = random.Random(7)
+    texts, alike = {}, {}
+    for pair in range(300):
+        shared = (84, 86, 88, 89, 90, 92)[pair % 6]
+        words = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+        texts[2 * pair] = " ".join(words)
+        texts[2 * pair + 1] = " ".join(words[: shared + 4] + [f"v{rng.randrange(10**9)}" for _ in range(100 - shared)])
+        alike[pair] = shared / (200 - shared) >= corpus_pipeline.SIMILARITY
+    got = kept(spark, texts)
+    one = {p for p in alike if len({2 * p, 2 * p + 1} & got) == 1}
+    assert one <= {p for p, same in alike.items() if same}
+    assert len(one) >= 0.99 * sum(alike.values())
