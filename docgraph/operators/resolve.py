@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +134,36 @@ class Scoring:
     near_name: int = 2
 
 
-BLOCKS = {"ssn": ["ssn"], "license": ["driver_license"], "name_birth": ["name", "birth_date"], "sound_birth": ["sound", "birth_date"], "email": ["email"]}
+def blocks(scoring: Scoring) -> list[tuple[str, ...]]:
+    """The smallest sets of features whose agreement can reach the least score: each link agrees on all of at least one."""
+    above = {c: max(0.0, scoring.differ.get(c, 0.0)) for c in scoring.agree}
+    best = lambda chosen: sum(max(w, above[c]) if c in chosen else above[c] for c, w in scoring.agree.items())
+    if best(()) >= scoring.least:
+        raise ValueError("pairs that agree on nothing reach the least score")
+    out: list[tuple[str, ...]] = []
+    for n in range(1, len(scoring.agree) + 1):
+        for chosen in combinations(scoring.agree, n):
+            if best(chosen) >= scoring.least and not any(set(b) <= set(chosen) for b in out):
+                out.append(chosen)
+    return out
+
+
+def name_pieces(name: Column, most: int) -> tuple[Column, Column]:
+    """(own, sought): arrays of keys such that, of any two names within ``most`` edits, some own key of the shorter is sought
+    by the other. Of ``most`` + 1 pieces of the shorter one is untouched, and moved by ``most`` places at most (Li et al., 2011)."""
+    n, parts = F.length(name), most + 1
+    begin = lambda length, k: F.floor(length * k / parts).cast("int")
+    key = lambda length, k, at: F.xxhash64(length, F.lit(k), F.substring(name, at + 1, begin(length, k + 1) - begin(length, k)))
+    own = [key(n, k, begin(n, k)) for k in range(parts)]
+    sought = []
+    for shorter in range(most + 1):
+        length = n - shorter
+        for k in range(parts):
+            for move in range(-most, most + 1):
+                at = begin(length, k) + move
+                fits = (length >= 0) & (at >= 0) & (at + begin(length, k + 1) - begin(length, k) <= n)
+                sought.append(F.when(fits, key(length, k, at)))
+    return F.array(*own), F.array_distinct(F.array_compact(F.array(*sought)))
 
 
 def feature_sets(entities: DataFrame) -> DataFrame:
@@ -142,17 +173,24 @@ def feature_sets(entities: DataFrame) -> DataFrame:
 
 
 def scored_links(entities: DataFrame, scoring: Scoring | None = None) -> DataFrame:
-    """(a, b, score, match_key) of pairs that share a block and reach the least score.
+    """(a, b, score, match_key) of all pairs of different feature sets that reach the least score.
 
     Entities that are equal in all features are folded into one first, so a name that a third of all rows carry is one row
-    in a block. Only different feature sets are compared, within blocks of two strong features or one identifier.
+    in a block. Pairs come from blocks of equal features (``blocks``); a name within ``near_name`` edits is found by its pieces.
     """
     s = scoring or Scoring()
     base = feature_sets(entities)
-    sets = base.groupBy(*[c for c in base.columns if c != "node_id"]).agg(F.min("node_id").alias("node_id")).withColumn("sound", F.soundex("name"))
-    keys = [F.struct(F.lit(b).alias("block"), F.concat_ws("|", *cols).alias("value"), F.forall(F.array(*cols), lambda x: x.isNotNull()).alias("whole")) for b, cols in BLOCKS.items()]
-    blocked = sets.withColumn("k", F.explode(F.array(*keys))).filter("k.whole").select(F.col("k.block").alias("block"), F.col("k.value").alias("value"), F.struct(*[c for c in sets.columns if c != "sound"]).alias("e"))
-    pairs = blocked.withColumnRenamed("e", "x").join(blocked.withColumnRenamed("e", "y"), ["block", "value"]).filter("x.node_id < y.node_id").select("x", "y").distinct()
+    sets = written(base.groupBy(*[c for c in base.columns if c != "node_id"]).agg(F.min("node_id").alias("node_id")), "er-sets")
+    own, sought = name_pieces(F.col("name"), s.near_name)
+    left, right = [], []
+    for k, chosen in enumerate(blocks(s)):
+        equal = [c for c in chosen if c != "name"]
+        mine = sets.filter(F.forall(F.array(*chosen), lambda x: x.isNotNull()))
+        left.append(mine.withColumn("piece", F.explode(own if "name" in chosen else F.array(F.lit(0)))).select(F.xxhash64(F.lit(k), *equal, "piece").alias("key"), F.col("node_id").alias("i")))
+        right.append(mine.withColumn("piece", F.explode(sought if "name" in chosen else F.array(F.lit(0)))).select(F.xxhash64(F.lit(k), *equal, "piece").alias("key"), F.col("node_id").alias("j")))
+    together = reduce(DataFrame.unionByName, left).join(reduce(DataFrame.unionByName, right), "key").filter("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    whole = F.struct(*sets.columns)
+    pairs = together.join(sets.select(F.col("node_id").alias("i"), whole.alias("x")), "i").join(sets.select(F.col("node_id").alias("j"), whole.alias("y")), "j")
     score, marks = F.lit(0.0), []
     for c, w in s.agree.items():
         a, b = F.col(f"x.{c}"), F.col(f"y.{c}")

@@ -70,3 +70,35 @@ def test_scalar_rules(spark) -> None:  # noqa: ANN001
     lines = spark.createDataFrame([("[error] a.xsd:3:7: bad thing",), ("WARN b.xsd:1:2 -- Rule 9-1: odd",), ("free text",)], "line string")
     got = [tuple(r) for r in lines.select(*[c.alias(k) for k, c in scalars.issue_fields(F.col("line")).items()]).collect()]
     assert got == [("a.xsd", 3, 7, "error", None, "bad thing"), ("b.xsd", 1, 2, "warn", "9-1", "odd"), (None, None, None, "error", None, "free text")]
+
+
+def test_scored_links_equal_all_pairs(spark) -> None:  # noqa: ANN001
+    """Every pair that the score links is found, whichever features bring it there."""
+    import random
+
+    rng = random.Random(3)
+    names = ["ann lee", "an lee", "anna lee", "bann le", "a", "bc", "old_anvil", "cold_anvil", "gold anvils", "quite another", None]
+    pick = lambda *v: rng.choice([None, *v])
+    rows = [{"node_id": f"{k:03}", "full_name": rng.choice(names), "ssn": pick(None, None, "1", "2"), "driver_license": pick(None, None, "L1"), "birth_date": pick("1970", "1980"), "address": pick("r1", "r2"), "phone": pick("p1", "p2", "p3"), "email": pick(None, "e1", "e2")} for k in range(150)]
+    sets = resolve.feature_sets(people(spark, *rows)).groupBy("name", "ssn", "driver_license", "birth_date", "address", "phone", "email").agg(F.min("node_id").alias("node_id")).collect()
+    s = resolve.Scoring()
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    def score(x, y) -> float:  # noqa: ANN001
+        total = 0.0
+        for c, w in s.agree.items():
+            if x[c] is not None and y[c] is not None:
+                same = distance(x[c], y[c]) <= s.near_name if c == "name" else x[c] == y[c]
+                total += w if same else s.differ.get(c, 0.0)
+        return total
+
+    want = {(x.node_id, y.node_id): score(x, y) for x in sets for y in sets if x.node_id < y.node_id and score(x, y) >= s.least}
+    assert {(r.a, r.b): r.score for r in resolve.scored_links(people(spark, *rows)).collect()} == want
+    assert any(x.ssn is None and x.email is None and x.birth_date is None and (x.node_id, y.node_id) in want for x in sets for y in sets)
