@@ -9,17 +9,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, or, where it is unset, below a new local folder."""
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset, a new local one.
+
+    A path without a scheme is on the cluster's default file system, as Spark itself takes it.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-docgraph-")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-docgraph-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/docgraph/{label}-{uuid.uuid4().hex}"
-    return path if re.match(r"[a-z0-9+]+:", path) else f"file://{path}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole).rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_dir(spark)}/docgraph/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage ends there, and lost executors cost no rerun."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Delete what ``written`` wrote, once a later table has replaced it."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+            if "/docgraph/" in folder:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
