@@ -44,6 +44,6 @@ def collect_bits(hashes: DataFrame, n: int, per_hash: int = 32, most: int = 29)
 
     table = np.zeros(1 << (bits - 3), np.uint8)
     step = 1 << (SEGMENT_BITS - 3)
-    for r in rows.repartition("segment").mapInArrow(run, "segment long, data binary").toLocalIterator():
+    for r in rows.repartition("segment").mapInArrow(guarded(run), "segment long, data binary").toLocalIterator():
         table[r["segment"] * step : (r["segment"] + 1) * step] |= np.frombuffer(r["data"], np.uint8)
     return HashBits(table, bits)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docgraph.scratch import drop_written as drop_scratch  # noqa: F401
+from docgraph.scratch import scratch_path  # noqa: F401
+from docgraph.scratch import written as materialize  # noqa: F401
+
 #: Bytes of text that a task handles at once; bounds a Python worker's memory.
 CHUNK_BYTES = 8 << 20
 
@@ -22,39 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset, a new local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-docgraph-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_dir(spark)}/docgraph/{label}-{uuid.uuid4().hex}"
-    return path if re.match(r"[a-z0-9+]+:", path) else f"file://{path}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there, and lost executors cost no rerun."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(*frames: DataFrame) -> None:
-    """Delete what ``materialize`` wrote, once a later table has replaced it."""
-    for frame in frames:
-        jvm = frame.sparkSession.sparkContext._jvm
-        conf = frame.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-            if "/docgraph/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
-
-
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
@@ -93,7 +64,7 @@ def map_slices(
         for piece in chunks(batches, text, limit):
             yield to_batch(f(piece), arrow)
 
-    return df.mapInArrow(run, struct)
+    return df.mapInArrow(guarded(run), struct)
 
 
 def arrow_schema(struct: T.StructType) -> pa.Schema:
@@ -141,17 +112,46 @@ class WordHashes(dict):
 
 
 _HELD: dict[object, object] = {}
+_STAGE: list[object] = [None]
 
 
 def worker_cache(key: object, make: Callable[[], object]) -> object:
-    """What a Python worker remembers between tasks, one thing at a time: workers outlive stages, and each operator's
-    memory would add to that of the ones before."""
+    """What a Python worker remembers between the tasks of a stage. ``guarded`` forgets it when the next stage begins."""
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def begin_stage() -> None:
+    stage = TaskContext.get().stageId()
+    if stage != _STAGE[0]:
+        _STAGE[0] = stage
+        _HELD.clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on for later stages, beside the JVM's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def guarded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for mapInArrow: a worker first drops what an earlier stage left in it, and returns freed memory at the end."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_stage()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
 def word_hashes() -> WordHashes:
     return worker_cache("word hashes", WordHashes)
 

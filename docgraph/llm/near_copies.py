@@ -1,9 +1,10 @@
 """Near copies by the exact Jaccard similarity of shingle sets.
 
-Candidates come from two searches. The Gray index over SimHash lanes (``simhash``) gives spanning links of its groups; those that
-pass the exact check join most copies early, large clusters among them. MinHash bands then give every pair of rows that share a
-band and are not joined yet. Each candidate of either search is compared by its sets of shingles (64-bit hashes, repeats once)
-and links only if it reaches the similarity. With 20 bands of 5 a pair at similarity 0.8 shares a band with probability 0.9996.
+Candidates come from the Gray index over SimHash lanes (``simhash``), as spanning links of its groups, and from MinHash bands,
+which complete it where similar sets have distant fingerprints: first the link from each row of a band to the band's first
+row. What passes the exact check joins most copies, large clusters among them. Then the bands give every pair of rows that share a
+band and are not joined yet. Each candidate is compared by its sets of shingles (64-bit hashes, repeats once) and links only
+if it reaches the similarity. With 20 bands of 5 a pair at similarity 0.8 shares a band with probability 0.9996.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import chunks, drop_scratch, map_slices, materialize, mix64
+from docgraph.llm.common import chunks, drop_scratch, guarded, map_slices, materialize, mix64
 from docgraph.llm.components import connected_components
 from docgraph.llm.simhash import lanes_of, shingle_hashes, similar_links
 
@@ -62,9 +63,37 @@ def prints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
     return map_slices(rows, hashed, "doc_id long, set long, n long, bands array<long>, " + ", ".join(f"f{k} long" for k in range(lanes)))
 
 
+PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair of different ids once, the smaller first."""
+    return pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def band_stars(nodes: DataFrame, least: float) -> DataFrame:
+    """(u, v): each row of ``nodes`` (id, n, bands) with the first one of each of its bands, if their sizes allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, ids, n = (b.column(c).to_numpy() for c in ("key", "id", "n"))
+            if centre is not None:
+                key, ids, n = (np.append(x, y) for x, y in zip(centre, (key, ids, n)))
+            first = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), np.arange(len(key)), 0))
+            near = (first != np.arange(len(key))) & (np.minimum(n, n[first]) >= least * np.maximum(n, n[first]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first][near]), pa.array(ids[near])], schema=PAIRS)
+            centre = tuple(x[first[-1] : first[-1] + 1] for x in (key, ids, n))
+
+    keyed = nodes.select(F.explode("bands").alias("key"), "id", "n")
+    return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(guarded(run), "u long, v long")
+
+
 def band_pairs(nodes: DataFrame, least: float) -> DataFrame:
     """(u, v) of ``nodes`` (id, part, n, bands) in different parts that share a band and whose sizes allow the similarity."""
-    arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    arrow = PAIRS
     names = ["key", "part", "id", "n"]
 
     def solved(cols: dict) -> Iterator[pa.RecordBatch]:
@@ -103,16 +132,17 @@ def band_pairs(nodes: DataFrame, least: float) -> DataFrame:
             yield from solved(rest)
 
     keyed = nodes.select(F.explode("bands").alias("key"), "part", "id", "n")
-    return keyed.repartition("key").sortWithinPartitions("key", "part").mapInArrow(run, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    mixed = keyed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("key")  # most bands are one part by now
+    return ordered(keyed.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "part").mapInArrow(guarded(run), "u long, v long"))
 
 
 def checked(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The (u, v) of a written table whose sets of shingles are similar. Only the texts of its ids are moved."""
+    """The (u, v) of a written table whose sets of shingles are similar, written. Only the texts of its ids are moved."""
     wanted = materialize(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "compared")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
     texts = materialize(texts, "compared-texts")
     u, v = texts.select(F.col("id").alias("u"), F.col("text").alias("a")), texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
-    arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    arrow = PAIRS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
@@ -125,7 +155,11 @@ def checked(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Data
                     keep[k] = jaccard(mine, shingle_set(part.column("b")[k].as_py(), words)) >= least
                 yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], schema=arrow).filter(pa.array(keep))
 
-    return pairs.join(u, "u").join(v, "v").repartition("u").sortWithinPartitions("u").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    # Dealt by both ids: the many pairs of a large cluster's first row are no single task.
+    dealt = pairs.join(u, "u").join(v, "v").repartition("u", "v").sortWithinPartitions("u").select("u", "v", "a", "b")
+    out = materialize(dealt.mapInArrow(guarded(run), "u long, v long"), "similar")
+    drop_scratch(wanted, texts)
+    return out
 
 
 def near_copies(docs: DataFrame, words: int, least: float, lane_bits: int, lanes: int, verify: int, max_total: int) -> DataFrame:
@@ -138,8 +172,9 @@ def near_copies(docs: DataFrame, words: int, least: float, lane_bits: int, lanes
     fps = [f"f{k}" for k in range(lanes)]
     same = rows.groupBy("set", "n").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in (*fps, "bands")])
     nodes = materialize(same, "fingerprint-nodes")
-    early = similar_links(nodes.select("id", *fps), lanes, lane_bits, verify, max_total).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    parts = connected_components(checked(materialize(early, "candidates"), docs, words, least))
+    gray = similar_links(nodes.select("id", *fps), lanes, lane_bits, verify, max_total)
+    early = materialize(ordered(gray.unionByName(band_stars(nodes, least))), "candidates")
+    parts = connected_components(checked(early, docs, words, least))
     known = materialize(nodes.join(parts, "id", "left").select("id", "set", "n", "bands", F.coalesce("component", "id").alias("part")), "parts")
     late = materialize(band_pairs(known, least), "candidates")
     links = checked(late, docs, words, least)
@@ -147,5 +182,5 @@ def near_copies(docs: DataFrame, words: int, least: float, lane_bits: int, lanes
     joined = connected_components(links.join(of("u"), "u").join(of("v"), "v").select(F.col("part_u").alias("u"), F.col("part_v").alias("v")))
     last = known.join(joined.select(F.col("id").alias("part"), "component"), "part", "left").select("set", "n", F.coalesce("component", "part").alias("component_id"))
     out = materialize(rows.select("doc_id", "set", "n").join(last, ["set", "n"]).select("doc_id", "component_id"), "near-copies")
-    drop_scratch(rows, nodes, known, late)
+    drop_scratch(rows, nodes, early, known, late)
     return out

@@ -3,7 +3,8 @@
 A fingerprint has one or more lanes of 64 bits. Fingerprints link when some lane differs in at most ``max_diff``
 bits and, where asked, the first ``verify`` lanes together in at most ``max_total``. Two lanes within d bits agree on at least one of d + 1 blocks,
 so every distinct fingerprint is dealt by each block's value; a group above ``group_rows`` is dealt again by blocks of
-its other bits, which agree on one for the same reason, so no link is lost at any depth.
+its other bits, which agree on one for the same reason, so no link is lost at any depth. Dealing goes on while it helps: a
+group that is hardly smaller than the one it came from holds like fingerprints, which the index itself handles well.
 
 In a group, fingerprints stand in Gray rank order, in which neighbours share bit patterns. The index factors the bits
 that all fingerprints of a node share into that node; pairs of nodes are followed from the top, differences on
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import arrow_schema, map_slices, materialize, mix64, utf8
+from docgraph.llm.common import guarded, map_slices, materialize, mix64, utf8
 from docgraph.llm.components import connected_components
 
 FULL = (1 << 64) - 1
+#: A group: fingerprints of one lane that agree on the fixed bits, whose values are the key.
+GROUP = ["lane", "fixed", "key"]
 
 
 def shingle_hashes(text: str | None, words: int, lower: bool = True) -> np.ndarray:
@@ -189,15 +192,15 @@ class GrayIndex:
 
 
 def _group_links(n_verify: int, max_diff: int, max_total: int):  # noqa: ANN202
-    """Links inside each (pid, key) group of a sorted partition, from every linked fingerprint to the first of its component."""
+    """Links inside each group of a sorted partition, from every linked fingerprint to the first of its component."""
     checks = [f"f{k}" for k in range(n_verify)]
-    names = ["pid", "key", "id", "own", *checks]
+    names = [*GROUP, "id", "own", *checks]
     arrow = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def solved(cols: dict) -> Iterator[pa.RecordBatch]:
-        cut = np.flatnonzero((np.diff(cols["pid"]) != 0) | (np.diff(cols["key"]) != 0)) + 1
+        cut = np.flatnonzero(np.any([np.diff(cols[c]) != 0 for c in GROUP], axis=0)) + 1
         us, vs = [], []
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(cols["pid"])]):
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(cols["id"])]):
             if b - a > 1:
                 verify = np.stack([cols[c][a:b].view(np.uint64) for c in checks]) if checks else np.zeros((0, b - a), np.uint64)
                 root = GrayIndex(cols["own"][a:b].view(np.uint64), verify, max_diff, max_total).components()
@@ -215,7 +218,7 @@ def _group_links(n_verify: int, max_diff: int, max_total: int):  # noqa: ANN202
             cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
             if rest is not None:
                 cols = {n: np.concatenate([rest[n], cols[n]]) for n in names}
-            before = np.flatnonzero((cols["pid"] != cols["pid"][-1]) | (cols["key"] != cols["key"][-1]))
+            before = np.flatnonzero(np.any([cols[c] != cols[c][-1] for c in GROUP], axis=0))
             cut = int(before[-1]) + 1 if len(before) else 0
             if cut:
                 yield from solved({n: c[:cut] for n, c in cols.items()})
@@ -226,49 +229,50 @@ def _group_links(n_verify: int, max_diff: int, max_total: int):  # noqa: ANN202
     return run
 
 
-def similar_links(nodes: DataFrame, n_lanes: int, max_diff: int, verify: int = 0, max_total: int = 0, group_rows: int = 2000, depth: int = 3) -> DataFrame:
-    """(u, v): links that connect exactly what the similarity connects. ``nodes``: id, f0.. with distinct fingerprints."""
-    checks = [f"f{k}" for k in range(verify)]
-    numbers: dict[tuple, int] = {}
+def _deal(max_diff: int, checks: list[str]):  # noqa: ANN202
+    """Rows of large groups, each once for every block of the bits that its group does not share yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fixed, own = b.column("fixed").to_numpy(), b.column("own").to_numpy()
+            for mask in np.unique(fixed).tolist():
+                rows = pa.array(np.flatnonzero(fixed == mask))
+                mine = b.take(rows)
+                codes = own[rows.to_numpy()]
+                for block in block_masks([x for x in range(64) if not mask >> x & 1], max_diff + 1):
+                    new = _signed((mask & FULL) | sum(1 << x for x in block))
+                    columns = {c: mine.column(c) for c in ("lane", "id", "own", "above", *checks)}
+                    columns |= {"fixed": pa.array(np.full(len(codes), new)), "key": pa.array(codes & new)}
+                    yield pa.RecordBatch.from_arrays([columns[n] for n in b.schema.names], schema=b.schema)
 
-    def pid_of(path: tuple) -> int:  # path: lane, then the block chosen at each depth
-        return numbers.setdefault(path, len(numbers) + 1)
+    return guarded(run)
 
-    state: list[tuple[tuple, list[int], list[int]]] = []  # path, fixed bits, free bits
+
+def similar_links(nodes: DataFrame, n_lanes: int, max_diff: int, verify: int = 0, max_total: int = 0, group_rows: int = 2000, shrink: int = 8) -> DataFrame:
+    """(u, v): links that connect exactly what the similarity connects. ``nodes``: id, f0.. with distinct fingerprints.
+
+    A group of over ``group_rows`` is dealt again if it is not above a ``shrink``-th of the group that it came from.
+    """
+    checks = [f"f{k}" for k in range(verify)]
+    places = []
     for lane in range(n_lanes):
-        for b, block in enumerate(block_masks(list(range(64)), max_diff + 1)):
-            state.append(((lane, b), block, [x for x in range(64) if x not in block]))
-
-    def place(path: tuple, fixed: list[int], code: Column) -> Column:
-        return F.struct(F.lit(pid_of(path)).cast("long").alias("pid"), code.bitwiseAND(F.lit(_mask(fixed))).alias("key"), code.alias("own"))
-
-    def exploded(rows: DataFrame, places: Column) -> DataFrame:
-        return rows.select("id", *checks, F.explode(places).alias("at")).select("at.pid", "at.key", "id", "at.own", *checks)
-
-    run = _group_links(verify, max_diff, max_total)
-    now = exploded(nodes, F.array(*[place(path, fixed, F.col(f"f{path[0]}")) for path, fixed, _ in state]))
-    found: list[DataFrame] = []
-    for d in range(depth):
-        deeper = None
-        if d < depth - 1:
-            large = materialize(now.groupBy("pid", "key").count().filter(F.col("count") > group_rows).select("pid", "key"), "large-groups")
-            if not large.isEmpty():
-                deeper = materialize(now.join(large, ["pid", "key"], "left_semi"), "split-groups")
-                now = now.join(large, ["pid", "key"], "left_anti")
-        work = now.repartition("pid", "key").withColumn("rank", gray_rank(F.col("own"))).sortWithinPartitions("pid", "key", "rank", "id")
-        found.append(work.select("pid", "key", "id", "own", *checks).mapInArrow(run, "u long, v long"))
-        if deeper is None:
+        code = F.col(f"f{lane}")
+        for block in block_masks(list(range(64)), max_diff + 1):
+            mask = F.lit(_mask(block)).cast("long")
+            places.append(F.struct(F.lit(lane).cast("long").alias("lane"), mask.alias("fixed"), code.bitwiseAND(mask).alias("key"), code.alias("own")))
+    now = nodes.select("id", *checks, F.explode(F.array(*places)).alias("at")).select("at.lane", "at.fixed", "at.key", "id", "at.own", F.lit(1 << 62).alias("above"), *checks)
+    run, found = guarded(_group_links(verify, max_diff, max_total)), []
+    while True:
+        sizes = now.groupBy(*GROUP).agg(F.count("*").alias("n"), F.max("above").alias("above"))
+        large = materialize(sizes.filter((F.col("n") > group_rows) & (F.col("n") * shrink <= F.col("above"))).select(*GROUP, "n"), "large-groups")
+        more = not large.isEmpty()
+        rest = now.join(large, GROUP, "left_anti") if more else now
+        work = rest.repartition(*GROUP).withColumn("rank", gray_rank(F.col("own"))).sortWithinPartitions(*GROUP, "rank", "id")
+        found.append(work.select(*GROUP, "id", "own", *checks).mapInArrow(run, "u long, v long"))
+        if not more:
             break
-        parents = {r[0] for r in deeper.select("pid").distinct().collect()}  # at most as many as block paths
-        following, choice = [], None
-        for path, fixed, free in state:
-            if pid_of(path) in parents:
-                below = [((*path, b), fixed + block, [x for x in free if x not in block]) for b, block in enumerate(block_masks(free, max_diff + 1))]
-                following += below
-                test, places = F.col("pid") == pid_of(path), F.array(*[place(p, bits, F.col("own")) for p, bits, _ in below])
-                choice = F.when(test, places) if choice is None else choice.when(test, places)
-        state = following
-        now = exploded(deeper, choice)
+        again = now.join(large, GROUP).select(*GROUP, "id", "own", F.col("n").alias("above"), *checks)
+        now = materialize(again.mapInArrow(_deal(max_diff, checks), again.schema), "split-groups")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

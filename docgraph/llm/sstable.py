@@ -1,8 +1,8 @@
 """Sorted-string-table shards of token ids: prefix-compressed blocks, sparse index, Bloom filter, footer.
 
-File: data blocks, then the index, the Bloom filter and a footer of fixed size. A key is the document id (8
-bytes, big endian, sign bit flipped, so bytes sort as numbers) and its ordinal among rows with that id (4
-bytes). An entry is varint(shared key bytes), varint(own key bytes), varint(value bytes), own key bytes, value;
+File: data blocks, then the index, the Bloom filter and a footer of fixed size. A key is a byte that is 0 for a
+null id and else 1, the document id (8 bytes, big endian, sign bit flipped, so bytes sort as numbers) and its
+ordinal among rows with that id (4 bytes). An entry is varint(shared key bytes), varint(own key bytes), varint(value bytes), own key bytes, value;
 every RESTART-th entry of a block shares nothing. A block ends with its restart offsets, their number and a
 crc32. The index holds last key, place and size of each block, so a look-up is a Bloom probe, a binary search in
 the index, a binary search over restarts and at most RESTART entries.
@@ -21,23 +21,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import arrow_schema, chunks, scratch_path, tasks_for, text_bytes, to_batch
-from docgraph.llm.tokens import default_tokenizer, encoder
+from docgraph.llm.common import arrow_schema, chunks, drop_scratch, guarded, map_slices, materialize, scratch_path, tasks_for, to_batch
+from docgraph.llm.tokens import SegmentEncoder, default_tokenizer, encoder
 
-MAGIC = b"DGSST001"
-FOOTER = struct.Struct("<QQQQIIQQqqB3x8s")  # index at, size; bloom at, size; hashes, id bytes; docs, ids; first, last id; flags; magic
+MAGIC = b"DGSST002"
+FOOTER = struct.Struct("<QQQQIIQQ8s")  # index at, size; bloom at, size; hashes, id bytes; docs, ids; magic
 RESTART = 16
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
-NULL_ID = -(1 << 63)
+KEY = struct.Struct(">BQI")
+ID_BYTES = 9  # of a key, without the ordinal
+SLICE = 2 << 20  # bytes of text that are encoded at once
 
 
 def key_of(doc_id: int | None, ordinal: int = 0) -> bytes:
-    return struct.pack(">QI", ((NULL_ID if doc_id is None else doc_id) + (1 << 63)) & ((1 << 64) - 1), ordinal)
+    return KEY.pack(0, 0, ordinal) if doc_id is None else KEY.pack(1, doc_id + (1 << 63), ordinal)
 
 
-def id_of(key: bytes) -> int:
-    return struct.unpack(">QI", key)[0] - (1 << 63)
+def id_of(key: bytes) -> int | None:
+    there, doc_id, _ = KEY.unpack(key)
+    return doc_id - (1 << 63) if there else None
 
 
 def varint(n: int) -> bytes:
@@ -76,12 +79,9 @@ class Writer:
         self._index: list[tuple[bytes, int, int]] = []
         self._keys: list[bytes] = []
         self.docs = self.ids = 0
-        self._first: bytes | None = None
 
     def add(self, key: bytes, value: bytes) -> None:
-        if self._first is None:
-            self._first = key
-        elif key <= self._last:
+        if key <= self._last:
             raise ValueError("keys must ascend")
         shared = 0
         if self._n % RESTART == 0:
@@ -93,7 +93,7 @@ class Writer:
         self._last, self._n = key, self._n + 1
         self.docs += 1
         self.ids += len(value) // self._id_bytes
-        self._keys.append(key[:8])
+        self._keys.append(key[:ID_BYTES])
         if len(self._block) >= BLOCK_BYTES:
             self._flush()
 
@@ -121,8 +121,7 @@ class Writer:
             for p in _bloom_places(key, n_bits):
                 bits[p >> 3] |= 1 << (p & 7)
         bloom_at = self._write(bytes(bits))
-        first, last = (id_of(self._first), id_of(self._last)) if self._first else (0, -1)
-        self._write(FOOTER.pack(index_at, len(index), bloom_at, len(bits), BLOOM_HASHES, self._id_bytes, self.docs, self.ids, first, last, 0, MAGIC))
+        self._write(FOOTER.pack(index_at, len(index), bloom_at, len(bits), BLOOM_HASHES, self._id_bytes, self.docs, self.ids, MAGIC))
 
 
 class Reader:
@@ -133,7 +132,7 @@ class Reader:
         f = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
         if f[-1] != MAGIC:
             raise ValueError("not a token shard")
-        self._hashes, self.id_bytes, self.docs, self.ids, self.first, self.last = f[4:10]
+        self._hashes, self.id_bytes, self.docs, self.ids = f[4:8]
         self.dtype = np.dtype(f"<u{self.id_bytes}")
         self._bloom = self._read(f[2], f[3])
         raw, at, self.index = self._read(f[0], f[1]), 0, []
@@ -167,13 +166,13 @@ class Reader:
             yield key, data[at + own : at + own + n]
             at += own + n
 
-    def scan(self) -> Iterator[tuple[int, np.ndarray]]:
+    def scan(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for k in range(len(self.index)):
             for key, value in self._entries(self._block(k)[0], 0):
                 yield id_of(key), np.frombuffer(value, self.dtype)
 
     def may_have(self, doc_id: int | None) -> bool:
-        key = key_of(doc_id)[:8]
+        key = key_of(doc_id)[:ID_BYTES]
         return bool(self._bloom) and all(self._bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(key, len(self._bloom) * 8))
 
     def get(self, doc_id: int | None, ordinal: int = 0) -> np.ndarray | None:
@@ -206,39 +205,55 @@ def opened(uri: str, mode: str):  # noqa: ANN201
 SHARDS = "shard int, path string, docs long, ids long"
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = 64 << 20) -> list[dict]:
+def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
+    """doc_id and ids (binary, little endian, end id included) of each row; a null text is an empty one."""
+
+    def encode(batch: pa.RecordBatch) -> dict:
+        end = np.array([end_id], encoder(tokenizer).dtype).tobytes()
+        ids = encoder(tokenizer).encode([t or "" for t in batch.column("text").to_pylist()])
+        return {"doc_id": batch.column("doc_id"), "ids": pa.array([x.tobytes() + end for x in ids], pa.binary())}
+
+    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), encode, "doc_id long, ids binary", limit=SLICE)
+
+
+def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, shard_bytes: int = 32 << 20) -> list[dict]:
     """Encode ``docs`` and write one file per range of doc_id below ``folder``; gives the manifest, in key order.
 
+    Texts are encoded where they are read, whatever their length, and only ids are moved, in files of about ``shard_bytes``.
     A null text is an empty one; a null doc_id sorts first; rows with equal doc_id keep apart by an ordinal, in
-    order of their text. A file's name holds the attempt that wrote it and only files of finished tasks are in
-    the manifest, so lost or repeated tasks leave no trace in the result. An empty table gives no shard.
+    order of a hash of their ids and counted in each file, so equal rows stay as many as they are. A file's name holds the attempt that wrote it and only files
+    of finished tasks are in the manifest, so lost or repeated tasks leave no trace in the result. An empty table gives no
+    shard. Other columns are not read.
     """
     path = tokenizer or default_tokenizer()
+    width = SegmentEncoder(path).dtype.itemsize
     arrow = arrow_schema(docs.sparkSession.createDataFrame([], SHARDS).schema)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(tasks_for(rows, text_bytes(rows), shard_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = materialize(token_rows(docs, path, end_id), "token-rows")
+    size = rows.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    by = ["doc_id", F.xxhash64("ids")]  # so that many rows with one id, a null one say, are no single file
+    dealt = rows.repartitionByRange(tasks_for(rows, size, shard_bytes), *by).sortWithinPartitions(*by, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         uri = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst"
         writer = stream = None
         last, ordinal = object(), 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, "ids"):
             if writer is None:
                 stream, _ = opened(uri, "w")
-                writer = Writer(stream, encoder(path).dtype.itemsize)
-            end = np.array([end_id], encoder(path).dtype).tobytes()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(path).encode(texts)):
+                writer = Writer(stream, width)
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 ordinal = ordinal + 1 if doc_id == last else 0
                 last = doc_id
-                writer.add(key_of(doc_id, ordinal), ids.tobytes() + end)
+                writer.add(key_of(doc_id, ordinal), ids.as_buffer().to_pybytes())
         if writer is not None:
             writer.close()
             stream.close()
             yield to_batch({"shard": [task.partitionId()], "path": [uri], "docs": [writer.docs], "ids": [writer.ids]}, arrow)
 
-    return sorted((r.asDict() for r in dealt.mapInArrow(run, SHARDS).collect()), key=lambda r: r["shard"])
+    manifest = sorted((r.asDict() for r in dealt.mapInArrow(guarded(run), SHARDS).collect()), key=lambda r: r["shard"])
+    drop_scratch(rows)
+    return manifest
 
 
 def read_shards(spark, manifest: list[dict]) -> DataFrame:  # noqa: ANN001
@@ -255,7 +270,7 @@ def read_shards(spark, manifest: list[dict]) -> DataFrame:  # noqa: ANN001
                 cols: dict = {k: [] for k in arrow.names}
                 with stream:
                     for doc_id, ids in Reader(stream, size).scan():
-                        cols["doc_id"].append(None if doc_id == NULL_ID else doc_id)
+                        cols["doc_id"].append(doc_id)
                         cols["start"].append(start)
                         cols["n_tokens"].append(len(ids))
                         cols["ids_crc32"].append(zlib.crc32(ids.astype("<u4").tobytes()))
@@ -265,7 +280,7 @@ def read_shards(spark, manifest: list[dict]) -> DataFrame:  # noqa: ANN001
                             cols = {k: [] for k in arrow.names}
                 yield to_batch(cols, arrow)
 
-    return spark.createDataFrame(rows, "path string, before long").mapInArrow(run, out)
+    return spark.createDataFrame(rows, "path string, before long").mapInArrow(guarded(run), out)
 
 
 def token_shards(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

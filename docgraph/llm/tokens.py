@@ -1,119 +1,154 @@
 """Token ids of whole texts by the tokenizers library, with equal text segments encoded once a worker.
 
-A byte-level BPE never joins across a single space between two characters that are not white space: the
-space opens a new piece there. So a text falls into segments at these spaces, each segment is encoded by the
-library once, and the ids of a text are those of its segments in order. A text that holds one of the
-tokenizer's special strings is encoded whole.
+A byte-level BPE never joins across a single space or line feed between two characters that are not white space: the space
+opens a new piece there, the line feed is a piece of its own. So a text falls into segments at these places, each segment is
+encoded by the library once, and the ids of a text are those of its segments in order. Where a segment is a Latin word,
+perhaps with a mark behind it, its pieces are known and go to the library's model at once. A text that holds one of the
+tokenizer's special strings is encoded whole, and so is every text if the tokenizer is not a plain byte-level BPE.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 
 import numpy as np
 
 from docgraph.llm.common import worker_cache
 
-#: White space but the space and the line feed.
-_OTHER = re.compile(r"[^\S \n]")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+MARKS = ".,;:!?"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others in order
+    from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class SegmentEncoder:
     """``encode(texts)`` gives an id array for each text.
 
-    Remembers segments in two generations of about ``limit`` each: when the younger is full the older goes, and what is
-    met again moves up, so that frequent segments stay.
+    Segments are known by what stands before them: a space, or, for keys that begin with it, a line feed. They are remembered
+    in two generations of about ``limit`` each: when the younger is full the older goes, and what is met again moves up, so
+    that frequent segments stay.
     """
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 300_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task per core
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
+        self._model = self._tok.model
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
+        self._now: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._limit = limit
         size = self._tok.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self._opens = np.zeros(size, bool)  # tokens that begin with a space
-        for token, i in self._tok.get_vocab(with_added_tokens=True).items():
-            self._opens[i] = token.startswith("\u0120")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        config = json.loads(self._tok.to_str())
+        before, model = config.get("pre_tokenizer") or {}, config["model"]
+        self._plain = (
+            before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and config.get("normalizer") is None
+            and model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        )
+        if self._plain:
+            self._alphabet = byte_alphabet()
+            self._space = self._alphabet[ord(" ")]
+            self._marks = {m: self._piece(m) for m in MARKS}
+            self._feed = self._piece("\n")
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of one piece of the pre-tokenizer."""
+        return array(self._code, [t.id for t in self._model.tokenize(text.encode().decode("latin-1").translate(self._alphabet))]).tobytes()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_first(self, segments: set[str]) -> None:
-        new = [s for s in segments if s not in self._first]
-        for s, ids in zip(new, self.whole(new)):
-            self._first[s] = ids.tobytes()
-
-    def _learn_later(self, segments: set[str]) -> None:
-        """Many segments in one text, cut again at the tokens that begin with a space: one stands at each segment's start."""
-        unknown = segments - self._later.keys()
-        again = unknown & self._old.keys()
-        for s in again:
-            self._later[s] = self._old[s]
-        new = list(unknown - again)
-        odd = [s for s in new if " " in s]
-        plain = [s for s in new if " " not in s] if odd else new
-        for begin in range(0, len(plain), 2000):
-            part = plain[begin : begin + 2000]
-            (ids,) = self.whole(["a " + " ".join(part)])
-            starts = np.flatnonzero(self._opens[ids])
-            if len(starts) != len(part):
-                odd += part
+    def _word(self, key: str) -> bytes:
+        if key[0] == "\n":
+            return self._feed + self._piece(key[1:])
+        return array(self._code, [t.id for t in self._model.tokenize(self._space + key)]).tobytes() if key.isascii() else self._piece(" " + key)
+
+    def _learn(self, keys: set[str]) -> None:
+        now, old, odd = self._now, self._old, []
+        for key in keys:
+            known = old.get(key)
+            if known is not None:
+                now[key] = known
                 continue
-            data, width = ids.tobytes(), ids.itemsize
-            cuts = (starts * width).tolist()
-            for s, a, b in zip(part, cuts, [*cuts[1:], len(data)]):
-                self._later[s] = data[a:b]
-        for s, ids in zip(odd, self.whole([" " + s for s in odd])):
-            self._later[s] = ids.tobytes()
+            word = key[1:] if key[0] == "\n" else key
+            if max(word) < "ɐ":  # letters here are letters to every version of the standard
+                if word.isalpha():
+                    now[key] = self._word(key)
+                    continue
+                if word[-1] in self._marks and word[:-1].isalpha():
+                    base = now.get(key[:-1]) or old.get(key[:-1]) or self._word(key[:-1])
+                    now[key[:-1]] = base
+                    now[key] = base + self._marks[word[-1]]
+                    continue
+            odd.append(key)
+        for key, ids in zip(odd, self.whole([k if k[0] == "\n" else " " + k for k in odd])):
+            now[key] = ids.tobytes()
 
     @staticmethod
-    def _segments(text: str) -> list[str]:
-        if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text):
-            return _CUT.split(text)
-        return text.split(" ")
+    def _edged(key: str) -> bool:
+        """Whether a segment is empty or begins or ends with white space, which may belong with what stands beside it."""
+        word = key[1:] if key[:1] == "\n" else key
+        return not word or word[0].isspace() or word[-1].isspace()
+
+    def _between_edges(self, parts: list[str]) -> list[bytes | None]:
+        """What is remembered of a text's segments; its first and last, if they are edged, are encoded by themselves."""
+        values = [None if self._edged(p) else self._now.get(p) for p in parts]
+        if self._edged(parts[0]):
+            values[0] = self._feed + self.whole([parts[0][1:]])[0].tobytes()
+        if len(parts) > 1 and self._edged(parts[-1]):
+            values[-1] = self.whole([parts[-1] if parts[-1][0] == "\n" else " " + parts[-1]])[0].tobytes()
+        return values
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self._first) + len(self._later) > self._limit:
-            self._first.clear()
-            self._old, self._later = self._later, {}
-        split: list[list[str] | None] = []
-        first, later = set(), set()
+        if not self._plain:
+            return self.whole(texts)
+        if len(self._now) > self._limit:
+            self._old, self._now = self._now, {}
+        get = self._now.get
+        found: list[list[bytes | None] | None] = []
+        unknown: list[tuple[list[bytes | None], list[str]]] = []
+        new: set[str] = set()
         for text in texts:
             if any(s in text for s in self._special):
-                split.append(None)
-                continue
-            parts = self._segments(text)
-            split.append(parts)
-            first.add(parts[0])
-            parts[0], head = "", parts[0]
-            later.update(parts)
-            parts[0] = head
-        later.discard("")
-        self._learn_first(first)
-        self._learn_later(later)
-        out = []
-        get = self._later.__getitem__
-        for text, parts in zip(texts, split):
-            if parts is None:
-                out.append(self.whole([text])[0])
+                found.append(None)
                 continue
-            rest = iter(parts)
-            head = self._first[next(rest)]
-            out.append(np.frombuffer(head + b"".join(map(get, rest)), self.dtype))
-        return out
+            parts = ("\n" + text.replace("\n", " \n")).split(" ")
+            values = list(map(get, parts))
+            if None in values:
+                new.update(p for p, v in zip(parts, values) if v is None)
+                unknown.append((values, parts))
+            found.append(values)
+        edged = {k for k in new if self._edged(k)}
+        if edged:
+            new -= edged
+            for values, parts in unknown:
+                if not edged.isdisjoint(parts):
+                    parts[:] = _CUT.split(" ".join(parts).replace(" \n", "\n")[1:])
+                    parts[0] = "\n" + parts[0]
+                    values[:] = self._between_edges(parts)
+                    new.update(p for p, v in zip(parts, values) if v is None)
+        self._learn(new)
+        for values, parts in unknown:
+            values[:] = [get(p) if v is None else v for p, v in zip(parts, values)]
+        width = len(self._feed)  # the line feed that was put before the text
+        return [self.whole([t])[0] if v is None else np.frombuffer(b"".join(v), self.dtype, offset=width) if len(v) > 1 or len(v[0]) > width else np.zeros(0, self.dtype) for t, v in zip(texts, found)]
 
 
 def encoder(path: str) -> SegmentEncoder:
-    """One encoder a Python worker; what it has learnt serves the worker's later tasks too."""
+    """One encoder a Python worker; what it has learnt serves the worker's later tasks of the stage too."""
     return worker_cache(("encoder", path), lambda: SegmentEncoder(path))
 
 

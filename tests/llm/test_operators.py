@@ -15,11 +15,13 @@ import pytest
 from docgraph.llm import decontaminate, langid, lm, main_text, packing, quality, secrets, simhash, sstable, substrings
 from docgraph.llm.boosting import fit_trees
 from docgraph.llm.common import rolling, scratch_path
+from docgraph.llm.tokens import SegmentEncoder as encoder_of
 from docgraph.llm.tokens import default_tokenizer, encoder
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
 ODD = [
+    (-(1 << 63), "least id of all", "x"),
     (1, "one two three\n\tfour  five", "x"), (2, None, None), (3, "", "x"), (4, " \t\n ", "y"), (None, "no id here " * 20, "z"), (5, "same text " * 60, "x"), (5, "same text " * 60, "x"),
     (6, "Ünïcödé wörds, and more <|endoftext|> 😀 " * 30, "x"), (7, "word " * 3000, "x"), (8, "ONE TWO Three four five", "x"), (9, "a b c d e f g h i j k l m n o p q r s t u v w x y z", "x"), (10, "0 a b c d e f g h i j k l m n o 1", "x"),
 ]
@@ -57,15 +59,25 @@ def test_segments_encode_like_whole_texts(docs) -> None:  # noqa: ANN001
         assert ids.tolist() == ids_of(text)[:-1], text[:80]
 
 
-def test_segment_memory_is_bounded_and_forgetting_is_harmless() -> None:
-    from docgraph.llm.tokens import SegmentEncoder
+def test_segments_between_any_white_space() -> None:
+    """Mixtures of words, marks and all kinds of white space give the library's own ids."""
+    import random
+
+    rng, enc = random.Random(1), encoder_of(default_tokenizer())
+    parts = ["a", "b", "The", "wörd", "é", "ß", "ł", "'s", "'", "n't", "1", "½", ".", ",", "!", "...", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x1c", "\u3000", "\xa0", "\x85", "😀", "日本", "_", "ʼ", "Ωm", "İ"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(8000)] + ["".join(rng.choices(["the", " ", "\n", ".", "é"], k=rng.randrange(15))) for _ in range(8000)]
+    for at in range(0, len(texts), 400):
+        for text, mine, own in zip(texts[at : at + 400], enc.encode(texts[at : at + 400]), enc.whole(texts[at : at + 400])):
+            assert mine.tolist() == own.tolist(), repr(text)
 
+
+def test_segment_memory_is_bounded_and_forgetting_is_harmless() -> None:
     rng = np.random.default_rng(8)
-    small, words = SegmentEncoder(default_tokenizer(), limit=60), [f"w{i}é" for i in range(400)]
+    small, words = encoder_of(default_tokenizer(), limit=60), [f"w{i}é" for i in range(400)]
     for _ in range(12):
         texts = [" ".join(rng.choice(words, 30)) for _ in range(3)]
         assert [x.tolist() for x in small.encode(texts)] == [ids_of(t)[:-1] for t in texts]
-        assert len(small._later) + len(small._old) < 400
+        assert len(small._now) + len(small._old) < 400
 
 
 def check_packed(rows: list, texts: list[tuple]) -> int:
@@ -103,6 +115,9 @@ def test_packing_rounds_hand_on_open_bins(spark) -> None:  # noqa: ANN001
     out = packing.pack(spark.createDataFrame(rows, packing.PIECES), pieces_per_task=200).collect()
     assert Counter((r.doc_id, r.length) for r in out) == Counter((r[0], r[3]) for r in rows)
     assert len({r.sequence_id for r in out}) <= 1.025 * sum(r[3] for r in rows) / 1024  # half the sizes are above a half
+    same = spark.createDataFrame([(None, 0, 0, 600, 7)] * 900, packing.PIECES)  # no two fit, and no round helps
+    out = packing.pack(same, pieces_per_task=100).collect()
+    assert len(out) == len({r.sequence_id for r in out}) == 900
 
 
 def test_local_search_beats_best_fit() -> None:
@@ -112,6 +127,36 @@ def test_local_search_beats_best_fit() -> None:
     assert sum(map(bool, bins.items)) == 2 and max(bins.fill) <= 20
 
 
+def test_local_search_ends_where_no_exchange_helps() -> None:
+    """Against all exchanges of one or two pieces for none, one or two, tried one by one; and the number of bins of hard sizes."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(2)
+    for _ in range(15):
+        size = rng.integers(5, 60, 40)
+        bins = packing.Bins(size, 100)
+        bins.best_fit()
+        bins.local_search()
+        live = [b for b in bins.items if b]
+        assert sorted(i for b in live for i in b) == list(range(40)) and all(size[b].sum() <= 100 for b in live)
+        if len(live) == bins.least():
+            continue
+        groups = lambda b: [g for k in (1, 2) for g in combinations(b, k)]
+        for x in live:
+            for y in live:
+                a, b = size[x].sum(), size[y].sum()
+                if x is not y and a <= b < 100:
+                    for g in groups(x):
+                        for h in [(), *groups(y)]:
+                            shift = size[list(g)].sum() - (size[list(h)].sum() if h else 0)
+                            assert not 0 < shift <= 100 - b
+    size = np.random.default_rng(0).integers(257, 600, 20_000)
+    bins = packing.Bins(size, 1024)
+    bins.best_fit()
+    bins.local_search()
+    assert sum(map(bool, bins.items)) <= 8536
+
+
 def test_quality_rules(odd, empty) -> None:  # noqa: ANN001
     got = {(r.doc_id, r.n_words): r for r in quality.quality_rules(odd).collect()}
     for doc_id, text, _ in ODD:
@@ -253,21 +298,62 @@ def test_substring_dedup_equals_brute_force(odd, empty, docs) -> None:  # noqa:
     assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(long, 30).collect()} == {d: x[1] for d, x in want.items()}
 
 
-def test_language_id(odd, empty, docs) -> None:  # noqa: ANN001
+def test_language_id(odd, empty, docs, spark) -> None:  # noqa: ANN001
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(rows) > 20 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.95
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
     out = {r.doc_id: r for r in langid.identify(odd.withColumn("lang", odd["source"])).collect()}
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (2, 3, 4))
     assert langid.identify(empty).count() == 0
+    marks = spark.createDataFrame([(1, "½ ² Ⅷ ① 12"), (2, "é"), (3, "日本語" * 40_000)], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(marks, langid.fit(docs)).collect()}
+    assert got[1] == "und" and got[2] != "und" and got[3] != "und"
+    kept = langid.keep_known(odd, langid.fit(docs), 0.0)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {i for i, t, _ in ODD if langid.has_letter(t)}
+
+
+def test_sample_of_the_fit(spark) -> None:  # noqa: ANN001
+    rows = [("a", f"text {k % 700}") for k in range(3000)] + [("b", "one text")] * 2000 + [("c", f"c {k}") for k in range(20)]
+    got = Counter(r.lang for r in langid.chosen(spark.createDataFrame(rows, "lang string, text string"), 30).collect())
+    assert got == {"a": 30, "b": 1, "c": 20}
+    windows, owner = langid.windows_of(["x" * 1000, "", "abc", None, "y" * 64], 4, 64)
+    assert Counter(owner.tolist()) == {0: 4, 2: 1, 4: 1} and (windows[owner == 0] == ord("x")).sum() > 150 and windows[0][0] == langid.EDGE == windows[3][-1]
 
 
 def test_gradients_of_the_recurrent_network() -> None:
-    words = [(b"abc", 0), (b"xyz", 1), (b"abd", 0), (b"xyy", 1)] * 30
-    model = langid.train(words, ["a", "b"], hidden=6, epochs=40, batch=16)
-    seqs, mask, _ = langid.sequences([b"abc", b"xyz", b"q" * 60])
-    p = model.positions(seqs, mask)
-    assert len(seqs) == 5 and p[0, 1:4, 0].min() > 0.9 and p[1, 1:4, 1].min() > 0.9
+    """Against differences of the loss, in double precision."""
+    rng = np.random.default_rng(3)
+    model = langid.new_model(["a", "b", "c"], 5, rng, np.float64)
+    codes = rng.integers(97, 102, (9, 4))
+    codes[:3, 0], codes[7:, 2], gold = langid.EDGE, langid.EDGE, np.array([0, 1, 2, 1])
+    _, g = langid.loss_and_gradients(model, codes, gold)
+    for name, w in model.weights.items():
+        for _ in range(12):
+            at = tuple(int(rng.integers(0, n)) for n in w.shape) if name[0] != "e" else (int(rng.integers(0, w.shape[0])), int(codes[rng.integers(0, 9), rng.integers(0, 4)]))
+            keep, side = w[at], []
+            for step in (1e-5, -1e-5):
+                w[at] = keep + step
+                side.append(langid.loss_and_gradients(model, codes, gold)[0])
+            w[at] = keep
+            assert abs((side[0] - side[1]) / 2e-5 - g[name][at]) < 1e-6 * (1 + abs(g[name][at]))
+
+
+def test_positions_see_across_spaces_and_spans_agree_with_whole_texts() -> None:
+    rng = np.random.default_rng(5)
+    words = ["aa", "bb", "cc"]
+    texts = [" ".join(rng.choice(words[:2] if k % 2 else words[1:], 12)) for k in range(400)]
+    windows, owner = langid.windows_of(texts, 2, 32)
+    model = langid.train(windows, owner % 2, ["x", "y"], hidden=8, epochs=6, batch=64)
+    p = [langid.positions(model, np.array([[c] for c in [langid.EDGE] * langid.LEAD + list(t.encode()) + [langid.EDGE] * langid.LEAD]))[:, :, 0] for t in ("cc bb cc", "aa bb aa")]
+    assert p[0][3, 0] > 0.9 and p[1][3, 1] > 0.9  # the first byte of bb, told by the words beside it
+    long = [" ".join(rng.choice(words, 900)), " ".join(rng.choice(words, 40)), "", None, "aa"]
+    got = langid.pooled(long, model)
+    for text, mean in zip(long, got):
+        if text:
+            codes = np.array([[c] for c in [langid.EDGE] * langid.LEAD + list(text.encode()) + [langid.EDGE] * langid.LEAD])
+            assert np.abs(langid.positions(model, codes).mean(0)[:, 0] - mean).max() < 0.01
+        else:
+            assert not mean.any()
 
 
 def der(tag: int, body: bytes) -> bytes:
