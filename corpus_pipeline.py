@@ -11,10 +11,10 @@ from docgraph.session import ship_package
 
 #: Least probability of the predicted language; evenly spread probabilities over four languages are 0.25.
 MIN_LANG_SCORE = 0.35
-#: Near-duplicates: sets of five-word shingles of this Jaccard similarity or more. Of the candidates, some have one of eight 64-bit
-#: lanes within seven bits and the first two within 24 of 128; the others share a MinHash band. The sets themselves decide.
+#: Near-duplicates: sets of five-word shingles of this Jaccard similarity or more. Of the candidates, some have one of two 64-bit
+#: lanes within five bits and both within 24 of 128; the others share a MinHash band. The sets themselves decide.
 SIMILARITY = 0.8
-WORDS, LANES, LANE_BITS, VERIFY_LANES, VERIFY_BITS = 5, 8, 7, 2, 24
+WORDS, LANES, LANE_BITS, VERIFY_LANES, VERIFY_BITS = 5, 2, 5, 2, 24
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +23,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.fit(langid.training_rows(docs))
     if not model.langs:
         return docs
-    labelled = langid.predict(docs, model)
-    return labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_score") >= MIN_LANG_SCORE)).select(*docs.columns)
+    return langid.keep_known(docs, model, MIN_LANG_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays. A row is known by a hash of its id and text, so null and repeated ids do no harm."""
+    """One document of each group stays, the first in the order of the written rows; null and repeated ids do no harm."""
     ship_package(spark)
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    groups = near_copies.near_copies(keyed.select(F.col("__row").alias("doc_id"), "text"), WORDS, SIMILARITY, LANE_BITS, LANES, VERIFY_LANES, VERIFY_BITS)
-    first = materialize(groups.select(F.col("component_id").alias("__row")).distinct(), "kept")
-    return keyed.join(first, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_copies.near_copies(keyed.select(F.col(row).alias("doc_id"), "text"), WORDS, SIMILARITY, LANE_BITS, LANES, VERIFY_LANES, VERIFY_BITS)
+    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return keyed.join(first, row, "left_semi").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
