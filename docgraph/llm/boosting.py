@@ -29,7 +29,7 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n_trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, least: float = 5.0, ridge: float = 1.0) -> Trees:
+def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n_trees: int = 80, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 30.0, ridge: float = 4.0) -> Trees:
     """Second-order boosting of the logistic loss over quantile bins."""
     n, m = x.shape
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(m)]

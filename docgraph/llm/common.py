@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -132,7 +131,6 @@ def begin_stage() -> None:
 
 def give_back() -> None:
     """Return freed memory to the system: workers live on for later stages, beside the JVM's."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):

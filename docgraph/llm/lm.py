@@ -4,22 +4,23 @@ A count c is held as q = 1 + floor(log2 c): the pairs (n-gram, 1) .. (n-gram, q)
 probes level after level until one is missing, so an n-gram's count is read, too high by a level at a known small rate,
 never too low. Training counts are summed in each slice of documents before they are shuffled, by ranges of the keys'
 hashes; a range's task builds that range's piece of the filter, sized by its own keys. The pieces are broadcast where
-their sum is within ``most_bytes``; beyond it they stay in files in the shared folder, and a task reads one piece at a
-time for the keys of a large slice of documents that fall in its range. Both ways give the same scores. Exact word counts, for the base score, are broadcast for the most frequent words alone and joined for the rest.
+their sum is within ``most_bytes``. Beyond it the probes go to the pieces: each slice of documents sends the distinct keys
+that fall in a range to the task that holds the range's piece, and the levels come back to the slice. Both ways give the
+same scores. Exact word counts, for the base score, are broadcast for the most frequent words alone and joined for the rest.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import CHUNK_BYTES, doc_bucket, map_slices, materialize, mix64, scratch_path, sums, tasks_for, text_bytes, utf8, word_hashes
-from docgraph.llm.sstable import opened
+from docgraph.llm.common import arrow_schema, chunks, doc_bucket, guarded, map_slices, materialize, mix64, sums, tasks_for, text_bytes, to_batch, utf8, word_hashes
 
 END_HASH, BEGIN_HASH = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 UNIGRAM = np.uint64(0xA0761D6478BD642F)
@@ -84,44 +85,6 @@ class CountFilter:
         return out
 
 
-class FiledFilter:
-    """The same look-ups with one piece in memory at a time."""
-
-    def __init__(self, folder: str, sizes: np.ndarray, log_buckets: int) -> None:
-        self.folder, self.sizes, self.log_buckets = folder, sizes, log_buckets
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.int64)
-        bucket = bucket_of(keys, self.log_buckets)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(len(self.sizes) + 1))
-        for b in np.flatnonzero((np.diff(cut) > 0) & (self.sizes > 0)).tolist():
-            mine = order[cut[b] : cut[b + 1]]
-            stream, _ = opened(f"{self.folder}/piece-{b}", "r")
-            with stream:
-                data = np.frombuffer(stream.read(), np.uint8)
-            out[mine] = CountFilter(data, np.zeros(1, np.int64), np.array([len(data)]), 0).levels(keys[mine])
-        return out
-
-
-def file_pieces(model: DataFrame) -> FiledFilter:
-    folder = scratch_path(model.sparkSession, "lm-pieces")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
-                with opened(f"{folder}/piece-{k}", "w")[0] as stream:  # a repeated task writes the same bytes
-                    stream.write(data)
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([len(data)], pa.int64())], names=["bucket", "size"])
-
-    written = model.select("bucket", "data").mapInArrow(write, "bucket long, size long").collect()
-    log_buckets = model.select("log_buckets").first()[0]
-    sizes = np.zeros(1 << log_buckets, np.int64)
-    for r in written:
-        sizes[r["bucket"]] = r["size"]
-    return FiledFilter(folder, sizes, log_buckets)
-
-
 def bucket_of(keys: np.ndarray, log_buckets: int) -> np.ndarray:
     return (keys >> np.uint64(64 - log_buckets)).astype(np.int64) if log_buckets else np.zeros(len(keys), np.int64)
 
@@ -220,7 +183,7 @@ def train(docs: DataFrame) -> DataFrame:
             yield piece(held)
 
     dealt = blobs.repartition(n_tasks, "bucket").sortWithinPartitions("bucket")
-    out = dealt.mapInArrow(run, "bucket long, data binary, words array<long>, counts array<long>, tokens long")
+    out = dealt.mapInArrow(guarded(run), "bucket long, data binary, words array<long>, counts array<long>, tokens long")
     return materialize(out.withColumn("log_buckets", F.lit(log_buckets)), "lm")
 
 
@@ -263,27 +226,86 @@ def mixture(pair: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: int
     return np.log10(trust * np.minimum(pair / np.maximum(context, 1.0), 1.0) + (1 - trust) * own)
 
 
-def score_documents(docs: DataFrame, most_bytes: int = 512 << 20, most_words: int = 1_000_000) -> DataFrame:
+def by_bucket(keys: np.ndarray, log_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, its keys in order) of the distinct ``keys``."""
+    keys = np.unique(keys)
+    bucket = bucket_of(keys, log_buckets)
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(keys) else []
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield int(bucket[a]), keys[a:b]
+
+
+def probe_keys(t: Tokens) -> np.ndarray:
+    """All keys whose counts a slice needs."""
+    return np.concatenate([t.pairs, word_key(np.unique(np.append(t.hashes, BEGIN_HASH)))])
+
+
+def scored_by_shuffle(rows: DataFrame, model: DataFrame, log_buckets: int, score: Callable, schema: str, slice_bytes: int = 8 << 20) -> DataFrame:
+    """``score`` of each slice of ``rows``, with levels that the tasks of the filter's pieces have read.
+
+    One pass writes the documents with the number of their slice, and beside them each slice's distinct keys by range. What
+    meets in a task is a range's piece with its keys, or a slice's documents with their levels, both of bounded size.
+    """
+    table = "slice long, bucket long, data binary, doc_id long, held_out boolean, text string"
+    arrow = arrow_schema(rows.sparkSession.createDataFrame([], table).schema)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for k, b in enumerate(chunks(batches, limit=slice_bytes)):
+            empty = [None] * b.num_rows
+            yield to_batch({"slice": [first + k] * b.num_rows, "bucket": empty, "data": empty} | {c: b.column(c) for c in ("doc_id", "held_out", "text")}, arrow)
+            found = list(by_bucket(probe_keys(Tokens(b.column("text").to_pylist())), log_buckets))
+            empty = [None] * len(found)
+            yield to_batch({"slice": [first + k] * len(found), "bucket": [x for x, _ in found], "data": [x.tobytes() for _, x in found], "doc_id": empty, "held_out": empty, "text": empty}, arrow)
+
+    dealt = materialize(rows.mapInArrow(guarded(deal), table), "lm-slices")
+    keys, texts = dealt.filter("bucket IS NOT NULL").select("slice", "bucket", "data"), dealt.filter("bucket IS NULL").select("slice", "doc_id", "held_out", "text")
+
+    def probe(asked: pa.Table, piece: pa.Table) -> pa.Table:
+        got = [np.frombuffer(x, np.uint8) for x in piece.column("data").to_pylist()]
+        out = []
+        for raw in asked.column("data").to_pylist():
+            k = np.frombuffer(raw, np.uint64)
+            levels = CountFilter(got[0], np.zeros(1, np.int64), np.array([len(got[0])]), 0).levels(k) if got else np.zeros(len(k))
+            out.append(levels.astype(np.uint8).tobytes())
+        return pa.table({"slice": asked.column("slice"), "bucket": asked.column("bucket"), "levels": pa.array(out, pa.binary())})
+
+    answers = keys.groupBy("bucket").cogroup(model.select("bucket", "data").groupBy("bucket")).applyInArrow(probe, "slice long, bucket long, levels binary")
+    out_arrow = arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def finish(docs: pa.Table, levels: pa.Table) -> pa.Table:
+        batch = docs.combine_chunks().to_batches()[0]
+        t = Tokens(batch.column("text").to_pylist())
+        asked = dict(by_bucket(probe_keys(t), log_buckets))
+        told = {b: np.frombuffer(x, np.uint8) for b, x in zip(levels.column("bucket").to_pylist(), levels.column("levels").to_pylist())}
+        known = np.concatenate([asked[b] for b in sorted(asked)])
+        values = np.concatenate([told[b] for b in sorted(asked)]).astype(np.int64)
+        return pa.Table.from_batches([to_batch(score(batch, t, lambda k: values[np.searchsorted(known, k)]), out_arrow)])
+
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(finish, schema)
+
+
+def score_documents(docs: DataFrame, most_bytes: int = 128 << 20, most_words: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
     Learns from rows with crc32(doc_id as text) mod 10 not 0 (a null doc_id counts as held out). A null or blank text
-    is its end token alone. Repeated rows are counted in training and scored one by one. If no row may be learnt from,
-    all counts are 0. Columns other than doc_id and text are not read; an empty table gives an empty result.
+    is its end token alone. Texts of any length are scored whole. Repeated rows are counted in training and scored one by
+    one. If no row may be learnt from, all counts are 0. Columns other than doc_id and text are not read; an empty table
+    gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("held_out", doc_bucket(F.col("doc_id"), 10) == 0)
     spark = docs.sparkSession
     model = train(rows.filter("NOT held_out"))
     counts = model.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("h"), F.col("x.counts").alias("c"))
-    size, tokens, kinds = (x or 0 for x in model.agg(F.sum(F.octet_length("data")), F.sum("tokens"), F.sum(F.size("words"))).first())
+    size, tokens, kinds, log_buckets = (x or 0 for x in model.agg(F.sum(F.octet_length("data")), F.sum("tokens"), F.sum(F.size("words")), F.max("log_buckets")).first())
     heads, head_counts, _ = frequent_words(counts, most_words)
     fits = size <= most_bytes
-    shared = spark.sparkContext.broadcast((assemble(model) if fits else file_pieces(model), heads, head_counts))
+    shared = spark.sparkContext.broadcast((assemble(model) if fits else None, heads, head_counts))
     floor = tokens + ADD * (kinds + 1)
 
-    def first_pass(batch: pa.RecordBatch) -> dict:
-        filter_, heads, head_counts = shared.value
-        t = Tokens(batch.column("text").to_pylist())
+    def score(batch: pa.RecordBatch, t: Tokens, levels: Callable[[np.ndarray], np.ndarray]) -> dict:
+        _, heads, head_counts = shared.value
         here, where = np.unique(t.hashes, return_inverse=True)
         held, c = np.zeros(len(here), bool), np.zeros(len(here), np.int64)
         if len(heads):
@@ -291,32 +313,33 @@ def score_documents(docs: DataFrame, most_bytes: int = 512 << 20, most_words: in
             held = heads[at] == here
             c = np.where(held, head_counts[at], 0)
         base = np.where(held, np.log10((c + ADD) / floor), 0.0)[where]
-        own = count_of(filter_.levels(word_key(here)))[where]
+        own = count_of(levels(word_key(here)))[where]
         context = np.empty(len(own))
         context[1:] = own[:-1]
-        context[t.edges[:-1]] = count_of(filter_.levels(word_key(np.array([BEGIN_HASH]))))[0]
-        scores = sums(mixture(count_of(filter_.levels(t.pairs)), context, own, tokens, kinds), t.edges)
+        context[t.edges[:-1]] = count_of(levels(word_key(np.array([BEGIN_HASH]))))[0]
+        scores = sums(mixture(count_of(levels(t.pairs)), context, own, tokens, kinds), t.edges)
         rest, tf, cut = rare_words(t, ~held[where])
         return {
-            "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "row": batch.column("row"), "n_tokens": np.diff(t.edges),
+            "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": np.diff(t.edges),
             "known": sums(held[where].astype(np.int64), t.edges), "base": sums(base, t.edges), "score": scores,
             "rest": pa.ListArray.from_arrays(cut, pa.array(rest)), "tf": pa.ListArray.from_arrays(cut, pa.array(tf)),
         }
 
-    schema = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double, rest array<long>, tf array<long>"
-    keyed = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    main = materialize(map_slices(keyed, first_pass, schema, limit=SLICE if fits else 2 * CHUNK_BYTES), "lm-rows")
-    # Words beyond the broadcast ones. Equal rows share a key here, so their sums are divided by their number.
+    def first_pass(batch: pa.RecordBatch) -> dict:
+        return score(batch, Tokens(batch.column("text").to_pylist()), shared.value[0].levels)
+
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>, tf array<long>"
+    scored = map_slices(rows, first_pass, schema, limit=SLICE) if fits else scored_by_shuffle(rows, model, log_buckets, score, schema)
+    main = materialize(scored, "lm-rows").withColumn("row", F.monotonically_increasing_id())
+    shared.destroy()
+    # Words beyond the broadcast ones.
     pairs = main.filter(F.size("rest") > 0).select("row", F.explode(F.arrays_zip("rest", "tf")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.tf").alias("tf"))
     c = F.coalesce(F.col("c"), F.lit(0))
-    tail = pairs.join(counts, "h", "left").groupBy("row").agg(
-        F.sum("tf").alias("t_n"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("t_known"), F.sum(F.col("tf") * F.log10((c + ADD) / floor)).alias("t_base")
-    )
-    out = main.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score", F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x).alias("own")).join(tail, "row", "left")
-    share = F.coalesce(F.col("own") / F.col("t_n"), F.lit(0.0))
+    tail = pairs.join(counts, "h", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("t_known"), F.sum(F.col("tf") * F.log10((c + ADD) / floor)).alias("t_base"))
+    out = main.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score").join(tail, "row", "left")
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.round(F.coalesce("t_known", F.lit(0)) * share).cast("long")).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("t_base", F.lit(0.0)) * share).alias("base_score"), "score",
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("t_known", F.lit(0))).alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("t_base", F.lit(0.0))).alias("base_score"), "score",
     )
 
 

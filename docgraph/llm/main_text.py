@@ -32,6 +32,7 @@ GROUPS = {
     "p": 1, "h1": 2, "h2": 3, "h3": 3, "h4": 3, "h5": 3, "h6": 3, "ul": 4, "ol": 4, "dl": 4, "li": 5, "dt": 5, "dd": 5, "nav": 6, "menu": 6, "header": 7, "footer": 8, "aside": 9, "form": 10, "fieldset": 10,
     "article": 11, "main": 12, "section": 13, "div": 14, "table": 15, "tr": 15, "td": 15, "th": 15, "tbody": 15, "blockquote": 16, "pre": 16, "figure": 17, "figcaption": 17, "body": 18, "html": 18, "#page": 18, TEXT: 19,
 }
+DIGITS = re.compile(r"\d+")
 _BAD_TAGS = frozenset((6, 7, 8, 9, 10))
 N_FEATURES = 34
 
@@ -68,7 +69,7 @@ def features(nodes: list[Node]) -> np.ndarray:
             g, group[up] if up >= 0 else 0, x.depth, x.chars, x.link_chars / max(1, x.chars), x.tags, x.chars / (1 + x.tags), x.children,
             x.chars / max(1, parent.chars), x.chars / total, place[k] / max(1, parent.children - 1), parent.children, same[up, x.tag],
             x.begin / total, (x.begin + x.chars) / total, against[k], for_[k], inside_bad[k] > 0, inside_good[k] > 0, in_bad_tag[k], in_good_tag[k],
-            t.count(",") + t.count("."), len(t.split()) if t else 0, sum(c.isdigit() for c in t[:400]) if t else 0, g in _BAD_TAGS, g in (11, 12), g == 1, g in (2, 3),
+            t.count(",") + t.count("."), len(t.split()) if t else 0, len(t) - len(DIGITS.sub("", t)), g in _BAD_TAGS, g in (11, 12), g == 1, g in (2, 3),
             parent.link_chars / max(1, parent.chars), prior.chars if prior else -1, prior.link_chars / max(1, prior.chars) if prior else -1,
             group[before] if before is not None else -1, against[before] if before is not None else 0, "©" in t,
         )
@@ -103,116 +104,150 @@ def extract(pages: list[str | None], trees: Trees) -> list[str]:
     return out
 
 
+#: Names that sites give to the parts of a page, by kind; some pages use invented names instead.
+NAMES = {
+    "nav": ["nav", "menu", "navbar", "links", "topnav", "breadcrumb", "tabs"], "header": ["header", "masthead", "top", "brand", "banner", "site-title"],
+    "footer": ["footer", "foot", "credits", "copyright", "legal", "colophon"], "aside": ["sidebar", "widget", "related", "rail", "more", "recommended", "secondary"],
+    "ad": ["ad", "ads", "advert", "sponsor", "promo", "sponsored", "advertisement"], "notice": ["cookie", "notice", "consent", "alert", "message", "popup", "gdpr"],
+    "form": ["search", "subscribe", "login", "contact", "signup", "newsletter"], "comments": ["comments", "discussion", "replies", "responses", "thread", "respond"],
+    "main": ["content", "main", "post", "entry", "story", "article", "text", "post-body", "entry-content", "page"],
+}
+FAMILIES = ("semantic", "classes", "ids", "manual", "tables", "bare")
+SHARES = {"semantic": 5, "classes": 4, "ids": 3, "manual": 2, "tables": 0.5, "bare": 0.5}
+
+
 class Pages:
-    """Generated pages with labels: random layouts around an article, in invented words."""
+    """Generated pages with labels, in families of layouts: sectioning elements, divisions with classes or with ids, tables
+    used for layout, manuals with long side menus, and bare pages. The words are invented."""
 
-    def __init__(self, seed: int) -> None:
-        self.r = random.Random(seed)
+    def __init__(self, seed: int, families: tuple[str, ...] = FAMILIES) -> None:
+        self.r, self.families = random.Random(seed), families
         syllables = "an ar be co da de el en er es ge ha il in is ka la le li lo ma me mi na ne no on or pa qu ra re ri ro sa se sh si so ta te th ti to ue ur va ve vi za zu é ü ñ".split()
         self.words = ["".join(self.r.choices(syllables, k=self.r.choice((1, 1, 2, 2, 3, 4)))) for _ in range(3000)]
 
     def sentence(self, least: int = 3, most: int = 24) -> str:
-        words = self.r.choices(self.words, k=self.r.randint(least, most))
-        marks = self.r.random()
-        if marks < 0.08:
-            words = [w + self.r.choice(("%%%", "***", "###", "&amp;&amp;", "!!")) for w in words]
-        words = [w + "," if self.r.random() < 0.1 else w for w in words]
-        return " ".join(words).capitalize() + self.r.choice(("." * 9) + "!?:" or ".")
+        words = [w + "," if self.r.random() < 0.1 else w for w in self.r.choices(self.words, k=self.r.randint(least, most))]
+        words = [w.upper() if self.r.random() < 0.01 else w for w in words]
+        return " ".join(words).capitalize() + self.r.choice(".......!?:")
+
+    def title(self, least: int = 1, most: int = 7) -> str:
+        return self.sentence(least, most)[:-1]
 
     def prose(self, most: int = 6) -> str:
-        text = " ".join(self.sentence() for _ in range(self.r.randint(1, most)))
-        if self.r.random() < 0.15:
-            text += f' <a href="/x">{self.sentence(1, 4)}</a> {self.sentence()}'
-        if self.r.random() < 0.1:
-            text = f"<b>{text}</b>"
+        text = " ".join(self.sentence(self.r.choice((1, 3))) for _ in range(self.r.randint(1, most))) if self.r.random() < 0.82 else self.sentence(1, self.r.choice((1, 2, 5)))
+        kind = self.r.random()
+        if kind < 0.12:
+            text += f' <a href="/{self.r.choice(self.words)}">{self.title(1, 4)}</a> {self.sentence()}'
+        elif kind < 0.2:
+            text = self.r.choice(("<b>{}</b>", "<em>{}</em>", "<span>{}</span>", "<strong>{}</strong> ")).format(text)
+        elif kind < 0.25:
+            text = text.replace(" ", self.r.choice(("&nbsp;", " &amp; ", "<br>", " &mdash; ")), 1)
         return text
 
     def maybe(self, p: float, text: str) -> str:
         return text if self.r.random() < p else ""
 
-    def named(self, *names: str) -> str:
+    def link(self) -> str:
+        return f'<a href="/{self.r.choice(self.words)}">{self.title(1, 4)}</a>'
+
+    def links(self, n: int, nested: bool = False) -> str:
         kind = self.r.random()
-        if kind < 0.15:
-            return ""
-        name = self.r.choice(names)
-        name = self.r.choice((name, f"{name}-{self.r.choice(self.words)}", f"site-{name}", f"{name}{self.r.randint(1, 9)}", name.capitalize()))
-        return f' class="{name}"' if kind < 0.7 else f' id="{name}"'
-
-    def links(self, n: int) -> str:
-        items = [f'<a href="/{self.r.choice(self.words)}">{self.sentence(1, 4).rstrip(".")}</a>' for _ in range(n)]
-        if self.r.random() < 0.7:
-            return "<ul>" + "".join(f"<li>{x}</li>" if self.r.random() < 0.9 else f"<li>{x}" for x in items) + "</ul>"
-        return self.r.choice((" | ", " ", " &middot; ")).join(items)
-
-    def box(self, tags: tuple[str, ...], names: tuple[str, ...], inner: str) -> str:
-        tag = self.r.choice(tags)
-        attrs = self.named(*names)
-        if tag in ("div", "section") and not attrs:
-            attrs = f' class="{self.r.choice(names)}"'
-        return f'<{tag}{attrs} data-main="0">{inner}</{tag}>'
-
-    def junk(self, kind: str) -> str:
+        if nested or kind < 0.7:
+            end = self.r.choice(("</li>", "</li>", ""))
+            return "<ul>" + "".join(f"<li>{self.link()}{self.links(self.r.randint(1, 3)) if nested and self.r.random() < 0.3 else ''}{end}" for _ in range(n)) + "</ul>"
+        return self.r.choice((" | ", " ", " &middot; ", "<br>", " &raquo; ")).join(self.link() for _ in range(n))
+
+    def inner(self, kind: str) -> str:
+        """What a part of the page that is no article holds."""
         r = self.r
-        short = lambda: self.r.choice((self.sentence(2, 14), f"<p>{self.sentence(3, 30)}</p>"))
+        short = lambda: r.choice((self.sentence(2, 14), f"<p>{self.sentence(3, 30)}</p>"))
         if kind == "nav":
-            return self.box(("nav", "nav", "div", "ul"), ("nav", "menu", "navbar", "navigation", "breadcrumb"), self.links(r.randint(2, 9)))
+            return self.links(r.randint(2, 9))
         if kind == "header":
-            return self.box(("header", "header", "div"), ("header", "masthead", "topbar", "banner"), self.maybe(0.5, f"<h{r.randint(1, 2)}>{self.sentence(1, 4)}</h1>") + self.maybe(0.6, self.links(4)) + self.maybe(0.6, short()))
+            return self.maybe(0.5, f"<h{r.randint(1, 3)}>{self.title(1, 4)}</h1>") + self.maybe(0.5, self.links(4)) + self.maybe(0.6, short()) or self.title()
         if kind == "footer":
-            return self.box(("footer", "footer", "div"), ("footer", "copyright", "legal", "bottom"), "&copy; " * r.randint(0, 1) + r.choice(self.words) + ".example.com &middot; " + short() + self.maybe(0.4, self.links(3)))
+            return self.maybe(0.5, r.choice(("&copy; ", "&#169; 2020 ", "Copyright "))) + self.title(1, 5) + " " + self.maybe(0.7, short()) + self.maybe(0.5, self.links(3))
         if kind == "aside":
-            return self.box(("aside", "aside", "div", "section"), ("sidebar", "widget", "related", "rail", "recommended"), self.maybe(0.6, f"<h3>{self.sentence(1, 3)}</h3>") + r.choice((self.links(4), short(), short() + self.links(3), f"<p>{self.prose(3)}</p>")))
+            return self.maybe(0.6, f"<h3>{self.title(1, 3)}</h3>") + r.choice((self.links(4), short(), short() + self.links(3), f"<p>{self.prose(3)}</p>"))
         if kind == "ad":
-            return self.box(("div", "div", "aside", "section"), ("ad", "ads", "advert", "sponsored", "promo", "banner", "advertisement"), r.choice((short(), self.prose(2), f'<a href="/x">{self.sentence()}</a>')))
+            return r.choice((short(), self.prose(2), f'<a href="/x">{self.sentence()}</a>', f"<h4>{self.title(1, 3)}</h4>{short()}"))
         if kind == "notice":
-            return self.box(("div", "section", "p"), ("cookie", "notice", "consent", "alert", "newsletter", "popup", "subscribe"), short() + self.maybe(0.4, "<button>ok</button>"))
+            return short() + self.maybe(0.4, f"<button>{self.title(1, 2)}</button>") + self.maybe(0.2, self.link())
         if kind == "form":
-            return f'<form{self.named("search", "login", "form", "subscribe")} data-main="0"><label>{self.sentence(1, 4)}</label><input name="q">{self.maybe(0.5, short())}<button>{self.sentence(1, 2)}</button></form>'
-        if kind == "comments":
-            one = lambda: r.choice(("<div{}>{}</div>", "<li{}>{}</li>", "<article{}>{}</article>")).format(r.choice(('', ' class="comment"', ' class="reply"')), self.maybe(0.5, f"<b>{r.choice(self.words)}</b> ") + f"<p>{self.prose(3)}</p>")
-            return self.box(("section", "div", "div"), ("comments", "discussion", "replies", "respond", "comment-list"), self.maybe(0.6, f"<h3>{self.sentence(1, 3)}</h3>") + "".join(one() for _ in range(r.randint(1, 5))))
-        return r.choice(("<!-- {} -->", "<script>var t=\"</p>{}\";</script>", "<style>.{}{{}}</style>")).format(self.r.choice(self.words))
-
-    def page(self) -> str:
-        r = self.r
-        title = self.sentence(3, 12).rstrip(".")
-        blocks = [self.maybe(0.9, f'<h1 data-main="1">{title}</h1>')] + [self.maybe(0.3, f'<p data-main="1"><b>{title}<br>')]
+            return f"<label>{self.title(1, 4)}</label><input name=q>{self.maybe(0.5, short())}{self.maybe(0.3, '<select><option>a<option>b</select>')}<button>{self.title(1, 2)}</button>"
+        one = r.choice(("<div{}>{}</div>", "<li{}>{}</li>", "<article{}>{}</article>", "<p{}>{}</p>"))
+        body = lambda: self.maybe(0.5, f"<b>{r.choice(self.words)}</b> ") + (self.sentence() if one[1] == "p" else f"<p>{self.prose(3)}</p>")
+        return self.maybe(0.6, f"<h3>{self.title(1, 3)}</h3>") + "".join(one.format(r.choice(("", ' class="comment"', ' class="reply"')), body()) for _ in range(r.randint(1, 5)))
+
+    def name(self, kind: str) -> str:
+        base = self.r.choice(NAMES[kind] if self.r.random() < 0.97 else self.words)
+        return self.r.choice((base, base, f"{base}-{self.r.choice(self.words)}", f"site-{base}", f"{base}{self.r.randint(1, 9)}", base.capitalize(), f"{self.r.choice(self.words)} {base}"))
+
+    def part(self, family: str, kind: str) -> str:
+        """A part that is no article, in a family's way."""
+        inner = self.inner(kind)
+        if kind == "form":
+            return f'<form{self.maybe(0.6, f""" class="{self.name(kind)}" """)} data-main="0">{inner}</form>'
+        tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "comments": "section"}.get(kind, "div") if family in ("semantic", "manual") else "div"
+        if kind == "notice" and self.r.random() < 0.3:
+            tag = self.r.choice(("section", "p"))
+        if kind == "ad" and self.r.random() < 0.25:
+            tag = self.r.choice(("aside", "section", "ins"))
+        if family in ("tables", "bare") and kind in ("nav", "aside", "header", "footer"):
+            if family == "tables":
+                return f'<table data-main="0"{self.maybe(0.5, " width=100%")}><tr><td{self.maybe(0.4, " bgcolor=#eee")}>{inner}</table>'
+            return self.r.choice(('<{0} data-main="0">{1}</{0}>', '<hr><{0} data-main="0">{1}</{0}>')).format(self.r.choice(("nav" if kind == "nav" else "div", kind if kind != "nav" else "ul")), inner)
+        needs = tag in ("div", "section", "p", "ins")
+        label = f' {"id" if family == "ids" else "class"}="{self.name(kind)}"' if needs or self.r.random() < 0.4 else ""
+        return f'<{"div" if tag == "ins" else tag}{label} data-main="0">{inner}</{"div" if tag == "ins" else tag}>'
+
+    def article(self, family: str) -> str:
+        r, title = self.r, self.title(2, 12)
+        blocks = [self.maybe(0.9, f'<h{r.choice((1, 1, 1, 2))} data-main="1">{title}</h1>')]
         for _ in range(r.choice((0, 1, 1, 2, 3, 4, 6, 9, 14))):
             kind = r.random()
-            if kind < 0.72:
-                blocks.append(f'<p data-main="1">{self.prose()}' + self.maybe(0.85, "</p>"))
-            elif kind < 0.8:
-                blocks.append(f'<h{r.randint(2, 4)} data-main="1">{self.sentence(1, 7)}</h2>')
+            if kind < 0.7:
+                blocks.append(f'<p data-main="1">{self.prose()}' + self.maybe(0.8, "</p>"))
+            elif kind < 0.78:
+                blocks.append(f'<h{r.randint(2, 4)} data-main="1">{self.title()}</h2>')
+            elif kind < 0.85:
+                blocks.append('<ul data-main="1">' + "".join(f"<li>{self.sentence()}{self.maybe(0.7, '</li>')}" for _ in range(r.randint(2, 6))) + "</ul>")
             elif kind < 0.88:
-                blocks.append('<ul data-main="1">' + "".join(f"<li>{self.sentence()}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
-            elif kind < 0.92:
                 blocks.append(f'<blockquote data-main="1"><p>{self.prose(3)}</p></blockquote>')
-            elif kind < 0.95:
+            elif kind < 0.91:
                 blocks.append(f'<div data-main="1">{self.prose()}</div>')
+            elif kind < 0.94:
+                blocks.append(f'<p data-main="1"><b>{self.prose(2)}<br>')  # never closed
+            elif kind < 0.97 or family == "manual":
+                blocks.append(r.choice((f'<pre data-main="1">{self.title()}\n  {self.title()}</pre>', f'<dl data-main="1"><dt>{self.title()}<dd>{self.sentence()}</dl>', f'<table data-main="1"><tr><th>{self.title()}<td>{self.title()}</table>')))
             else:
-                blocks.append(f'<p data-main="1"><b>{self.sentence(1, 5)}<br>')
+                blocks.append(f'<figure data-main="1"><img src=x><figcaption>{self.sentence()}</figcaption></figure>')
             if r.random() < 0.12:
-                blocks.append(self.junk(r.choice(("ad", "aside", "notice", "form", "x"))))
+                blocks.append(self.part(family, r.choice(("ad", "aside", "notice", "form"))))
         if not any(blocks):
             blocks = [f'<p data-main="1">{self.prose()}</p>']
-        inner = "".join(blocks) + self.maybe(0.12, self.junk("comments")) + self.maybe(0.1, self.junk("aside"))
-        kind = r.random()
-        if kind < 0.5:
-            main = f"<article{self.named('post', 'entry', 'article') if r.random() < 0.4 else ''}>{inner}</article>"
-        elif kind < 0.7:
-            main = f"<main>{inner}</main>"
-        elif kind < 0.95:
-            main = f"<{'div' if r.random() < 0.8 else 'section'} {r.choice(('class', 'id'))}=\"{r.choice(('content', 'main', 'post-body', 'article', 'entry-content', 'story', 'main-content', 'text', 'page'))}\">{inner}</div>"
+        return "".join(blocks) + self.maybe(0.12, self.part(family, "comments")) + self.maybe(0.08, self.part(family, "aside"))
+
+    def page(self) -> str:
+        r = self.r
+        family = r.choices(self.families, [SHARES[f] for f in self.families])[0]
+        inner = self.article(family)
+        if family in ("semantic", "manual"):
+            main = r.choice(("<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<article class="{1}">{0}</article>')).format(inner, self.name("main"))
+        elif family in ("classes", "ids"):
+            main = f'<div {"id" if family == "ids" else "class"}="{self.name("main")}">{inner}</div>'
         else:
-            main = inner
-        if r.random() < 0.2:
-            main = f'<div{self.named("wrapper", "container", "page", "layout")}>{main}</div>'
-        before = [self.junk(k) for k in ("header", "nav", "notice", "ad", "form", "aside", "x") if r.random() < {"nav": 0.8, "ad": 0.5}.get(k, 0.3)]
-        after = [self.junk(k) for k in ("comments", "aside", "ad", "nav", "form", "notice") if r.random() < {"comments": 0.35}.get(k, 0.2)] + [self.maybe(0.85, self.junk("footer"))]
+            main = f"<table><tr><td>{inner}</table>" if family == "tables" else inner
+        for _ in range(r.choice((0, 0, 1, 2))):
+            main = f'<div class="{r.choice(("wrapper", "container", "layout", "inner", r.choice(self.words)))}">{main}</div>'
+        before = [self.part(family, k) for k, p in (("header", 0.35), ("nav", 0.8), ("notice", 0.3), ("ad", 0.5), ("form", 0.25), ("aside", 0.3)) if r.random() < p]
+        if family == "manual":
+            before.append(f'<div class="{self.name("aside")}" data-main="0">{self.links(r.randint(6, 25), True)}</div>')
+        after = [self.part(family, k) for k, p in (("comments", 0.35), ("aside", 0.25), ("ad", 0.25), ("nav", 0.2), ("form", 0.2), ("notice", 0.2), ("footer", 0.85)) if r.random() < p]
         if r.random() < 0.5:
             r.shuffle(before)
-        head = f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title><style>p{{}}</style></head>' if r.random() < 0.9 else ""
-        return f"{head}<body>{''.join(before)}{main}{''.join(after)}</body></html>"
+        script = self.maybe(0.5, f"<script>var a = '<p>{r.choice(self.words)}</p>' < 2;</script>") + self.maybe(0.3, "<!-- x > y -->")
+        return f"<!DOCTYPE html><html><head><title>{self.title()}</title>{script}</head><body>{''.join(before)}{main}{script}{''.join(after)}</body></html>"
 
 
 def labels(nodes: list[Node]) -> np.ndarray:
@@ -226,9 +261,9 @@ def labels(nodes: list[Node]) -> np.ndarray:
     return y
 
 
-def generated(n: int, seed: int) -> list[tuple[str, str]]:
+def generated(n: int, seed: int, families: tuple[str, ...] = FAMILIES) -> list[tuple[str, str]]:
     """(page without marks, main text)."""
-    maker, out = Pages(seed), []
+    maker, out = Pages(seed, families), []
     for _ in range(n):
         page = maker.page()
         nodes = parse(page)
@@ -237,9 +272,9 @@ def generated(n: int, seed: int) -> list[tuple[str, str]]:
 
 
 @lru_cache(maxsize=2)
-def trained(n_pages: int = 700, seed: int = 5) -> Trees:
+def trained(n_pages: int = 1000, seed: int = 5, families: tuple[str, ...] = FAMILIES) -> Trees:
     """Trees from ``n_pages`` generated pages; the same on every call."""
-    maker, xs, ys, ws = Pages(seed), [], [], []
+    maker, xs, ys, ws = Pages(seed, families), [], [], []
     for _ in range(n_pages):
         nodes = parse(maker.page())
         xs.append(features(nodes))

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.llm.common import chunks, drop_scratch, guarded, map_slices, materialize, mix64
+from docgraph.llm.common import drop_scratch, guarded, map_slices, materialize, mix64
 from docgraph.llm.components import connected_components
 from docgraph.llm.simhash import lanes_of, shingle_hashes, similar_links
 
 BANDS, BAND_ROWS = 20, 5
-SEEDS = mix64(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Odd multipliers: each gives another order of the shingles' hashes, of which 32 bits decide here.
+SEEDS = (mix64(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -38,9 +39,10 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     """One key for each band: a hash of the band's smallest scrambled hashes. An empty set has none."""
     if not len(h):
         return np.zeros(0, np.int64)
-    least = np.full(len(SEEDS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 512):
-        least = np.minimum(least, mix64(h[at : at + 512, None] ^ SEEDS).min(0))
+    least, low = np.full(len(SEEDS), np.iinfo(np.uint32).max, np.uint32), h.astype(np.uint32)
+    for at in range(0, len(low), 256):
+        least = np.minimum(least, (low[at : at + 256, None] * SEEDS).min(0))
+    least = least.astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(BAND_ROWS):
         key = mix64(key ^ least[k::BAND_ROWS])
@@ -48,7 +50,11 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    """Of two sorted sets."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
     return both / max(1, len(a) + len(b) - both)
 
 
@@ -137,28 +143,26 @@ def band_pairs(nodes: DataFrame, least: float) -> DataFrame:
 
 
 def checked(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The (u, v) of a written table whose sets of shingles are similar, written. Only the texts of its ids are moved."""
+    """The (u, v) of a written table whose sets of shingles are similar, written. The sets of its ids alone are moved."""
     wanted = materialize(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "compared")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    texts = materialize(texts, "compared-texts")
-    u, v = texts.select(F.col("id").alias("u"), F.col("text").alias("a")), texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
-    arrow = PAIRS
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(wanted, "id", "left_semi")
+
+    def sets_of(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column("id"), "set": pa.array([shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())}
+
+    sets = materialize(map_slices(texts, sets_of, "id long, set binary", limit=2 << 20).dropDuplicates(["id"]), "compared-sets")
+    u, v = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
         for batch in batches:
-            for part in chunks([batch], "a"):
-                ids, keep = part.column("u").to_pylist(), np.zeros(part.num_rows, bool)
-                for k, i in enumerate(ids):
-                    if i != last:
-                        last, mine = i, shingle_set(part.column("a")[k].as_py(), words)
-                    keep[k] = jaccard(mine, shingle_set(part.column("b")[k].as_py(), words)) >= least
-                yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v")], schema=arrow).filter(pa.array(keep))
+            a, b = (batch.column(c) for c in "ab")
+            keep = [jaccard(np.frombuffer(a[k].as_buffer(), np.uint64), np.frombuffer(b[k].as_buffer(), np.uint64)) >= least for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], schema=PAIRS).filter(pa.array(keep, pa.bool_()))
 
     # Dealt by both ids: the many pairs of a large cluster's first row are no single task.
-    dealt = pairs.join(u, "u").join(v, "v").repartition("u", "v").sortWithinPartitions("u").select("u", "v", "a", "b")
+    dealt = pairs.join(u, "u").join(v, "v").repartition("u", "v").select("u", "v", "a", "b")
     out = materialize(dealt.mapInArrow(guarded(run), "u long, v long"), "similar")
-    drop_scratch(wanted, texts)
+    drop_scratch(wanted, sets)
     return out
 
 
