@@ -92,11 +92,21 @@ def masked(x: Column, shown: int) -> Column:
     return F.concat(F.substring(x, 1, shown), F.lit("***"))
 
 
+#: Abbreviations in match keys, and the sentences for keys without parts.
+KEY_WORDS = {"DOB": "date of birth", "ADDR": "address"}
+EXACTLY_SAME, SAME_ID, UNKNOWN_KEY = "Exact match (all attributes identical)", "Same identifier", "Unknown match criteria"
+
+
 def match_key_words(key: Column) -> Column:
     """+NAME+DOB as Name + Date Of Birth; the keys without parts have sentences of their own."""
-    spelt = lambda p: F.when(F.upper(p) == "DOB", "date of birth").when(F.upper(p) == "ADDR", "address").otherwise(F.replace(p, F.lit("_"), F.lit(" ")))
-    parts = F.transform(F.filter(F.split(key, r"\+"), lambda p: p != ""), lambda p: F.initcap(spelt(p)))
-    special = F.when(F.upper(key) == "EXACTLY_SAME", "Exact match (all attributes identical)").when(key == "SAME_ID", "Same identifier").when(F.coalesce(key, F.lit("")) == "", "Unknown match criteria")
+    def spelt(p: Column) -> Column:
+        out = F.replace(p, F.lit("_"), F.lit(" "))
+        for short, words in KEY_WORDS.items():
+            out = F.when(F.upper(p) == short, words).otherwise(out)
+        return F.initcap(out)
+
+    parts = F.transform(F.filter(F.split(key, r"\+"), lambda p: p != ""), spelt)
+    special = F.when(F.upper(key) == "EXACTLY_SAME", EXACTLY_SAME).when(key == "SAME_ID", SAME_ID).when(F.coalesce(key, F.lit("")) == "", UNKNOWN_KEY)
     return special.otherwise(F.array_join(parts, " + "))
 
 
@@ -105,12 +115,31 @@ def short_label(*choices: Column, most: int = 25) -> Column:
     return F.when(F.length(label) > most, F.concat(F.substring(label, 1, most - 3), F.lit("..."))).otherwise(label)
 
 
-def issue_fields(line: Column) -> dict[str, Column]:
-    """Fields of ``[severity] file:line:col: message`` or ``SEVERITY file:line:col -- Rule r: message``; else the message alone."""
-    first, second = r"^\[(\w+)\]\s*([^:]+):(\d+):(\d+):\s*(.*)$", r"^(\w+)\s+([^:]+):(\d+):(\d+)\s+--\s+(?:Rule\s+(\S+):\s*)?(.*)$"
-    one, two = line.rlike(first), line.rlike(second)
-    pick = lambda i, j: F.when(one, F.regexp_extract(line, first, i)).when(two, F.regexp_extract(line, second, j))
+#: The two formats of a validator's lines, and its short words for severities.
+ISSUE_LINE = r"^\[(\w+)\]\s+(?:([^:]+):(\d+):(\d+):\s*)?(.+)$"
+RULE_LINE = r"^(\w+)\s+([^:]+):(\d+):(\d+)\s+--\s+(?:(Rule\s+\S+):\s*)?(.*)$"
+SEVERITIES = {"warn": "warning", "err": "error", "fatal": "error"}
+
+
+def issue_fields(line: Column, file: Column | None = None) -> dict[str, Column]:
+    """Fields of ``[severity] file:line:col: message``, where the place may be absent, or ``SEVERITY file:line:col -- Rule r:
+    message``; else the message alone, as an error. ``file``: the file that lines without a place are about."""
+    one, two = line.rlike(ISSUE_LINE), line.rlike(RULE_LINE)
+    pick = lambda i, j: F.when(one, F.regexp_extract(line, ISSUE_LINE, i)).when(two, F.regexp_extract(line, RULE_LINE, j))
+    there = lambda c: F.nullif(c, F.lit(""))
+    severity = F.lower(F.coalesce(pick(1, 1), F.lit("error")))
+    for short, word in SEVERITIES.items():
+        severity = F.when(severity == short, word).otherwise(severity)
     return {
-        "file": pick(2, 2), "line": pick(3, 3).cast("int"), "col": pick(4, 4).cast("int"), "severity": F.lower(F.coalesce(pick(1, 1), F.lit("error"))),
-        "rule": F.when(two & ~one, F.nullif(F.regexp_extract(line, second, 5), F.lit(""))), "message": F.coalesce(pick(5, 6), F.substring(line, 1, 500)),
+        "file": F.coalesce(there(pick(2, 2)), file if file is not None else F.lit(None)), "line": there(pick(3, 3)).cast("int"), "col": there(pick(4, 4)).cast("int"), "severity": severity,
+        "rule": F.when(two & ~one, there(F.regexp_extract(line, RULE_LINE, 5))), "message": F.coalesce(F.trim(pick(5, 6)), F.substring(line, 1, 500)),
     }
+
+
+def dotted(qname: Column) -> Column:
+    """p:Name as p.Name, the form of identifiers in models; ``from_dotted`` is the way back."""
+    return F.replace(qname, F.lit(":"), F.lit("."))
+
+
+def from_dotted(name: Column) -> Column:
+    return F.regexp_replace(name, r"^([^.:]+)\.", "$1:")

@@ -7,11 +7,14 @@ elements carry becomes a hub node which its roles represent.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgraph.scratch import written
+
 
 def to_label(qname: Column) -> Column:
     return F.translate(qname, ":.", "__")
@@ -31,9 +34,20 @@ def prefix() -> Column:
     return F.substring(F.sha1(F.concat_ws("_", "source_file", "upload_id")), 1, 8)
 
 
+def synthetic_id(spot: Column) -> Column:
+    """Id of an element without one, from where it stands."""
+    return F.concat(F.lit("syn_"), F.substring(F.sha1(spot), 1, 16))
+
+
+def flat_key(names: Column) -> Column:
+    """Property key of a value below its node: the names on the way, joined by two underscores."""
+    return F.array_join(F.transform(names, to_label), "__")
+
+
 @dataclass
 class Graph:
-    """``nodes``, ``props`` (one row a value), ``edges``; ``issues`` has documents that failed."""
+    """``nodes``, ``props`` (one row a value), ``edges``; ``issues`` has documents that failed, ids that two elements carry, and
+    references without a target."""
 
     nodes: DataFrame
     props: DataFrame
@@ -69,12 +83,11 @@ def classify(elements: DataFrame, objects: list[str] | None = None, associations
     wanted = is_complex if objects is None else (F.col("qname").isin(objects) if objects else F.lit(False))
     steps = F.concat_ws("/", F.col("qpath"), "qname")
     spot = F.concat_ws("|", steps, F.concat_ws(".", F.col("path").cast("array<string>")), F.col("sib_ord").cast("string")) if sibling_ids else steps
-    synthetic = F.concat(F.lit("syn_"), F.substring(F.sha1(spot), 1, 16))
     role = F.col("hubbed").isNotNull() & F.col("sid").isNull() & ~F.col("is_nil")
     return e.select(
         "*", is_aug.alias("is_aug"), role.alias("is_role"),
         (~is_aug & ~nil_ref & (F.col("is_assoc") | F.when(F.col("parent_ord").isNull(), is_complex).otherwise(wanted))).alias("is_node"),
-        F.concat_ws("_", prefix(), F.coalesce("sid", F.when(~role, F.col("uri_id")), synthetic)).alias("id"),
+        F.concat_ws("_", prefix(), F.coalesce("sid", F.when(~role, F.col("uri_id")), synthetic_id(spot))).alias("id"),
     )
 
 
@@ -89,7 +102,7 @@ def with_owner(e: DataFrame) -> DataFrame:
 def flatten_props(e: DataFrame) -> DataFrame:
     """One row a value: leaves below their owner as a__b__c, attributes as ...__@name, a node's own text as _text."""
     below = F.filter(F.slice(F.col("qpath"), F.col("owner_depth") + 2, F.greatest(F.col("depth") - F.col("owner_depth") - 1, F.lit(0))), lambda q: ~q.endswith("Augmentation"))
-    key = F.array_join(F.transform(F.concat(below, F.array("qname")), to_label), "__")
+    key = flat_key(F.concat(below, F.array("qname")))
     through = F.exists(F.slice(F.col("qpath"), F.col("owner_depth") + 2, F.greatest(F.col("depth") - F.col("owner_depth") - 1, F.lit(0))), lambda q: q.endswith("Augmentation"))
     plain = e.filter("NOT is_node AND NOT is_aug AND owner IS NOT NULL")
     leaves = plain.filter("text IS NOT NULL AND n_children = 0").select("doc_id", F.col("owner").alias("id"), key.alias("key"), "ord", F.col("text").alias("value"), through.alias("is_augmentation"))
@@ -97,7 +110,27 @@ def flatten_props(e: DataFrame) -> DataFrame:
     attributes = attributes.select("doc_id", "id", F.concat("k", F.lit("__@"), to_label(F.col("a"))).alias("key"), "ord", "value", "is_augmentation")
     own = e.filter("is_node").select("doc_id", "id", "ord", F.explode("attrs").alias("a", "value")).select("doc_id", "id", to_label(F.col("a")).alias("key"), "ord", "value", F.lit(False).alias("is_augmentation"))
     text = e.filter("is_node AND text IS NOT NULL").select("doc_id", "id", F.lit("_text").alias("key"), "ord", F.col("text").alias("value"), F.lit(False).alias("is_augmentation"))
-    return leaves.unionByName(attributes).unionByName(own).unionByName(text)
+    marks = leaves.filter("is_augmentation").groupBy("doc_id", "id", F.concat("key", F.lit("_isAugmentation")).alias("key")).agg(F.min("ord").alias("ord")).select("*", F.lit("true").alias("value"), F.lit(False).alias("is_augmentation"))
+    return leaves.unionByName(attributes).unionByName(own).unionByName(text).unionByName(marks)
+
+
+def id_collisions(e: DataFrame) -> DataFrame:
+    """(doc_id, source_file, upload_id, sid, n, qnames) of ids that two or more elements carry; the first of them counts."""
+    return e.filter("sid IS NOT NULL").groupBy("doc_id", "source_file", "upload_id", "sid").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("qname")).alias("qnames")).filter("n >= 2")
+
+
+def represents(e: DataFrame) -> DataFrame:
+    """Edges from roles to the hubs of their uris."""
+    return _edge(e.filter("is_role AND is_node"), "id", F.concat_ws("_", prefix(), "uri_id"), "REPRESENTS", F.create_map(F.lit("id_value"), F.col("uri_id"), F.lit("role_qname"), F.col("qname")))
+
+
+def association_edges(e: DataFrame) -> DataFrame:
+    """Edges from associations to what their children refer to; the first child in order is the source."""
+    parents = e.filter("is_assoc AND is_node").select("doc_id", F.col("ord").alias("parent_ord"), F.col("id").alias("assoc_id"))
+    ends = e.filter("sref IS NOT NULL OR suri IS NOT NULL OR sid IS NOT NULL").join(parents, ["doc_id", "parent_ord"])
+    first = F.min("ord").over(Window.partitionBy("doc_id", "assoc_id"))
+    ends = ends.withColumn("dst_id", F.concat_ws("_", prefix(), F.coalesce("sref", "uri_id", "sid"))).withColumn("direction", F.when(F.col("ord") == first, "source").otherwise("target"))
+    return _edge(ends, "assoc_id", F.col("dst_id"), "ASSOCIATED_WITH", F.create_map(F.lit("role_qname"), F.col("qname"), F.lit("direction"), F.col("direction")))
 
 
 def gather_props(props: DataFrame) -> DataFrame:
@@ -128,14 +161,26 @@ def reference_attributes(e: DataFrame) -> DataFrame:
     return _edge(one, "id", F.col("dst_id"), "REFERS_TO", F.create_map(F.lit("source_attribute"), F.col("a")), F.col("trust"))
 
 
-def build_graph(elements: DataFrame, objects: list[str] | None = None, associations: list[str] | None = None, sibling_ids: bool = True, close_containment: bool = True) -> Graph:
+def _issue(df: DataFrame, severity: str, rule: str, message: Column, context: Column | None = None) -> DataFrame:
+    none = F.lit(None)
+    return df.select(F.col("source_file").alias("file"), none.cast("int").alias("line"), none.cast("int").alias("col"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), message.alias("message"), (none if context is None else context).cast("string").alias("context"))
+
+
+def build_graph(
+    elements: DataFrame, objects: list[str] | None = None, associations: list[str] | None = None, sibling_ids: bool = True, close_containment: bool = True, extra_props: Callable[[DataFrame], DataFrame] | None = None
+) -> Graph:
     """The graph of all documents. All groupings and joins are by document, so equal ids of two uploads stay apart.
 
-    ``sibling_ids=False`` gives siblings of one name and no id a common id, and they merge.
+    ``sibling_ids=False`` gives siblings of one name and no id a common id, and they merge. ``extra_props`` gives more rows of
+    ``props`` from the classified elements, as the functions of ``operators.mapping`` do. Documents are shredded once: the
+    elements, and what they are found to be, are written before the tables are made of them.
     """
-    failed = elements.filter("error IS NOT NULL").select(F.col("source_file").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("col"), F.lit("error").alias("severity"), F.lit("parse").alias("rule"), F.col("error").alias("message"), F.lit(None).cast("string").alias("context"))
-    e = with_owner(classify(elements, objects, associations, sibling_ids))
+    elements = written(elements, "elements")
+    failed = _issue(elements.filter("error IS NOT NULL"), "error", "parse", F.col("error"))
+    e = written(with_owner(classify(elements, objects, associations, sibling_ids)), "classified")
     props = flatten_props(e)
+    if extra_props is not None:  # a mapped value may have the key that it has as a flattened one
+        props = props.unionByName(extra_props(e)).dropDuplicates(["doc_id", "id", "key", "ord", "value"])
     file_columns = ["source_file", "upload_id"]
     base = e.filter("is_node").select("doc_id", "id", to_label(F.col("qname")).alias("label"), "qname", "sid", "suri", "sref", F.col("parent_ord").isNull().alias("is_root"), "is_role", F.lit(False).alias("is_hub"), "is_assoc", F.lit(False).alias("is_unresolved"), *file_columns, "ord")
     roots = e.filter("parent_ord IS NULL").select("doc_id", F.col("id").alias("root_id"), *file_columns)
@@ -148,29 +193,25 @@ def build_graph(elements: DataFrame, objects: list[str] | None = None, associati
         contains = _edge(e.filter("is_node AND owner IS NOT NULL AND NOT is_assoc"), "owner", F.col("id"), "CONTAINS")
     else:
         contains = contains.unionByName(_edge(hubs.withColumn("ord", F.lit(-1)), "root_id", F.col("hub"), "CONTAINS"))
-    represents = _edge(e.filter("is_role AND is_node"), "id", F.concat_ws("_", prefix(), "uri_id"), "REPRESENTS", F.create_map(F.lit("id_value"), F.col("uri_id"), F.lit("role_qname"), F.col("qname")))
-    parents = e.filter("is_assoc AND is_node").select("doc_id", F.col("ord").alias("parent_ord"), F.col("id").alias("assoc_id"))
-    ends = e.filter("sref IS NOT NULL OR suri IS NOT NULL OR sid IS NOT NULL").join(parents, ["doc_id", "parent_ord"])
-    end_id = F.concat_ws("_", prefix(), F.coalesce("sref", "uri_id", "sid"))
-    direction = F.when(F.col("ord") == F.min("ord").over(_by("doc_id", "assoc_id")), "source").otherwise("target")
-    ends = ends.withColumn("dst_id", end_id).withColumn("direction", direction)
-    associated = _edge(ends, "assoc_id", F.col("dst_id"), "ASSOCIATED_WITH", F.create_map(F.lit("role_qname"), F.col("qname"), F.lit("direction"), F.col("direction")))
+    associated = association_edges(e)
     refs = e.filter("sref IS NOT NULL AND owner IS NOT NULL AND NOT owner_assoc").withColumn("dst_id", F.concat_ws("_", prefix(), "sref")).filter("owner <> dst_id")
     referred = _edge(refs, "owner", F.col("dst_id"), "REFERS_TO")
     nodes = merge_nodes(base.unionByName(hub_nodes))
-    wanted = associated.unionByName(referred).select("doc_id", F.col("dst").alias("id"), "source_file", "upload_id").distinct()
+    wanted = associated.unionByName(referred).groupBy("doc_id", F.col("dst").alias("id"), "source_file", "upload_id").agg(F.min_by(F.concat_ws(" ", "rel_type", F.lit("from"), "src"), F.struct("ord", "src")).alias("context"))
     lost = wanted.join(nodes.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
     unresolved = lost.select("doc_id", "id", F.lit("Unresolved").alias("label"), *[F.lit(None).cast("string").alias(c) for c in ("qname", "sid", "suri", "sref")], *[F.lit(v).alias(c) for c, v in (("is_root", False), ("is_role", False), ("is_hub", False), ("is_assoc", False), ("is_unresolved", True))], *file_columns, F.lit(-2).alias("ord"))
-    edges = merge_edges(contains.unionByName(represents).unionByName(associated).unionByName(referred).unionByName(reference_attributes(e)))
+    edges = merge_edges(contains.unionByName(represents(e)).unionByName(associated).unionByName(referred).unionByName(reference_attributes(e)))
     all_props = props.unionByName(hub_props)
     full = nodes.unionByName(unresolved).join(gather_props(all_props), ["doc_id", "id"], "left").withColumnRenamed("is_assoc", "is_association")
-    return Graph(full.withColumn("labels", F.array("label")), all_props, edges, failed)
-
+    twice = _issue(id_collisions(e), "warning", "id_collision", F.concat(F.lit("id "), "sid", F.lit(" is on "), F.array_join("qnames", ", ")))
+    missing = _issue(lost, "warning", "unresolved_reference", F.concat(F.lit("no element "), "id"), F.col("context"))
+    return Graph(full.withColumn("labels", F.array("label")), all_props, edges, failed.unionByName(twice).unionByName(missing))
 
-def _by(*columns: str):  # noqa: ANN202
-    from pyspark.sql import Window
 
-    return Window.partitionBy(*columns)
+def labelled_edges(graph: Graph) -> DataFrame:
+    """Edges with the labels of the nodes at their ends; null where there is no node."""
+    label = lambda c, name: graph.nodes.select("doc_id", F.col("id").alias(c), F.col("label").alias(name))
+    return graph.edges.join(label("src", "src_label"), ["doc_id", "src"], "left").join(label("dst", "dst_label"), ["doc_id", "dst"], "left")
 
 
 def merge_nodes(nodes: DataFrame, keys: tuple[str, ...] = ("doc_id", "id")) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgraph.scratch import written
 
 @dataclass
 class GraphResult:
@@ -66,14 +67,17 @@ def paths(edges: DataFrame, least: int, most: int, types: list[str] | None = Non
 
 
 def descendants(edges: DataFrame, types: list[str], roots: DataFrame) -> DataFrame:
-    """(root, id, depth) of all nodes below ``roots`` (id) over tree edges, as a recursive query of the session."""
-    spark = edges.sparkSession
-    edges.filter(F.col("rel_type").isin(types)).select("src", "dst").createOrReplaceTempView("docgraph_tree_edges")
-    roots.select("id").createOrReplaceTempView("docgraph_tree_roots")
-    return spark.sql(
-        "WITH RECURSIVE below(root, id, depth) AS (SELECT id, id, 0 FROM docgraph_tree_roots UNION ALL "
-        "SELECT b.root, e.dst, b.depth + 1 FROM below b JOIN docgraph_tree_edges e ON e.src = b.id) SELECT * FROM below"
-    )
+    """(root, id, depth) of all nodes below ``roots`` (id), each with its fewest steps: one written table a round, without
+    what was met before, so that cycles end and no number of rows is too large."""
+    tree = written(edges.filter(F.col("rel_type").isin(types)).select("src", "dst").distinct(), "tree")
+    last = written(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct(), "below")
+    seen, depth = last, 0
+    while not last.isEmpty():
+        depth += 1
+        step = last.select("root", F.col("id").alias("src")).join(tree, "src").select("root", F.col("dst").alias("id"), F.lit(depth).alias("depth")).distinct()
+        last = written(step.join(seen.select("root", "id"), ["root", "id"], "left_anti"), "below")
+        seen = seen.unionByName(last)
+    return seen
 
 
 def shortest(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 3) -> DataFrame:
@@ -125,12 +129,20 @@ def full_graph(nodes: DataFrame, edges: DataFrame, limit: int = 500, include_res
 
 
 def same_target_pairs(edges: DataFrame, names: DataFrame, types: list[str]) -> DataFrame:
-    """(target, a, b): sources of one name that point to one target, a before b."""
+    """(target, a, b): sources of one name that point to one target, a before b. As many rows as pairs: for targets of
+    unbounded degree take ``same_target_groups``."""
     e = edges.filter(F.col("rel_type").isin(types)).select("src", "dst").join(names.select(F.col("id").alias("src"), "qname"), "src")
     a, b = e.select("dst", "qname", F.col("src").alias("a")), e.select("dst", "qname", F.col("src").alias("b"))
     return a.join(b, ["dst", "qname"]).filter("a < b").select(F.col("dst").alias("target"), "a", "b")
 
 
+def same_target_groups(edges: DataFrame, names: DataFrame, types: list[str]) -> DataFrame:
+    """(target, qname, id, first): the members of each group of two or more sources of one name that point to one target."""
+    e = edges.filter(F.col("rel_type").isin(types)).select("src", "dst").join(names.select(F.col("id").alias("src"), "qname"), "src").distinct()
+    groups = e.groupBy("dst", "qname").agg(F.min("src").alias("first"), F.count("*").alias("n")).filter("n >= 2")
+    return e.join(groups, ["dst", "qname"]).select(F.col("dst").alias("target"), "qname", F.col("src").alias("id"), "first")
+
+
 def graph_schema(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(kind, name) of all labels and relationship types, in order."""
     labels = nodes.select(F.lit("label").alias("kind"), F.explode("labels").alias("name"))
@@ -144,6 +156,14 @@ def delete_upload(nodes: DataFrame, edges: DataFrame, upload_id: str) -> GraphRe
     return GraphResult(nodes.filter(F.col("upload_id").isNull() | (F.col("upload_id") != upload_id)), kept)
 
 
+def delete_counts(nodes: DataFrame, edges: DataFrame, upload_id: str) -> DataFrame:
+    """(nodes, edges): how many rows ``delete_upload`` takes."""
+    gone = nodes.filter(F.col("upload_id") == upload_id).select("id")
+    touched = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi")).distinct()
+    one = F.lit(1).alias("one")
+    return gone.agg(F.count("*").alias("nodes")).select("*", one).join(touched.agg(F.count("*").alias("edges")).select("*", one), "one").drop("one")
+
+
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys held by more than one row: what a uniqueness constraint would refuse."""
     return df.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import operator
+import re
 import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -76,50 +79,220 @@ class Reset:
         return nodes.limit(0), edges.limit(0)
 
 
+class Settings:
+    """Settings as an append-only Parquet table whose newest row counts; without one, the defaults do."""
+
+    SCHEMA = "skip_xml_validation boolean, skip_json_validation boolean, at timestamp"
+    DEFAULTS = {"skip_xml_validation": False, "skip_json_validation": False}
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _newest(self):  # noqa: ANN202
+        try:
+            rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except Exception as e:  # the table does not exist before the first entry
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        return rows.orderBy(F.desc("at")).first()
+
+    def get(self) -> dict[str, bool]:
+        row = self._newest()
+        return {k: v if row is None or row[k] is None else row[k] for k, v in self.DEFAULTS.items()}
+
+    def update(self, **values: bool) -> dict[str, bool]:
+        """Set the named settings, keep the others."""
+        unknown = set(values) - set(self.DEFAULTS)
+        if unknown:
+            raise KeyError(", ".join(sorted(unknown)))
+        new = self.get() | values
+        self.spark.range(1).select(*[F.lit(new[k]).alias(k) for k in self.DEFAULTS], F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(self.path)
+        return new
+
+    def initialize(self) -> None:
+        """Write the defaults if there is no entry yet."""
+        if self._newest() is None:
+            self.update()
+
+
+#: Keywords of JSON schemas that are read; those in the second set say nothing about a document.
+KEYWORDS = {
+    "type", "enum", "const", "required", "properties", "patternProperties", "additionalProperties", "propertyNames", "minProperties", "maxProperties", "items", "additionalItems", "contains", "minItems", "maxItems", "uniqueItems",
+    "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "allOf", "anyOf", "oneOf", "not", "if", "then", "else", "$ref", "dependencies",
+}
+SILENT = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "definitions", "$defs", "format", "readOnly", "writeOnly", "contentEncoding", "contentMediaType"}
+KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
+Issue = tuple[str, str, str]  # rule, message, path
+
+
+def check_schema(rule: object, path: str = "#") -> None:
+    """Refuse keywords and types that are not known, rather than pass over them."""
+    if isinstance(rule, bool):
+        return
+    if not isinstance(rule, dict):
+        raise ValueError(f"{path} is no schema")
+    unknown = set(rule) - KEYWORDS - SILENT
+    if unknown and "$ref" not in rule:
+        raise ValueError(f"{path}: {', '.join(sorted(unknown))} not supported")
+    types = rule.get("type", [])
+    for kind in [types] if isinstance(types, str) else types:
+        if kind not in KINDS:
+            raise ValueError(f"{path}: no type {kind}")
+    for word in ("properties", "patternProperties", "definitions", "$defs"):
+        for name, below in rule.get(word, {}).items():
+            check_schema(below, f"{path}/{word}/{name}")
+    for word in ("allOf", "anyOf", "oneOf"):
+        for k, below in enumerate(rule.get(word, [])):
+            check_schema(below, f"{path}/{word}/{k}")
+    for word in ("additionalProperties", "propertyNames", "contains", "not", "if", "then", "else", "additionalItems"):
+        if word in rule:
+            check_schema(rule[word], f"{path}/{word}")
+    items = rule.get("items", True)
+    for below in items if isinstance(items, list) else [items]:
+        check_schema(below, f"{path}/items")
+
+
+def _is(value: object, kind: str) -> bool:
+    if kind in ("integer", "number"):
+        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+    return isinstance(value, KINDS[kind])
+
+
+def _same(a: object, b: object) -> bool:
+    return json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
+
+
+def json_issues(value: object, rule: object, root: dict, path: str = "") -> Iterator[Issue]:
+    """All issues of ``value`` against a Draft 7 schema. References are to places in the schema itself."""
+    if isinstance(rule, bool):
+        if not rule:
+            yield "false schema", "is not allowed", path
+        return
+    if "$ref" in rule:
+        below: object = root
+        for part in rule["$ref"].lstrip("#").strip("/").split("/") if rule["$ref"] != "#" else []:
+            below = below[part.replace("~1", "/").replace("~0", "~")]  # type: ignore[index]
+        yield from json_issues(value, below, root, path)
+        return
+    passes = lambda v, r: next(json_issues(v, r, root), None) is None
+    types = rule.get("type")
+    if types and not any(_is(value, k) for k in ([types] if isinstance(types, str) else types)):
+        yield "type", f"is not of type {types}", path
+    if "enum" in rule and not any(_same(value, v) for v in rule["enum"]):
+        yield "enum", "is not one of the listed values", path
+    if "const" in rule and not _same(value, rule["const"]):
+        yield "const", "is not the one value", path
+    for r in rule.get("allOf", []):
+        yield from json_issues(value, r, root, path)
+    for word, fits in (("anyOf", lambda n: n >= 1), ("oneOf", lambda n: n == 1)):
+        if word in rule and not fits(sum(passes(value, r) for r in rule[word])):
+            yield word, "is not valid under the given schemas", path
+    if "not" in rule and passes(value, rule["not"]):
+        yield "not", "is valid under a schema that must not hold", path
+    if "if" in rule:
+        yield from json_issues(value, rule.get("then" if passes(value, rule["if"]) else "else", True), root, path)
+    if isinstance(value, dict):
+        yield from _object_issues(value, rule, root, path)
+    elif isinstance(value, list):
+        yield from _array_issues(value, rule, root, path)
+    elif isinstance(value, str):
+        if len(value) < rule.get("minLength", 0) or len(value) > rule.get("maxLength", len(value)):
+            yield "length", "is too short or too long", path
+        if "pattern" in rule and not re.search(rule["pattern"], value):
+            yield "pattern", f"does not match {rule['pattern']}", path
+    elif isinstance(value, int | float) and not isinstance(value, bool):
+        for word, holds in (("minimum", operator.ge), ("maximum", operator.le), ("exclusiveMinimum", operator.gt), ("exclusiveMaximum", operator.lt)):
+            if word in rule and not holds(value, rule[word]):
+                yield word, f"is against {word} {rule[word]}", path
+        if "multipleOf" in rule and not float(value / rule["multipleOf"]).is_integer():
+            yield "multipleOf", f"is no multiple of {rule['multipleOf']}", path
+
+
+def _object_issues(value: dict, rule: dict, root: dict, path: str) -> Iterator[Issue]:
+    for name in rule.get("required", []):
+        if name not in value:
+            yield "required", f"{name} is missing", path
+    if not rule.get("minProperties", 0) <= len(value) <= rule.get("maxProperties", len(value)):
+        yield "properties", "has too few or too many properties", path
+    for name, needs in rule.get("dependencies", {}).items():
+        if name in value:
+            if isinstance(needs, list):
+                needs = {"required": needs}
+            yield from json_issues(value, needs, root, path)
+    named, patterns = rule.get("properties", {}), rule.get("patternProperties", {})
+    for name, v in value.items():
+        here = f"{path}/{name}"
+        if "propertyNames" in rule:
+            yield from json_issues(name, rule["propertyNames"], root, here)
+        if name in named:
+            yield from json_issues(v, named[name], root, here)
+        matched = [r for p, r in patterns.items() if re.search(p, name)]
+        for r in matched:
+            yield from json_issues(v, r, root, here)
+        if name not in named and not matched and "additionalProperties" in rule:
+            if rule["additionalProperties"] is False:
+                yield "additionalProperties", f"{name} is not expected", path
+            else:
+                yield from json_issues(v, rule["additionalProperties"], root, here)
+
+
+def _array_issues(value: list, rule: dict, root: dict, path: str) -> Iterator[Issue]:
+    if not rule.get("minItems", 0) <= len(value) <= rule.get("maxItems", len(value)):
+        yield "items", "has too few or too many items", path
+    if rule.get("uniqueItems") and len({json.dumps(v, sort_keys=True) for v in value}) < len(value):
+        yield "uniqueItems", "has equal items", path
+    if "contains" in rule and not any(next(json_issues(v, rule["contains"], root), None) is None for v in value):
+        yield "contains", "has no item that fits", path
+    items = rule.get("items", True)
+    for k, v in enumerate(value):
+        r = items if not isinstance(items, list) else items[k] if k < len(items) else rule.get("additionalItems", True)
+        yield from json_issues(v, r, root, f"{path}/{k}")
+
+
 def validate_json(docs: DataFrame, schema: dict) -> DataFrame:
-    """Issues of JSON documents against the parts of a JSON schema that are named here: type, required, properties, items, enum.
+    """All issues of JSON documents against a Draft 7 schema: file, severity, rule, message, context (path).
 
-    One row an issue: file, severity, rule, message, context (path). Text that is no JSON gives one issue.
+    Keywords that are not known are refused, formats are not checked. Text that is no JSON gives one issue. One small
+    function a document; Spark deals the documents out.
     """
-    import json
-
-    kinds = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
-
-    def fits(value: object, kind: str) -> bool:
-        if kind in ("integer", "number"):
-            return isinstance(value, int if kind == "integer" else int | float) and not isinstance(value, bool)
-        return isinstance(value, kinds[kind])
-
-    def walk(value: object, rule: dict, path: str) -> Iterator[tuple[str, str, str]]:
-        wanted = rule.get("type")
-        if wanted and not any(fits(value, k) for k in ([wanted] if isinstance(wanted, str) else wanted)):
-            yield "type", f"is not of type {wanted}", path
-            return
-        if "enum" in rule and value not in rule["enum"]:
-            yield "enum", "is not one of the listed values", path
-        if isinstance(value, dict):
-            for name in rule.get("required", []):
-                if name not in value:
-                    yield "required", f"{name} is missing", path
-            for name, below in rule.get("properties", {}).items():
-                if name in value:
-                    yield from walk(value[name], below, f"{path}/{name}")
-        if isinstance(value, list) and isinstance(rule.get("items"), dict):
-            for k, v in enumerate(value):
-                yield from walk(v, rule["items"], f"{path}/{k}")
+    check_schema(schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for d in b.itertuples(index=False):
                 try:
-                    found = list(walk(json.loads(d.content or ""), schema, ""))
+                    found = list(json_issues(json.loads(d.content or ""), schema, schema))
                 except ValueError as e:
                     found = [("syntax", str(e), "")]
                 out += [(d.source_file, "error", rule, message, path) for rule, message, path in found]
             yield pd.DataFrame(out, columns=["file", "severity", "rule", "message", "context"])
 
-    return docs.select("source_file", "content").mapInPandas(run, "file string, severity string, rule string, message string, context string")
+    rows = docs.select("source_file", F.col("content").cast("string").alias("content"))
+    return rows.mapInPandas(run, "file string, severity string, rule string, message string, context string")
+
+
+#: Metadata that belongs into the reference objects of a message schema, and the names around them.
+METADATA, REFERENCES, REFERENCES_TYPE, MESSAGE_PREFIX = ("nc:Metadata", "priv:PrivacyMetadata"), "exch:ReferenceObjects", "exch:ReferenceObjectType", "exch:"
+
+
+def with_reference_objects(schema: dict) -> dict:
+    """A copy of a message's JSON schema in which metadata beside other properties has moved into its reference objects."""
+    out = json.loads(json.dumps(schema))
+    definitions = out.get("definitions", {})
+    moved: dict = {}
+    for name, definition in definitions.items():
+        own = definition.get("properties", {}) if isinstance(definition, dict) else {}
+        meta = [m for m in METADATA if m in own]
+        if MESSAGE_PREFIX in name and name != REFERENCES_TYPE and meta and len(own) > len(meta):
+            moved |= {m: own.pop(m) for m in meta}
+            own.setdefault(REFERENCES, {"$ref": f"#/properties/{REFERENCES}"})
+    if moved:
+        about = "Objects that stand by reference alone."
+        definitions.setdefault(REFERENCES_TYPE, {"description": about, "type": "object"}).setdefault("properties", {}).update(moved)
+        out.setdefault("properties", {}).setdefault(REFERENCES, {"description": about, "$ref": f"#/definitions/{REFERENCES_TYPE}"})
+    return out
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def _without(test, *parts: str):  # noqa: ANN001, ANN202
     return lambda k: test(k) & ~F.lower(k).rlike("|".join(parts))
 
 
-#: Feature -> test of a property key. The first key in order that passes gives the value, the entity's own keys first.
+#: Feature -> test of a property key. The first key in order that passes gives the value, the entity's own keys first.
 FEATURES = {
     "full_name": _either(_ends("PersonFullName", "OrganizationName"), _has("fullname", "organizationname")),
     "given_name": _either(_ends("PersonGivenName"), _has("givenname", "firstname")),
@@ -102,12 +102,18 @@ def text_clusters(entities: DataFrame, least: int = 2) -> tuple[DataFrame, DataF
     return clusters, members
 
 
-def lift_edges(edges: DataFrame, members: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """(src, dst, rel_type, original_ids): edges between members as edges between their clusters, without RESOLVED_TO."""
+def lifted_members(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(src, dst, rel_type, edge): each edge between members, without RESOLVED_TO, with the clusters at its ends."""
     a = members.select(F.col("node_id").alias("src"), F.col("entity_id").alias("a"))
     b = members.select(F.col("node_id").alias("dst"), F.col("entity_id").alias("b"))
     ident = F.sha1(F.concat_ws("|", "src", "rel_type", "dst"))
-    out = edges.filter("rel_type <> 'RESOLVED_TO'").withColumn("edge", ident).join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst"), "rel_type").agg(F.array_sort(F.collect_set("edge")).alias("original_ids"))
+    return edges.filter("rel_type <> 'RESOLVED_TO'").withColumn("edge", ident).join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "rel_type", "edge").distinct()
+
+
+def lift_edges(edges: DataFrame, members: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(src, dst, rel_type, n): edges between members as edges between their clusters, and how many each stands for; which
+    ones they are is ``lifted_members``."""
+    out = lifted_members(edges, members).groupBy("src", "dst", "rel_type").agg(F.count("*").alias("n"))
     return out if existing is None else out.join(existing.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
@@ -116,8 +122,9 @@ def discover_types(nodes: DataFrame, edges: DataFrame, skip: list[str] | None =
     related = related_props(nodes, edges, 2)
     keyed = nodes.filter(F.col("qname").isNotNull() & ~F.col("qname").isin(skip or COMPONENTS)).join(related, "id", "left")
     empty = F.create_map().cast("map<string,string>")
-    all_keys = F.array_union(F.map_keys(F.coalesce("props", empty)), F.map_keys(F.coalesce("related", empty)))
-    one = keyed.groupBy("qname").agg(F.countDistinct("id").alias("entities"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(all_keys)))).alias("keys"))
+    held = keyed.select("qname", F.explode(F.array_union(F.map_keys(F.coalesce("props", empty)), F.map_keys(F.coalesce("related", empty)))).alias("key")).distinct()
+    sets = held.groupBy("qname").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # as many as the type has properties
+    one = keyed.groupBy("qname").agg(F.countDistinct("id").alias("entities")).join(sets, "qname")
     counted = ["full_name", "given_name", "ssn", "driver_license", "person_id", "birth_date", "address", "phone", "email"]
     n = sum((F.exists("keys", FEATURES[f]).cast("int") for f in counted), F.lit(0))
     kind = scalars.category(F.col("qname"))
@@ -225,11 +232,62 @@ def scored_clusters(entities: DataFrame, scoring: Scoring | None = None) -> Data
     return parts.select(scalars.cluster_id(F.col("component"), "SE_").alias("entity_id"), F.col("id").alias("node_id"))
 
 
+def quality(score: Column, high: float = 14.0, medium: float = 10.0) -> Column:
+    return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
+
+
 def match_details(links: DataFrame) -> DataFrame:
     """(kind, name, n): quality of links, and the ten commonest match keys."""
-    quality = links.select(F.when(F.col("score") >= 14, "high").when(F.col("score") >= 10, "medium").otherwise("low").alias("name")).groupBy("name").count().select(F.lit("quality").alias("kind"), "name", F.col("count").alias("n"))
+    bands = links.select(quality(F.col("score")).alias("name")).groupBy("name").count().select(F.lit("quality").alias("kind"), "name", F.col("count").alias("n"))
     top = links.groupBy(F.col("match_key").alias("name")).count().orderBy(F.desc("count"), "name").limit(10).select(F.lit("match_key").alias("kind"), "name", F.col("count").alias("n"))
-    return quality.unionByName(top)
+    return bands.unionByName(top)
+
+
+@dataclass
+class Resolution:
+    """What a run of entity resolution made: counters, and the tables where it came so far."""
+
+    status: str
+    message: str
+    counts: dict[str, int]
+    clusters: DataFrame | None = None
+    members: DataFrame | None = None
+    lifted: DataFrame | None = None
+
+
+def run_resolution(nodes: DataFrame, edges: DataFrame, qnames: list[str], scoring: Scoring | None = None) -> Resolution:
+    """Extract, group, cluster, lift, in this order; ends early without types, without entities or without groups.
+
+    Names decide (``text_clusters``), or, where ``scoring`` is given, weighted features (``scored_clusters``).
+    """
+    counts = dict.fromkeys(("entities_extracted", "duplicate_groups", "clusters_created", "relationships_created", "entities_resolved"), 0)
+    if not qnames:
+        return Resolution("error", "no node types are selected", counts)
+    entities = written(extract_features(nodes, edges, qnames), "entities")
+    counts["entities_extracted"] = entities.count()
+    if not counts["entities_extracted"]:
+        return Resolution("success", "no entities of the selected types", counts)
+    if scoring is None:
+        clusters, members = text_clusters(entities)
+    else:
+        members = scored_clusters(entities, scoring)
+        clusters = members.groupBy("entity_id").agg(F.count("*").alias("resolved_count"))
+    clusters, members = written(clusters, "clusters"), written(members, "members")
+    counts["duplicate_groups"] = counts["clusters_created"] = clusters.count()
+    if not counts["clusters_created"]:
+        return Resolution("success", "all entities are unique", counts)
+    lifted = written(lift_edges(edges, members), "lifted")
+    counts["entities_resolved"] = members.count()
+    counts["relationships_created"] = counts["entities_resolved"] + lifted.count()
+    return Resolution("success", f"{counts['entities_resolved']} entities in {counts['clusters_created']} clusters", counts, clusters, members, lifted)
+
+
+def status(nodes: DataFrame, clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: entity nodes, clusters, resolved entities."""
+    one = F.lit(1).alias("one")
+    n = nodes.agg(F.count("*").alias("nodes")).select("*", one)
+    c = clusters.agg(F.count("*").alias("clusters")).select("*", one)
+    return n.join(c, "one").join(members.agg(F.countDistinct("node_id").alias("resolved")).select("*", one), "one").drop("one")
 
 
 def matcher_records(nodes: DataFrame, mapping: dict[str, str], lists: list[str], data_source: str = "GRAPH") -> DataFrame:

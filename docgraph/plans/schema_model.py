@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Built-in types by the scalar kind they stand for.
 SCALAR_KINDS = {
-    "integer": "integer int long short byte nonNegativeInteger positiveInteger negativeInteger nonPositiveInteger unsignedInt unsignedLong unsignedShort unsignedByte",
-    "decimal": "decimal double float", "boolean": "boolean", "date": "date dateTime time gYear gYearMonth gMonth gMonthDay gDay duration",
+    "integer": ["integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong", "unsignedShort", "unsignedByte"],
+    "decimal": ["decimal", "double", "float"], "boolean": ["boolean"], "date": ["date", "dateTime", "time", "gYear", "gYearMonth", "gMonth", "gMonthDay", "gDay", "duration"],
 }
 
 
@@ -65,7 +65,7 @@ def classify_types(type_table: DataFrame) -> DataFrame:
     pairs = type_table.filter("base IS NOT NULL").select(local(F.col("name")).alias("child"), local(F.col("base")).alias("parent"))
     out, value = None, F.col("ancestor")
     for kind, names in SCALAR_KINDS.items():
-        test = value.isin(names.split())
+        test = value.isin(names)
         out = F.when(test, kind) if out is None else out.when(test, kind)
     ends = closure(pairs).withColumn("kind", out).groupBy(F.col("child").alias("name")).agg(F.min_by("kind", F.when(F.col("kind").isNotNull(), F.col("steps"))).alias("kind"))
     return type_table.select(local(F.col("name")).alias("name")).distinct().join(ends, "name", "left").select("name", F.coalesce("kind", F.lit("string")).alias("kind"))
@@ -133,9 +133,59 @@ def check_imports(elements: DataFrame) -> DataFrame:
 
 def model_classes(elements: DataFrame) -> DataFrame:
     """(id, name, base, is_association, n_properties) of the Class entries of a model document."""
-    c = elements.filter(local(F.col("qname")) == "Class").select("doc_id", "ord", F.col("sid").alias("id"))
+    c = elements.filter((local(F.col("qname")) == "Class") & F.col("sid").isNotNull()).select("doc_id", "ord", F.col("sid").alias("id"))
     child = elements.select("doc_id", F.col("parent_ord").alias("ord"), local(F.col("qname")).alias("part"), "text", "sref", F.coalesce("sref", "text").alias("value"))
     own = c.join(child, ["doc_id", "ord"], "left").groupBy("doc_id", "ord", "id").agg(
         F.max(F.when(F.col("part") == "Name", F.col("text"))).alias("name"), F.max(F.when(F.col("part").isin("ExtensionOfClass", "SubClassOf"), F.col("value"))).alias("base"), F.count_if(F.col("part").isin("HasProperty", "ChildPropertyAssociation")).alias("n_properties")
     )
     return own.select("id", "name", "base", F.coalesce(F.col("base").endswith("AssociationType"), F.lit(False)).alias("is_association"), "n_properties")
+
+
+def model_members(elements: DataFrame) -> DataFrame:
+    """(owner_id, owner_kind, property_id, is_object, min_occurs, max_occurs): properties that classes, datatypes and restrictions
+    of a model document hold, in order."""
+    owners = elements.filter(local(F.col("qname")).isin("Class", "Datatype", "Restriction")).select("doc_id", F.col("ord").alias("o_ord"), F.col("sid").alias("owner_id"), local(F.col("qname")).alias("owner_kind"))
+    held = elements.filter(local(F.col("qname")).isin("HasProperty", "ChildPropertyAssociation")).select("doc_id", F.col("ord").alias("m_ord"), F.explode("path").alias("o_ord"))
+    parts = elements.select("doc_id", F.col("parent_ord").alias("m_ord"), local(F.col("qname")).alias("part"), F.coalesce("sref", "text").alias("value"))
+    one = lambda *names: F.max(F.when(F.col("part").isin(*names), F.col("value")))
+    got = held.join(owners, ["doc_id", "o_ord"]).join(parts, ["doc_id", "m_ord"]).groupBy("doc_id", "m_ord", "owner_id", "owner_kind").agg(one("DataProperty").alias("data"), one("ObjectProperty").alias("object"), one("MinOccursQuantity").alias("min_occurs"), one("MaxOccursQuantity").alias("max_occurs"))
+    return got.select("owner_id", "owner_kind", F.coalesce("object", "data").alias("property_id"), F.col("object").isNotNull().alias("is_object"), "min_occurs", "max_occurs", F.col("m_ord").alias("ord")).filter("property_id IS NOT NULL")
+
+
+def model_properties(elements: DataFrame) -> DataFrame:
+    """(id, name, is_object, type_id): the data and object properties of a model document with their datatype or class."""
+    p = elements.filter(local(F.col("qname")).isin("DataProperty", "ObjectProperty") & F.col("sid").isNotNull()).select("doc_id", F.col("ord").alias("p_ord"), F.col("sid").alias("id"), (local(F.col("qname")) == "ObjectProperty").alias("is_object"))
+    parts = elements.select("doc_id", F.col("parent_ord").alias("p_ord"), local(F.col("qname")).alias("part"), F.coalesce("sref", "text").alias("value"))
+    one = lambda *names: F.max(F.when(F.col("part").isin(*names), F.col("value")))
+    return p.join(parts, ["doc_id", "p_ord"], "left").groupBy("doc_id", "id", "is_object").agg(one("Name").alias("name"), one("Datatype", "Class").alias("type_id")).drop("doc_id")
+
+
+def model_prefixes(elements: DataFrame) -> DataFrame:
+    """(prefix, uri) of the namespaces of a model document."""
+    n = elements.filter(local(F.col("qname")) == "Namespace").select("doc_id", "ord")
+    parts = elements.select("doc_id", F.col("parent_ord").alias("ord"), local(F.col("qname")).alias("part"), "text")
+    one = lambda *names: F.max(F.when(F.col("part").isin(*names), F.col("text")))
+    return n.join(parts, ["doc_id", "ord"]).groupBy("doc_id", "ord").agg(one("NamespacePrefixText", "NamespacePrefix").alias("prefix"), one("NamespaceURI").alias("uri")).select("prefix", "uri")
+
+
+def datatype_classes(elements: DataFrame) -> DataFrame:
+    """(id, n_children, kind) of datatypes and restrictions: COMPLEX with two properties or more, WRAPPER with one, else SIMPLE."""
+    t = elements.filter(local(F.col("qname")).isin("Datatype", "Restriction") & F.col("sid").isNotNull()).select(F.col("sid").alias("id")).distinct()
+    n = model_members(elements).filter("owner_kind <> 'Class'").groupBy(F.col("owner_id").alias("id")).agg(F.count("*").alias("n"))
+    count = F.coalesce("n", F.lit(0))
+    return t.join(n, "id", "left").select("id", count.alias("n_children"), F.when(count > 1, "COMPLEX").when(count == 1, "WRAPPER").otherwise("SIMPLE").alias("kind"))
+
+
+def scalar_paths(elements: DataFrame, most: int = 3) -> DataFrame:
+    """(class_id, path, depth): the data properties of classes, those of wrappers and complex datatypes followed down to values
+    in ``most`` steps; names are qualified, joined by /."""
+    members_, props = model_members(elements), model_properties(elements).filter("NOT is_object")
+    kinds = datatype_classes(elements).select(F.col("id").alias("type_id"), "kind")
+    named = props.select(F.col("id").alias("property_id"), F.regexp_replace("id", r"^([^.]+)\.", "$1:").alias("step"), "type_id").join(kinds, "type_id", "left").withColumn("kind", F.coalesce("kind", F.lit("SIMPLE")))
+    now = members_.filter("owner_kind = 'Class' AND NOT is_object").select(F.col("owner_id").alias("class_id"), "property_id").join(named, "property_id").select("class_id", F.col("step").alias("path"), "type_id", "kind")
+    below = members_.filter("owner_kind <> 'Class' AND NOT is_object").select(F.col("owner_id").alias("type_id"), "property_id").join(named.select("property_id", "step", F.col("type_id").alias("next_id"), F.col("kind").alias("next_kind")), "property_id")
+    out = now.filter("kind = 'SIMPLE'").select("class_id", "path", F.lit(1).alias("depth"))
+    for depth in range(2, most + 1):
+        now = now.filter("kind <> 'SIMPLE'").join(below, "type_id").select("class_id", F.concat_ws("/", "path", "step").alias("path"), F.col("next_id").alias("type_id"), F.col("next_kind").alias("kind"))
+        out = out.unionByName(now.filter("kind = 'SIMPLE'").select("class_id", "path", F.lit(depth).alias("depth")))
+    return out.distinct()

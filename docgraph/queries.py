@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions import scalars
-from docgraph.operators import build, graph, resolve
+from docgraph.operators import build, graph, mapping, reports, resolve
+from docgraph.plans import entity_types
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -37,6 +38,13 @@ def _id(kind: str, key: Column | str) -> Column:
     return F.concat(F.lit(kind), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
+def _elements(rows: DataFrame, file: str, **columns: Column) -> DataFrame:
+    """Rows as classified elements of one file: the given columns, and defaults for the others that edges are made of."""
+    default = {"doc_id": F.lit("d"), "source_file": F.lit(file), "upload_id": F.lit("u"), "ord": F.lit(0), "parent_ord": F.lit(None).cast("int"), "is_role": F.lit(True), "is_node": F.lit(True), "is_assoc": F.lit(False), "is_nil": F.lit(False)}
+    default |= {c: F.lit(None).cast("string") for c in ("id", "qname", "uri_id", "sid", "sref", "suri")}
+    return rows.select(*[columns.get(c, default[c]).alias(c) for c in default])
+
+
 def contains(spark: SparkSession, d: str) -> DataFrame:
     """CONTAINS edges region -> nation -> customer -> order."""
     n = _t(spark, d, "nation").select(_id("r", "n_regionkey").alias("src"), _id("n", "n_nationkey").alias("dst"))
@@ -88,7 +96,7 @@ def _part_links(spark: SparkSession, d: str) -> DataFrame:
 )
 def er_edge_lift(spark: SparkSession, d: str) -> DataFrame:
     _, members = resolve.text_clusters(part_entities(spark, d))
-    return resolve.lift_edges(_part_links(spark, d), members).select("src", "dst", "rel_type", F.size("original_ids").cast("long").alias("n"))
+    return resolve.lift_edges(_part_links(spark, d), members)
 
 
 @query(f"WITH {KEYED} SELECT match_key, count(DISTINCT p_brand) AS n_sources FROM keyed GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT p_brand) > 1")
@@ -107,13 +115,13 @@ def hub_detection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'e' || event_id AS src, 'Entity_' || user_id AS dst, CAST(user_id AS VARCHAR) AS id_value, event_type AS role_qname FROM events
+    """SELECT 'e' || event_id AS src, substr(sha1('events_u'), 1, 8) || '_' || user_id AS dst, CAST(user_id AS VARCHAR) AS id_value, event_type AS role_qname FROM events
     WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 2)"""
 )
 def represents_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "events")
-    hubs = e.groupBy("user_id").count().filter("count >= 2").select("user_id")
-    return e.join(hubs, "user_id", "left_semi").select(_id("e", "event_id").alias("src"), F.concat(F.lit("Entity_"), F.col("user_id").cast("string")).alias("dst"), F.col("user_id").cast("string").alias("id_value"), F.col("event_type").alias("role_qname"))
+    e = _elements(_t(spark, d, "events"), "events", id=_id("e", "event_id"), uri_id=F.col("user_id").cast("string"), qname=F.col("event_type"), ord=F.col("event_id").cast("int"))
+    hubs = build.find_hubs(e).select("doc_id", "uri_id")
+    return build.represents(e.join(hubs, ["doc_id", "uri_id"], "left_semi")).select("src", "dst", F.col("props")["id_value"].alias("id_value"), F.col("props")["role_qname"].alias("role_qname"))
 
 
 @query(
@@ -184,15 +192,20 @@ def same_role_pairs(spark: SparkSession, d: str) -> DataFrame:
     return graph.same_target_pairs(edges, s.select(_id("s", "s_suppkey").alias("id"), F.lit("supplier").alias("qname")), ["REFERS_TO"])
 
 
-ENDPOINTS = """SELECT 'l' || l_orderkey || '_' || l_linenumber AS src, 'o' || l_orderkey AS dst, 'order' AS role_qname, 'source' AS direction FROM lineitem
-UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber, 'p' || l_partkey, 'part', 'target' FROM lineitem
-UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber, 's' || l_suppkey, 'supplier', 'target' FROM lineitem"""
+ENDPOINTS = """SELECT 'l' || l_orderkey || '_' || l_linenumber AS src, substr(sha1('lineitem_u'), 1, 8) || '_o' || l_orderkey AS dst, 'order' AS role_qname, 'source' AS direction FROM lineitem
+UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber, substr(sha1('lineitem_u'), 1, 8) || '_p' || l_partkey, 'part', 'target' FROM lineitem
+UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber, substr(sha1('lineitem_u'), 1, 8) || '_s' || l_suppkey, 'supplier', 'target' FROM lineitem"""
 
 
 def association_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Each line as a document: an association whose children refer to order, part and supplier."""
+    line = F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
+    child = lambda n, name, kind, key: F.struct(F.lit(n).alias("n"), F.lit(name).alias("name"), _id(kind, key).alias("ref"))
     li = _t(spark, d, "lineitem")
-    ends = F.explode(F.array(*[F.struct(_id(k, c).alias("dst"), F.lit(r).alias("role_qname"), F.lit(w).alias("direction")) for k, c, r, w in (("o", "l_orderkey", "order", "source"), ("p", "l_partkey", "part", "target"), ("s", "l_suppkey", "supplier", "target"))]))
-    return li.select(F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("src"), ends.alias("e")).select("src", "e.*")
+    rows = li.select(F.xxhash64(*li.columns).cast("string").alias("doc"), line.alias("line"), F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("line").alias("name"), F.lit(None).cast("string").alias("ref")), child(1, "order", "o", "l_orderkey"), child(2, "part", "p", "l_partkey"), child(3, "supplier", "s", "l_suppkey"))).alias("x"))
+    top = F.col("x.n") == 0
+    e = _elements(rows, "lineitem", doc_id=F.col("doc"), id=F.when(top, F.col("line")), qname=F.col("x.name"), sref=F.col("x.ref"), ord=F.col("x.n"), parent_ord=F.when(~top, 0), is_assoc=top, is_node=top)
+    return build.association_edges(e).select("src", "dst", F.col("props")["role_qname"].alias("role_qname"), F.col("props")["direction"].alias("direction"))
 
 
 @query(ENDPOINTS)
@@ -230,9 +243,9 @@ def upload_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_orderkey, 'syn_' || substr(sha1('orders|' || o_custkey || '|' || o_orderkey), 1, 16) AS id, substr(sha1('orders' || '_' || o_orderpriority), 1, 8) AS prefix FROM orders")
 def synthetic_ids(spark: SparkSession, d: str) -> DataFrame:
-    o = _t(spark, d, "orders")
+    o = _t(spark, d, "orders").select("*", F.lit("orders").alias("source_file"), F.col("o_orderpriority").alias("upload_id"))
     spot = F.concat_ws("|", F.lit("orders"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))
-    return o.select("o_orderkey", F.concat(F.lit("syn_"), F.substring(F.sha1(spot), 1, 16)).alias("id"), F.substring(F.sha1(F.concat_ws("_", F.lit("orders"), "o_orderpriority")), 1, 8).alias("prefix"))
+    return o.select("o_orderkey", build.synthetic_id(spot).alias("id"), build.prefix().alias("prefix"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -250,9 +263,9 @@ def markup_attrs(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r'\s([a-z-]+)="'), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, 'conversation__turn__' || role AS key, count(*) AS n FROM conversations GROUP BY 1, 2")
+@query("SELECT conv_id, 'c_conversation__c_turn__' || role AS key, count(*) AS n FROM conversations GROUP BY 1, 2")
 def flatten_keys(spark: SparkSession, d: str) -> DataFrame:
-    key = F.array_join(F.array(F.lit("conversation"), F.lit("turn"), F.col("role")), "__")
+    key = build.flat_key(F.array(F.lit("c:conversation"), F.lit("c.turn"), F.col("role")))
     return _t(spark, d, "conversations").groupBy("conv_id", key.alias("key")).agg(F.count("*").alias("n"))
 
 
@@ -264,8 +277,8 @@ def repeat_collect(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1")
 def first_wins_merge(spark: SparkSession, d: str) -> DataFrame:
-    first = _t(spark, d, "orders").groupBy("o_custkey").agg(F.min_by(F.struct("o_orderkey", "o_orderpriority"), "o_orderkey").alias("x"))
-    return first.select("o_custkey", "x.o_orderkey", "x.o_orderpriority")
+    rows = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", F.col("o_orderkey").alias("ord"))
+    return build.merge_nodes(rows, ("o_custkey",)).drop("ord")
 
 
 @query(
@@ -279,8 +292,9 @@ def key_suffix_extract(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) FILTER (value >= 80) AS high, count(*) FILTER (value >= 40 AND value < 80) AS medium, count(*) FILTER (value < 40) AS low FROM events GROUP BY 1")
 def match_quality_hist(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("value")
-    return _t(spark, d, "events").groupBy("event_type").agg(F.count_if(v >= 80).alias("high"), F.count_if((v >= 40) & (v < 80)).alias("medium"), F.count_if(v < 40).alias("low"))
+    band = resolve.quality(F.col("value"), 80, 40)
+    rows = _t(spark, d, "events").filter("value IS NOT NULL").groupBy("event_type", band.alias("band")).agg(F.count("*").alias("n"))
+    return rows.groupBy("event_type").pivot("band", ["high", "medium", "low"]).agg(F.sum("n")).fillna(0)
 
 
 @query(f"WITH {KEYED} SELECT match_key, count(*) AS n FROM keyed GROUP BY 1 ORDER BY n DESC, match_key LIMIT 10")
@@ -345,9 +359,9 @@ def setops_intersect(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(_t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 def setops_except(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(_t(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+    return _t(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(_t(spark, d, "orders").select(F.col("o_custkey").alias("k")))
 
 
 @query("SELECT o_custkey, o_orderkey, first_value(o_orderkey) OVER w AS first_order, row_number() OVER w AS place FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
@@ -448,15 +462,122 @@ def json_valid_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH k AS (SELECT 'p' || p_partkey AS id, replace(lower(trim(p_name)), ' ', '_') AS name, p_brand FROM part WHERE trim(p_name) <> '' AND trim(p_brand) <> ''),
-    g AS (SELECT name, p_brand, min(id) AS first FROM k GROUP BY 1, 2 HAVING count(*) > 1) SELECT k.id AS node_id, 'SE_' || substr(sha256(first), 1, 12) AS entity_id FROM k JOIN g USING (name, p_brand)"""
+    """WITH RECURSIVE k AS (SELECT 'p' || p_partkey AS id, replace(lower(trim(p_name)), ' ', '_') AS name, trim(p_brand) AS brand FROM part WHERE trim(p_name) <> '' AND trim(p_brand) <> ''),
+    s AS (SELECT name, brand, min(id) AS id, count(*) AS n FROM k GROUP BY 1, 2), e AS (SELECT a.id AS u, b.id AS v FROM s a JOIN s b ON a.brand = b.brand AND a.id <> b.id AND levenshtein(a.name, b.name) <= 2),
+    r AS (SELECT id AS root, id FROM s UNION SELECT r.root, e.v FROM r JOIN e ON r.id = e.u), c AS (SELECT root, min(r.id) AS component, sum(s.n) AS size FROM r JOIN s ON s.id = r.id GROUP BY root)
+    SELECT k.id AS node_id, 'SE_' || substr(sha256(component), 1, 12) AS entity_id FROM k JOIN s USING (name, brand) JOIN c ON c.root = s.id WHERE size > 1"""
 )
 def er_scored_equal_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Scored matching where only equal feature sets reach the least score: brands stand for addresses."""
+    """Scored matching of name and address, for which brands stand: names within two edits and equal brands reach the score."""
     e = part_entities(spark, d).withColumn("address", F.col("source_file"))
     return resolve.scored_clusters(e).select("node_id", "entity_id")
 
 
+def _supplier_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as XML documents with a nested name, a contact with attributes, an augmentation and an element that is in no model."""
+    from docgraph.session import ship_package
+    from docgraph.sources.shred import shred
+
+    ship_package(spark)
+    s, key = _t(spark, d, "supplier"), F.col("s_suppkey").cast("string")
+    text = F.concat(
+        F.lit('<t:Supplier xmlns:t="http://example.org/t/" xmlns:s="http://example.org/structures/5.0/" s:id="S'), key, F.lit('" t:grade="A'), key, F.lit('"><t:Name><t:Full>'), "s_name",
+        F.lit("</t:Full><t:Full>second</t:Full></t:Name><t:Name><t:Full>other</t:Full></t:Name><t:SupplierAugmentation><t:Nation>"), F.col("s_nationkey").cast("string"), F.lit("</t:Nation></t:SupplierAugmentation><t:Odd>x"), key, F.lit("</t:Odd></t:Supplier>"),
+    )
+    return shred(s.select(key.alias("doc_id"), F.concat(F.lit("s"), key, F.lit(".xml")).alias("source_file"), F.lit("u").alias("upload_id"), text.alias("content")))
+
+
+@query(
+    """SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, 'full' AS key, s_name AS value FROM supplier UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 't_grade', 'A' || s_suppkey FROM supplier
+    UNION ALL SELECT CAST(s_suppkey AS VARCHAR), 'nation', CAST(s_nationkey AS VARCHAR) FROM supplier"""
+)
+def mapped_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Mapping mode: properties by path and by attribute, the first child at every step, and those of an augmentation."""
+    m = mapping.load_mapping(
+        """{"objects": [{"qname": "t:Supplier", "scalar_props": [{"path": "t:Name/t:Full", "property": "full"}, {"path": "@t:grade"}, {"path": "t:Gone/t:Full"}]}],
+        "augmentations": [{"qname": "t:SupplierAugmentation", "properties": [{"qname": "t:Nation", "property": "nation"}]}]}"""
+    )
+    e = build.with_owner(build.classify(_supplier_documents(spark, d), m.objects, m.associations))
+    return mapping.extra_props(m)(e).select("doc_id", "key", "value")
+
+
+@query("SELECT 't:Odd' AS qname, count(*) AS n FROM supplier UNION ALL SELECT 't:SupplierAugmentation', count(*) FROM supplier")
+def unknown_elements(spark: SparkSession, d: str) -> DataFrame:
+    known = spark.createDataFrame([("t:Supplier",), ("t:Name",), ("t:Full",), ("t:Nation",)], "qname string")
+    return mapping.element_names(mapping.unknown_elements(_supplier_documents(spark, d), known))
+
+
+@query(
+    """SELECT n_name AS name, n_nationkey % 5 = 0 OR n_nationkey % 4 = 1 OR (n_nationkey % 4 = 2 AND n_nationkey % 6 = 0) OR regexp_matches(n_name || 'Type', 'Date|Time|Text|Indicator|Boolean|Code|Category|Amount|Quantity|Measure|Numeric|ID|Identification|Value|Description|Count|Percent|Rate|Duration|Abstract') AS is_wrapper,
+    n_nationkey % 4 = 3 OR (NOT (n_nationkey % 5 = 0 OR n_nationkey % 4 = 1 OR (n_nationkey % 4 = 2 AND n_nationkey % 6 = 0) OR regexp_matches(n_name || 'Type', 'Date|Time|Text|Indicator|Boolean|Code|Category|Amount|Quantity|Measure|Numeric|ID|Identification|Value|Description|Count|Percent|Rate|Duration|Abstract')) AND n_nationkey % 6 >= 3) AS is_entity
+    FROM nation WHERE NOT regexp_matches(n_name, 'Person|Case|Item|Role')"""
+)
+def entity_and_wrapper_types(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as declared elements whose types extend nothing, a simple type, an own type, or one below a person's."""
+    k, n = F.col("n_nationkey"), _t(spark, d, "nation").filter(~F.col("n_name").rlike("Person|Case|Item|Role"))
+    base = F.when(k % 4 == 1, "xs:string").when(k % 4 == 2, "t:OwnType").when(k % 4 == 3, "t:MiddleType")
+    types = n.select(F.concat(F.lit("t:"), "n_name", F.lit("Type")).alias("name"), base.alias("base"), (k % 5 == 0).alias("is_simple"), (k % 6).cast("int").alias("n_elements"))
+    types = types.unionByName(spark.createDataFrame([("t:MiddleType", "nc:PersonType", False, 1)], "name string, base string, is_simple boolean, n_elements int"))
+    declared = n.select(F.concat(F.lit("t:"), "n_name").alias("name"), F.concat(F.lit("t:"), "n_name", F.lit("Type")).alias("type"))
+    return entity_types.entity_flags(declared, types).select(F.substring_index("name", ":", -1).alias("name"), "is_wrapper", "is_entity")
+
+
+@query("SELECT n_name AS name, 'person' AS category FROM nation WHERE n_nationkey % 3 = 1 UNION ALL SELECT n_name, 'organization' FROM nation WHERE n_nationkey % 3 = 2")
+def schema_based_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Nations that stand in for a person, through another element, or have a type derived from an organization's in two steps."""
+    k, n = F.col("n_nationkey"), _t(spark, d, "nation")
+    declared = n.select(F.col("n_name").alias("name"), F.when(k % 3 == 2, "t:BType").alias("type"), F.when(k % 3 == 1, "t:Someone").alias("substitution_group"))
+    declared = declared.unionByName(spark.createDataFrame([("t:Someone", None, "nc:Person")], declared.schema))
+    types = spark.createDataFrame([("t:AType", "nc:OrganizationType"), ("t:BType", "t:AType")], "name string, base string")
+    return entity_types.schema_categories(declared, types).filter("name <> 't:Someone'")
+
+
+@query(
+    f"""WITH {CLUSTERS}, m AS (SELECT p_partkey, entity_id FROM keyed JOIN clusters USING (match_key)), e AS (SELECT DISTINCT x.entity_id AS a, y.entity_id AS b FROM m x JOIN m y ON y.p_partkey = x.p_partkey + 1)
+    SELECT 'entities_extracted' AS name, (SELECT count(*) FROM part WHERE p_name IS NOT NULL) AS n UNION ALL SELECT 'duplicate_groups', (SELECT count(*) FROM clusters) UNION ALL SELECT 'clusters_created', (SELECT count(*) FROM clusters)
+    UNION ALL SELECT 'entities_resolved', (SELECT count(*) FROM m) UNION ALL SELECT 'relationships_created', (SELECT count(*) FROM m) + (SELECT count(*) FROM e)"""
+)
+def er_run_counters(spark: SparkSession, d: str) -> DataFrame:
+    """The whole run over parts as nodes, each with an edge to the next."""
+    p = _t(spark, d, "part")
+    nodes = p.select(_id("p", "p_partkey").alias("id"), F.lit("part").alias("qname"), F.lit("f").alias("source_file"), F.lit("u").alias("upload_id"), F.create_map(F.lit("t_PersonFullName"), F.col("p_name")).alias("props"))
+    edges = p.select(_id("p", "p_partkey").alias("src"), _id("p", F.col("p_partkey") + 1).alias("dst"), F.lit("NEXT").alias("rel_type"))
+    done = resolve.run_resolution(nodes, edges, ["part"])
+    return spark.createDataFrame(list(done.counts.items()), "name string, n long")
+
+
+@query(
+    """WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+    SELECT (SELECT count(*) FROM events) AS files, count(*) FILTER (event_id % 10 <> 0 AND k BETWEEN 10 AND 60) AS successful, count(*) FILTER (event_id % 10 = 0 OR k NOT BETWEEN 10 AND 60) AS failed,
+    count(*) FILTER (event_id % 10 = 0 OR k NOT BETWEEN 10 AND 60) AS errors, 0::BIGINT AS warnings FROM k"""
+)
+def batch_outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON files, some of them broken or out of bounds: outcomes of a validation run."""
+    from docgraph.operators import records
+    from docgraph.session import ship_package
+
+    ship_package(spark)
+    e = _t(spark, d, "events")
+    docs = e.select(F.col("event_id").cast("string").alias("source_file"), F.when(F.col("event_id") % 10 == 0, "{").otherwise(F.col("props")).alias("content"))
+    schema = {"definitions": {"small": {"minimum": 10, "maximum": 60}}, "properties": {"k": {"$ref": "#/definitions/small"}}, "required": ["k"]}
+    return reports.batch_totals(reports.batch_outcomes(docs, records.validate_json(docs, schema)))
+
+
+@query("SELECT 'n' || s_nationkey AS target, 's' || s_suppkey AS id, first FROM supplier JOIN (SELECT s_nationkey, min('s' || s_suppkey) AS first, count(*) AS n FROM supplier GROUP BY 1) USING (s_nationkey) WHERE n >= 2")
+def same_role_groups(spark: SparkSession, d: str) -> DataFrame:
+    s = _t(spark, d, "supplier")
+    edges = s.select(_id("s", "s_suppkey").alias("src"), _id("n", "s_nationkey").alias("dst"), F.lit("REFERS_TO").alias("rel_type"))
+    return graph.same_target_groups(edges, s.select(_id("s", "s_suppkey").alias("id"), F.lit("supplier").alias("qname")), ["REFERS_TO"]).drop("qname")
+
+
+@query("SELECT 'MERGE (n:nation {id: ' || chr(39) || 'n' || n_nationkey || chr(39) || '}) ON CREATE SET n.`a name` = ' || chr(39) || n_name || chr(39) || ';' AS statement FROM nation")
+def node_statements(spark: SparkSession, d: str) -> DataFrame:
+    from docgraph.operators import export
+
+    nodes = _t(spark, d, "nation").select(_id("n", "n_nationkey").alias("id"), F.lit("nation").alias("label"), F.create_map(F.lit("a name"), F.col("n_name")).alias("props"))
+    return export.node_statements(nodes).select("statement")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def document_id(path: Column, upload_id: Column) -> Column:
+    """The whole digest of a whole path and upload: files of one name in two folders are two documents."""
+    return F.sha1(F.concat_ws("_", path, upload_id))
+
+
 def read_documents(spark: SparkSession, paths: str | list[str], upload_id: str, pattern: str | None = None) -> DataFrame:
-    """Whole files as documents: doc_id is a hash of file name and upload, so a repeated load gives the same ids."""
-    reader = spark.read.format("binaryFile")
+    """Whole files as documents, their content as bytes. ``source_file`` is the path below the folder that was given.
+
+    doc_id depends on path and upload alone, so a repeated load gives the same ids.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     name = F.element_at(F.split("path", "/"), -1)
-    files = reader.load(paths).select(name.alias("source_file"), F.lit(upload_id).alias("upload_id"), F.decode("content", "UTF-8").alias("content"))
-    return files.withColumn("doc_id", F.substring(F.sha1(F.concat_ws("_", "source_file", "upload_id")), 1, 8))
+    for given in [paths] if isinstance(paths, str) else paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(given)
+        base = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+        name = F.when(F.col("path").startswith(base), F.substring(F.col("path"), len(base) + 1, 1 << 30)).otherwise(name)
+    return reader.load(paths).select(name.alias("source_file"), F.lit(upload_id).alias("upload_id"), "content", document_id(F.col("path"), F.lit(upload_id)).alias("doc_id"))
+
+
+def purge(spark: SparkSession, path: str, prefix: str = "") -> int:
+    """Delete what lies in a folder under names that begin with ``prefix``, and leave the folder; the number of entries gone."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in files.listStatus(folder)] if files.exists(folder) else []
+    gone = sum(files.delete(x, True) for x in found if x.getName().startswith(prefix))
+    files.mkdirs(folder)
+    return gone
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +54,7 @@ def content_type(name):  # noqa: ANN001, ANN201
 
 def namespaces(docs: DataFrame) -> DataFrame:
     """(doc_id, prefix, uri) of the namespace declarations in the documents' text; the default one has an empty prefix."""
-    found = F.regexp_extract_all("content", F.lit(r"xmlns(?::[\w.-]+)?\s*=\s*[\"'][^\"']*[\"']"), F.lit(0))
+    found = F.regexp_extract_all(F.col("content").cast("string"), F.lit(r"xmlns(?::[\w.-]+)?\s*=\s*[\"'][^\"']*[\"']"), F.lit(0))
     one = docs.select("doc_id", F.explode(found).alias("d"))
     return one.select("doc_id", F.regexp_extract("d", r"xmlns:?([\w.-]*)", 1).alias("prefix"), F.regexp_extract("d", "=\\s*[\"']([^\"']*)", 1).alias("uri")).distinct()
 

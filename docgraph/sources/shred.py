@@ -50,10 +50,13 @@ class _Rows:
         return [dict.fromkeys(_COLUMNS) | dict(zip(_COLUMNS, self.head)) | {"ord": 0, "error": message}]
 
 
-def shred_xml(doc_id: str, source_file: str, upload_id: str, content: str | bytes) -> list[dict]:
-    """Rows of an XML document. Document type declarations, and so entities, are refused; namespaces are scoped."""
+def shred_xml(doc_id: str, source_file: str, upload_id: str, content: str | bytes, encoding: str | None = None) -> list[dict]:
+    """Rows of an XML document. Document type declarations, and so entities, are refused; namespaces are scoped.
+
+    Bytes are read in the encoding that the document declares, unless ``encoding`` names another.
+    """
     out = _Rows(doc_id, source_file, upload_id)
-    parser = expat.ParserCreate(namespace_separator=" ")
+    parser = expat.ParserCreate(encoding, namespace_separator=" ")
     parser.buffer_text = True
     prefixes: dict[str, list[str]] = {}
     texts: list[list[str]] = []
@@ -89,7 +92,7 @@ def shred_xml(doc_id: str, source_file: str, upload_id: str, content: str | byte
     parser.StartDoctypeDeclHandler = refuse
     try:
         parser.Parse(content, True)
-    except (expat.ExpatError, ValueError) as e:
+    except (expat.ExpatError, ValueError, LookupError) as e:  # LookupError: an encoding that is not known
         return out.failed(str(e))
     return out.rows
 
@@ -161,20 +164,26 @@ def shred_json(doc_id: str, source_file: str, upload_id: str, content: str | byt
 def shred(docs: DataFrame, dialect: str | None = None) -> DataFrame:
     """Elements of ``docs`` (doc_id, source_file, upload_id, content). Dialect: xml or json, or by the name's ending.
 
+    Binary content is read in the document's own encoding, a string as it is. A document that can't be read gives an error row.
+
     Null content gives an error row; repeated documents keep apart only by their doc_id; an empty table gives an empty one.
     """
 
+    encoding = None if docs.schema["content"].dataType.simpleString() == "binary" else "utf-8"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[dict] = []
             for d in batch.itertuples(index=False):
                 kind = dialect or ("json" if str(d.source_file).lower().endswith((".json", ".jsonld")) else "xml")
-                rows += (shred_json if kind == "json" else shred_xml)(d.doc_id, d.source_file, d.upload_id, d.content if d.content is not None else "")
+                content = bytes(d.content) if d.content is not None else b""
+                head = (d.doc_id, d.source_file, d.upload_id, content)
+                rows += shred_json(*head) if kind == "json" else shred_xml(*head, encoding)
                 if len(rows) > 20_000:
                     yield pd.DataFrame(rows, columns=_COLUMNS)
                     rows = []
             if rows:
                 yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    chosen = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source_file", "upload_id", F.col("content").cast("string").alias("content"))
+    chosen = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source_file", "upload_id", F.col("content").cast("binary").alias("content"))
     return chosen.mapInPandas(run, ELEMENTS)

@@ -1,4 +1,4 @@
-"""Documents from a folder as a stream: each micro-batch is shredded, built, and appended by upload."""
+"""Documents from a folder as a stream: each micro-batch is shredded, built, and published by upload."""
 
 from __future__ import annotations
 
@@ -7,15 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from docgraph.operators.build import build_graph
+from docgraph.sources.files import document_id
 from docgraph.sources.shred import shred
 
 
 def append_graph(docs: DataFrame, target: str, **options: object) -> None:
-    """Nodes, edges and issues of ``docs`` to Parquet tables below ``target``, in partitions by upload."""
+    """Publish the graph of ``docs`` below ``target``, all of an upload or nothing.
+
+    Nodes, edges and issues are written in partitions by upload, which a repeated run overwrites; the row in ``commits``
+    comes last, and readers (``published``) take uploads with such a row alone. So a run that dies leaves nothing to see.
+    """
     g = build_graph(shred(docs), **options)
-    g.nodes.write.mode("append").partitionBy("upload_id").parquet(f"{target}/nodes")
-    g.edges.write.mode("append").partitionBy("upload_id").parquet(f"{target}/edges")
-    g.issues.write.mode("append").parquet(f"{target}/issues")
+    files = docs.select("source_file", "upload_id").distinct()
+    issues = g.issues.join(files, g.issues["file"] == files["source_file"]).select(g.issues["*"], "upload_id")
+    for frame, table in ((g.nodes, "nodes"), (g.edges, "edges"), (issues, "issues")):
+        frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{target}/{table}")
+    outcomes = files.join(issues.filter("severity = 'error'").select(F.col("file").alias("source_file"), "upload_id", F.lit(True).alias("bad")).distinct(), ["source_file", "upload_id"], "left")
+    done = outcomes.groupBy("upload_id").agg(F.count("*").alias("files"), F.count("bad").alias("failed"), F.current_timestamp().alias("at"))
+    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{target}/commits")
+
+
+def published(spark: SparkSession, target: str, table: str) -> DataFrame:
+    """Rows of ``nodes``, ``edges`` or ``issues`` of uploads that are complete."""
+    commits = spark.read.parquet(f"{target}/commits").select(F.col("upload_id").cast("string").alias("upload_id")).distinct()
+    return spark.read.parquet(f"{target}/{table}").withColumn("upload_id", F.col("upload_id").cast("string")).join(commits, "upload_id", "left_semi")
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 100, **options: object) -> StreamingQuery:
@@ -23,12 +38,9 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).load(source)
 
     def batch(rows: DataFrame, number: int) -> None:
-        name = F.element_at(F.split("path", "/"), -1)
-        docs = rows.select(name.alias("source_file"), F.lit(f"batch-{number}").alias("upload_id"), F.decode("content", "UTF-8").alias("content"))
-        docs = docs.withColumn("doc_id", F.substring(F.sha1(F.concat_ws("_", "source_file", "upload_id")), 1, 8))
-        g = build_graph(shred(docs), **options)
-        for frame, table in ((g.nodes, "nodes"), (g.edges, "edges")):
-            frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{target}/{table}")
+        upload = F.lit(f"batch-{number}")
+        docs = rows.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), upload.alias("upload_id"), "content", document_id(F.col("path"), upload).alias("doc_id"))
+        append_graph(docs, target, **options)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -40,3 +40,33 @@ def test_results(spark) -> None:  # noqa: ANN001
     kept = graph.delete_upload(nodes, edges, "u1")
     assert kept.nodes.count() == 2 and {(r.src, r.dst) for r in kept.edges.collect()} == {("c", "d")}
     assert [tuple(r) for r in graph.graph_schema(nodes, edges).collect()] == [("label", "A"), ("label", "B"), ("label", "C"), ("label", "ResolvedEntity"), ("relationship", "RESOLVED_TO"), ("relationship", "T")]
+
+
+def test_descendants_end_on_cycles_and_have_no_row_limit(spark) -> None:  # noqa: ANN001
+    loop = spark.createDataFrame([("a", "b", "T"), ("b", "a", "T"), ("b", "c", "T"), ("c", "d", "U")], "src string, dst string, rel_type string")
+    roots = spark.createDataFrame([("a",)], "id string")
+    assert {(r.root, r.id, r.depth) for r in graph.descendants(loop, ["T"], roots).collect()} == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2)}
+    n = 1_000_001
+    wide = spark.range(n).select(F.lit("r").alias("src"), F.col("id").cast("string").alias("dst"), F.lit("T").alias("rel_type"))
+    assert graph.descendants(wide, ["T"], spark.createDataFrame([("r",)], "id string")).count() == n + 1
+
+
+def test_groups_counts_and_reports(spark) -> None:  # noqa: ANN001
+    from docgraph.operators import reports
+
+    nodes, edges = small(spark)
+    names = nodes.select("id", F.lit("x").alias("qname"))
+    both = edges.unionByName(spark.createDataFrame([("d", "b", "T")], edges.schema))
+    assert {(r.target, r.id, r["first"]) for r in graph.same_target_groups(both, names, ["T"]).collect()} == {("b", "a", "a"), ("b", "d", "a")}
+    assert tuple(graph.delete_counts(nodes, edges, "u1").first()) == (2, 3)
+    files = spark.createDataFrame([("a",), ("b",), ("c",)], "source_file string")
+    issues = spark.createDataFrame([("a", "error"), ("a", "warning"), ("b", "warning")], "file string, severity string")
+    assert tuple(reports.batch_totals(reports.batch_outcomes(files, issues)).first()) == (3, 2, 1, 1, 2)
+    tree = spark.createDataFrame([("R", "R", "R", 0, "object"), ("R", "R/Boat", "Boat", 1, "object"), ("R", "R/Boat/Name", "Name", 2, "property"), ("R", "R/Age", "Age", 1, "property")], "root string, path string, element string, depth int, kind string")
+    assert {r.path for r in reports.search_tree(tree, "NAM").collect()} == {"R", "R/Boat", "R/Boat/Name"}
+    assert {r.element: (r.properties, r.objects) for r in reports.type_shapes(tree).collect()} == {"R": (1, 1), "Boat": (1, 0)}
+    assert reports.search_types(spark.createDataFrame([("x:Driver", "person"), ("x:Car", "vehicle")], "qname string, category string"), "PERS").count() == 1
+    rows = spark.createDataFrame([("b", None), (None, "a"), ("b", "c")], "f string, g string")
+    assert [r.file for r in reports.source_files(rows, "f", "g").collect()] == ["a", "b"]
+    listing = spark.createDataFrame([("s1/a.xsd",), ("s1/b.XSD",), ("s2/c.xml",), ("d.json",)], "path string")
+    assert tuple(reports.stored_counts(listing).first()) == (2, 4, 2, 1, 1)

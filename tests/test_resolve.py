@@ -48,7 +48,7 @@ def test_features_and_lifting(spark) -> None:  # noqa: ANN001
     found = {r.qname: r for r in resolve.discover_types(nodes, edges).collect()}
     assert found["x:Driver"].category == "person" and found["x:Driver"].attributes >= 3 and found["x:Driver"].recommended
     members = spark.createDataFrame([("p", "R1"), ("a", "R2"), ("q", "R1")], "node_id string, entity_id string")
-    lifted = {(r.src, r.dst, r.rel_type, len(r.original_ids)) for r in resolve.lift_edges(edges, members).collect()}
+    lifted = {(r.src, r.dst, r.rel_type, r.n) for r in resolve.lift_edges(edges, members).collect()}
     assert lifted == {("R1", "R2", "KNOWS", 1), ("R1", "R1", "KNOWS", 1)}
     record = resolve.matcher_records(nodes.withColumn("list_props", F.create_map(F.lit("PhoneNo"), F.array(F.lit("1"), F.lit("2")))), {"nc_PersonGivenName": "NAME_FIRST", "nc_PhoneNo": "PHONE", "PersonSurName": "NAME_LAST"}, ["PHONE"])
     import json
@@ -59,6 +59,18 @@ def test_features_and_lifting(spark) -> None:  # noqa: ANN001
     assert [r.node_id for r in top] == ["4", "5"]
 
 
+def test_a_run_ends_early(spark) -> None:  # noqa: ANN001
+    nodes = spark.createDataFrame([("1", "x:Driver", {"PersonFullName": "Ada Quill"}), ("2", "x:Driver", {"PersonFullName": "ada quill"}), ("3", "x:Car", {"Colour": "red"}), ("4", "x:Lone", {"PersonFullName": "Bo"})], "id string, qname string, props map<string,string>")
+    nodes = nodes.withColumn("source_file", F.lit("f")).withColumn("upload_id", F.lit("u"))
+    edges = spark.createDataFrame([("1", "2", "KNOWS"), ("2", "3", "OWNS")], "src string, dst string, rel_type string")
+    run = lambda *q: resolve.run_resolution(nodes, edges, list(q))
+    assert run().status == "error"
+    assert (run("x:Car").counts["entities_extracted"], run("x:Lone").message) == (0, "all entities are unique")
+    done = run("x:Driver", "x:Lone")
+    assert done.counts == {"entities_extracted": 3, "duplicate_groups": 1, "clusters_created": 1, "relationships_created": 3, "entities_resolved": 2}
+    assert tuple(resolve.status(nodes, done.clusters, done.members).first()) == (4, 1, 2)
+
+
 def test_scalar_rules(spark) -> None:  # noqa: ANN001
     row = spark.range(1).select(
         scalars.normal_date(F.lit("01/15/2025")).alias("a"), scalars.normal_date(F.lit("1890-5-4")).alias("b"), scalars.normal_date(F.lit("soon")).alias("c"),
@@ -67,9 +79,9 @@ def test_scalar_rules(spark) -> None:  # noqa: ANN001
         F.size(scalars.values_of(F.lit('["a","b"]'))).alias("k"), scalars.short_label(F.lit("x" * 40)).alias("l"), scalars.key_ends(F.lit("nc_Person-Given_Name"), "PersonGivenName").alias("m"),
     ).first()
     assert tuple(row)[:11] == ("2025-01-15", "1890-05-04", "soon", 0.95, 0.95, 0.0, "Name + Date Of Birth", "jan__ohl", "person", 2, "x" * 22 + "...") and row["m"]
-    lines = spark.createDataFrame([("[error] a.xsd:3:7: bad thing",), ("WARN b.xsd:1:2 -- Rule 9-1: odd",), ("free text",)], "line string")
-    got = [tuple(r) for r in lines.select(*[c.alias(k) for k, c in scalars.issue_fields(F.col("line")).items()]).collect()]
-    assert got == [("a.xsd", 3, 7, "error", None, "bad thing"), ("b.xsd", 1, 2, "warn", "9-1", "odd"), (None, None, None, "error", None, "free text")]
+    lines = spark.createDataFrame([("[error] a.xsd:3:7: bad thing",), ("WARN b.xsd:1:2 -- Rule 9-1: odd",), ("free text",), ("[Warning] no place here",)], "line string")
+    got = [tuple(r) for r in lines.select(*[c.alias(k) for k, c in scalars.issue_fields(F.col("line"), F.when(F.col("line").startswith("[W"), "in.xml")).items()]).collect()]
+    assert got == [("a.xsd", 3, 7, "error", None, "bad thing"), ("b.xsd", 1, 2, "warning", "Rule 9-1", "odd"), (None, None, None, "error", None, "free text"), ("in.xml", None, None, "warning", None, "no place here")]
 
 
 def test_scored_links_equal_all_pairs(spark) -> None:  # noqa: ANN001

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from docgraph.operators import records
 from docgraph.plans import schema_model as sm
-from docgraph.sources.files import list_files, namespaces, read_documents
+from docgraph.sources.files import list_files, namespaces, purge, read_documents
 from docgraph.sources.shred import shred
-from docgraph.streaming.ingest import ingest_stream
+from docgraph.streaming.ingest import ingest_stream, published, windowed_counts
 
 XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema" targetNamespace="t">
 <xs:import namespace="n" schemaLocation="lib/core.xsd"/><xs:import namespace="m" schemaLocation="gone.xsd"/>
@@ -93,9 +93,83 @@ def test_files_and_stream(spark, tmp_path) -> None:  # noqa: ANN001
     docs = read_documents(spark, str(source), "u")
     assert shred(docs).filter("error IS NULL").count() == 6
     assert {(r.prefix, r.uri) for r in namespaces(docs).collect()} == {("p", "urn:p")}
+    sub = tmp_path / "deep" / "a"
+    sub.mkdir(parents=True)
+    (tmp_path / "deep" / "same.xml").write_text("<a><b><c>1</c></b></a>")
+    (sub / "same.xml").write_text("<a><b><c>2</c></b></a>")
+    two = read_documents(spark, str(tmp_path / "deep"), "u")
+    assert {r.source_file for r in two.collect()} == {"same.xml", "a/same.xml"} and two.select("doc_id").distinct().count() == 2
+    (source / "broken.xml").write_text("<a>")
     target = str(tmp_path / "out")
     for _ in range(2):  # the second run has nothing new
         ingest_stream(spark, str(source), target, str(tmp_path / "check")).awaitTermination(120)
     nodes = spark.read.parquet(f"{target}/nodes")
     assert {r.label for r in nodes.collect()} == {"a", "p_b", "r", "s"} and nodes.count() == 4
     assert spark.read.parquet(f"{target}/edges").filter(F.col("rel_type") == "CONTAINS").count() == 2
+    assert [r.file for r in published(spark, target, "issues").collect()] == ["broken.xml"] and published(spark, target, "nodes").count() == 4
+    commit = spark.read.parquet(f"{target}/commits").first()
+    assert (commit.files, commit.failed) == (3, 1)
+    spark.range(1).select(F.lit("x").alias("label"), F.lit("unfinished").alias("upload_id")).write.mode("append").partitionBy("upload_id").parquet(f"{target}/nodes")
+    assert published(spark, target, "nodes").count() == 4
+    assert purge(spark, str(source), "two") == 1 and {p.name for p in source.iterdir() if p.name[0] != "."} == {"100_abc_one.xml", "broken.xml"}
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path) -> None:  # noqa: ANN001
+    rows = [("2020-01-01 00:10:00", "a"), ("2020-01-01 00:50:00", "a"), ("2020-01-01 01:10:00", "b")]
+    spark.createDataFrame(rows, "t string, event_type string").select(F.to_timestamp("t").alias("ts"), "event_type").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "in"))
+    windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start().awaitTermination(120)
+    assert {(str(r.start), r.event_type, r.n) for r in spark.table("counted").collect()} == {("2020-01-01 00:00:00", "a", 2), ("2020-01-01 01:00:00", "b", 1)}
+
+
+def test_settings(spark, tmp_path) -> None:  # noqa: ANN001
+    s = records.Settings(spark, str(tmp_path / "settings"))
+    assert s.get() == records.Settings.DEFAULTS
+    assert s.update(skip_xml_validation=True) == {"skip_xml_validation": True, "skip_json_validation": False} == s.get()
+    s.initialize()
+    assert s.get()["skip_xml_validation"]
+    with pytest.raises(KeyError):
+        s.update(other=True)
+
+
+def test_json_schema_keywords() -> None:
+    root = {"definitions": {"name": {"type": "string", "pattern": "^[A-Z]", "maxLength": 4}}}
+    check = lambda value, rule: sorted(i[0] for i in records.json_issues(value, rule, root | rule))
+    cases = [
+        ("Ada", {"$ref": "#/definitions/name"}, []), ("adana", {"$ref": "#/definitions/name"}, ["length", "pattern"]), (5, {"minimum": 5, "exclusiveMaximum": 5}, ["exclusiveMaximum"]), (2.5, {"type": "integer"}, ["type"]), (2.0, {"type": "integer"}, []),
+        (True, {"type": "number"}, ["type"]), (7, {"multipleOf": 2}, ["multipleOf"]), ({"a": 1, "b": 2}, {"properties": {"a": {}}, "additionalProperties": False}, ["additionalProperties"]), ({"xa": 1}, {"patternProperties": {"^x": {"type": "string"}}, "additionalProperties": False}, ["type"]),
+        ([1, 1], {"uniqueItems": True, "maxItems": 1}, ["items", "uniqueItems"]), ([1, "a"], {"items": [{"type": "integer"}], "additionalItems": False}, ["false schema"]), ([1], {"contains": {"type": "string"}}, ["contains"]), (3, {"oneOf": [{"minimum": 1}, {"minimum": 2}]}, ["oneOf"]),
+        (3, {"anyOf": [{"type": "string"}, {"minimum": 2}]}, []), (3, {"not": {"type": "integer"}}, ["not"]), (3, {"if": {"minimum": 2}, "then": {"const": 4}}, ["const"]), ({"a": 1}, {"dependencies": {"a": ["b"]}, "propertyNames": {"maxLength": 0}}, ["length", "required"]), (1, {"enum": [True]}, ["enum"]),
+    ]
+    for value, rule, want in cases:
+        records.check_schema(rule)
+        assert check(value, rule) == want, (value, rule, check(value, rule))
+    for bad in ({"type": "strange"}, {"unheard": 1}, {"properties": {"a": {"no such": 1}}}):
+        with pytest.raises(ValueError):
+            records.check_schema(bad)
+
+
+def test_reference_objects() -> None:
+    schema = {"definitions": {"exch:MessageType": {"properties": {"nc:Metadata": {"a": 1}, "x:Body": {}}}, "exch:Plain": {"properties": {"nc:Metadata": {}}}, "x:Other": {"properties": {"nc:Metadata": {}, "y": {}}}}}
+    out = records.with_reference_objects(schema)
+    assert set(out["definitions"]["exch:MessageType"]["properties"]) == {"x:Body", "exch:ReferenceObjects"} and out["definitions"]["exch:ReferenceObjectType"]["properties"] == {"nc:Metadata": {"a": 1}}
+    assert "nc:Metadata" in out["definitions"]["x:Other"]["properties"] and "nc:Metadata" in schema["definitions"]["exch:MessageType"]["properties"]
+
+
+CMF = """<Model xmlns="http://example.org/model/" xmlns:s="http://example.org/structures/6.0/">
+<Namespace s:id="n1"><NamespaceURI>urn:t</NamespaceURI><NamespacePrefixText>t</NamespacePrefixText></Namespace>
+<Class s:id="t.BoatType"><Name>BoatType</Name><SubClassOf s:ref="t.ThingType" /><ChildPropertyAssociation><DataProperty s:ref="t.Name"/><MinOccursQuantity>1</MinOccursQuantity></ChildPropertyAssociation><ChildPropertyAssociation><DataProperty s:ref="t.Size"/></ChildPropertyAssociation><ChildPropertyAssociation><ObjectProperty s:ref="t.Owner"/></ChildPropertyAssociation></Class>
+<DataProperty s:id="t.Name"><Name>Name</Name><Datatype s:ref="xs.string"/></DataProperty><DataProperty s:id="t.Size"><Name>Size</Name><Datatype s:ref="t.SizeType"/></DataProperty><DataProperty s:id="t.Value"><Name>Value</Name><Datatype s:ref="xs.decimal"/></DataProperty><DataProperty s:id="t.Unit"><Name>Unit</Name><Datatype s:ref="t.UnitType"/></DataProperty><DataProperty s:id="t.Code"><Name>Code</Name><Datatype s:ref="xs.token"/></DataProperty>
+<ObjectProperty s:id="t.Owner"><Name>Owner</Name><Class s:ref="t.PersonType"/></ObjectProperty>
+<Datatype s:id="t.SizeType"><Name>SizeType</Name><ChildPropertyAssociation><DataProperty s:ref="t.Value"/></ChildPropertyAssociation><ChildPropertyAssociation><DataProperty s:ref="t.Unit"/></ChildPropertyAssociation></Datatype>
+<Datatype s:id="t.UnitType"><ChildPropertyAssociation><DataProperty s:ref="t.Code"/></ChildPropertyAssociation></Datatype><Restriction s:id="t.GradeType"><RestrictionBase s:ref="xs.string"/></Restriction></Model>"""
+
+
+def test_model_documents(spark) -> None:  # noqa: ANN001
+    e = rows(spark, ("1", "model.xml", "u", CMF)).cache()
+    assert [tuple(r) for r in sm.model_prefixes(e).collect()] == [("t", "urn:t")]
+    assert {r.id: (r.is_object, r.type_id) for r in sm.model_properties(e).collect()}["t.Owner"] == (True, "t.PersonType")
+    assert {r.id: r.kind for r in sm.datatype_classes(e).collect()} == {"t.SizeType": "COMPLEX", "t.UnitType": "WRAPPER", "t.GradeType": "SIMPLE"}
+    assert {(r.class_id, r.path, r.depth) for r in sm.scalar_paths(e).collect()} == {("t.BoatType", "t:Name", 1), ("t.BoatType", "t:Size/t:Value", 2), ("t.BoatType", "t:Size/t:Unit/t:Code", 3)}
+    (boat,) = sm.model_classes(e).collect()
+    assert (boat.name, boat.base, boat.n_properties) == ("BoatType", "t.ThingType", 3)
