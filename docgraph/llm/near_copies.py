@@ -2,9 +2,11 @@
 
 Candidates come from the Gray index over SimHash lanes (``simhash``), as spanning links of its groups, and from MinHash bands,
 which complete it where similar sets have distant fingerprints: first the link from each row of a band to the band's first
-row. What passes the exact check joins most copies, large clusters among them. Then the bands give every pair of rows that share a
-band and are not joined yet. Each candidate is compared by its sets of shingles (64-bit hashes, repeats once) and links only
-if it reaches the similarity. With 20 bands of 5 a pair at similarity 0.8 shares a band with probability 0.9996.
+row. What passes the exact check joins most copies, large clusters among them. Then the bands give the pairs of rows that share
+one and are not joined yet; but where a band has many such pairs, which are mostly alike and not similar enough, its rows are
+joined by prefixes of their sets instead, rarest shingles first (Xiao et al., 2008), which loses no similar pair, after links to
+the row whose shingles are the commonest in the band. Each candidate is compared by its sets of shingles (64-bit hashes, repeats once) and links only if it reaches the similarity. With 20 bands
+of 5 a pair at similarity 0.8 shares a band with probability 0.9996.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from docgraph.llm.components import connected_components
 from docgraph.llm.simhash import lanes_of, shingle_hashes, similar_links
 
 BANDS, BAND_ROWS = 20, 5
+PAIRS_PER_ROW = 2  # more in a band, and its rows are joined by prefixes
 #: Odd multipliers: each gives another order of the shingles' hashes, of which 32 bits decide here.
 SEEDS = (mix64(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -97,8 +100,62 @@ def band_stars(nodes: DataFrame, least: float) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(guarded(run), "u long, v long")
 
 
-def band_pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """(u, v) of ``nodes`` (id, part, n, bands) in different parts that share a band and whose sizes allow the similarity."""
+def crowded_bands(nodes: DataFrame) -> DataFrame:
+    """(key, crowded) of the bands that rows of different parts share, and whether they have over PAIRS_PER_ROW such pairs a row."""
+    parts = nodes.select(F.explode("bands").alias("key"), "part").groupBy("key", "part").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    pairs = (F.col("n") * F.col("n") - F.col("own")) / 2
+    return sizes.filter(pairs > 0).select("key", (pairs > PAIRS_PER_ROW * F.col("n")).alias("crowded"))
+
+
+def prefixes(nodes: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(id, n, at, short, h, common), written: the first shingles of the sets of ``nodes`` (id) and their places, without those
+    that no other set holds; common is the mean number of sets that hold one of the whole set's shingles.
+
+    Shingles are ordered by the number of sets that hold them. Two similar sets share a shingle among the first of both, the
+    larger set's prefix being n - ceil(least n) + 1 long and the smaller one's, marked short, n - ceil(2 least n / (1 + least)) + 1.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(nodes.select("id"), "id", "left_semi")
+
+    def hashed(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+        return {"id": np.repeat(batch.column("id").to_numpy(), [len(x) for x in sets]), "h": np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)}
+
+    rows = materialize(map_slices(texts, hashed, "id long, h long", limit=2 << 20).distinct(), "shingles")
+    known = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")), "h")
+    sets = known.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))  # a document's own shingles
+    n = F.size("s")
+    long = F.greatest(n - F.ceil(n * least) + 1, F.lit(1)).cast("int")
+    short = n - F.ceil(n * (2 * least / (1 + least)) - 1e-9) + 1
+    common = F.aggregate("s", F.lit(0).cast("long"), lambda total, x: total + x["df"]) / n
+    first = sets.select("id", n.alias("n"), short.alias("short"), common.alias("common"), F.posexplode(F.slice("s", F.lit(1), long)).alias("at", "x")).filter("x.df > 1")
+    out = materialize(first.select("id", "n", (F.col("at") + 1).alias("at"), (F.col("at") < F.col("short")).alias("short"), F.col("x.h").alias("h"), "common"), "prefixes")
+    drop_scratch(rows)
+    return out
+
+
+def common_stars(members: DataFrame, first: DataFrame, least: float) -> DataFrame:
+    """(u, v): each row of ``members`` (key, id, n) with the row of its band whose shingles are the commonest, if their sizes
+    allow the similarity: variants of one text are seldom similar to each other, but to that text."""
+    held = members.join(first.select("id", "common").distinct(), "id")
+    centre = held.groupBy("key").agg(F.max(F.struct("common", F.col("id").alias("u"), F.col("n").alias("m"))).alias("c")).select("key", "c.u", "c.m")
+    near = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
+    return ordered(held.join(centre, "key").filter(near).select("u", F.col("id").alias("v")))
+
+
+def prefix_pairs(first: DataFrame, least: float) -> DataFrame:
+    """(u, v) of ``prefixes`` (with part) in different parts whose sets may be similar: every similar pair is there. The places
+    of a shared shingle, the first one of a pair at least, leave room for the overlap that the pair needs."""
+    a = first.select("h", *[F.col(c).alias(f"a_{c}") for c in ("id", "n", "at", "part")])
+    b = first.filter("short").select("h", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "at", "part")])
+    needs = least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-9
+    room = 1 + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    test = (F.struct("b_n", "b_id") < F.struct("a_n", "a_id")) & (F.col("a_part") != F.col("b_part")) & (F.col("b_n") >= least * F.col("a_n") - 1e-9) & (room >= needs)
+    return ordered(a.join(b, "h").filter(test).select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
+
+
+def band_pairs(nodes: DataFrame, keys: DataFrame, least: float) -> DataFrame:
+    """(u, v) of ``nodes`` (id, part, n, bands) in different parts that share one of ``keys`` and whose sizes allow the similarity."""
     arrow = PAIRS
     names = ["key", "part", "id", "n"]
 
@@ -138,8 +195,7 @@ def band_pairs(nodes: DataFrame, least: float) -> DataFrame:
             yield from solved(rest)
 
     keyed = nodes.select(F.explode("bands").alias("key"), "part", "id", "n")
-    mixed = keyed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a < b").select("key")  # most bands are one part by now
-    return ordered(keyed.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "part").mapInArrow(guarded(run), "u long, v long"))
+    return ordered(keyed.join(keys, "key", "left_semi").repartition("key").sortWithinPartitions("key", "part").mapInArrow(guarded(run), "u long, v long"))
 
 
 def checked(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
@@ -166,6 +222,14 @@ def checked(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Data
     return out
 
 
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (id, part, ..), written, with the parts that ``links`` (u, v) join made one: the smallest."""
+    of = lambda c: known.select(F.col("id").alias(c), F.col("part").alias(f"part_{c}"))
+    joined = connected_components(links.join(of("u"), "u").join(of("v"), "v").select(F.col("part_u").alias("u"), F.col("part_v").alias("v")))
+    rest = [c for c in known.columns if c != "part"]
+    return materialize(known.join(joined.select(F.col("id").alias("part"), "component"), "part", "left").select(*rest, F.coalesce("component", "part").alias("part")), "parts")
+
+
 def near_copies(docs: DataFrame, words: int, least: float, lane_bits: int, lanes: int, verify: int, max_total: int) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over links) for each row of ``docs``, whose ids are whole numbers.
 
@@ -178,13 +242,18 @@ def near_copies(docs: DataFrame, words: int, least: float, lane_bits: int, lanes
     nodes = materialize(same, "fingerprint-nodes")
     gray = similar_links(nodes.select("id", *fps), lanes, lane_bits, verify, max_total)
     early = materialize(ordered(gray.unionByName(band_stars(nodes, least))), "candidates")
-    parts = connected_components(checked(early, docs, words, least))
-    known = materialize(nodes.join(parts, "id", "left").select("id", "set", "n", "bands", F.coalesce("component", "id").alias("part")), "parts")
-    late = materialize(band_pairs(known, least), "candidates")
-    links = checked(late, docs, words, least)
-    of = lambda c: known.select(F.col("id").alias(c), F.col("part").alias(f"part_{c}"))
-    joined = connected_components(links.join(of("u"), "u").join(of("v"), "v").select(F.col("part_u").alias("u"), F.col("part_v").alias("v")))
-    last = known.join(joined.select(F.col("id").alias("part"), "component"), "part", "left").select("set", "n", F.coalesce("component", "part").alias("component_id"))
-    out = materialize(rows.select("doc_id", "set", "n").join(last, ["set", "n"]).select("doc_id", "component_id"), "near-copies")
-    drop_scratch(rows, nodes, early, known, late)
+    known = merged(nodes.select("id", "set", "n", "bands", F.col("id").alias("part")), checked(early, docs, words, least))
+    drop_scratch(nodes, early)
+    bands = materialize(crowded_bands(known), "bands")
+    crowd = materialize(known.select("id", "n", F.explode("bands").alias("key")).join(bands.filter("crowded"), "key", "left_semi"), "crowd")
+    found = None
+    if not crowd.isEmpty():
+        first = prefixes(crowd.select("id").distinct(), docs, words, least)
+        known = merged(known, checked(materialize(common_stars(crowd, first, least), "candidates"), docs, words, least))
+        found = prefix_pairs(first.join(known.select("id", "part"), "id"), least)
+    near = band_pairs(known, bands.filter("NOT crowded"), least)
+    late = materialize(near if found is None else near.unionByName(found).distinct(), "candidates")
+    known = merged(known, checked(late, docs, words, least))
+    out = materialize(rows.select("doc_id", "set", "n").join(known.select("set", "n", F.col("part").alias("component_id")), ["set", "n"]).select("doc_id", "component_id"), "near-copies")
+    drop_scratch(rows, known, bands, crowd, late)
     return out

@@ -31,3 +31,39 @@ def test_the_exact_similarity_decides(spark) -> None:  # noqa: ANN001
     one = {p for p in alike if len({2 * p, 2 * p + 1} & got) == 1}
     assert one <= {p for p, same in alike.items() if same}
     assert len(one) >= 0.99 * sum(alike.values())
+
+
+def test_crowds_of_texts_that_are_almost_similar(spark) -> None:  # noqa: ANN001
+    """Hundreds of variants of short texts, most pairs of which share bands and are not similar: candidates stay few, and the
+    groups are those of all pairs."""
+    from docgraph.llm import near_copies as nc
+
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(34)]
+    texts = {}
+    for d in range(700):
+        words = list(base)
+        for at in rng.sample(range(34), 1 if d % 3 else 2):
+            words[at] = f"x{rng.randrange(40)}"
+        texts[d] = " ".join(words)
+    sets = {d: set(nc.shingle_set(t, 5).tolist()) for d, t in texts.items()}
+    root = {d: d for d in texts}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    similar = 0
+    for a in texts:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                similar += 1
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    first = nc.prefixes(docs.selectExpr("doc_id AS id"), docs, 5, 0.8)
+    pairs = {(r.u, r.v) for r in nc.prefix_pairs(first.selectExpr("*", "id AS part"), 0.8).collect()}
+    want = {(b, a) for a in texts for b in range(a) if sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want <= pairs and len(pairs) < 30 * len(texts)
+    assert similar and sorted(find(d) for d in kept(spark, texts)) == sorted(d for d in texts if find(d) == d)  # one of each group
