@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgraph.llm.common import guarded
+
 SEGMENT_BITS = 19  # 64 KB a segment
 
 
