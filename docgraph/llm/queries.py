@@ -73,6 +73,28 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgraph.llm.hamerly import cluster_vectors, clusters_with_totals
+
+    return clusters_with_totals(cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgraph.llm.pii import BASE_KINDS, find_personal
+
+    out = find_personal(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+    of_kind = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return out.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgraph.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -83,7 +105,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op3_decontaminate, op4_simhash, op5_token_shards, op6_substring_dedup, op7_language_id, op8_secret_scan, op9_lm_score, op10_main_text)}
+    return {f.__name__: _shipped(f) for f in (op1_pack_sequences, op2_quality_rules, op3_decontaminate, op4_simhash, op5_token_shards, op6_substring_dedup, op7_language_id, op8_secret_scan, op9_lm_score, op10_main_text, op11_centroid_clusters, op12_personal_data, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
