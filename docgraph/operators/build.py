@@ -31,9 +31,15 @@ def uri_to_id(uri: Column) -> Column:
 
 
 def prefix() -> Column:
+    """What file and upload share: eight digits, as they are shown. Ids of a built graph go on with the document's own (``id_prefix``)."""
     return F.substring(F.sha1(F.concat_ws("_", "source_file", "upload_id")), 1, 8)
 
 
+def id_prefix() -> Column:
+    """Before the ids of a document's nodes: ``prefix`` and 96 bits of the whole document id, so that files of one name stay apart."""
+    return F.concat(prefix(), F.substring(F.sha1(F.col("doc_id").cast("string")), 1, 24))
+
+
 def synthetic_id(spot: Column) -> Column:
     """Id of an element without one, from where it stands."""
     return F.concat(F.lit("syn_"), F.substring(F.sha1(spot), 1, 16))
@@ -87,7 +93,7 @@ def classify(elements: DataFrame, objects: list[str] | None = None, associations
     return e.select(
         "*", is_aug.alias("is_aug"), role.alias("is_role"),
         (~is_aug & ~nil_ref & (F.col("is_assoc") | F.when(F.col("parent_ord").isNull(), is_complex).otherwise(wanted))).alias("is_node"),
-        F.concat_ws("_", prefix(), F.coalesce("sid", F.when(~role, F.col("uri_id")), synthetic_id(spot))).alias("id"),
+        F.concat_ws("_", id_prefix(), F.coalesce("sid", F.when(~role, F.col("uri_id")), synthetic_id(spot))).alias("id"),
     )
 
 
@@ -119,17 +125,17 @@ def id_collisions(e: DataFrame) -> DataFrame:
     return e.filter("sid IS NOT NULL").groupBy("doc_id", "source_file", "upload_id", "sid").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("qname")).alias("qnames")).filter("n >= 2")
 
 
-def represents(e: DataFrame) -> DataFrame:
-    """Edges from roles to the hubs of their uris."""
-    return _edge(e.filter("is_role AND is_node"), "id", F.concat_ws("_", prefix(), "uri_id"), "REPRESENTS", F.create_map(F.lit("id_value"), F.col("uri_id"), F.lit("role_qname"), F.col("qname")))
+def represents(e: DataFrame, ids: Column | None = None) -> DataFrame:
+    """Edges from roles to the hubs of their uris. ``ids``: what ids begin with, ``id_prefix`` by default."""
+    return _edge(e.filter("is_role AND is_node"), "id", F.concat_ws("_", id_prefix() if ids is None else ids, "uri_id"), "REPRESENTS", F.create_map(F.lit("id_value"), F.col("uri_id"), F.lit("role_qname"), F.col("qname")))
 
 
-def association_edges(e: DataFrame) -> DataFrame:
-    """Edges from associations to what their children refer to; the first child in order is the source."""
+def association_edges(e: DataFrame, ids: Column | None = None) -> DataFrame:
+    """Edges from associations to what their children refer to; the first child in order is the source. ``ids`` as in ``represents``."""
     parents = e.filter("is_assoc AND is_node").select("doc_id", F.col("ord").alias("parent_ord"), F.col("id").alias("assoc_id"))
     ends = e.filter("sref IS NOT NULL OR suri IS NOT NULL OR sid IS NOT NULL").join(parents, ["doc_id", "parent_ord"])
     first = F.min("ord").over(Window.partitionBy("doc_id", "assoc_id"))
-    ends = ends.withColumn("dst_id", F.concat_ws("_", prefix(), F.coalesce("sref", "uri_id", "sid"))).withColumn("direction", F.when(F.col("ord") == first, "source").otherwise("target"))
+    ends = ends.withColumn("dst_id", F.concat_ws("_", id_prefix() if ids is None else ids, F.coalesce("sref", "uri_id", "sid"))).withColumn("direction", F.when(F.col("ord") == first, "source").otherwise("target"))
     return _edge(ends, "assoc_id", F.col("dst_id"), "ASSOCIATED_WITH", F.create_map(F.lit("role_qname"), F.col("qname"), F.lit("direction"), F.col("direction")))
 
 
@@ -157,13 +163,13 @@ def reference_attributes(e: DataFrame) -> DataFrame:
     like_ids = F.col("v").rlike(r"^[A-Za-z0-9_-]+(\s+[A-Za-z0-9_-]+)*$")
     one = e.filter("is_node").select("*", F.explode("attrs").alias("a", "v")).filter(F.col("v") != "")
     one = one.withColumn("trust", F.when(named, "medium").when(like_ids, "low")).filter("trust IS NOT NULL")
-    one = one.withColumn("target", F.explode(F.split(F.trim("v"), r"\s+"))).withColumn("dst_id", F.concat_ws("_", prefix(), "target")).filter("id <> dst_id")
+    one = one.withColumn("target", F.explode(F.split(F.trim("v"), r"\s+"))).withColumn("dst_id", F.concat_ws("_", id_prefix(), "target")).filter("id <> dst_id")
     return _edge(one, "id", F.col("dst_id"), "REFERS_TO", F.create_map(F.lit("source_attribute"), F.col("a")), F.col("trust"))
 
 
 def _issue(df: DataFrame, severity: str, rule: str, message: Column, context: Column | None = None) -> DataFrame:
     none = F.lit(None)
-    return df.select(F.col("source_file").alias("file"), none.cast("int").alias("line"), none.cast("int").alias("col"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), message.alias("message"), (none if context is None else context).cast("string").alias("context"))
+    return df.select(F.col("source_file").alias("file"), none.cast("int").alias("line"), none.cast("int").alias("col"), F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), message.alias("message"), (none if context is None else context).cast("string").alias("context"), "doc_id", "upload_id")
 
 
 def build_graph(
@@ -184,7 +190,7 @@ def build_graph(
     file_columns = ["source_file", "upload_id"]
     base = e.filter("is_node").select("doc_id", "id", to_label(F.col("qname")).alias("label"), "qname", "sid", "suri", "sref", F.col("parent_ord").isNull().alias("is_root"), "is_role", F.lit(False).alias("is_hub"), "is_assoc", F.lit(False).alias("is_unresolved"), *file_columns, "ord")
     roots = e.filter("parent_ord IS NULL").select("doc_id", F.col("id").alias("root_id"), *file_columns)
-    hubs = find_hubs(e).join(roots, "doc_id").withColumn("hub", F.concat_ws("_", prefix(), "uri_id"))
+    hubs = find_hubs(e).join(roots, "doc_id").withColumn("hub", F.concat_ws("_", id_prefix(), "uri_id"))
     hub_nodes = hubs.select("doc_id", F.col("hub").alias("id"), F.concat(F.lit("Entity_"), "uri_id").alias("label"), F.lit(None).cast("string").alias("qname"), F.lit(None).cast("string").alias("sid"), F.col("uri_id").alias("suri"), F.lit(None).cast("string").alias("sref"), F.lit(False).alias("is_root"), F.lit(False).alias("is_role"), F.lit(True).alias("is_hub"), F.lit(False).alias("is_assoc"), F.lit(False).alias("is_unresolved"), *file_columns, F.lit(-1).alias("ord"))
     hub_props = hubs.select("doc_id", F.col("hub").alias("id"), F.explode(F.map_from_arrays(F.array(F.lit("role_count")), F.array(F.array(F.col("role_count").cast("string"))))).alias("key", "vs")).unionByName(hubs.select("doc_id", F.col("hub").alias("id"), F.lit("role_types").alias("key"), F.col("role_types").alias("vs")))
     hub_props = hub_props.select("doc_id", "id", "key", F.posexplode("vs").alias("ord", "value")).select("doc_id", "id", "key", "ord", "value", F.lit(False).alias("is_augmentation"))
@@ -194,7 +200,7 @@ def build_graph(
     else:
         contains = contains.unionByName(_edge(hubs.withColumn("ord", F.lit(-1)), "root_id", F.col("hub"), "CONTAINS"))
     associated = association_edges(e)
-    refs = e.filter("sref IS NOT NULL AND owner IS NOT NULL AND NOT owner_assoc").withColumn("dst_id", F.concat_ws("_", prefix(), "sref")).filter("owner <> dst_id")
+    refs = e.filter("sref IS NOT NULL AND owner IS NOT NULL AND NOT owner_assoc").withColumn("dst_id", F.concat_ws("_", id_prefix(), "sref")).filter("owner <> dst_id")
     referred = _edge(refs, "owner", F.col("dst_id"), "REFERS_TO")
     nodes = merge_nodes(base.unionByName(hub_nodes))
     wanted = associated.unionByName(referred).groupBy("doc_id", F.col("dst").alias("id"), "source_file", "upload_id").agg(F.min_by(F.concat_ws(" ", "rel_type", F.lit("from"), "src"), F.struct("ord", "src")).alias("context"))

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgraph.scratch import written
+from docgraph.scratch import drop_written, written
+
 
 @dataclass
 class GraphResult:
@@ -80,6 +81,25 @@ def descendants(edges: DataFrame, types: list[str], roots: DataFrame) -> DataFra
     return seen
 
 
+def closure(pairs: DataFrame) -> DataFrame:
+    """(child, ancestor, steps): all that is reached over (child, parent), with the fewest steps; a node on a cycle reaches itself.
+
+    Each round doubles the reach d: what is d + 1 to 2 d steps away is a path of just d steps and one of d or fewer behind
+    it, so a round makes no row twice on a chain, and a depth of n takes log2(n) rounds. What a round adds is written, and
+    pairs that an earlier one has met are left out, which ends cycles. Nulls on either side make no pair. There is no cap.
+    """
+    first = pairs.filter("child IS NOT NULL AND parent IS NOT NULL").select("child", F.col("parent").alias("ancestor")).distinct()
+    seen = last = written(first.withColumn("steps", F.lit(1)), "closure")
+    reach = 1
+    while not last.isEmpty():
+        far = seen.filter(F.col("steps") == reach).select("child", F.col("ancestor").alias("via"))
+        on = seen.select(F.col("child").alias("via"), "ancestor", "steps")
+        met = far.join(on, "via").groupBy("child", "ancestor").agg((F.min("steps") + reach).alias("steps"))
+        last = written(met.join(seen.select("child", "ancestor"), ["child", "ancestor"], "left_anti"), "closure")
+        seen, reach = seen.unionByName(last), 2 * reach
+    return seen
+
+
 def shortest(edges: DataFrame, sources: DataFrame, targets: DataFrame, most: int = 3) -> DataFrame:
     """(source, target, hops): fewest undirected steps, up to ``most``. Each node is kept once a source, so rounds stay small."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

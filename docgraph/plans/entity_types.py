@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.operators.resolve import COMPONENTS
-from docgraph.plans.schema_model import closure, local
+from docgraph.operators.graph import closure
+from docgraph.plans.schema_model import local
 
 #: Bases that make a complex type a value.
 SIMPLE_BASES = [

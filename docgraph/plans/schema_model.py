@@ -1,7 +1,7 @@
 """XSD documents as tables of types, declarations and trees.
 
 Schemas are XML, so they pass through the same shredder as data. ``elements`` below are the shredded rows of schema
-documents; what a schema declares is then filters and joins, and closures are bounded rounds of joins.
+documents; what a schema declares is then filters and joins, and closures double their reach a round.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgraph.operators.graph import closure
+from docgraph.scratch import drop_written, written
+
 #: Built-in types by the scalar kind they stand for.
 SCALAR_KINDS = {
     "integer": ["integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong", "unsignedShort", "unsignedByte"],
@@ -45,21 +48,6 @@ def members(elements: DataFrame) -> DataFrame:
     return e.join(t, ["doc_id", "t_ord"]).select("type", "element", "min_occurs", "max_occurs")
 
 
-def closure(pairs: DataFrame, most: int = 100) -> DataFrame:
-    """(child, ancestor, steps) over (child, parent); cycles end, since each pair is kept once with its fewest steps."""
-    step = pairs.select("child", "parent").distinct()
-    seen = step.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
-    last = seen
-    for k in range(2, most + 1):
-        grown = last.join(step.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor"), F.lit(k).alias("steps")).distinct()
-        last = grown.join(seen.select("child", "ancestor"), ["child", "ancestor"], "left_anti")
-        if last.isEmpty():
-            break
-        seen = seen.unionByName(last)
-        seen, last = seen.cache(), last.cache()
-    return seen
-
-
 def classify_types(type_table: DataFrame) -> DataFrame:
     """(name, kind): string, integer, decimal, boolean or date from the built-in type at the end of the chain of bases."""
     pairs = type_table.filter("base IS NOT NULL").select(local(F.col("name")).alias("child"), local(F.col("base")).alias("parent"))

@@ -121,7 +121,7 @@ def hub_detection(spark: SparkSession, d: str) -> DataFrame:
 def represents_edges(spark: SparkSession, d: str) -> DataFrame:
     e = _elements(_t(spark, d, "events"), "events", id=_id("e", "event_id"), uri_id=F.col("user_id").cast("string"), qname=F.col("event_type"), ord=F.col("event_id").cast("int"))
     hubs = build.find_hubs(e).select("doc_id", "uri_id")
-    return build.represents(e.join(hubs, ["doc_id", "uri_id"], "left_semi")).select("src", "dst", F.col("props")["id_value"].alias("id_value"), F.col("props")["role_qname"].alias("role_qname"))
+    return build.represents(e.join(hubs, ["doc_id", "uri_id"], "left_semi"), build.prefix()).select("src", "dst", F.col("props")["id_value"].alias("id_value"), F.col("props")["role_qname"].alias("role_qname"))
 
 
 @query(

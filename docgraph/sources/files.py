@@ -11,6 +11,13 @@ def document_id(path: Column, upload_id: Column) -> Column:
     return F.sha1(F.concat_ws("_", path, upload_id))
 
 
+def path_below(spark: SparkSession, folder: str, path: Column, otherwise: Column | None = None) -> Column:
+    """The part of ``path`` below ``folder``; of a path that isn't, ``otherwise`` or its last part."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    return F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 30)).otherwise(F.element_at(F.split(path, "/"), -1) if otherwise is None else otherwise)
+
+
 def read_documents(spark: SparkSession, paths: str | list[str], upload_id: str, pattern: str | None = None) -> DataFrame:
     """Whole files as documents, their content as bytes. ``source_file`` is the path below the folder that was given.
 
@@ -19,11 +26,9 @@ def read_documents(spark: SparkSession, paths: str | list[str], upload_id: str,
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    name = F.element_at(F.split("path", "/"), -1)
+    name = None
     for given in [paths] if isinstance(paths, str) else paths:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(given)
-        base = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
-        name = F.when(F.col("path").startswith(base), F.substring(F.col("path"), len(base) + 1, 1 << 30)).otherwise(name)
+        name = path_below(spark, given, F.col("path"), name)
     return reader.load(paths).select(name.alias("source_file"), F.lit(upload_id).alias("upload_id"), "content", document_id(F.col("path"), F.lit(upload_id)).alias("doc_id"))
 
 

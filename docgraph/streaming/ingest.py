@@ -1,4 +1,4 @@
-"""Documents from a folder as a stream: each micro-batch is shredded, built, and published by upload."""
+"""Documents from a folder as a stream: each micro-batch is shredded, built, and merged into a stored graph as one version."""
 
 from __future__ import annotations
 
@@ -7,39 +7,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from docgraph.operators.build import build_graph
-from docgraph.sources.files import document_id
+from docgraph.operators.store import GraphStore, merge_graph
+from docgraph.sources.files import document_id, path_below
 from docgraph.sources.shred import shred
 
 
-def append_graph(docs: DataFrame, target: str, **options: object) -> None:
-    """Publish the graph of ``docs`` below ``target``, all of an upload or nothing.
+def append_graph(docs: DataFrame, target: str, **options: object) -> int:
+    """Merge the graph of ``docs`` into the store at ``target``, all of it or nothing; the number of the new version.
 
-    Nodes, edges and issues are written in partitions by upload, which a repeated run overwrites; the row in ``commits``
-    comes last, and readers (``published``) take uploads with such a row alone. So a run that dies leaves nothing to see.
+    Issues carry document and upload, so files of one name in two uploads, or in two folders, stay apart.
     """
     g = build_graph(shred(docs), **options)
-    files = docs.select("source_file", "upload_id").distinct()
-    issues = g.issues.join(files, g.issues["file"] == files["source_file"]).select(g.issues["*"], "upload_id")
-    for frame, table in ((g.nodes, "nodes"), (g.edges, "edges"), (issues, "issues")):
-        frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{target}/{table}")
-    outcomes = files.join(issues.filter("severity = 'error'").select(F.col("file").alias("source_file"), "upload_id", F.lit(True).alias("bad")).distinct(), ["source_file", "upload_id"], "left")
-    done = outcomes.groupBy("upload_id").agg(F.count("*").alias("files"), F.count("bad").alias("failed"), F.current_timestamp().alias("at"))
-    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upload_id").parquet(f"{target}/commits")
+    return merge_graph(GraphStore(docs.sparkSession, target), g, docs)
 
 
 def published(spark: SparkSession, target: str, table: str) -> DataFrame:
-    """Rows of ``nodes``, ``edges`` or ``issues`` of uploads that are complete."""
-    commits = spark.read.parquet(f"{target}/commits").select(F.col("upload_id").cast("string").alias("upload_id")).distinct()
-    return spark.read.parquet(f"{target}/{table}").withColumn("upload_id", F.col("upload_id").cast("string")).join(commits, "upload_id", "left_semi")
+    """Rows of ``nodes``, ``edges`` or ``issues`` of the newest version."""
+    rows = GraphStore(spark, target).table(table)
+    if rows is None:
+        raise ValueError(f"nothing is published in {target}")
+    return rows
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 100, **options: object) -> StreamingQuery:
-    """Runs over what is there and ends. A batch that is repeated after a failure overwrites its own upload."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_batch).load(source)
+    """Runs over what is there and ends. A batch that is repeated after a failure adds nothing twice."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(source)
+    name = path_below(spark, source, F.col("path"))
 
     def batch(rows: DataFrame, number: int) -> None:
         upload = F.lit(f"batch-{number}")
-        docs = rows.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), upload.alias("upload_id"), "content", document_id(F.col("path"), upload).alias("doc_id"))
+        docs = rows.select(name.alias("source_file"), upload.alias("upload_id"), "content", document_id(F.col("path"), upload).alias("doc_id"))
         append_graph(docs, target, **options)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

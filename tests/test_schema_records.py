@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgraph.operators import records
+from docgraph.operators.store import GraphStore
 from docgraph.plans import schema_model as sm
 from docgraph.sources.files import list_files, namespaces, purge, read_documents
 from docgraph.sources.shred import shred
@@ -103,13 +104,13 @@ def test_files_and_stream(spark, tmp_path) -> None:  # noqa: ANN001
     target = str(tmp_path / "out")
     for _ in range(2):  # the second run has nothing new
         ingest_stream(spark, str(source), target, str(tmp_path / "check")).awaitTermination(120)
-    nodes = spark.read.parquet(f"{target}/nodes")
+    nodes = published(spark, target, "nodes")
     assert {r.label for r in nodes.collect()} == {"a", "p_b", "r", "s"} and nodes.count() == 4
-    assert spark.read.parquet(f"{target}/edges").filter(F.col("rel_type") == "CONTAINS").count() == 2
+    assert published(spark, target, "edges").filter(F.col("rel_type") == "CONTAINS").count() == 2
     assert [r.file for r in published(spark, target, "issues").collect()] == ["broken.xml"] and published(spark, target, "nodes").count() == 4
-    commit = spark.read.parquet(f"{target}/commits").first()
+    commit = GraphStore(spark, target).commits().first()
     assert (commit.files, commit.failed) == (3, 1)
-    spark.range(1).select(F.lit("x").alias("label"), F.lit("unfinished").alias("upload_id")).write.mode("append").partitionBy("upload_id").parquet(f"{target}/nodes")
+    spark.range(1).select(F.lit("x").alias("label"), F.lit("unfinished").alias("upload_id")).write.mode("append").partitionBy("upload_id").parquet(f"{target}/nodes/dead")
     assert published(spark, target, "nodes").count() == 4
     assert purge(spark, str(source), "two") == 1 and {p.name for p in source.iterdir() if p.name[0] != "."} == {"100_abc_one.xml", "broken.xml"}
 
