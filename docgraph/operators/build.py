@@ -139,6 +139,18 @@ def association_edges(e: DataFrame, ids: Column | None = None) -> DataFrame:
     return _edge(ends, "assoc_id", F.col("dst_id"), "ASSOCIATED_WITH", F.create_map(F.lit("role_qname"), F.col("qname"), F.lit("direction"), F.col("direction")))
 
 
+def wide_association_edges(rows: DataFrame, assoc_id: Column, ends: list[tuple[str, Column]], ids: Column) -> DataFrame:
+    """Edges of associations that come one a row with their ends in columns, in order: (role name, id of what it refers to).
+
+    The same edges as ``association_edges`` gives, in one pass over the rows, without a join: equal rows keep their own edges.
+    An end that is null is none; the first that isn't is the source.
+    """
+    each = F.filter(F.array(*[F.struct(F.lit(role).alias("role"), end.cast("string").alias("end")) for role, end in ends]), lambda x: x["end"].isNotNull())
+    one = rows.select("*", assoc_id.alias("src"), F.posexplode(each).alias("place", "x"))
+    direction = F.when(F.col("place") == 0, "source").otherwise("target")
+    return _edge(one.withColumn("ord", F.col("place")), "src", F.concat_ws("_", ids, "x.end"), "ASSOCIATED_WITH", F.create_map(F.lit("role_qname"), F.col("x.role"), F.lit("direction"), direction))
+
+
 def gather_props(props: DataFrame) -> DataFrame:
     """(doc_id, id, props, list_props): one value a key as a map, several as ordered lists."""
     one = props.groupBy("doc_id", "id", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]).alias("v"))

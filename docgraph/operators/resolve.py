@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgraph.functions import scalars
@@ -196,6 +196,11 @@ def scored_links(entities: DataFrame, scoring: Scoring | None = None) -> DataFra
         left.append(mine.withColumn("piece", F.explode(own if "name" in chosen else F.array(F.lit(0)))).select(F.xxhash64(F.lit(k), *equal, "piece").alias("key"), F.col("node_id").alias("i")))
         right.append(mine.withColumn("piece", F.explode(sought if "name" in chosen else F.array(F.lit(0)))).select(F.xxhash64(F.lit(k), *equal, "piece").alias("key"), F.col("node_id").alias("j")))
     together = reduce(DataFrame.unionByName, left).join(reduce(DataFrame.unionByName, right), "key").filter("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    return _scored(together, sets, s)
+
+
+def _scored(together: DataFrame, sets: DataFrame, s: Scoring) -> DataFrame:
+    """(a, b, score, match_key) of the pairs (i, j) of ``sets`` that reach the least score."""
     whole = F.struct(*sets.columns)
     pairs = together.join(sets.select(F.col("node_id").alias("i"), whole.alias("x")), "i").join(sets.select(F.col("node_id").alias("j"), whole.alias("y")), "j")
     score, marks = F.lit(0.0), []
@@ -222,13 +227,70 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
+def _reaches(s: Scoring, agreeing: tuple[str, ...], differing: set[str]) -> bool:
+    return sum(s.agree[c] for c in agreeing) + sum(s.differ[c] for c in differing) >= s.least
+
+
+def sufficient_sets(s: Scoring) -> list[tuple[str, ...]]:
+    """Sets of features whose agreement links two rows whatever else they hold, if of the features that count against a link
+    when they differ, outside the set, both hold certain ones at most; each is the smallest for some such case."""
+    against = [c for c, w in s.differ.items() if w < 0]
+    out = []
+    for n in range(1, len(s.agree) + 1):
+        for chosen in combinations(s.agree, n):
+            rest = [c for c in against if c not in chosen]
+            cases = [set(x) for m in range(len(rest) + 1) for x in combinations(rest, m) if _reaches(s, chosen, set(x))]
+            less = lambda x, c: _reaches(s, tuple(f for f in chosen if f != c), x | ({c} & set(against)))  # noqa: B023, E731
+            if any(not any(less(x, c) for c in chosen) for x in cases):
+                out.append(chosen)
+    return out
+
+
+def scored_evidence(entities: DataFrame, scoring: Scoring | None = None) -> DataFrame:
+    """(a, b, score, match_key): links that join the same entities as all pairs of ``scored_links`` do, in numbers linear in the rows.
+
+    Rows that agree on a sufficient set of features and hold the same of the counter-features form a group. Two groups of one
+    set either link with all their rows or not at all, so each row is linked to the first row of each group that it links
+    with: a default identifier on a million rows gives a million links, not their pairs. Names agree within ``near_name``
+    edits: different names of a block meet by their pieces, each name once. Rows that are equal in all features are one.
+    """
+    s = scoring or Scoring()
+    against = [c for c, w in s.differ.items() if w < 0]
+    base = feature_sets(entities)
+    held = F.lit(0)
+    for k, c in enumerate(against):
+        held = held + F.when(F.col(c).isNotNull(), 1 << k).otherwise(0)
+    sets = written(base.groupBy(*[c for c in base.columns if c != "node_id"]).agg(F.min("node_id").alias("node_id")).withColumn("holds", held), "er-sets")
+    chosen = sufficient_sets(s)
+    entry = lambda k, c: F.when(
+        F.forall(F.array(*c), lambda x: x.isNotNull()),
+        F.struct(F.lit(k).alias("k"), F.to_json(F.struct(*[x for x in c if x != "name"])).alias("key"), (F.col("name") if "name" in c else F.lit("")).alias("name")),
+    )
+    rows = sets.select("node_id", "holds", F.explode(F.array_compact(F.array(*[entry(k, c) for k, c in enumerate(chosen)]))).alias("e")).select("node_id", "holds", "e.*")
+    groups = written(rows.groupBy("k", "key", "name", "holds").agg(F.min("node_id").alias("first")), "er-groups")
+    names = groups.select("k", "key", "name").distinct()
+    own, sought = name_pieces(F.col("name"), s.near_name)
+    spelled = names.filter(F.col("k").isin([k for k, c in enumerate(chosen) if "name" in c]))
+    left = spelled.select("k", "key", F.col("name").alias("x"), F.explode(own).alias("piece"))
+    right = spelled.select("k", "key", F.col("name").alias("y"), F.explode(sought).alias("piece"))
+    near = left.join(right, ["k", "key", "piece"]).filter((F.col("x") != F.col("y")) & (F.levenshtein("x", "y", s.near_name) >= 0)).select("k", "key", "x", "y")
+    both = near.unionByName(near.select("k", "key", F.col("y").alias("x"), F.col("x").alias("y"))).distinct().unionByName(names.select("k", "key", F.col("name").alias("x"), F.col("name").alias("y")))
+    pattern = lambda p, q, c: {f for i, f in enumerate(against) if p & q & (1 << i) and f not in c}
+    allowed = [(k, p, q) for k, c in enumerate(chosen) for p in range(1 << len(against)) for q in range(1 << len(against)) if _reaches(s, c, pattern(p, q, c))]
+    fits = sets.sparkSession.createDataFrame(allowed, "k int, holds int, other int")  # sets x patterns of features: no more with more rows
+    to = groups.select("k", "key", F.col("name").alias("y"), F.col("holds").alias("other"), "first")
+    pairs = rows.withColumnRenamed("name", "x").join(both, ["k", "key", "x"]).join(to, ["k", "key", "y"]).join(fits, ["k", "holds", "other"], "left_semi")
+    links = pairs.filter("node_id <> first").select(F.least("node_id", "first").alias("i"), F.greatest("node_id", "first").alias("j")).distinct()
+    return _scored(links, sets.drop("holds"), s)
+
+
 def scored_clusters(entities: DataFrame, scoring: Scoring | None = None) -> DataFrame:
-    """(entity_id, node_id) of clusters of linked entities, equal feature sets included."""
+    """(entity_id, node_id) of clusters of linked entities, equal feature sets included. Exact: as if all pairs were scored."""
     base = feature_sets(entities)
     ids = base.select("node_id", F.sha1(F.to_json(F.struct(*[c for c in base.columns if c != "node_id"]))).alias("set")).filter("set <> sha1('{}')")
     first = ids.groupBy("set").agg(F.min("node_id").alias("first"))
     equal = ids.join(first, "set").filter("node_id <> first").select(F.col("node_id").alias("a"), F.col("first").alias("b"))
-    parts = components(scored_links(entities, scoring).select("a", "b").unionByName(equal))
+    parts = components(scored_evidence(entities, scoring).select("a", "b").unionByName(equal))
     return parts.select(scalars.cluster_id(F.col("component"), "SE_").alias("entity_id"), F.col("id").alias("node_id"))
 
 
@@ -314,3 +376,56 @@ def search(entities: DataFrame, wanted: dict[str, str], most: int = 10) -> DataF
     """The ``most`` entities nearest to the wanted features: equal ones count 1, others by edit distance."""
     total = sum((F.coalesce(F.when(F.lower(c) == v.lower(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(F.lower(c), F.lit(v.lower())) / F.greatest(F.length(c), F.lit(len(v))))), F.lit(0.0)) for c, v in wanted.items()), F.lit(0.0))
     return entities.withColumn("similarity", F.round(total / max(1, len(wanted)), 4)).orderBy(F.desc("similarity"), "node_id").limit(most)
+
+
+def _grams(value: Column) -> Column:
+    """Pairs of neighbouring characters, the ends marked, each with how many like it came before: a multiset as a set."""
+    marked = F.concat(F.lit("\x02"), value, F.lit("\x03"))
+    plain = F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.substring(marked, i, F.lit(2)))
+    return F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+@dataclass
+class SimilarityIndex:
+    """An inverted index of pairs of characters: ``postings`` (feature, gram, node_id, length), sorted by gram in files by gram."""
+
+    postings: DataFrame
+    entities: DataFrame
+    features: list[str]
+
+
+def build_index(entities: DataFrame, features: list[str]) -> SimilarityIndex:
+    """Index the trimmed, lower-case values of ``features`` of entities (node_id, ...). Nulls and empty values have no posting."""
+    kept = written(entities.select("node_id", *[F.nullif(F.lower(F.trim(c)), F.lit("")).alias(c) for c in features]), "indexed-entities")
+    each = kept.select("node_id", F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))) for c in features]))).alias("v")).select("node_id", "v.*")
+    postings = each.select("feature", "node_id", F.length("value").alias("length"), F.explode(_grams(F.col("value"))).alias("gram"))
+    return SimilarityIndex(written(postings.repartition("gram", F.pmod(F.xxhash64("node_id"), F.lit(8))).sortWithinPartitions("gram", "feature", "length"), "postings"), kept, features)
+
+
+def search_index(index: SimilarityIndex, wanted: DataFrame, least: float = 0.6, most: int = 10) -> DataFrame:
+    """(query_id, node_id, similarity): for each row of ``wanted`` (query_id and features), the ``most`` entities of highest similarity, ``least`` or more.
+
+    Similarity is the mean over the features that the query has of 1 - edits / longer length; a feature that an entity lacks
+    counts 0. So an entity reaches ``least`` only if one feature does: then its edits are at most (1 - least) of the longer
+    length L, and it shares at least L + 1 - 2 edits of the query's pairs, which is positive from a half on. Candidates are
+    counted in the postings; edit distances are computed for them alone. Ties go to the smaller node_id.
+    """
+    if not 0.5 <= least <= 1:
+        raise ValueError("from a half to one: below, similar values may share no pair")
+    q = wanted.select("query_id", *[F.nullif(F.lower(F.trim(c)), F.lit("")).alias(f"q_{c}") for c in index.features])
+    one = lambda c: F.when(F.col(f"q_{c}").isNotNull(), F.struct(F.lit(c).alias("feature"), F.col(f"q_{c}").alias("value")))
+    values = q.select("query_id", F.explode(F.array_compact(F.array(*[one(c) for c in index.features]))).alias("v")).select("query_id", "v.*")
+    grams = values.select("query_id", "feature", F.length("value").alias("q_length"), F.explode(_grams(F.col("value"))).alias("gram"))
+    longer = F.greatest("length", "q_length")
+    edits = F.floor((1 - least) * longer + 1e-9)
+    met = index.postings.join(grams, ["feature", "gram"]).filter(F.abs(F.col("length") - F.col("q_length")) <= edits)
+    shared = met.groupBy("query_id", "node_id", "feature", "length", "q_length").agg(F.count("*").alias("n")).filter(F.col("n") >= longer + 1 - 2 * edits)
+    found = shared.select("query_id", "node_id").distinct().join(q, "query_id").join(index.entities, "node_id")
+    total, asked = F.lit(0.0), F.lit(0)
+    for c in index.features:
+        a, b = F.col(c), F.col(f"q_{c}")
+        total = total + F.coalesce(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)), F.lit(0.0))
+        asked = asked + F.when(b.isNotNull(), 1).otherwise(0)
+    scored = found.select("query_id", "node_id", F.round(total / asked, 4).alias("similarity")).filter(F.col("similarity") >= least)
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "node_id")
+    return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most).drop("place")

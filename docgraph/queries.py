@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from docgraph.functions import scalars
 from docgraph.operators import build, graph, mapping, reports, resolve
+from docgraph.operators.store import GraphStore
 from docgraph.plans import entity_types
+from docgraph.scratch import scratch_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -198,14 +200,12 @@ UNION ALL SELECT 'l' || l_orderkey || '_' || l_linenumber, substr(sha1('lineitem
 
 
 def association_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Each line as a document: an association whose children refer to order, part and supplier."""
+    """Each line as an association that refers to its order, part and supplier."""
     line = F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"))
-    child = lambda n, name, kind, key: F.struct(F.lit(n).alias("n"), F.lit(name).alias("name"), _id(kind, key).alias("ref"))
-    li = _t(spark, d, "lineitem")
-    rows = li.select(F.xxhash64(*li.columns).cast("string").alias("doc"), line.alias("line"), F.explode(F.array(F.struct(F.lit(0).alias("n"), F.lit("line").alias("name"), F.lit(None).cast("string").alias("ref")), child(1, "order", "o", "l_orderkey"), child(2, "part", "p", "l_partkey"), child(3, "supplier", "s", "l_suppkey"))).alias("x"))
-    top = F.col("x.n") == 0
-    e = _elements(rows, "lineitem", doc_id=F.col("doc"), id=F.when(top, F.col("line")), qname=F.col("x.name"), sref=F.col("x.ref"), ord=F.col("x.n"), parent_ord=F.when(~top, 0), is_assoc=top, is_node=top)
-    return build.association_edges(e).select("src", "dst", F.col("props")["role_qname"].alias("role_qname"), F.col("props")["direction"].alias("direction"))
+    li = _t(spark, d, "lineitem").select("*", F.lit("d").alias("doc_id"), F.lit("lineitem").alias("source_file"), F.lit("u").alias("upload_id"))
+    ends = [("order", _id("o", "l_orderkey")), ("part", _id("p", "l_partkey")), ("supplier", _id("s", "l_suppkey"))]
+    edges = build.wide_association_edges(li, line, ends, build.prefix())
+    return edges.select("src", "dst", F.col("props")["role_qname"].alias("role_qname"), F.col("props")["direction"].alias("direction"))
 
 
 @query(ENDPOINTS)
@@ -497,7 +497,7 @@ def mapped_properties(spark: SparkSession, d: str) -> DataFrame:
         """{"objects": [{"qname": "t:Supplier", "scalar_props": [{"path": "t:Name/t:Full", "property": "full"}, {"path": "@t:grade"}, {"path": "t:Gone/t:Full"}]}],
         "augmentations": [{"qname": "t:SupplierAugmentation", "properties": [{"qname": "t:Nation", "property": "nation"}]}]}"""
     )
-    e = build.with_owner(build.classify(_supplier_documents(spark, d), m.objects, m.associations))
+    e = written(build.with_owner(build.classify(written(_supplier_documents(spark, d), "elements"), m.objects, m.associations)), "classified")
     return mapping.extra_props(m)(e).select("doc_id", "key", "value")
 
 
@@ -578,6 +578,61 @@ def node_statements(spark: SparkSession, d: str) -> DataFrame:
     return export.node_statements(nodes).select("statement")
 
 
+@query(
+    """WITH k AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)
+    SELECT 'o' || a.o_orderkey AS child, 'o' || b.o_orderkey AS ancestor, CAST(a.k - b.k AS INTEGER) AS steps FROM k a JOIN k b ON a.o_custkey = b.o_custkey AND a.k > b.k"""
+)
+def order_chain_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Each order derives from its customer's order before: all that it derives from, with the number of steps."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return graph.closure(_t(spark, d, "orders").select(_id("o", "o_orderkey").alias("child"), _id("o", F.lag("o_orderkey").over(w)).alias("parent")))
+
+
+@query(
+    """WITH b AS (SELECT *, o_orderkey % 3 AS batch FROM orders), n AS (SELECT o_custkey, o_orderkey, batch, row_number() OVER (PARTITION BY o_custkey ORDER BY batch, o_orderkey) AS k FROM b),
+    e AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_edges FROM orders GROUP BY 1)
+    SELECT 'c' || o_custkey AS id, 'o' || o_orderkey AS first_order, 'batch-' || batch AS upload_id, n_edges FROM n JOIN e USING (o_custkey) WHERE k = 1"""
+)
+def stored_first_writers(spark: SparkSession, d: str) -> DataFrame:
+    """Orders merged into a stored graph in three batches, the second one twice: customers as their first order brought them, and edges once."""
+    store = GraphStore(spark, scratch_path(spark, "store"), buckets=4)
+    o = _t(spark, d, "orders").withColumn("batch", F.col("o_orderkey") % 3).withColumn("upload_id", F.concat(F.lit("batch-"), F.col("batch").cast("string")))
+    for k in (0, 1, 1, 2):
+        rows = o.filter(F.col("batch") == k)
+        nodes = rows.select(F.lit("customer").alias("label"), _id("c", "o_custkey").alias("id"), "upload_id", F.col("o_orderkey").alias("ord"), _id("o", "o_orderkey").alias("first_order"))
+        store.merge(nodes, rows.select(_id("c", "o_custkey").alias("src"), F.col("o_orderpriority").alias("dst"), F.lit("HAS").alias("rel_type"), "upload_id", F.col("o_orderkey").alias("ord")))
+    counts = store.table("edges").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n_edges"))
+    return store.table("nodes").join(counts, "id").select("id", "first_order", "upload_id", "n_edges")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS a, 'n' || s_nationkey AS b FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'n' || c_nationkey, c_mktsegment FROM customer),
+    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT 's' || s_suppkey AS source, 's' || s_suppkey AS node, ['s' || s_suppkey] AS path FROM supplier
+    UNION ALL SELECT source, b, list_append(path, b) FROM w JOIN u ON a = node WHERE len(path) < 5 AND NOT list_contains(path, b)),
+    t AS (SELECT source, node AS target, path, row_number() OVER (PARTITION BY source, node ORDER BY len(path), path) AS k FROM w)
+    SELECT source, target, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM t JOIN supplier ON source = 's' || s_suppkey AND target = 's' || (s_suppkey + 1) WHERE k = 1"""
+)
+def entity_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The way from each supplier to the next over nations, regions and market segments."""
+    s = _t(spark, d, "supplier")
+    e = s.select(_id("s", "s_suppkey").alias("src"), _id("n", "s_nationkey").alias("dst"))
+    e = e.union(_t(spark, d, "nation").select(_id("n", "n_nationkey"), _id("r", "n_regionkey"))).union(_t(spark, d, "customer").select(_id("n", "c_nationkey"), "c_mktsegment"))
+    pairs = s.select(_id("s", "s_suppkey").alias("source"), _id("s", F.col("s_suppkey") + 1).alias("target"))
+    return graph.shortest_paths(e, pairs, 4).withColumn("path", F.array_join("path", ">"))
+
+
+@query(
+    """WITH p AS (SELECT 'p' || p_partkey AS node_id, p_partkey, lower(trim(p_name)) AS name FROM part WHERE trim(p_name) <> ''),
+    s AS (SELECT q.node_id AS query_id, p.node_id, round(1 - levenshtein(q.name, p.name) / greatest(length(q.name), length(p.name))::DOUBLE, 4) AS similarity FROM p q JOIN p ON q.p_partkey % 20 = 0)
+    SELECT query_id, node_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, node_id) AS k FROM s WHERE similarity >= 0.7) WHERE k <= 10"""
+)
+def er_similar_names(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest names of every twentieth part, by an index of pairs of characters over all."""
+    index = resolve.build_index(part_entities(spark, d), ["full_name"])
+    wanted = _t(spark, d, "part").filter("p_partkey % 20 = 0").select(_id("p", "p_partkey").alias("query_id"), F.col("p_name").alias("full_name"))
+    return resolve.search_index(index, wanted, 0.7, 10)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
