@@ -8,11 +8,15 @@ import re
 import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docgraph.scratch import written
+from docgraph.sources.files import exists
+
 
 @dataclass
 class Registry:
@@ -24,12 +28,9 @@ class Registry:
     SCHEMA = "schema_id string, name string, primary_file string, at timestamp, active boolean, selections map<string,boolean>"
 
     def _rows(self) -> DataFrame:
-        try:
+        if exists(self.spark, self.path):
             return self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except Exception as e:  # the table does not exist before the first entry
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.createDataFrame([], self.SCHEMA)
 
     def _append(self, df: DataFrame) -> None:
         df.withColumn("at", F.current_timestamp()).select("schema_id", "name", "primary_file", "at", "active", F.col("selections").cast("map<string,boolean>")).coalesce(1).write.mode("append").parquet(self.path)
@@ -89,13 +90,9 @@ class Settings:
         self.spark, self.path = spark, path
 
     def _newest(self):  # noqa: ANN202
-        try:
-            rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except Exception as e:  # the table does not exist before the first entry
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if not exists(self.spark, self.path):
             return None
-        return rows.orderBy(F.desc("at")).first()
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path).orderBy(F.desc("at")).first()
 
     def get(self) -> dict[str, bool]:
         row = self._newest()
@@ -155,12 +152,61 @@ def check_schema(rule: object, path: str = "#") -> None:
 
 def _is(value: object, kind: str) -> bool:
     if kind in ("integer", "number"):
-        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        return isinstance(value, int | float) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, KINDS[kind])
 
 
 def _same(a: object, b: object) -> bool:
-    return json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
+    """Equal as JSON: numbers by value, but true is not 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return type(a) is type(b) and a == b if isinstance(a, str) or isinstance(b, str) or a is None or b is None else not isinstance(a, dict | list) and not isinstance(b, dict | list) and a == b
+
+
+def _key(value: object) -> object:
+    """Equal for values that are the same, and hashable."""
+    if isinstance(value, bool) or value is None or isinstance(value, str):
+        return type(value).__name__, value
+    if isinstance(value, dict):
+        return "dict", frozenset((k, _key(v)) for k, v in value.items())
+    return ("list", tuple(map(_key, value))) if isinstance(value, list) else ("number", value)
+
+
+def _is_multiple(value: float, of: float) -> bool:
+    exact = lambda v: Fraction(v) if isinstance(v, int) else Fraction(str(v))
+    return exact(value) % exact(of) == 0
+
+
+def target_of(root: object, ref: str) -> object:
+    """What a reference within the schema points to; KeyError if nothing is there."""
+    below = root
+    for part in ref.removeprefix("#").strip("/").split("/") if ref != "#" else []:
+        name = part.replace("~1", "/").replace("~0", "~")
+        below = below[int(name)] if isinstance(below, list) else below[name]  # type: ignore[index]
+    return below
+
+
+def check_references(root: dict) -> None:
+    """Refuse references to other documents, to places that are not there, and those that come back to themselves alone."""
+    waiting: list[object] = [root]
+    while waiting:
+        rule = waiting.pop()
+        waiting += rule if isinstance(rule, list) else rule.values() if isinstance(rule, dict) else []
+        seen, at = [], rule
+        while isinstance(at, dict) and isinstance(at.get("$ref"), str):
+            if at["$ref"] in seen:
+                raise ValueError(f"{at['$ref']} refers to itself")
+            seen.append(at["$ref"])
+            try:
+                if not at["$ref"].startswith("#"):
+                    raise KeyError(at["$ref"])
+                at = target_of(root, at["$ref"])
+            except (KeyError, IndexError, TypeError, ValueError):
+                raise ValueError(f"{seen[-1]} points to nothing in the schema") from None
 
 
 def json_issues(value: object, rule: object, root: dict, path: str = "") -> Iterator[Issue]:
@@ -169,11 +215,8 @@ def json_issues(value: object, rule: object, root: dict, path: str = "") -> Iter
         if not rule:
             yield "false schema", "is not allowed", path
         return
-    if "$ref" in rule:
-        below: object = root
-        for part in rule["$ref"].lstrip("#").strip("/").split("/") if rule["$ref"] != "#" else []:
-            below = below[part.replace("~1", "/").replace("~0", "~")]  # type: ignore[index]
-        yield from json_issues(value, below, root, path)
+    if isinstance(rule.get("$ref"), str):
+        yield from json_issues(value, target_of(root, rule["$ref"]), root, path)
         return
     passes = lambda v, r: next(json_issues(v, r, root), None) is None
     types = rule.get("type")
@@ -205,7 +248,7 @@ def json_issues(value: object, rule: object, root: dict, path: str = "") -> Iter
         for word, holds in (("minimum", operator.ge), ("maximum", operator.le), ("exclusiveMinimum", operator.gt), ("exclusiveMaximum", operator.lt)):
             if word in rule and not holds(value, rule[word]):
                 yield word, f"is against {word} {rule[word]}", path
-        if "multipleOf" in rule and not float(value / rule["multipleOf"]).is_integer():
+        if "multipleOf" in rule and not _is_multiple(value, rule["multipleOf"]):
             yield "multipleOf", f"is no multiple of {rule['multipleOf']}", path
 
 
@@ -240,7 +283,7 @@ def _object_issues(value: dict, rule: dict, root: dict, path: str) -> Iterator[I
 def _array_issues(value: list, rule: dict, root: dict, path: str) -> Iterator[Issue]:
     if not rule.get("minItems", 0) <= len(value) <= rule.get("maxItems", len(value)):
         yield "items", "has too few or too many items", path
-    if rule.get("uniqueItems") and len({json.dumps(v, sort_keys=True) for v in value}) < len(value):
+    if rule.get("uniqueItems") and len({_key(v) for v in value}) < len(value):
         yield "uniqueItems", "has equal items", path
     if "contains" in rule and not any(next(json_issues(v, rule["contains"], root), None) is None for v in value):
         yield "contains", "has no item that fits", path
@@ -250,22 +293,53 @@ def _array_issues(value: list, rule: dict, root: dict, path: str) -> Iterator[Is
         yield from json_issues(v, r, root, f"{path}/{k}")
 
 
+def _integer(digits: str) -> int:
+    """Of any length: Python's own reading stops at some thousands of digits."""
+    if len(digits) < 4000:
+        return int(digits)
+    sign, digits = (-1, digits[1:]) if digits[0] == "-" else (1, digits)
+    parts = [int(digits[max(0, k - 4000) : k]) for k in range(len(digits), 0, -4000)]
+    total = 0
+    for part in reversed(parts):
+        total = total * 10**4000 + part
+    return sign * total
+
+
+def _all_issues(value: object, schema: dict) -> list[Issue]:
+    try:
+        return list(json_issues(value, schema, schema))
+    except RecursionError:
+        return [("depth", "is nested too deeply", "")]
+    except (ArithmeticError, ValueError, TypeError, re.error) as e:
+        return [("failed", f"{type(e).__name__}: {e}"[:500], "")]
+
+
 def validate_json(docs: DataFrame, schema: dict) -> DataFrame:
     """All issues of JSON documents against a Draft 7 schema: file, severity, rule, message, context (path).
 
-    Keywords that are not known are refused, formats are not checked. Text that is no JSON gives one issue. One small
-    function a document; Spark deals the documents out.
+    Keywords that are not known are refused, and so are references that lead nowhere; formats are not checked. Text that is
+    no JSON, null text included, gives one issue ``syntax``, and so does NaN; one that is nested too deeply to be walked gives
+    ``depth``; whatever else goes wrong with one document is its issue ``failed``, and the others go on. Repeated documents
+    have their issues each. One small function a document; Spark deals the documents out.
     """
     check_schema(schema)
+    check_references(schema)
+
+    def no_number(name: str) -> None:
+        raise ValueError(f"{name} is no JSON")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for d in b.itertuples(index=False):
                 try:
-                    found = list(json_issues(json.loads(d.content or ""), schema, schema))
+                    value = json.loads(d.content or "", parse_constant=no_number, parse_int=_integer)
+                except RecursionError:
+                    found = [("depth", "is nested too deeply", "")]
                 except ValueError as e:
                     found = [("syntax", str(e), "")]
+                else:
+                    found = _all_issues(value, schema)
                 out += [(d.source_file, "error", rule, message, path) for rule, message, path in found]
             yield pd.DataFrame(out, columns=["file", "severity", "rule", "message", "context"])
 
@@ -273,28 +347,49 @@ def validate_json(docs: DataFrame, schema: dict) -> DataFrame:
     return rows.mapInPandas(run, "file string, severity string, rule string, message string, context string")
 
 
-#: Metadata that belongs into the reference objects of a message schema, and the names around them.
-METADATA, REFERENCES, REFERENCES_TYPE, MESSAGE_PREFIX = ("nc:Metadata", "priv:PrivacyMetadata"), "exch:ReferenceObjects", "exch:ReferenceObjectType", "exch:"
+#: Names of metadata elements, and of the parts of a message schema that hold objects which stand by reference.
+METADATA = ["nc:Metadata", "priv:PrivacyMetadata"]
+REFERENCES = "exch:ReferenceObjects"
+REFERENCES_TYPE = "exch:ReferenceObjectType"
+MESSAGE_PREFIX = "exch:"
 
 
-def with_reference_objects(schema: dict) -> dict:
-    """A copy of a message's JSON schema in which metadata beside other properties has moved into its reference objects."""
-    out = json.loads(json.dumps(schema))
-    definitions = out.get("definitions", {})
-    moved: dict = {}
-    for name, definition in definitions.items():
-        own = definition.get("properties", {}) if isinstance(definition, dict) else {}
-        meta = [m for m in METADATA if m in own]
-        if MESSAGE_PREFIX in name and name != REFERENCES_TYPE and meta and len(own) > len(meta):
-            moved |= {m: own.pop(m) for m in meta}
-            own.setdefault(REFERENCES, {"$ref": f"#/properties/{REFERENCES}"})
-    if moved:
-        about = "Objects that stand by reference alone."
-        definitions.setdefault(REFERENCES_TYPE, {"description": about, "type": "object"}).setdefault("properties", {}).update(moved)
-        out.setdefault("properties", {}).setdefault(REFERENCES, {"description": about, "$ref": f"#/definitions/{REFERENCES_TYPE}"})
+def _misplaced(schema: dict) -> dict[str, dict[str, object]]:
+    """The metadata of each message type that holds something else too, by type and name."""
+    out = {}
+    for name, properties in ((n, d.get("properties", {})) for n, d in schema.get("definitions", {}).items() if isinstance(d, dict)):
+        held = {m: properties[m] for m in METADATA if m in properties}
+        if held and held.keys() != properties.keys() and MESSAGE_PREFIX in name and name != REFERENCES_TYPE:
+            out[name] = held
     return out
 
 
+def with_reference_objects(schema: dict) -> dict:
+    """A message's JSON schema in which metadata beside other properties stands in its reference objects instead; the given one stays as it is.
+
+    Rule: a message type holds either metadata alone, or none. What breaks it is collected into the type of the reference
+    objects, which the message and each type concerned then refer to. What is there of these parts already is kept.
+    """
+    moved = _misplaced(schema)
+    if not moved:
+        return json.loads(json.dumps(schema))
+    note = "Objects that stand by reference alone."
+    to_message, to_type = {"$ref": f"#/properties/{REFERENCES}"}, {"description": note, "$ref": f"#/definitions/{REFERENCES_TYPE}"}
+    holder = {"description": note, "type": "object"} | schema["definitions"].get(REFERENCES_TYPE, {})
+    gathered = {name: rule for held in moved.values() for name, rule in held.items()}
+
+    def mended(name: str, definition: dict) -> dict:
+        if name not in moved:
+            return definition
+        rest = {k: v for k, v in definition["properties"].items() if k not in moved[name]}
+        return definition | {"properties": {REFERENCES: to_message} | rest}
+
+    definitions = {name: mended(name, d) for name, d in schema["definitions"].items()}
+    definitions[REFERENCES_TYPE] = holder | {"properties": holder.get("properties", {}) | gathered}
+    whole = schema | {"definitions": definitions, "properties": {REFERENCES: to_type} | schema.get("properties", {})}
+    return json.loads(json.dumps(whole))
+
+
 def issue_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("file").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
 
@@ -310,7 +405,9 @@ def xml_to_json(elements: DataFrame) -> DataFrame:
     """(doc_id, source_file, json) of shredded XML documents: built from the leaves up, one level a round of joins.
 
     An element is its text, or an object of its children by name (repeated names as lists) with attributes as @name.
+    The elements are written first, so that documents are shredded once whatever their depth.
     """
+    elements = written(elements, "elements")
     e = elements.filter("error IS NULL")
     deepest = e.agg(F.max("depth")).first()[0]
     if deepest is None:

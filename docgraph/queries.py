@@ -633,6 +633,25 @@ def er_similar_names(spark: SparkSession, d: str) -> DataFrame:
     return resolve.search_index(index, wanted, 0.7, 10)
 
 
+@query(
+    """SELECT rule, count(*) AS n FROM (SELECT unnest(CASE event_id % 9 WHEN 0 THEN ['syntax'] WHEN 1 THEN ['syntax'] WHEN 2 THEN ['maximum'] WHEN 3 THEN ['type'] WHEN 4 THEN ['required'] WHEN 5 THEN ['syntax']
+    WHEN 6 THEN ['enum', 'type'] WHEN 7 THEN ['uniqueItems'] ELSE [] END) AS rule FROM events) GROUP BY 1"""
+)
+def json_issue_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Events as JSON documents that are broken, not closed, out of bounds, of the wrong type or without a value, in turn."""
+    from docgraph.operators import records
+    from docgraph.session import ship_package
+
+    ship_package(spark)
+    e, turn = _t(spark, d, "events"), F.col("event_id") % 9
+    k = F.get_json_object("props", "$.k")
+    body = F.when(turn == 0, F.concat(F.lit('{"k": '), k)).when(turn == 1, F.repeat(F.lit("["), F.lit(50))).when(turn == 2, F.concat(F.lit('{"k": 1'), F.repeat(F.lit("0"), F.lit(400)), F.lit("}"))).when(turn == 3, F.concat(F.lit('{"k": "'), k, F.lit('"}')))
+    body = body.when(turn == 4, F.lit("{}")).when(turn == 5, F.lit('{"k": NaN}')).when(turn == 6, F.concat(F.lit('{"k": 1, "of": true, "at": '), k, F.lit("}"))).when(turn == 7, F.concat(F.lit('{"k": 1, "all": ['), k, F.lit(", "), k, F.lit(".0]}"))).otherwise(F.lit('{"k": 1e2, "of": 1.0}'))
+    docs = e.select(F.col("event_id").cast("string").alias("source_file"), body.alias("content"))
+    schema = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 1000}, "of": {"enum": [1, "x"]}, "at": {"type": "string"}, "all": {"uniqueItems": True}}}
+    return records.validate_json(docs, schema).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or, where it is unset, a new local one.
 
-    A path without a scheme is on the cluster's default file system, as Spark itself takes it.
+    A path without a scheme is on the cluster's default file system, as Spark itself takes it. A new local folder serves a
+    session whose tasks all run in this process alone; on a cluster, where each executor would write to its own, it is refused.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-docgraph-")
         spark.sparkContext.setCheckpointDir(base)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)

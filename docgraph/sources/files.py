@@ -32,6 +32,11 @@ def read_documents(spark: SparkSession, paths: str | list[str], upload_id: str,
     return reader.load(paths).select(name.alias("source_file"), F.lit(upload_id).alias("upload_id"), "content", document_id(F.col("path"), F.lit(upload_id)).alias("doc_id"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def purge(spark: SparkSession, path: str, prefix: str = "") -> int:
     """Delete what lies in a folder under names that begin with ``prefix``, and leave the folder; the number of entries gone."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -150,6 +150,45 @@ def test_json_schema_keywords() -> None:
             records.check_schema(bad)
 
 
+def test_no_document_ends_the_run(spark) -> None:  # noqa: ANN001
+    deep, huge = "[" * 200_000, "9" * 400
+    docs = [("deep", deep), ("huge", f'{{"a": {huge}}}'), ("longer", f'{{"a": {"7" * 9000}}}'), ("nan", '{"a": NaN}'), ("far", '{"a": 1e400}'), ("nested", '{"b": ' * 900 + "1" + "}" * 900), ("one", '{"c": 1.0}'), ("true", '{"c": true}'), ("fine", '{"a": 4.0, "c": 1}'), ("fine", '{"a": 4.0, "c": 1}'), ("null", None)]
+    schema = {"type": "object", "properties": {"a": {"type": "number", "multipleOf": 2, "maximum": 100}, "b": {"$ref": "#"}, "c": {"const": 1}}}
+    got = {}
+    for r in records.validate_json(spark.createDataFrame(docs, "source_file string, content string"), schema).collect():
+        got.setdefault(r.file, []).append(r.rule)
+    assert {k: sorted(v) for k, v in got.items()} == {"deep": ["depth"], "huge": ["maximum", "multipleOf"], "longer": ["maximum", "multipleOf"], "nan": ["syntax"], "far": ["failed"], "nested": ["depth"], "true": ["const"], "null": ["syntax"]}
+
+
+def test_bad_references_are_refused(spark) -> None:  # noqa: ANN001
+    docs = spark.createDataFrame([("a", "1")], "source_file string, content string")
+    for ref in ("#/definitions/gone", "other.json#/a", "#/definitions/loop", "#/allOf/7"):
+        with pytest.raises(ValueError):
+            records.validate_json(docs, {"definitions": {"loop": {"$ref": "#/definitions/loop"}}, "allOf": [{"$ref": ref}]})
+    assert records.validate_json(docs, {"properties": {"$ref": {"type": "string"}}, "allOf": [{"minimum": 1}, {"$ref": "#/allOf/0"}]}).count() == 0
+
+
+def test_values_are_equal_as_json() -> None:
+    same, other = [(1, 1.0), ([1, {"a": 2}], [1.0, {"a": 2.0}]), ("a", "a"), (None, None)], [(1, True), (0, False), ("1", 1), (None, 0), ([], {}), ([1], [1, 1]), ({"a": 1}, {"b": 1}), (None, False)]
+    assert all(records._same(a, b) and records._key(a) == records._key(b) for a, b in same)
+    assert not any(records._same(a, b) or records._key(a) == records._key(b) for a, b in other)
+
+
+def test_conversion_shreds_once(spark) -> None:  # noqa: ANN001
+    out = records.xml_to_json(rows(spark, ("1", "a.xml", "u", "<a>" * 9 + "x" + "</a>" * 9)))
+    assert "MapInPandas" not in out._jdf.queryExecution().optimizedPlan().toString() and json.loads(out.first().json)
+
+
+def test_scratch_needs_a_shared_folder() -> None:
+    from types import SimpleNamespace
+
+    from docgraph.scratch import scratch_dir
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://there:7077")
+    with pytest.raises(ValueError, match="share"):
+        scratch_dir(SimpleNamespace(sparkContext=context))
+
+
 def test_reference_objects() -> None:
     schema = {"definitions": {"exch:MessageType": {"properties": {"nc:Metadata": {"a": 1}, "x:Body": {}}}, "exch:Plain": {"properties": {"nc:Metadata": {}}}, "x:Other": {"properties": {"nc:Metadata": {}, "y": {}}}}}
     out = records.with_reference_objects(schema)
