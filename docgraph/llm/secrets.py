@@ -2,8 +2,10 @@
 
 Pattern kinds (assign, access, hex) are reported as found. Beyond them, runs that look like base64 or hex are
 decoded, and reported only if the bytes have the structure of a key: DER sequences whose nested lengths fit
-exactly, SSH key blobs whose length-prefixed fields end with the blob, PEM armour around either, or a signed
-token whose header and claims are JSON objects and whose header names an algorithm.
+exactly, SSH key blobs whose length-prefixed fields end with the blob, SSH key containers whose every field, key and
+section is parsed to the end, PEM armour around these (or around what its own headers say is enciphered), or a signed
+token whose header and claims are JSON objects and whose header names an algorithm. Base64 may be the URL-safe one,
+and may be broken into lines.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import hashlib
 import json
 import re
 import struct
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +32,15 @@ BASE_KINDS = ("assign", "access", "hex")
 CONFIRMED_KINDS = ("pem", "jwt", "ssh", "der")
 RANK = {k: i for i, k in enumerate((*BASE_KINDS, *CONFIRMED_KINDS))}
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,60}KEY)-----")
+PEM_BODY = re.compile(r"\s*((?:[A-Za-z-]+:[^\n]*\n(?:[\x20\t][^\n]*\n)*)*)([A-Za-z0-9+/=\s]+)")
+PEM_CIPHER = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED\s+DEK-Info:\s*([A-Z0-9-]+),\s*([0-9A-Fa-f]{16,32})\s*")
+#: Three parts, of which the first two can begin a JSON object: e and w or y stand for an opening brace and what follows it.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[wy][A-Za-z0-9_-]++)\.(e[wy][A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+URL_SAFE = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_-]{40,}+={0,2}(?![+/])")
+#: Lines of one length after the first and a shorter last one.
+BROKEN = re.compile(r"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{40,80}+\r?\n[\x20\t]{0,40})++[A-Za-z0-9+/]*+={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 
 
@@ -79,18 +88,58 @@ def is_der_key(data: bytes) -> bool:
     return der_fields(data, got[1], len(data)) >= 2
 
 
+def ssh_field(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """The length-prefixed field at ``at`` and where it ends."""
+    if at + 4 > len(data):
+        return None
+    (n,) = struct.unpack_from(">I", data, at)
+    return (data[at + 4 : at + 4 + n], at + 4 + n) if at + 4 + n <= len(data) else None
+
+
+_KEY_TYPE = re.compile(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+$")
+_CONTAINER = b"openssh-key-v1\0"
+
+
 def is_ssh_blob(data: bytes) -> bool:
-    """A private-key container, or length-prefixed fields that end with the blob and begin with a key type."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
+    """Length-prefixed fields that end with the blob and begin with a key type."""
     at, fields, first = 0, 0, b""
-    while at + 4 <= len(data):
-        (n,) = struct.unpack_from(">I", data, at)
-        if at + 4 + n > len(data):
+    while got := ssh_field(data, at):
+        first = first or got[0]
+        at, fields = got[1], fields + 1
+    return at == len(data) and fields >= 2 and _KEY_TYPE.match(first) is not None
+
+
+def is_ssh_container(data: bytes) -> bool:
+    """A private-key container: cipher, key derivation and its options, a count of public keys that are key blobs, and one private
+    section that ends with the data and fills whole blocks; in plain, it begins with a number twice and names a key type."""
+    if not data.startswith(_CONTAINER):
+        return False
+    at, head = len(_CONTAINER), []
+    for _ in range(3):
+        if not (got := ssh_field(data, at)):
+            return False
+        head.append(got[0])
+        at = got[1]
+    cipher, derivation, options = head
+    plain = cipher == b"none"
+    if not re.fullmatch(rb"[a-z0-9@.-]{3,40}", cipher) or derivation not in (b"none", b"bcrypt") or plain != (derivation == b"none") or bool(options) == plain or at + 4 > len(data):
+        return False
+    (keys,) = struct.unpack_from(">I", data, at)
+    at += 4
+    if not 1 <= keys <= 16:
+        return False
+    for _ in range(keys):
+        if not (got := ssh_field(data, at)) or not is_ssh_blob(got[0]):
             return False
-        first = first or data[at + 4 : at + 4 + n]
-        at, fields = at + 4 + n, fields + 1
-    return at == len(data) and fields >= 2 and re.match(rb"(ssh-|ecdsa-sha2-|sk-)[a-z0-9@.-]+$", first) is not None
+        at = got[1]
+    got = ssh_field(data, at)
+    if not got or got[1] != len(data) or not got[0] or len(got[0]) % 8:
+        return False
+    section = got[0]
+    if not plain:
+        return len(section) % 16 == 0 or cipher.startswith((b"3des", b"blowfish", b"cast", b"chacha"))
+    named = ssh_field(section, 8)
+    return len(section) > 16 and section[:4] == section[4:8] and named is not None and _KEY_TYPE.match(named[0]) is not None
 
 
 def from_base64(run: str, urlsafe: bool = False) -> bytes | None:
@@ -106,7 +155,22 @@ def from_base64(run: str, urlsafe: bool = False) -> bytes | None:
 def key_kind(data: bytes | None) -> str | None:
     if not data:
         return None
-    return "der" if is_der_key(data) else "ssh" if is_ssh_blob(data) else None
+    return "der" if is_der_key(data) else "ssh" if is_ssh_container(data) or is_ssh_blob(data) else None
+
+
+def is_armoured(body: str) -> bool:
+    """What stands between the lines of an armour: a key, or, under headers that name a cipher, whole blocks of it."""
+    m = PEM_BODY.fullmatch(body)
+    if not m:
+        return False
+    data = from_base64("".join(m[2].split()))
+    if not m[1]:
+        return key_kind(data) is not None
+    cipher = PEM_CIPHER.fullmatch(m[1])
+    if cipher:
+        block = len(cipher[2]) // 2
+        return block in (8, 16) and bool(data) and len(data) % block == 0
+    return key_kind(data) is not None
 
 
 def is_token(header: str, claims: str) -> bool:
@@ -127,23 +191,54 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def armoured_spans(text: str) -> list[tuple[int, int]]:
+    """Places of armoured keys; a label that no end line follows is looked for once."""
+    found, gone, free = [], set(), 0
+    for m in PEM_BEGIN.finditer(text):
+        end = f"-----END {m[1]}-----"
+        if m.start() < free or m[1] in gone:
+            continue
+        stop = text.find(end, m.end())
+        if stop < 0:
+            gone.add(m[1])
+        elif (next_begin := text.find("-----BEGIN ", m.end(), stop)) < 0 and is_armoured(text[m.end() : stop]):
+            found.append((m.start(), stop + len(end)))
+            free = stop + len(end)
+        elif next_begin < 0:
+            free = stop
+    return found
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
-    found: list[tuple[int, int, str]] = []
-    pem: list[tuple[int, int]] = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            if key_kind(from_base64("".join(m[2].split()))):
-                found.append((m.start(), m.end(), "pem"))
-                pem.append(m.span())
-    if "eyJ" in text:
+    """Spans that the structure of their bytes confirms; none lies within another of them."""
+    pem = armoured_spans(text) if "-----BEGIN " in text else []
+    found = [(a, b, "pem") for a, b in pem]
+    if "." in text:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token(m[1], m[2])]
-    within = lambda m: any(a <= m.start() and m.end() <= b for a, b in pem)
-    for m in BASE64.finditer(text):
-        if not within(m) and (kind := key_kind(from_base64(m[0]))):
+    taken = sorted((a, b) for a, b, _ in found)
+    begins = [a for a, _ in taken]
+
+    def add(m: re.Match, data: bytes | None) -> None:
+        at = bisect_right(begins, m.start()) - 1
+        if at >= 0 and taken[at][1] >= m.end():
+            return
+        kind = key_kind(data)
+        if kind:
             found.append((m.start(), m.end(), kind))
+            k = bisect_right(begins, m.start())
+            begins.insert(k, m.start())
+            taken.insert(k, (m.start(), m.end()))
+
+    if "\n" in text:
+        for m in BROKEN.finditer(text):
+            add(m, from_base64("".join(m[0].split())))
+    for m in BASE64.finditer(text):
+        add(m, from_base64(m[0]))
+    for m in URL_SAFE.finditer(text):
+        if "-" in m[0] or "_" in m[0]:
+            add(m, from_base64(m[0], urlsafe=True))
     for m in HEX_ANY.finditer(text):
-        if not within(m) and (kind := key_kind(bytes.fromhex(m[0]))):
-            found.append((m.start(), m.end(), kind))
+        add(m, bytes.fromhex(m[0]))
     return found
 
 
@@ -155,7 +250,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` with its spans (code points, end exclusive), ``kind:start:end`` by start.
 
     Null text: an empty one, so no spans. Repeated rows are scanned one by one; a null doc_id stays null; other
-    columns are not read. An empty table gives an empty result.
+    columns are not read. An empty table gives an empty result. Very long texts are scanned whole, in linear time. Spans that
+    begin together are in the order of their kinds, then by end.
     """
 
     def scan(batch: pa.RecordBatch) -> dict:
