@@ -256,43 +256,48 @@ def candidates(text: str) -> list[tuple[int, int, str, bool, str, str]]:
 
 @dataclass
 class Reliabilities:
-    """``given[l, y, v]``: probability that labeler l says v of a span that is (y=1) or isn't (y=0) personal; ``prior`` by kind."""
+    """``given[k, l, y, v]``: probability that labeler l says v of a span of kind k that is (y=1) or isn't (y=0) personal; ``prior`` by kind."""
 
     given: np.ndarray
     prior: np.ndarray
 
     def posterior(self, kinds: np.ndarray, votes: np.ndarray) -> np.ndarray:
-        each = np.log(self.given[np.arange(votes.shape[1])[None, :], :, votes]).sum(1)  # patterns x y
+        each = np.log(self.given[kinds[:, None], np.arange(votes.shape[1])[None, :], :, votes]).sum(1)  # patterns x y
         odds = each[:, 1] - each[:, 0] + np.log(self.prior[kinds]) - np.log1p(-self.prior[kinds])
         return 1 / (1 + np.exp(-odds))
 
 
+#: What is taken for granted of a labeler before it is seen, as counts of (abstain, against, for) among what isn't and what is personal.
+TRUST = np.array([[3.0, 6.0, 1.0], [3.0, 1.0, 6.0]])
+#: A kind's own checksum fails on what is personal by a slip of the pen alone: this often at most, whatever the counts say.
+SLIPS = 0.01
+
+
 def estimate(kinds: np.ndarray, votes: np.ndarray, counts: np.ndarray, n_kinds: int = len(KINDS), rounds: int = 200, tolerance: float = 1e-7) -> Reliabilities:
-    """Reliabilities of labelers from counts of vote patterns, by expectation-maximisation (Dawid and Skene, 1979).
+    """Reliabilities of labelers, for each kind its own, from counts of vote patterns by expectation-maximisation (Dawid and Skene, 1979).
 
-    Starts from the majority of votes. Votes for a span never count against it, nor the other way round: where counts say
-    so, both classes get the pooled share. Each outcome has one pseudo-count, so an empty corpus gives even odds.
+    Starts from the majority of votes. ``TRUST`` outweighs few counts and yields to many; a vote for never counts against,
+    nor the other way round: where counts say so, both classes get the pooled share. An empty corpus gives even odds.
     """
-    p = 1 / (1 + np.exp(-1.5 * ((votes == 2).sum(1) - (votes == 1).sum(1) - 0.5)))
-    found = None
+    p = 1 / (1 + np.exp(-1.5 * ((votes == 2).sum(1) - 2.0 * (votes == 1).sum(1) - 0.5)))
+    found = Reliabilities(np.zeros((n_kinds, votes.shape[1], 2, 3)), np.ones(n_kinds) / 2)
     for _ in range(rounds):
-        given = np.ones((votes.shape[1], 2, 3))
-        for v in range(3):
-            said = (votes == v) * counts[:, None]
-            given[:, 1, v] += (said * p[:, None]).sum(0)
-            given[:, 0, v] += (said * (1 - p)[:, None]).sum(0)
-        total = given.sum(2)
-        share = given / total[:, :, None]
-        pooled = given.sum(1) / total.sum(1)[:, None]
-        for v, sign in ((1, -1), (2, 1)):
-            wrong = sign * (share[:, 1, v] - share[:, 0, v]) < 0
-            share[wrong, :, v] = pooled[wrong, v][:, None]
-        share /= share.sum(2, keepdims=True)
-        prior = np.ones(n_kinds) / 2
         for k in range(n_kinds):
             mine = kinds == k
-            prior[k] = (1 + (p[mine] * counts[mine]).sum()) / (2 + counts[mine].sum())
-        found = Reliabilities(share, prior)
+            yes, no = p[mine] * counts[mine], (1 - p[mine]) * counts[mine]
+            given = np.tile(TRUST, (votes.shape[1], 1, 1))
+            for v in range(3):
+                said = votes[mine] == v
+                given[:, 1, v] += (said * yes[:, None]).sum(0)
+                given[:, 0, v] += (said * no[:, None]).sum(0)
+            total = given.sum(2)
+            share, pooled = given / total[:, :, None], given.sum(1) / total.sum(1)[:, None]
+            for v, sign in ((1, -1), (2, 1)):
+                wrong = sign * (share[:, 1, v] - share[:, 0, v]) < 0
+                share[wrong, :, v] = pooled[wrong, v][:, None]
+            if votes.shape[1] == len(LABELERS):
+                share[LABELERS.index("checksum"), 1, 1] = min(share[LABELERS.index("checksum"), 1, 1], SLIPS)
+            found.given[k], found.prior[k] = share / share.sum(2, keepdims=True), (1 + yes.sum()) / (2 + counts[mine].sum())
         new = found.posterior(kinds, votes)
         if not len(new) or np.abs(new - p).max() < tolerance:
             break
@@ -301,18 +306,17 @@ def estimate(kinds: np.ndarray, votes: np.ndarray, counts: np.ndarray, n_kinds:
 
 
 def features(kind: str, votes: str, shape: str) -> list[int]:
-    """Places of the ones: the kind, each labeler's vote, each shape."""
-    at, out = len(KINDS), [RANK[kind]]
-    for v in votes:
-        out.append(at + OUTCOMES.index(v))
-        at += len(OUTCOMES)
+    """Places of the ones: the kind, each labeler's vote by kind, each shape."""
+    at = len(KINDS) + RANK[kind] * len(LABELERS) * len(OUTCOMES)
+    out = [RANK[kind], *(at + k * len(OUTCOMES) + OUTCOMES.index(v) for k, v in enumerate(votes))]
+    at = len(KINDS) * (1 + len(LABELERS) * len(OUTCOMES))
     for s, n in zip(shape, SHAPES, strict=True):
         out.append(at + int(s))
         at += n
     return out
 
 
-N_FEATURES = len(KINDS) + len(OUTCOMES) * len(LABELERS) + sum(SHAPES)
+N_FEATURES = len(KINDS) * (1 + len(OUTCOMES) * len(LABELERS)) + sum(SHAPES)
 
 
 def train(rows: list[list[int]], labels: np.ndarray, weights: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
