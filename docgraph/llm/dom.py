@@ -12,12 +12,13 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""(?<![^\s"'=<>/])([^\s"'=<>/]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Scripts, styles, titles and frames: all up to their end tag is no markup, and is dropped.
-RAW = frozenset("script style textarea title noscript iframe".split())
+#: Scripts, styles, titles and text fields: all up to their end tag is no markup, and is dropped.
+RAW = frozenset("script style textarea title".split())
+RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in RAW}
 #: Controls of forms, and templates: dropped with their contents. A control that is not closed ends with the next block.
 DROPPED = frozenset("button select datalist template".split())
 #: Tags without an element of their own here; what is inside belongs to what is around.
-CLEAR = frozenset("html head body".split())
+CLEAR = frozenset("html head body noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Blocks that no control of a form holds.
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 article section main header footer nav aside form ul ol dl table blockquote pre".split())
@@ -29,10 +30,10 @@ CLOSES = {
 
 
 class Node:
-    __slots__ = ("tag", "parent", "attrs", "text", "chars", "link_chars", "tags", "children", "depth", "mark", "begin")
+    __slots__ = ("tag", "parent", "attrs", "text", "chars", "link_chars", "tags", "children", "depth", "mark", "begin", "rules")
 
-    def __init__(self, tag: str, parent: int, attrs: str, depth: int, begin: int) -> None:
-        self.tag, self.parent, self.attrs, self.depth, self.begin = tag, parent, attrs, depth, begin
+    def __init__(self, tag: str, parent: int, attrs: str, depth: int, begin: int, rules: int = 0) -> None:
+        self.tag, self.parent, self.attrs, self.depth, self.begin, self.rules = tag, parent, attrs, depth, begin, rules
         self.text, self.chars, self.link_chars, self.tags, self.children, self.mark = "", 0, 0, 0, 0, None
 
 
@@ -47,7 +48,6 @@ def markup(page: str) -> Iterator[tuple[str | None, str, str, bool]]:
     script or a style as nothing; the start tag of another raw element without end is passed over.
     """
     at, begin, end, text, gone = 0, 0, len(page), [], set()
-    low = page.lower()
     quoted = True  # whether tags end outside of quotes from here on
     while True:
         at = page.find("<", at)
@@ -89,9 +89,9 @@ def markup(page: str) -> Iterator[tuple[str | None, str, str, bool]]:
         text = []
         at = begin = stop + 1
         if tag in RAW and after != "/":
-            stop = -1 if tag in gone else low.find(f"</{tag}", at) if len(low) == end else page.find(f"</{tag}", at)
-            if stop >= 0:
-                close = page.find(">", stop)
+            ended = None if tag in gone else RAW_END[tag].search(page, at)
+            if ended:
+                close = page.find(">", ended.end())
                 at = begin = end if close < 0 else close + 1
             elif tag in ("script", "style"):
                 at = begin = end
@@ -109,17 +109,21 @@ class Block:
         self.tag, self.node, self.inline, self.count = tag, node, [], Counter()
 
 
-def parse(page: str) -> list[Node]:
+MARK = re.compile(r'\s*data-main="([01])"')
+
+
+def parse(page: str, marked: bool = False) -> list[Node]:
     """Nodes in page order, each after its parent; the first is the page. Text runs are leaves tagged TEXT.
 
     References are decoded piece by piece, so none comes about where markup stood. Time is in proportion to the page's
-    length: open elements are looked up by tag, never searched for.
+    length: open elements are looked up by tag, never searched for. ``marked``: the page is a generated one whose labels
+    are attributes; in others an attribute of that name is one like any other.
     """
     nodes = [Node("#page", -1, "", 0, 0)]
     stack = [Block("#page", 0)]
     open_at: dict[str, list[int]] = {}  # places in the stack of the open blocks of each tag
     run: list[str] = []
-    seen = links = link_chars = 0
+    seen = links = link_chars = rules = 0
     skip: str | None = None
     skip_depth = 0
 
@@ -129,7 +133,7 @@ def parse(page: str) -> list[Node]:
             text = " ".join("".join(run).split())
             if text:
                 at = stack[-1].node
-                leaf = Node(TEXT, at, "", nodes[at].depth + 1, seen)
+                leaf = Node(TEXT, at, "", nodes[at].depth + 1, seen, rules)
                 leaf.text, leaf.chars, leaf.link_chars = text, len(text), min(link_chars, len(text))
                 leaf.mark = nodes[at].mark
                 nodes[at].children += 1
@@ -171,7 +175,13 @@ def parse(page: str) -> list[Node]:
                 skip, skip_depth = tag, 1
             continue
         if tag in VOID:
-            if tag in ("br", "hr"):
+            if tag == "hr":  # a rule divides blocks; it stands in a paragraph only if that was not closed
+                if stack[-1].tag == "p":
+                    close(len(stack) - 1)
+                flush()
+                rules += 1
+                block = stack[-1]
+            elif tag == "br":
                 run.append(" ")
             nodes[block.node].tags += 1
             continue
@@ -208,10 +218,10 @@ def parse(page: str) -> list[Node]:
         nodes[parent].children += 1
         nodes[parent].tags += 1
         mark = nodes[parent].mark
-        if "data-main" in attrs:  # labels of training pages hold for what is inside
-            mark = re.search(r'data-main="([01])"', attrs)[1] == "1"
-            attrs = re.sub(r'\s*data-main="[01]"', "", attrs)
-        nodes.append(Node(tag, parent, attrs, nodes[parent].depth + 1, seen))
+        if marked and (label := MARK.search(attrs)):  # holds for what is inside
+            mark = label[1] == "1"
+            attrs = MARK.sub("", attrs)
+        nodes.append(Node(tag, parent, attrs, nodes[parent].depth + 1, seen, rules))
         nodes[-1].mark = mark
         open_at.setdefault(tag, []).append(len(stack))
         stack.append(Block(tag, len(nodes) - 1))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 import re
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docgraph.llm.boosting import Trees, fit_trees
 from docgraph.llm.common import map_slices
-from docgraph.llm.dom import TEXT, Node, attribute_tokens, parse
+from docgraph.llm.dom import MARK, TEXT, Node, attribute_tokens, parse
 
 #: Attribute tokens that speak against and for the article.
 AGAINST = frozenset(
@@ -30,11 +31,13 @@ AGAINST = frozenset(
 FOR = frozenset("article content main body post entry story text page prose blog news articlebody maincontent".split())
 GROUPS = {
     "p": 1, "h1": 2, "h2": 3, "h3": 3, "h4": 3, "h5": 3, "h6": 3, "ul": 4, "ol": 4, "dl": 4, "li": 5, "dt": 5, "dd": 5, "nav": 6, "menu": 6, "header": 7, "footer": 8, "aside": 9, "form": 10, "fieldset": 10,
-    "article": 11, "main": 12, "section": 13, "div": 14, "table": 15, "tr": 15, "td": 15, "th": 15, "tbody": 15, "blockquote": 16, "pre": 16, "figure": 17, "figcaption": 17, "body": 18, "html": 18, "#page": 18, TEXT: 19,
+    "article": 11, "main": 12, "section": 13, "div": 14, "table": 15, "tr": 15, "td": 15, "th": 15, "tbody": 15, "blockquote": 16, "pre": 16, "figure": 17, "figcaption": 17, "body": 18, "html": 18, "#page": 18, TEXT: 19, "address": 20, "center": 21,
 }
 DIGITS = re.compile(r"\d+")
+YEAR = re.compile(r"(?<!\d)(?:19|20)\d\d(?!\d)")
 _BAD_TAGS = frozenset((6, 7, 8, 9, 10))
-N_FEATURES = 34
+_CELLS, _ROWS, _DIVISION = frozenset(("td", "th")), frozenset(("table", "tbody", "thead", "tr")), GROUPS["div"]
+N_FEATURES = 38
 
 
 def features(nodes: list[Node]) -> np.ndarray:
@@ -44,6 +47,10 @@ def features(nodes: list[Node]) -> np.ndarray:
     total = max(1, nodes[0].chars)
     against, for_, inside_bad, inside_good, in_bad_tag, in_good_tag = ([0] * n for _ in range(6))
     group = [GROUPS.get(x.tag, 0) for x in nodes]
+    for k in range(n - 1, 0, -1):  # a table whose cells hold blocks lays the page out: its parts are like divisions
+        up = nodes[k].parent
+        if nodes[up].tag in _CELLS and nodes[k].tag != TEXT or nodes[up].tag in _ROWS and group[k] == _DIVISION:
+            group[up] = _DIVISION
     same: dict[tuple[int, str], int] = {}
     order: dict[int, int] = {}
     place = [0] * n
@@ -72,10 +79,89 @@ def features(nodes: list[Node]) -> np.ndarray:
             t.count(",") + t.count("."), len(t.split()) if t else 0, len(t) - len(DIGITS.sub("", t)), g in _BAD_TAGS, g in (11, 12), g == 1, g in (2, 3),
             parent.link_chars / max(1, parent.chars), prior.chars if prior else -1, prior.link_chars / max(1, prior.chars) if prior else -1,
             group[before] if before is not None else -1, against[before] if before is not None else 0, "©" in t,
+            x.rules, nodes[-1].rules - x.rules, x.rules > (prior.rules if prior else parent.rules), bool(YEAR.search(t)),
         )
     return out
 
 
+def context(scores: np.ndarray, parents: np.ndarray, leaves: np.ndarray, chars: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """What the first trees think of a node's surroundings, one row a node: its parent and its siblings before and after, and how
+    much of the page's article they see before it. ``parents`` and ``pages`` number nodes and pages of the whole slice."""
+    n = len(scores)
+    out = np.zeros((n, 14))
+    if not n:
+        return out
+    order = np.argsort(parents, kind="stable")
+    s, family = scores[order], parents[order]
+    begins = np.append(True, family[1:] != family[:-1])
+    group = np.cumsum(begins) - 1
+    first = np.flatnonzero(begins)
+    size = np.diff(np.append(first, n))
+    place, rest = np.arange(n) - first[group], size[group] - 1 - (np.arange(n) - first[group])
+    none = -9.0
+
+    def shifted(k: int) -> np.ndarray:
+        moved = np.full(n, none)
+        at = np.arange(n) + k
+        inside = (at >= 0) & (at < n)
+        moved[inside] = np.where(group[at[inside]] == group[inside], s[at[inside]], none)
+        return moved
+
+    chosen = (s > 0).astype(np.float64)
+    upto = np.cumsum(chosen)
+    start = upto[first] - chosen[first]
+    before = upto - chosen - start[group]
+    total = np.add.reduceat(chosen, first)[group]
+    apart = 1000.0 * group
+    most = np.maximum.accumulate(s + apart) - apart
+    back = 1000.0 * group[::-1].max() - 1000.0 * group[::-1]
+    most_after = (np.maximum.accumulate(s[::-1] + back) - back)[::-1]
+    by_group = np.stack([
+        shifted(-1), shifted(1), shifted(-2), shifted(2), before, total - before - chosen, (np.add.reduceat(s, first) / size)[group],
+        np.where(place > 0, np.append(none, most[:-1]), none), np.where(rest > 0, np.append(most_after[1:], none), none),
+    ], 1)
+    out[order, :9] = by_group
+    out[:, 9] = scores
+    out[:, 10] = np.where(parents >= 0, scores[np.maximum(parents, 0)], none)
+    weight = np.where(leaves & (scores > 0), chars, 0).astype(np.float64)
+    sofar = np.cumsum(weight)
+    edge = np.append(0, np.flatnonzero(np.diff(pages)) + 1)
+    of_page = np.cumsum(np.append(0, np.diff(pages) > 0))
+    base = (sofar - weight)[edge][of_page]
+    whole = np.maximum(np.add.reduceat(weight, edge)[of_page], 1)
+    out[:, 11], out[:, 12] = (sofar - weight - base) / whole, weight / whole
+    at = np.flatnonzero(leaves)
+    if len(at):
+        same = np.append(False, pages[at[1:]] == pages[at[:-1]])
+        out[at, 13] = np.where(same, np.append(none, scores[at[:-1]]), none)
+    return out
+
+
+@dataclass
+class Model:
+    """Trees over a node's own features, and trees that see their opinion of its surroundings as well."""
+
+    own: Trees
+    around: Trees
+
+    def scores(self, pages: list[list[Node]]) -> np.ndarray:
+        """Log odds of all nodes of ``pages``."""
+        if not pages:
+            return np.zeros(0)
+        x = np.concatenate([features(nodes) for nodes in pages])
+        return self.around.scores(np.hstack([x, around(self.own.scores(x), pages)]))
+
+
+def around(scores: np.ndarray, pages: list[list[Node]]) -> np.ndarray:
+    sizes = [len(nodes) for nodes in pages]
+    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flat = [x for nodes in pages for x in nodes]
+    page = np.repeat(np.arange(len(pages)), sizes)
+    up = np.array([x.parent for x in flat])
+    parents = np.where(up >= 0, up + offsets[page], -1 - page)
+    return context(scores, parents, np.array([x.tag == TEXT for x in flat]), np.array([x.chars for x in flat]), page)
+
+
 def decode(scores: np.ndarray, nodes: list[Node]) -> np.ndarray:
     """The valid choice with the highest sum of log odds. A choice without a text run is empty."""
     gain = scores.copy()
@@ -92,10 +178,9 @@ def decode(scores: np.ndarray, nodes: list[Node]) -> np.ndarray:
     return chosen
 
 
-def extract(pages: list[str | None], trees: Trees) -> list[str]:
+def extract(pages: list[str | None], model: Model) -> list[str]:
     parsed = [parse(p or "") for p in pages]
-    rows = [features(nodes) for nodes in parsed]
-    scores = trees.scores(np.concatenate(rows)) if rows else np.zeros(0)
+    scores = model.scores(parsed)
     out, at = [], 0
     for nodes in parsed:
         chosen = decode(scores[at : at + len(nodes)], nodes)
@@ -112,13 +197,16 @@ NAMES = {
     "form": ["search", "subscribe", "login", "contact", "signup", "newsletter"], "comments": ["comments", "discussion", "replies", "responses", "thread", "respond"],
     "main": ["content", "main", "post", "entry", "story", "article", "text", "post-body", "entry-content", "page"],
 }
-FAMILIES = ("semantic", "classes", "ids", "manual", "tables", "bare")
-SHARES = {"semantic": 5, "classes": 4, "ids": 3, "manual": 2, "tables": 0.5, "bare": 0.5}
+FAMILIES = ("semantic", "classes", "ids", "manual", "tables", "bare", "grid")
+SHARES = {"semantic": 5, "classes": 3, "ids": 2, "manual": 2, "tables": 1.5, "bare": 1.5, "grid": 1.5}
+#: Class names that say how wide a part is and nothing of what it holds.
+COLUMNS = ["col-8", "col-md-9", "span8", "col-4", "col-md-3", "row", "container", "col", "unit", "grid-6", "cell", "box", "left", "right", "center", "wide", "w-50", "layout-2"]
+MONTHS = "January March May 3. Mai juin 12 de abril agosto".split()
 
 
 class Pages:
     """Generated pages with labels, in families of layouts: sectioning elements, divisions with classes or with ids, tables
-    used for layout, manuals with long side menus, and bare pages. The words are invented."""
+    used for layout, manuals with long side menus and code, columns named by their width, and bare pages. The words are invented."""
 
     def __init__(self, seed: int, families: tuple[str, ...] = FAMILIES) -> None:
         self.r, self.families = random.Random(seed), families
@@ -196,16 +284,40 @@ class Pages:
         if family in ("tables", "bare") and kind in ("nav", "aside", "header", "footer"):
             if family == "tables":
                 return f'<table data-main="0"{self.maybe(0.5, " width=100%")}><tr><td{self.maybe(0.4, " bgcolor=#eee")}>{inner}</table>'
+            if kind == "footer" and self.r.random() < 0.6:
+                line = self.r.choice((f"Last {self.r.choice(('changed', 'updated', 'modified'))} {self.date()}", f"last changed {self.r.randint(1995, 2025)}", f"{self.title(1, 3)} {self.links(1)}", self.links(3), f"&copy; {self.title(1, 3)}"))
+                return "<hr>" + self.r.choice(('<address data-main="0">{}</address>', '<p data-main="0">{}</p>', '<center data-main="0">{}</center>', '<p data-main="0"><i>{}</i></p>', '<div data-main="0"><small>{}</small></div>')).format(line)
+            if kind == "nav" and self.r.random() < 0.5:
+                return f'<{(tag := self.r.choice(("p", "center", "div")))} data-main="0">{self.r.choice((" | ", " ", " - ")).join(self.link() for _ in range(self.r.randint(2, 7)))}</{tag}>' + self.maybe(0.5, "<hr>")
             return self.r.choice(('<{0} data-main="0">{1}</{0}>', '<hr><{0} data-main="0">{1}</{0}>')).format(self.r.choice(("nav" if kind == "nav" else "div", kind if kind != "nav" else "ul")), inner)
+        if family == "grid" and kind in ("nav", "aside", "header", "footer"):
+            return f'<{(tag := self.r.choice(("div", "div", "div", "section")))} class="{self.r.choice(COLUMNS)}" data-main="0">{inner}</{tag}>'
         needs = tag in ("div", "section", "p", "ins")
         label = f' {"id" if family == "ids" else "class"}="{self.name(kind)}"' if needs or self.r.random() < 0.4 else ""
         return f'<{"div" if tag == "ins" else tag}{label} data-main="0">{inner}</{"div" if tag == "ins" else tag}>'
 
+    def date(self) -> str:
+        return f"{self.r.randint(1, 28)} {self.r.choice(MONTHS)} {self.r.randint(1995, 2025)}"
+
+    def byline(self) -> str:
+        r = self.r
+        who = f"{r.choice(('By', 'by', 'Von', 'Par', 'Por', 'Posted by', 'Written by'))} {self.title(1, 2)}"
+        line = r.choice((who, f"{who}, {self.date()}", f"{who} | {self.date()}", self.date(), f"{who} &middot; {r.randint(2, 20)} min"))
+        return r.choice(('<p{1} data-main="1">{0}</p>', '<div{1} data-main="1">{0}</div>', '<address data-main="1">{0}</address>', '<p data-main="1"><em>{0}</em></p>')).format(line, self.maybe(0.5, f' class="{r.choice(("byline", "meta", "author", "date", "info"))}"'))
+
+    def code(self) -> str:
+        r = self.r
+        lines = [" " * r.choice((0, 0, 2, 4)) + r.choice(("{} = {}({})", "{} {} --{}", "$ {} {} {}", "if {} &lt; {}: {}", "{}.{}({});")).format(*r.choices(self.words, k=3)) for _ in range(r.randint(1, 9))]
+        return f'<pre data-main="1">{self.maybe(0.3, "<code>")}' + "\n".join(lines) + "</pre>"
+
     def article(self, family: str) -> str:
         r, title = self.r, self.title(2, 12)
-        blocks = [self.maybe(0.9, f'<h{r.choice((1, 1, 1, 2))} data-main="1">{title}</h1>')]
-        for _ in range(r.choice((0, 1, 1, 2, 3, 4, 6, 9, 14))):
+        blocks = [self.maybe(0.9, f'<h{r.choice((1, 1, 1, 2))} data-main="1">{title}</h1>'), self.maybe(0.25, self.byline())]
+        for _ in range(r.choice((0, 1, 2, 3, 3, 4, 5, 6, 9, 14))):
             kind = r.random()
+            if family == "manual" and r.random() < 0.25:
+                blocks.append(self.code())
+                continue
             if kind < 0.7:
                 blocks.append(f'<p data-main="1">{self.prose()}' + self.maybe(0.8, "</p>"))
             elif kind < 0.78:
@@ -236,8 +348,12 @@ class Pages:
             main = r.choice(("<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", '<article class="{1}">{0}</article>')).format(inner, self.name("main"))
         elif family in ("classes", "ids"):
             main = f'<div {"id" if family == "ids" else "class"}="{self.name("main")}">{inner}</div>'
+        elif family == "grid":
+            main = f'<div class="{r.choice(COLUMNS)}">{inner}</div>'
         else:
             main = f"<table><tr><td>{inner}</table>" if family == "tables" else inner
+        if r.random() < 0.12:  # in any layout the article may have nothing around it, or something without a name
+            main = r.choice(("{}", "<div>{}</div>", '<div class="{1}">{0}</div>')).format(inner, r.choice(COLUMNS))
         for _ in range(r.choice((0, 0, 1, 2))):
             main = f'<div class="{r.choice(("wrapper", "container", "layout", "inner", r.choice(self.words)))}">{main}</div>'
         before = [self.part(family, k) for k, p in (("header", 0.35), ("nav", 0.8), ("notice", 0.3), ("ad", 0.5), ("form", 0.25), ("aside", 0.3)) if r.random() < p]
@@ -246,6 +362,8 @@ class Pages:
         after = [self.part(family, k) for k, p in (("comments", 0.35), ("aside", 0.25), ("ad", 0.25), ("nav", 0.2), ("form", 0.2), ("notice", 0.2), ("footer", 0.85)) if r.random() < p]
         if r.random() < 0.5:
             r.shuffle(before)
+        if r.random() < 0.1:
+            before = []
         script = self.maybe(0.5, f"<script>var a = '<p>{r.choice(self.words)}</p>' < 2;</script>") + self.maybe(0.3, "<!-- x > y -->")
         return f"<!DOCTYPE html><html><head><title>{self.title()}</title>{script}</head><body>{''.join(before)}{main}{script}{''.join(after)}</body></html>"
 
@@ -266,21 +384,20 @@ def generated(n: int, seed: int, families: tuple[str, ...] = FAMILIES) -> list[t
     maker, out = Pages(seed, families), []
     for _ in range(n):
         page = maker.page()
-        nodes = parse(page)
-        out.append((re.sub(r'\s*data-main="[01]"', "", page), " ".join(x.text for x in nodes if x.tag == TEXT and x.mark)))
+        nodes = parse(page, True)
+        out.append((MARK.sub("", page), " ".join(x.text for x in nodes if x.tag == TEXT and x.mark)))
     return out
 
 
 @lru_cache(maxsize=2)
-def trained(n_pages: int = 1000, seed: int = 5, families: tuple[str, ...] = FAMILIES) -> Trees:
+def trained(n_pages: int = 1600, seed: int = 5, families: tuple[str, ...] = FAMILIES) -> Model:
     """Trees from ``n_pages`` generated pages; the same on every call."""
-    maker, xs, ys, ws = Pages(seed, families), [], [], []
-    for _ in range(n_pages):
-        nodes = parse(maker.page())
-        xs.append(features(nodes))
-        ys.append(labels(nodes))
-        ws.append(np.array([1.0 if x.tag == TEXT else 0.7 for x in nodes]))
-    return fit_trees(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
+    maker = Pages(seed, families)
+    pages = [parse(maker.page(), True) for _ in range(n_pages)]
+    x, y = np.concatenate([features(nodes) for nodes in pages]), np.concatenate([labels(nodes) for nodes in pages])
+    weight = np.concatenate([[1.0 if n.tag == TEXT else 0.7 for n in nodes] for nodes in pages])
+    own = fit_trees(x, y, weight, n_trees=30, rate=0.3, sample=0.4)
+    return Model(own, fit_trees(np.hstack([x, around(own.scores(x), pages)]), y, weight, n_trees=110, depth=5, rate=0.15, sample=0.4))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
