@@ -9,11 +9,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docgraph.model import ELEMENTS, STRUCTURES, XSI
 
@@ -21,9 +23,16 @@ _STRUCTURES = re.compile(STRUCTURES)
 _COLUMNS = [c.split()[0] for c in re.sub(r"<[^>]*>", "", ELEMENTS).split(", ")]
 
 
+#: Bytes that a parser is given at once, and from which on a document is read twice rather than kept: first to see that it can be
+#: read at all, then for its rows.
+FEED, KEPT = 64 << 10, 8 << 20
+
+
 class _Rows:
+    """Rows of one document, each given out when its element ends; what is held is the open elements."""
+
     def __init__(self, doc_id: str, source_file: str, upload_id: str) -> None:
-        self.head, self.rows, self.open = (doc_id, source_file, upload_id), [], []
+        self.head, self.n, self.open, self.done = (doc_id, source_file, upload_id), 0, [], []
         self.siblings: list[dict[str, int]] = [{}]
 
     def begin(self, qname: str, json_type: str | None = None) -> dict:
@@ -31,12 +40,12 @@ class _Rows:
         seen[qname] = seen.get(qname, 0) + 1
         row = dict(zip(_COLUMNS, self.head))
         row |= {
-            "ord": len(self.rows), "parent_ord": self.open[-1]["ord"] if self.open else None, "depth": len(self.open), "path": [r["ord"] for r in self.open], "qpath": [r["qname"] for r in self.open],
+            "ord": self.n, "parent_ord": self.open[-1]["ord"] if self.open else None, "depth": len(self.open), "path": [r["ord"] for r in self.open], "qpath": [r["qname"] for r in self.open],
             "sib_ord": seen[qname], "qname": qname, "text": None, "n_children": 0, "attrs": {}, "sid": None, "suri": None, "sref": None, "is_nil": False, "json_type": json_type, "error": None,
         }
         if self.open:
             self.open[-1]["n_children"] += 1
-        self.rows.append(row)
+        self.n += 1
         self.open.append(row)
         self.siblings.append({})
         return row
@@ -45,19 +54,37 @@ class _Rows:
         row = self.open.pop()
         self.siblings.pop()
         row["text"] = text
+        self.done.append(row)
+
+    def taken(self) -> list[dict]:
+        """The rows that are done, which are forgotten."""
+        done, self.done = self.done, []
+        return done
+
+    def failed(self, message: str) -> dict:
+        return dict.fromkeys(_COLUMNS) | dict(zip(_COLUMNS, self.head)) | {"ord": 0, "error": message}
 
-    def failed(self, message: str) -> list[dict]:
-        return [dict.fromkeys(_COLUMNS) | dict(zip(_COLUMNS, self.head)) | {"ord": 0, "error": message}]
 
+def _refuse(*_: object) -> None:
+    raise ValueError("document type declarations are not allowed")
 
-def shred_xml(doc_id: str, source_file: str, upload_id: str, content: str | bytes, encoding: str | None = None) -> list[dict]:
-    """Rows of an XML document. Document type declarations, and so entities, are refused; namespaces are scoped.
 
-    Bytes are read in the encoding that the document declares, unless ``encoding`` names another.
+def _fed(parser: expat.XMLParserType, content: bytes | memoryview) -> Iterator[None]:
+    for at in range(0, len(content), FEED):
+        parser.Parse(bytes(content[at : at + FEED]), False)
+        yield
+    parser.Parse(b"", True)
+    yield
+
+
+def shred_xml(doc_id: str, source_file: str, upload_id: str, content: bytes | memoryview, encoding: str | None = None) -> Iterator[dict]:
+    """Rows of an XML document, in the order in which elements end. Document type declarations, and so entities, are refused; namespaces are scoped.
+
+    Bytes are read in the encoding that the document declares, unless ``encoding`` names another. Memory does not grow
+    with the document: it is parsed piece by piece, and a large one, whose rows can't be taken back, is first parsed for
+    errors alone. One that can't be read gives its error row and no other.
     """
     out = _Rows(doc_id, source_file, upload_id)
-    parser = expat.ParserCreate(encoding, namespace_separator=" ")
-    parser.buffer_text = True
     prefixes: dict[str, list[str]] = {}
     texts: list[list[str]] = []
 
@@ -84,25 +111,38 @@ def shred_xml(doc_id: str, source_file: str, upload_id: str, content: str | byte
     def end(_: str) -> None:
         out.end("".join(texts.pop()).strip() or None)
 
-    def refuse(*_: object) -> None:
-        raise ValueError("document type declarations are not allowed")
+    def parser_of(rows: bool) -> expat.XMLParserType:
+        parser = expat.ParserCreate(encoding, namespace_separator=" ")
+        parser.buffer_text = True
+        parser.StartDoctypeDeclHandler = _refuse
+        if rows:
+            parser.StartNamespaceDeclHandler, parser.StartElementHandler, parser.EndElementHandler = declared, start, end
+            parser.CharacterDataHandler = lambda t: texts and texts[-1].append(t)
+        return parser
 
-    parser.StartNamespaceDeclHandler, parser.StartElementHandler, parser.EndElementHandler = declared, start, end
-    parser.CharacterDataHandler = lambda t: texts and texts[-1].append(t)
-    parser.StartDoctypeDeclHandler = refuse
+    large = len(content) > KEPT
     try:
-        parser.Parse(content, True)
+        if large:
+            for _ in _fed(parser_of(False), content):
+                pass
+        else:
+            for _ in _fed(parser_of(True), content):
+                pass
     except (expat.ExpatError, ValueError, LookupError) as e:  # LookupError: an encoding that is not known
-        return out.failed(str(e))
-    return out.rows
+        yield out.failed(str(e))
+        return
+    if large:
+        for _ in _fed(parser_of(True), content):
+            yield from out.taken()
+    yield from out.taken()
 
 
 def _scalar(value: object) -> str | None:
     return None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def shred_json(doc_id: str, source_file: str, upload_id: str, content: str | bytes) -> list[dict]:
-    """Rows of a JSON-LD document: objects as elements, an object with @id alone as a reference, text wrappers unwrapped.
+def shred_json(doc_id: str, source_file: str, upload_id: str, content: bytes | memoryview) -> Iterator[dict]:
+    """Rows of a JSON-LD document, which is held whole: objects as elements, an object with @id alone as a reference, text wrappers unwrapped.
 
     More than one object in @graph get a common root named ``@graph``. Objects carry @id as their uri, so that one that
     occurs in several places becomes a hub, as in XML.
@@ -142,7 +182,7 @@ def shred_json(doc_id: str, source_file: str, upload_id: str, content: str | byt
         return kind if isinstance(kind, str) else plain[0] if len(plain) == 1 and isinstance(obj[plain[0]], dict) else "@root"
 
     try:
-        data = json.loads(content)
+        data = json.loads(bytes(content))
         if not isinstance(data, dict | list):
             raise ValueError("neither an object nor a list")
         objects = data if isinstance(data, list) else data.get("@graph", [data])
@@ -157,8 +197,9 @@ def shred_json(doc_id: str, source_file: str, upload_id: str, content: str | byt
         if len(objects) != 1:
             out.end()
     except (ValueError, RecursionError) as e:
-        return out.failed(str(e))
-    return out.rows
+        yield out.failed(str(e))
+        return
+    yield from out.taken()
 
 
 def shred(docs: DataFrame, dialect: str | None = None) -> DataFrame:
@@ -170,20 +211,24 @@ def shred(docs: DataFrame, dialect: str | None = None) -> DataFrame:
     """
 
     encoding = None if docs.schema["content"].dataType.simpleString() == "binary" else "utf-8"
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T.StructType.fromDDL(ELEMENTS))
+
+    def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+        ids, files, uploads, contents = (batch.column(c) for c in ("doc_id", "source_file", "upload_id", "content"))
+        for k in range(batch.num_rows):
+            head = tuple(c[k].as_py() for c in (ids, files, uploads))
+            kind = dialect or ("json" if str(head[1]).lower().endswith((".json", ".jsonld")) else "xml")
+            content = memoryview(contents[k].as_buffer()) if contents[k].is_valid else b""  # not a copy
+            yield from shred_json(*head, content) if kind == "json" else shred_xml(*head, content, encoding)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
-            for d in batch.itertuples(index=False):
-                kind = dialect or ("json" if str(d.source_file).lower().endswith((".json", ".jsonld")) else "xml")
-                content = bytes(d.content) if d.content is not None else b""
-                head = (d.doc_id, d.source_file, d.upload_id, content)
-                rows += shred_json(*head) if kind == "json" else shred_xml(*head, encoding)
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+            rows = rows_of(batch)
+            while piece := list(islice(rows, 5_000)):
+                columns = [pa.array([tuple(r[f.name].items()) if pa.types.is_map(f.type) and r[f.name] is not None else r[f.name] for r in piece], f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     chosen = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source_file", "upload_id", F.col("content").cast("binary").alias("content"))
-    return chosen.mapInPandas(run, ELEMENTS)
+    return chosen.mapInArrow(run, ELEMENTS)

@@ -73,7 +73,8 @@ def test_json_counts_by_hand(spark) -> None:  # noqa: ANN001
 def test_documents_are_shredded_once(spark) -> None:  # noqa: ANN001
     g = build_graph(shred(docs(spark, ("d", "a.xml", "u", XML))))
     for table in (g.nodes, g.edges, g.props, g.issues):
-        assert "MapInPandas" not in table._jdf.queryExecution().optimizedPlan().toString()
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and "MapInArrow" not in plan
 
 
 def test_isolation_errors_and_siblings(spark) -> None:  # noqa: ANN001
@@ -91,6 +92,31 @@ def test_isolation_errors_and_siblings(spark) -> None:  # noqa: ANN001
     assert [r["list_props"] for r in mapped.nodes.filter("is_root").collect()] == [{"b__c": ["1", "2"]}] * 2
 
 
+def test_large_documents_are_read_piece_by_piece(spark) -> None:  # noqa: ANN001
+    """A document far larger than what is kept gives its rows while it is parsed, and the same ones; a broken one gives its error alone."""
+    import tracemalloc
+
+    from docgraph.sources import shred as sh
+
+    text = ("<a>" + "".join(f"<b k='{i}'><c>{i % 7}</c><d/></b>" for i in range(400_000)) + "</a>").encode()
+    assert len(text) > sh.KEPT
+    tracemalloc.start()
+    n = sum(r["text"] is not None for r in sh.shred_xml("1", "a.xml", "u", text))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400_000 and peak < 40 << 20  # 1,200,001 rows of some 1.5 KB each, were they kept
+    assert [r["error"] is not None for r in sh.shred_xml("1", "a.xml", "u", text[:-4])] == [True]
+    small = f"<a>{'<b><c>1</c></b>' * 50}</a>".encode()
+    whole = list(sh.shred_xml("1", "a.xml", "u", small))
+    kept, sh.KEPT = sh.KEPT, 10
+    try:
+        assert list(sh.shred_xml("1", "a.xml", "u", small)) == whole
+    finally:
+        sh.KEPT = kept
+    e = shred(spark.createDataFrame([("1", "a.xml", "u", bytearray(text)), ("2", "b.xml", "u", None)], "doc_id string, source_file string, upload_id string, content binary"))
+    assert e.filter("error IS NULL").count() == 1_200_001 and e.filter("error IS NOT NULL").count() == 1
+
+
 def test_bytes_are_read_in_their_own_encoding(spark) -> None:  # noqa: ANN001
     latin = '<?xml version="1.0" encoding="ISO-8859-1"?><a><b><c>Bjørn</c></b></a>'
     rows = [("1", "l.xml", "u", latin.encode("latin-1")), ("2", "x.xml", "u", latin.replace("ISO-8859-1", "no-such").encode()), ("3", "w.json", "u", '{"r": {"q": {"t": "ø"}}}'.encode("utf-16"))]

@@ -176,7 +176,7 @@ def test_values_are_equal_as_json() -> None:
 
 def test_conversion_shreds_once(spark) -> None:  # noqa: ANN001
     out = records.xml_to_json(rows(spark, ("1", "a.xml", "u", "<a>" * 9 + "x" + "</a>" * 9)))
-    assert "MapInPandas" not in out._jdf.queryExecution().optimizedPlan().toString() and json.loads(out.first().json)
+    assert "MapIn" not in out._jdf.queryExecution().optimizedPlan().toString() and json.loads(out.first().json)
 
 
 def test_scratch_needs_a_shared_folder() -> None:
