@@ -185,12 +185,14 @@ def _issue(df: DataFrame, severity: str, rule: str, message: Column, context: Co
 
 
 def build_graph(
-    elements: DataFrame, objects: list[str] | None = None, associations: list[str] | None = None, sibling_ids: bool = True, close_containment: bool = True, extra_props: Callable[[DataFrame], DataFrame] | None = None
+    elements: DataFrame, objects: list[str] | None = None, associations: list[str] | None = None, sibling_ids: bool = True, close_containment: bool = True, extra_props: Callable[[DataFrame], DataFrame] | None = None,
+    extra_edges: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Graph:
     """The graph of all documents. All groupings and joins are by document, so equal ids of two uploads stay apart.
 
     ``sibling_ids=False`` gives siblings of one name and no id a common id, and they merge. ``extra_props`` gives more rows of
-    ``props`` from the classified elements, as the functions of ``operators.mapping`` do. Documents are shredded once: the
+    ``props`` from the classified elements, as the functions of ``operators.mapping`` do, and ``extra_edges`` more edges, in
+    whose place the same ones found without a mapping do not come. Documents are shredded once: the
     elements, and what they are found to be, are written before the tables are made of them.
     """
     elements = written(elements, "elements")
@@ -218,7 +220,12 @@ def build_graph(
     wanted = associated.unionByName(referred).groupBy("doc_id", F.col("dst").alias("id"), "source_file", "upload_id").agg(F.min_by(F.concat_ws(" ", "rel_type", F.lit("from"), "src"), F.struct("ord", "src")).alias("context"))
     lost = wanted.join(nodes.select("doc_id", "id"), ["doc_id", "id"], "left_anti")
     unresolved = lost.select("doc_id", "id", F.lit("Unresolved").alias("label"), *[F.lit(None).cast("string").alias(c) for c in ("qname", "sid", "suri", "sref")], *[F.lit(v).alias(c) for c, v in (("is_root", False), ("is_role", False), ("is_hub", False), ("is_assoc", False), ("is_unresolved", True))], *file_columns, F.lit(-2).alias("ord"))
-    edges = merge_edges(contains.unionByName(represents(e)).unionByName(associated).unionByName(referred).unionByName(reference_attributes(e)))
+    found = contains
+    if extra_edges is not None:
+        mapped = written(extra_edges(e), "mapped-edges")
+        keys = ["doc_id", "src", "dst", "rel_type"]
+        found, associated, referred = contains.unionByName(mapped), *[x.join(mapped.select(keys), keys, "left_anti").select(x.columns) for x in (associated, referred)]
+    edges = merge_edges(found.unionByName(represents(e)).unionByName(associated).unionByName(referred).unionByName(reference_attributes(e)))
     all_props = props.unionByName(hub_props)
     full = nodes.unionByName(unresolved).join(gather_props(all_props), ["doc_id", "id"], "left").withColumnRenamed("is_assoc", "is_association")
     twice = _issue(id_collisions(e), "warning", "id_collision", F.concat(F.lit("id "), "sid", F.lit(" is on "), F.array_join("qnames", ", ")))

@@ -6,11 +6,13 @@ documents; what a schema declares is then filters and joins, and closures double
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgraph.operators.graph import closure
-from docgraph.scratch import drop_written, written
+from docgraph.scratch import written
 
 #: Built-in types by the scalar kind they stand for.
 SCALAR_KINDS = {
@@ -59,17 +61,27 @@ def classify_types(type_table: DataFrame) -> DataFrame:
     return type_table.select(local(F.col("name")).alias("name")).distinct().join(ends, "name", "left").select("name", F.coalesce("kind", F.lit("string")).alias("kind"))
 
 
-def element_tree(declared: DataFrame, held: DataFrame, most: int = 12) -> DataFrame:
-    """(root, path, element, depth, kind, n_children): declared roots and what is below them, without repeats along a path."""
+def element_tree(declared: DataFrame, held: DataFrame, most: int = 100) -> DataFrame:
+    """(root, path, element, depth, kind, n_children): declared roots and what is below them, without repeats along a path.
+
+    One row a path, a written table a level. What lies more than ``most`` levels deep is left out, with a warning; where many
+    elements are shared, paths are far more than elements, and ``model_mapping.schema_rows`` lists each element once.
+    """
     typed = declared.select(local(F.col("name")).alias("element"), local(F.col("type")).alias("type"))
     below = held.select(local(F.col("type")).alias("type"), local(F.col("element")).alias("child")).distinct()
     pairs = typed.join(below, "type").select("element", "child").distinct()
     children = pairs.groupBy("element").agg(F.count("*").alias("n_children"))
     roots = typed.select("element").join(pairs.select(F.col("child").alias("element")).distinct(), "element", "left_anti")
-    level = roots.select(F.col("element").alias("root"), F.array("element").alias("path"), "element", F.lit(0).alias("depth"))
+    level = written(roots.select(F.col("element").alias("root"), F.array("element").alias("path"), "element", F.lit(0).alias("depth")), "tree-level")
     found = [level]
-    for k in range(1, most + 1):
+    pairs = written(pairs, "element-pairs")
+    for k in range(1, most + 2):
         level = level.join(pairs, "element").filter(~F.array_contains("path", F.col("child"))).select("root", F.array_append("path", F.col("child")).alias("path"), F.col("child").alias("element"), F.lit(k).alias("depth"))
+        if k > most:
+            if not level.isEmpty():
+                warnings.warn(f"the element tree is cut at {most} levels", stacklevel=2)
+            break
+        level = written(level, "tree-level")
         if level.isEmpty():
             break
         found.append(level)

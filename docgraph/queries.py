@@ -652,6 +652,22 @@ def json_issue_rules(spark: SparkSession, d: str) -> DataFrame:
     return records.validate_json(docs, schema).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH RECURSIVE p AS (SELECT 'p' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'world' FROM region
+    UNION SELECT 'world', 'r0'), s AS (SELECT 'n' || n_nationkey AS a FROM nation WHERE n_nationkey % 3 = 0 UNION SELECT 'r' || r_regionkey FROM region WHERE r_regionkey % 2 = 0),
+    w AS (SELECT child, parent AS a, 1 AS steps FROM p UNION SELECT w.child, p.parent, steps + 1 FROM w JOIN p ON w.a = p.child WHERE steps < 6),
+    x AS (SELECT child, a, steps, row_number() OVER (PARTITION BY child ORDER BY steps, a) AS k FROM w WHERE a IN (SELECT a FROM s) AND a <> child) SELECT child AS element, a AS ancestor, steps FROM x WHERE k = 1"""
+)
+def nearest_selected_ancestor(spark: SparkSession, d: str) -> DataFrame:
+    """Customers, nations and regions as elements, in a graph with a cycle: the nearest selected nation or region above each."""
+    from docgraph.plans.model_mapping import nearest_selected
+
+    c, n, r = (_t(spark, d, t) for t in ("customer", "nation", "region"))
+    pairs = c.select(_id("p", "c_custkey").alias("child"), _id("n", "c_nationkey").alias("parent")).union(n.select(_id("n", "n_nationkey"), _id("r", "n_regionkey"))).union(r.select(_id("r", "r_regionkey"), F.lit("world"))).union(r.filter("r_regionkey = 0").select(F.lit("world"), _id("r", "r_regionkey")))
+    chosen = n.filter("n_nationkey % 3 = 0").select(_id("n", "n_nationkey").alias("element")).union(r.filter("r_regionkey % 2 = 0").select(_id("r", "r_regionkey")))
+    return nearest_selected(pairs, chosen)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

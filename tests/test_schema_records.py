@@ -213,3 +213,61 @@ def test_model_documents(spark) -> None:  # noqa: ANN001
     assert {(r.class_id, r.path, r.depth) for r in sm.scalar_paths(e).collect()} == {("t.BoatType", "t:Name", 1), ("t.BoatType", "t:Size/t:Value", 2), ("t.BoatType", "t:Size/t:Unit/t:Code", 3)}
     (boat,) = sm.model_classes(e).collect()
     assert (boat.name, boat.base, boat.n_properties) == ("BoatType", "t.ThingType", 3)
+
+
+MODEL = """<Model xmlns="http://example.org/model/" xmlns:s="http://example.org/structures/6.0/">
+<Namespace s:id="t"><NamespaceURI>urn:t</NamespaceURI><NamespacePrefixText>t</NamespacePrefixText></Namespace>
+<Class s:id="t.BoatType"><Name>BoatType</Name><SubClassOf s:ref="nc.ObjectType"/><ChildPropertyAssociation><DataProperty s:ref="t.Name"/></ChildPropertyAssociation><ChildPropertyAssociation><DataProperty s:ref="t.Size"/></ChildPropertyAssociation><ChildPropertyAssociation><ObjectProperty s:ref="t.Owner"/><MinOccursQuantity>1</MinOccursQuantity><MaxOccursQuantity>1</MaxOccursQuantity></ChildPropertyAssociation></Class>
+<Class s:id="t.PersonType"><Name>PersonType</Name></Class>
+<Class s:id="t.TripAssociationType"><Name>TripAssociationType</Name><SubClassOf s:ref="nc.AssociationType"/><ChildPropertyAssociation><ObjectProperty s:ref="t.Owner"/></ChildPropertyAssociation><ChildPropertyAssociation><ObjectProperty s:ref="t.Boat"/><MinOccursQuantity>1</MinOccursQuantity></ChildPropertyAssociation></Class>
+<ObjectProperty s:id="t.Boat"><Class s:ref="t.BoatType"/></ObjectProperty><ObjectProperty s:id="t.Owner"><Class s:ref="t.PersonType"/></ObjectProperty><ObjectProperty s:id="t.TripAssociation"><Class s:ref="t.TripAssociationType"/></ObjectProperty>
+<DataProperty s:id="t.Name"><Datatype s:ref="xs.string"/></DataProperty><DataProperty s:id="t.Size"><Datatype s:ref="t.SizeType"/></DataProperty><DataProperty s:id="t.Value"><Datatype s:ref="xs.decimal"/></DataProperty>
+<Datatype s:id="t.SizeType"><ChildPropertyAssociation><DataProperty s:ref="t.Value"/></ChildPropertyAssociation></Datatype></Model>"""
+
+
+def test_a_model_becomes_a_mapping_that_builds_a_graph(spark) -> None:  # noqa: ANN001
+    from docgraph.operators import mapping
+    from docgraph.operators.build import build_graph
+    from docgraph.plans.model_mapping import model_mapping
+
+    made = model_mapping(rows(spark, ("1", "model.xml", "u", MODEL))).document()
+    assert made["namespaces"] == {"t": "urn:t"} and made["metadata"]["element_index"] == ["t:Boat", "t:Name", "t:Owner", "t:Size", "t:TripAssociation", "t:Value"]
+    boat, owner = made["objects"]
+    assert (boat["qname"], boat["label"], owner["qname"]) == ("t:Boat", "t_Boat", "t:Owner") and boat["scalar_props"] == [{"path": "t:Name", "property": "t_Name"}, {"path": "t:Size/t:Value", "property": "t_Size_t_Value"}]
+    (trip,) = made["associations"]
+    assert (trip["qname"], trip["rel_type"]) == ("t:TripAssociation", "T_TRIPASSOCIATION")
+    assert [(e["role_qname"], e["maps_to_label"], e["direction"], e["cardinality"]) for e in trip["endpoints"]] == [("t:Owner", "t_Owner", "source", "0..*"), ("t:Boat", "t_Boat", "target", "1..*")]
+    assert [(r["owner_object"], r["field_qname"], r["target_label"], r["rel_type"], r["cardinality"]) for r in made["references"]] == [("t:Boat", "t:Owner", "t_Owner", "T_OWNER", "1..1")]
+    m = mapping.load_mapping(json.dumps(made))
+    assert m.endpoints == {"t:TripAssociation": {"t:Owner": "source", "t:Boat": "target"}} and m.references == {("t:Boat", "t:Owner"): "T_OWNER"} and m.objects == ["t:Boat", "t:Owner"]
+    text = """<t:Fleet xmlns:t="urn:t" xmlns:s="http://e.org/structures/6.0/" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"><t:Boat s:id="B"><t:Name>Gull</t:Name><t:Size><t:Value>9</t:Value></t:Size><t:Owner s:ref="P" xsi:nil="true"/></t:Boat>
+    <t:Owner s:id="P"/><t:TripAssociation><t:Boat s:ref="B" xsi:nil="true"/><t:Owner s:ref="P" xsi:nil="true"/></t:TripAssociation></t:Fleet>"""
+    g = build_graph(rows(spark, ("2", "a.xml", "u", text)), m.objects, m.associations, extra_props=mapping.extra_props(m), extra_edges=lambda e: mapping.mapped_edges(e, m))
+    props = g.nodes.filter("sid = 'B'").first().props
+    assert props["t_Name"] == "Gull" and props["t_Size_t_Value"] == "9"
+    edges = {(r.rel_type, r.dst.split("_", 1)[1], r.props.get("direction")) for r in g.edges.collect()}
+    assert {("T_OWNER", "P", None), ("ASSOCIATED_WITH", "B", "target"), ("ASSOCIATED_WITH", "P", "source")} <= edges
+
+
+def test_elements_by_reach(spark) -> None:  # noqa: ANN001
+    from docgraph.plans.model_mapping import element_pairs, nearest_selected, schema_rows
+
+    e = rows(spark, ("1", "main.xsd", "u", XSD)).cache()
+    declared, held = sm.declarations(e), sm.members(e)
+    got = {r.element: r for r in schema_rows(declared, held).collect()}
+    assert (got["Fleet"].depth, got["Boat"].depth, got["Sailor"].depth, got["Age"].depth) == (0, 1, 2, 1)  # Age: below BoatAugmentation, a root
+    assert got["TripAssociation"].kind == "association" and got["TripAssociation"].endpoints == ["Boat", "Sailor"] and got["Boat"].augmented == ["t:Age"]
+    chosen = spark.createDataFrame([("Fleet",), ("Sailor",), ("Boat",)], "element string")
+    assert {(r.element, r.ancestor, r.steps) for r in nearest_selected(element_pairs(declared, held), chosen).collect()} >= {("Sailor", "Boat", 1), ("Boat", "Fleet", 1), ("Age", "Sailor", 1), ("TripAssociation", "Fleet", 1)}
+    # Forty levels with two ways each: 2^40 paths, 81 elements.
+    pairs = [(f"{k + 1}{s}", f"{k}{t}") for k in range(40) for s in "ab" for t in "ab"]
+    deep = nearest_selected(spark.createDataFrame(pairs, "child string, parent string"), spark.createDataFrame([("0a",), ("0b",)], "element string"))
+    assert deep.filter("element = '40b'").first()[1:] == ("0a", 40) and deep.count() == 80
+
+
+def test_element_tree_is_cut_with_a_warning(spark) -> None:  # noqa: ANN001
+    declared = spark.createDataFrame([(f"e{k}", f"T{k}") for k in range(15)], "name string, type string")
+    held = spark.createDataFrame([(f"T{k}", f"e{k + 1}") for k in range(14)], "type string, element string")
+    assert sm.element_tree(declared, held).agg(F.max("depth")).first()[0] == 14
+    with pytest.warns(UserWarning, match="cut at 3"):
+        assert sm.element_tree(declared, held, 3).agg(F.max("depth")).first()[0] == 3
