@@ -3,8 +3,8 @@
 File: data blocks, then the index, the Bloom filter and a footer of fixed size. A key is a byte that is 0 for a
 null id and else 1, the document id (8 bytes, big endian, sign bit flipped, so bytes sort as numbers) and its
 ordinal among rows with that id (4 bytes). An entry is varint(shared key bytes), varint(own key bytes), varint(value bytes), own key bytes, value;
-every RESTART-th entry of a block shares nothing. A block ends with its restart offsets, their number and a
-crc32. The index holds last key, place and size of each block, so a look-up is a Bloom probe, a binary search in
+every RESTART-th entry of a block shares nothing. A block ends with its restart offsets and their number; it is compressed
+with zstd and followed by its length before that and a crc32. The index holds last key, place and size of each block, so a look-up is a Bloom probe, a binary search in
 the index, a binary search over restarts and at most RESTART entries.
 """
 
@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from docgraph.llm.common import arrow_schema, chunks, drop_scratch, guarded, map_slices, materialize, scratch_path, tasks_for, to_batch
 from docgraph.llm.tokens import SegmentEncoder, default_tokenizer, encoder
 
-MAGIC = b"DGSST002"
+MAGIC = b"DGSST003"
 FOOTER = struct.Struct("<QQQQIIQQ8s")  # index at, size; bloom at, size; hashes, id bytes; docs, ids; magic
 RESTART = 16
 BLOCK_BYTES = 64 << 10
+LEVEL = 1  # of compression
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 KEY = struct.Struct(">BQI")
 ID_BYTES = 9  # of a key, without the ordinal
@@ -74,7 +75,7 @@ class Writer:
     """Keys must come in ascending order. Memory: one block, the index and 10 bits a document."""
 
     def __init__(self, stream, id_bytes: int) -> None:  # noqa: ANN001
-        self._out, self._at, self._id_bytes = stream, 0, id_bytes
+        self._out, self._at, self._id_bytes, self._codec = stream, 0, id_bytes, pa.Codec("zstd", LEVEL)
         self._block, self._restarts, self._n, self._last = bytearray(), [], 0, b""
         self._index: list[tuple[bytes, int, int]] = []
         self._keys: list[bytes] = []
@@ -106,7 +107,8 @@ class Writer:
     def _flush(self) -> None:
         if self._n:
             tail = struct.pack(f"<{len(self._restarts)}II", *self._restarts, len(self._restarts))
-            body = bytes(self._block) + tail
+            plain = bytes(self._block) + tail
+            body = self._codec.compress(plain, asbytes=True) + struct.pack("<I", len(plain))
             body += struct.pack("<I", zlib.crc32(body))
             self._index.append((self._last, self._write(body), len(body)))
             self._block, self._restarts, self._n = bytearray(), [], 0
@@ -128,7 +130,7 @@ class Reader:
     """Over a seekable stream; keeps index and Bloom filter, reads one block at a time."""
 
     def __init__(self, stream, size: int) -> None:  # noqa: ANN001
-        self._in = stream
+        self._in, self._codec = stream, pa.Codec("zstd")
         f = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
         if f[-1] != MAGIC:
             raise ValueError("not a token shard")
@@ -151,9 +153,11 @@ class Reader:
         body = self._read(at, n)
         if zlib.crc32(body[:-4]) != struct.unpack("<I", body[-4:])[0]:
             raise ValueError("damaged block")
-        (count,) = struct.unpack("<I", body[-8:-4])
-        end = n - 8 - 4 * count
-        return body[:end], list(struct.unpack_from(f"<{count}I", body, end))
+        (length,) = struct.unpack("<I", body[-8:-4])
+        plain = self._codec.decompress(body[:-8], length, asbytes=True)
+        (count,) = struct.unpack("<I", plain[-4:])
+        end = length - 4 - 4 * count
+        return plain[:end], list(struct.unpack_from(f"<{count}I", plain, end))
 
     @staticmethod
     def _entries(data: bytes, at: int) -> Iterator[tuple[bytes, bytes]]:
