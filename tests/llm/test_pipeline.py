@@ -43,10 +43,10 @@ def test_pipeline_equals_brute_force(spark, small) -> None:  # noqa: ANN001
     kept = seen["near_duplicates"]
     sets = [shingles(r.text) for r in kept]
     share = lambda a, b: len(a & b) / len(a | b)
-    assert all(share(sets[i], sets[j]) < 0.85 for i in range(len(kept)) for j in range(i))
+    assert all(share(sets[i], sets[j]) < corpus_pipeline.SIMILARITY for i in range(len(kept)) for j in range(i))
     texts = [shingles(r.text) for r in seen["language_id"]]
     gone = [r for r in seen["language_id"] if r.doc_id not in ids["near_duplicates"]]
-    assert all(sum(share(shingles(r.text), s) > 0.6 for s in texts) > 1 for r in gone)
+    assert all(sum(share(shingles(r.text), s) >= corpus_pipeline.SIMILARITY for s in texts) > 1 for r in gone)
     assert len({base.doc_id, 1001, 1002} & ids["near_duplicates"]) == 1
     items = [[w.strip(".,;:!?\"'()").lower() for w in r.text.split()] for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     held = lambda t: any(" ".join(i) in " ".join(w.strip(".,;:!?\"'()").lower() for w in (t or "").split()) for i in items)
