@@ -39,12 +39,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or a paraphrase of it, go. Null and empty texts hold none; repeated rows and null ids
+    are judged each by its text; very long texts are searched whole, passage by passage."""
     ship_package(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are masked; n_chars follows."""
+    """Secrets in texts are masked; n_chars follows. Null texts stay null, with their n_chars; all rows stay, repeated ones too."""
     ship_package(spark)
     masked = secrets.mask_secrets(docs)
     if "n_chars" in docs.columns:
@@ -54,6 +56,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row a piece with its sequence and offset. Null texts are empty ones; repeated rows and null ids are packed each; long texts are cut."""
     ship_package(spark)
     return packing.pack_documents(docs)
 
