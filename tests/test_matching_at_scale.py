@@ -137,3 +137,19 @@ def test_equal_rows_have_their_own_edges(spark) -> None:  # noqa: ANN001
     rows = spark.createDataFrame([("d", "f", "u", 1, 2, None), ("d", "f", "u", 1, 2, None), ("d", "f", "u", None, 5, 6)], "doc_id string, source_file string, upload_id string, a int, b int, c int")
     got = build.wide_association_edges(rows, F.lit("x"), [("a", F.col("a")), ("b", F.col("b")), ("c", F.col("c"))], F.lit("p")).collect()
     assert sorted((r.dst, r.props["role_qname"], r.props["direction"]) for r in got) == sorted([("p_1", "a", "source"), ("p_2", "b", "target")] * 2 + [("p_5", "b", "source"), ("p_6", "c", "target")])
+
+
+def test_equal_values_are_indexed_and_searched_once(spark, monkeypatch) -> None:  # noqa: ANN001
+    n, sizes, keep = 3000, {}, resolve.written
+    rows = spark.range(n).select(F.format_string("p%05d", "id").alias("node_id"), F.when(F.col("id") % 3 == 0, "old ring").when(F.col("id") % 3 == 1, " Old  ring").otherwise("blue plate").alias("full_name"))
+    index = resolve.build_index(rows, ["full_name"])
+    assert index.postings.count() < 50 and index.members.count() == n
+    wanted = rows.select(F.concat(F.lit("q"), "node_id").alias("query_id"), "full_name")
+    monkeypatch.setattr(resolve, "written", lambda df, label: sizes.setdefault(label, keep(df, label)))
+    got = resolve.search_index(index, wanted, 0.7, 4)
+    assert sizes["asked"].count() == 3
+    found = {r.query_id: r.v for r in got.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(-F.col("similarity"), "node_id"))).alias("v")).collect()}
+    assert len(found) == n
+    assert [tuple(x) for x in found["qp00001"]] == [(-1.0, "p00001"), (-1.0, "p00004"), (-1.0, "p00007"), (-1.0, "p00010")]
+    few = resolve.search_index(resolve.build_index(rows.filter("node_id < 'p00006'"), ["full_name"]), wanted.filter("query_id = 'qp00003'"), 0.7, 3)
+    assert {(r.node_id, r.similarity) for r in few.collect()} == {("p00000", 1.0), ("p00003", 1.0), ("p00001", 0.8889)}
