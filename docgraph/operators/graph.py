@@ -117,27 +117,34 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 3, types: lis
 
     Two searches meet: from the sources half of the way, from the targets the other. Each keeps a node once a start, with
     the first in order of its shortest ways, so the path is the first in order among the shortest. Each round is written.
+    Nodes with one neighbour alone are inside no path, so no search steps on them: a hub's leaves cost a row each, not their
+    pairs. Pairs that are neighbours are found by their edge.
     A pair of one node has the path of that node; pairs that are further apart, and those with a null, have no row.
     """
     e = edges.filter(F.col("rel_type").isin(types)) if types else edges
     both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct()
     links, asked = written(both, "links"), written(pairs.select("source", "target").dropna().distinct(), "asked")
+    several = links.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("n")).filter("n >= 2")
+    inner = written(links.join(several, "dst", "left_semi"), "links")
 
     def ways(start: str, rounds: int, grow) -> DataFrame:  # noqa: ANN001
         """(start, at, hops, way) of all within ``rounds`` edges."""
         now = written(asked.select(F.col(start).alias("start"), F.col(start).alias("at")).distinct().select("*", F.lit(0).alias("hops"), F.array("at").alias("way")), "ways")
         seen = now
         for k in range(1, rounds + 1):
-            step = now.join(links, now["at"] == links["src"]).groupBy("start", F.col("dst").alias("at")).agg(F.min(grow(F.col("way"), F.col("dst"))).alias("way"))
+            step = now.join(inner, now["at"] == inner["src"]).groupBy("start", F.col("dst").alias("at")).agg(F.min(grow(F.col("way"), F.col("dst"))).alias("way"))
             now = written(step.join(seen.select("start", "at"), ["start", "at"], "left_anti").select("start", "at", F.lit(k).alias("hops"), "way"), "ways")
             seen = seen.unionByName(now)
         return seen
 
     ahead = ways("source", (most + 1) // 2, lambda way, at: F.concat(way, F.array(at))).select(F.col("start").alias("source"), "at", F.col("hops").alias("a"), F.col("way").alias("head"))
     back = ways("target", most // 2, lambda way, at: F.concat(F.array(at), way)).select(F.col("start").alias("target"), "at", F.col("hops").alias("b"), F.col("way").alias("tail"))
-    met = asked.join(ahead, "source").join(back, ["target", "at"])
     whole = F.struct((F.col("a") + F.col("b")).alias("hops"), F.concat("head", F.slice("tail", F.lit(2), F.size("tail"))).alias("path"))
-    return met.groupBy("source", "target").agg(F.min(whole).alias("x")).select("source", "target", "x.hops", "x.path")
+    met = asked.join(ahead, "source").join(back, ["target", "at"]).select("source", "target", whole.alias("x"))
+    if most >= 1:
+        edge = asked.join(links.select(F.col("src").alias("source"), F.col("dst").alias("target")), ["source", "target"])
+        met = met.unionByName(edge.select("source", "target", F.struct(F.lit(1).alias("hops"), F.array("source", "target").alias("path")).alias("x")))
+    return met.groupBy("source", "target").agg(F.min("x").alias("x")).select("source", "target", "x.hops", "x.path")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

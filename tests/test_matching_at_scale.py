@@ -153,3 +153,22 @@ def test_equal_values_are_indexed_and_searched_once(spark, monkeypatch) -> None:
     assert [tuple(x) for x in found["qp00001"]] == [(-1.0, "p00001"), (-1.0, "p00004"), (-1.0, "p00007"), (-1.0, "p00010")]
     few = resolve.search_index(resolve.build_index(rows.filter("node_id < 'p00006'"), ["full_name"]), wanted.filter("query_id = 'qp00003'"), 0.7, 3)
     assert {(r.node_id, r.similarity) for r in few.collect()} == {("p00000", 1.0), ("p00003", 1.0), ("p00001", 0.8889)}
+
+
+def test_leaves_of_a_hub_are_not_paired(spark, monkeypatch) -> None:  # noqa: ANN001
+    n, ways, keep = 400, [], graph.written
+
+    def counted(df, label):  # noqa: ANN001, ANN202
+        out = keep(df, label)
+        if label == "ways":
+            ways.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    edges = [(f"s{k}", f"h{k % 2}", "T") for k in range(n)] + [("h0", "r", "T"), ("h1", "r", "T")]
+    asked = [(f"s{k}", f"s{k + 1}") for k in range(n)] + [("s0", "h0"), ("h0", "s2"), ("s4", "s4"), ("h0", "h1"), ("s5", "h0")]
+    got = graph.shortest_paths(spark.createDataFrame(edges, "src string, dst string, rel_type string"), spark.createDataFrame(asked, "source string, target string"), 4)
+    found = {(r.source, r.target): r.path for r in got.collect()}
+    assert sum(ways) <= 8 * n
+    assert len(found) == n - 1 + 5 and found["s0", "s1"] == ["s0", "h0", "r", "h1", "s1"] and found["s0", "h0"] == ["s0", "h0"] and found["h0", "s2"] == ["h0", "s2"]
+    assert found["s5", "h0"] == ["s5", "h1", "r", "h0"] and found["s4", "s4"] == ["s4"] and found["h0", "h1"] == ["h0", "r", "h1"]
