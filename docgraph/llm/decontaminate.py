@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are cut into overlapping passages of words. Over the benchmark's own terms, with document frequencies counted
-in all passages, a randomised SVD (range finder with power iterations, products summed over tasks) of a bounded sample of
-TF-IDF passages and of the benchmark passages gives a latent space. Every passage of every document is projected and
+in all passages, a randomised SVD (range finder with power iterations, products summed over tasks) of the TF-IDF blocks of
+all documents and of the benchmark gives a latent space; the terms that stand together in them are counted once. Every passage of every document is projected and
 compared by cosine with the benchmark passages, block by block of items. Candidates are then checked by longest common
 subsequences of words, over all words and over the rarer ones, and by the item's last sentence, taken as its answer. Where a
 run of an item's words stands in a document, the words around are compared whatever became of the rarer ones.
@@ -39,6 +39,7 @@ RARE_DF = 0.02
 PUNCTUATION = b".,;:!?\"'()"
 CELLS = 4 << 20  # cosines, or words beside candidates, that are held at once
 HINT_BITS = 22
+SLICE = 1 << 18  # weighted words whose pairs are counted at once
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -188,60 +189,89 @@ def block_terms(ids: np.ndarray, edges: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.bincount(grid[new], minlength=n + 1)[:n], len(starts)
 
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int, int]:
-    """In how many blocks of all documents each term is, the number of blocks, and the bytes of all texts."""
+def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """In how many blocks of all documents each term is, and the number of blocks."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        total, blocks, size = np.zeros(len(known), np.int64), 0, 0
+        total, blocks = np.zeros(len(known), np.int64), 0
         for batch in chunks(batches, limit=2 << 20):
-            texts = batch.column("text").to_pylist()
-            ids, edges = word_ids(known, texts)
+            ids, edges = word_ids(known, batch.column("text").to_pylist())
             here, n = block_terms(ids, edges, len(known))
             total += here
             blocks += n
-            size += sum(len(t) for t in texts if t)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(total[at], [blocks, size]))], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], blocks))], names=["term", "n"])
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(guarded(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(vocabulary) + 2, np.int64)
+    out = np.zeros(len(vocabulary) + 1, np.int64)
     for r in rows.toLocalIterator():  # a row for each benchmark term of the block at most
         out[r["term"]] = r["n"]
     shared.destroy()
-    return out[:-2], int(out[-1]), int(out[-2])
+    return out[:-1], int(out[-1])
 
 
-def gram_product(sample: DataFrame, index: Index, basis: np.ndarray) -> np.ndarray:
-    """(A^T A) basis, where A has the TF-IDF passages of the sample and of the benchmark. Partial products are summed by Spark."""
-    shared = sample.sparkSession.sparkContext.broadcast((index.vocabulary, index.idf, basis))
+def term_pairs(ids: np.ndarray, edges: np.ndarray, weighted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of (key, n) of the weighted terms that stand together in blocks: entry (i, j), i <= j, of the sum over all blocks of
+    x x^T, where x counts a block's terms, has the key i * len(weighted) + j."""
+    starts, _ = block_starts(edges)
+    told = np.flatnonzero(weighted[ids])
+    block, width, low = np.searchsorted(starts, told, "right"), len(weighted), 0
+    while low < len(told):
+        high = int(np.searchsorted(block, block[min(low + SLICE, len(told)) - 1], "right"))  # whole blocks
+        term, of = ids[told[low:high]], block[low:high]
+        keys, counts = [term * (width + 1)], [np.ones(len(term), np.int64)]
+        for k in range(1, HALF):
+            at = np.flatnonzero(of[k:] == of[:-k])
+            if not len(at):  # further apart there is none either
+                break
+            x, y = term[at], term[at + k]
+            keys.append(np.minimum(x, y) * width + np.maximum(x, y))
+            counts.append(1 + (x == y))
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        yield key, np.bincount(place, np.concatenate(counts), len(key)).astype(np.int64)
+        low = high
+
+
+def pair_counts(docs: DataFrame, index: Index) -> DataFrame:
+    """(key, n) of ``term_pairs`` over the blocks of all documents: whole numbers, the same however documents are dealt."""
+    shared = docs.sparkSession.sparkContext.broadcast((index.vocabulary, np.append(index.idf > 0, False)))
 
-    def partial(texts_of: Iterator[list]) -> np.ndarray:
-        vocabulary, idf, base = shared.value
-        weights = np.vstack([idf[:, None] * base, np.zeros((1, base.shape[1]))])
-        out = np.zeros_like(base)
-        for texts in texts_of:
-            ids, edges = word_ids(vocabulary, texts)
-            starts, _ = block_starts(edges)
-            if not len(starts):
-                continue
-            block = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(ids)]])))
-            y = np.add.reduceat(weights[ids], starts, axis=0)
-            mine = ids < len(vocabulary)
-            order = np.argsort(ids[mine], kind="stable")
-            term, rows = ids[mine][order], y[block[mine][order]]
-            first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else term
-            if len(first):
-                out[term[first]] += idf[term[first], None] * np.add.reduceat(rows, first, axis=0)
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, weighted = shared.value
+        for batch in chunks(batches, limit=2 << 20):
+            for key, n in term_pairs(*word_ids(vocabulary, batch.column("text").to_pylist()), weighted):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+    each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(guarded(run), "key long, n long")
+    out = materialize(each.groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    shared.destroy()
+    return out
+
+
+def gram_product(pairs: DataFrame, index: Index, basis: np.ndarray) -> np.ndarray:
+    """(A^T A) basis, where A has the TF-IDF blocks of all documents, from ``pair_counts``. Partial products are summed by Spark."""
+    shared = pairs.sparkSession.sparkContext.broadcast((index.idf.astype(np.float64), basis))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = partial(b.column("text").to_pylist() for b in chunks(batches, limit=1 << 20))
+        idf, base = shared.value
+        width, out = len(idf) + 1, np.zeros_like(base)
+        for batch in batches:
+            key, n = (batch.column(c).to_numpy() for c in ("key", "n"))
+            x, y = key // width, key % width
+            v = n * idf[x] * idf[y]
+            for a, b, w in ((x, y, v), (y[x != y], x[x != y], v[x != y])):
+                order = np.argsort(a, kind="stable")
+                a, b, w = a[order], b[order], w[order]
+                for at in range(0, len(a), 1 << 14):
+                    term = a[at : at + (1 << 14)]
+                    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+                    out[term[first]] += np.add.reduceat(w[at : at + (1 << 14), None] * base[b[at : at + (1 << 14)]], first, axis=0)
         at = np.flatnonzero(np.abs(out).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(out[at]), pa.list_(pa.float64()))], names=["term", "v"])
 
-    parts = sample.mapInArrow(guarded(run), "term long, v array<double>")
+    parts = pairs.mapInArrow(guarded(run), "term long, v array<double>")
     width = basis.shape[1]
     summed = parts.groupBy("term").agg(F.array(*[F.sum(F.col("v")[k]) for k in range(width)]).alias("v"))
     total = np.zeros_like(basis)
@@ -251,10 +281,9 @@ def gram_product(sample: DataFrame, index: Index, basis: np.ndarray) -> np.ndarr
     return total
 
 
-def fit(docs: DataFrame, index: Index, rank: int = RANK, sample_bytes: int = 8 << 20, powers: int = 1, seed: int = 11) -> Index:
-    """IDF from all documents; the latent space from a sample of different documents, by hash of id and text, with about
-    ``sample_bytes`` of text, and from the benchmark passages."""
-    df, blocks, size = document_frequencies(docs, index.vocabulary)
+def fit(docs: DataFrame, index: Index, rank: int = RANK, powers: int = 1, seed: int = 11) -> Index:
+    """IDF and the latent space from all documents, the latter from the benchmark passages too."""
+    df, blocks = document_frequencies(docs, index.vocabulary)
     idf = np.log((1 + blocks) / (1 + df))
     # Words in more than RARE_DF of the blocks have no weight, else they would fill the leading dimensions; but those of an
     # item with hardly any rarer word keep a little, so that it can be found at all.
@@ -268,9 +297,7 @@ def fit(docs: DataFrame, index: Index, rank: int = RANK, sample_bytes: int = 8 <
     for k, (_, words, _) in enumerate(index.items):
         own = np.array([w for w in set(words) if index.rare[w]], np.int64)
         index.hints[hint_place(np.full(len(own), k), own)] = True
-    part = F.xxhash64("doc_id", "text")
-    drawn = docs.withColumn("part", part).filter(F.pmod("part", F.lit(max(1, size // sample_bytes))) == 0)
-    sample = materialize(drawn.groupBy("part").agg(F.min(F.col("text").cast("string")).alias("text")).select("text"), "sample")
+    pairs = pair_counts(docs, index)
     n = len(index.vocabulary)
     rank = max(1, min(rank, n))
     own_ids = np.concatenate([np.array(w, np.int64) for _, w, _ in index.items])
@@ -279,7 +306,7 @@ def fit(docs: DataFrame, index: Index, rank: int = RANK, sample_bytes: int = 8 <
     block = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(own_ids)]])))
 
     def product(basis: np.ndarray) -> np.ndarray:
-        out = gram_product(sample, index, basis)
+        out = gram_product(pairs, index, basis)
         y = np.add.reduceat((index.idf[:, None] * basis)[own_ids], starts, axis=0)
         np.add.at(out, own_ids, index.idf[own_ids, None] * y[block])
         return out
@@ -288,7 +315,7 @@ def fit(docs: DataFrame, index: Index, rank: int = RANK, sample_bytes: int = 8 <
     for _ in range(powers + 1):
         basis, _ = np.linalg.qr(product(basis))
     small = basis.T @ product(basis)
-    drop_scratch(sample)
+    drop_scratch(pairs)
     values, turn = np.linalg.eigh((small + small.T) / 2)
     space = basis @ turn[:, np.argsort(-values)]
     index.space = np.vstack([index.idf[:, None] * space, np.zeros((1, rank))]).astype(np.float32)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from docgraph.llm import decontaminate
 
 
@@ -40,3 +42,25 @@ def test_items_with_changed_names_and_numbers(spark) -> None:  # noqa: ANN001
     texts, of = dict(docs), dict(items)
     assert all(share(of[i], texts[d]) >= decontaminate.ANSWERED_SHARE for d, i in got)
     assert not {d for d, _ in got} & {d for d, _ in docs if d >= 1000}
+
+
+def test_the_space_is_fitted_to_the_blocks_of_all_documents(spark, monkeypatch) -> None:  # noqa: ANN001
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)] + [f"x{k}" for k in range(300)]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(120)))) for k in range(50)] + [(0, "w1 w1 w2 w1"), (0, "w1 w1 w2 w1"), (None, None), (7, "")]
+    index = decontaminate.make_index([(1, " ".join(words[:20])), (2, " ".join(words[15:30]))])
+    n = len(index.vocabulary)
+    index.idf = np.array([rng.choice([0, 1.5, 2.0]) for _ in range(n)], np.float32)
+    monkeypatch.setattr(decontaminate, "SLICE", 7)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    pairs = decontaminate.pair_counts(table.repartition(5), index)
+    want = np.zeros((n, n))
+    for _, text in docs:
+        ids = [index.vocabulary.get(w.encode(), -1) for w in (text or "").split()]
+        for at in range(0, len(ids), decontaminate.HALF):
+            x = np.zeros(n)
+            for i in ids[at : at + decontaminate.HALF]:
+                if i >= 0:
+                    x[i] += index.idf[i]
+            want += np.outer(x, x)
+    assert np.allclose(decontaminate.gram_product(pairs, index, np.eye(n)), want)
