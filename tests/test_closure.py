@@ -39,3 +39,15 @@ def test_cycles_branches_and_nulls(spark) -> None:  # noqa: ANN001
     pairs = [(str(r.randrange(40)), str(r.randrange(40))) for _ in range(70)] + [("x", None), (None, "y"), ("0", "1"), ("0", "1")]
     assert of(spark, pairs) == brute(pairs)
     assert of(spark, []) == {}
+
+
+def test_one_parent_each_needs_no_comparison(spark, monkeypatch) -> None:  # noqa: ANN001
+    from docgraph.operators import graph
+
+    plans, keep = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, label))
+    tree = [(f"{k}", f"{k // 3}") for k in range(1, 200)]
+    assert of(spark, tree) == brute(tree)
+    assert len(plans) > 3 and not any("LeftAnti" in p for p in plans)
+    for tail in ([("0", "199")], [("0", "0"), ("x", "0")]):  # cycles of two lengths, with ways into them
+        assert of(spark, tree + tail) == brute(tree + tail)
