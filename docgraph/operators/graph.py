@@ -192,12 +192,23 @@ def full_graph(nodes: DataFrame, edges: DataFrame, limit: int = 500, include_res
     return GraphResult(n.join(ids, "id", "left_semi"), e)
 
 
-def same_target_pairs(edges: DataFrame, names: DataFrame, types: list[str]) -> DataFrame:
+def same_target_pairs(edges: DataFrame, names: DataFrame, types: list[str], block: int = 512, task_pairs: int = 4_000_000) -> DataFrame:
     """(target, a, b): sources of one name that point to one target, a before b. As many rows as pairs: for targets of
-    unbounded degree take ``same_target_groups``."""
-    e = edges.filter(F.col("rel_type").isin(types)).select("src", "dst").join(names.select(F.col("id").alias("src"), "qname"), "src")
-    a, b = e.select("dst", "qname", F.col("src").alias("a")), e.select("dst", "qname", F.col("src").alias("b"))
-    return a.join(b, ["dst", "qname"]).filter("a < b").select(F.col("dst").alias("target"), "a", "b")
+    unbounded degree take ``same_target_groups``.
+
+    A group is cut by hash into blocks of about ``block`` rows, and each two blocks meet by themselves, so that a hub's pairs are
+    spread over tasks of about ``task_pairs`` pairs.
+    """
+    e = edges.filter(F.col("rel_type").isin(types)).select("src", "dst").join(names.select(F.col("id").alias("src"), "qname"), "src").dropna()
+    groups = written(e.groupBy("dst", "qname").agg(F.count("*").alias("n")).withColumn("g", F.monotonically_increasing_id()), "groups")
+    pairs = groups.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(pairs // task_pairs))  # with fewer, or broadcast, the join would deal them again
+    last = F.ceil(F.col("n") / block).cast("int") - 1
+    dealt = e.join(groups, ["dst", "qname"]).select("dst", "g", "src", last.alias("last"), F.pmod(F.xxhash64("src"), last + 1).cast("int").alias("mine"))
+    keys = ["g", "i", "j"]  # no name, which may be a constant that the join drops from its keys
+    left = dealt.select("dst", "g", F.col("mine").alias("i"), F.explode(F.sequence("mine", "last")).alias("j"), F.col("src").alias("x")).repartition(tasks, *keys)
+    right = dealt.select("g", F.explode(F.sequence(F.lit(0), "mine")).alias("i"), F.col("mine").alias("j"), F.col("src").alias("y")).repartition(tasks, *keys)
+    return left.join(right.hint("merge"), keys).filter("i < j OR x < y").select(F.col("dst").alias("target"), F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def same_target_groups(edges: DataFrame, names: DataFrame, types: list[str]) -> DataFrame:

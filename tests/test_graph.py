@@ -70,3 +70,14 @@ def test_groups_counts_and_reports(spark) -> None:  # noqa: ANN001
     assert [r.file for r in reports.source_files(rows, "f", "g").collect()] == ["a", "b"]
     listing = spark.createDataFrame([("s1/a.xsd",), ("s1/b.XSD",), ("s2/c.xml",), ("d.json",)], "path string")
     assert tuple(reports.stored_counts(listing).first()) == (2, 4, 2, 1, 1)
+
+
+def test_pairs_of_a_hub_are_spread(spark) -> None:  # noqa: ANN001
+    n = 60
+    edges = spark.createDataFrame([(f"s{k}", "hub" if k < n else "few", "T") for k in range(n + 5)] + [("s1", "hub", "S"), (None, "hub", "T"), ("s3", None, "T")], "src string, dst string, rel_type string")
+    names = spark.createDataFrame([(f"s{k}", "ab"[k % 7 == 0]) for k in range(n + 5)], "id string, qname string")
+    got = graph.same_target_pairs(edges, names, ["T"], block=8, task_pairs=50)
+    want = sorted((t, a, b) for t, m in (("hub", range(n)), ("few", range(n, n + 5))) for x in m for y in m if (x % 7 == 0) == (y % 7 == 0) and (a := f"s{x}") < (b := f"s{y}"))
+    assert sorted(map(tuple, got.collect())) == want
+    spread = [r.n for r in got.filter("target = 'hub'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(spread) > 5 and max(spread) < len(want) / 3
