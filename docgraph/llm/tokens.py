@@ -3,7 +3,7 @@
 A byte-level BPE never joins across a single space or line feed between two characters that are not white space: the space
 opens a new piece there, the line feed is a piece of its own. So a text falls into segments at these places, each segment is
 encoded by the library once, and the ids of a text are those of its segments in order. Where a segment is a Latin word,
-perhaps with a mark behind it, its pieces are known and go to the library's model at once. A text that holds one of the
+perhaps with a run of marks behind it, its pieces are known and go to the library's model at once. A text that holds one of the
 tokenizer's special strings is encoded whole, and so is every text if the tokenizer is not a plain byte-level BPE.
 """
 
@@ -12,13 +12,18 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 
 from docgraph.llm.common import worker_cache
 
 _CUT = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
-MARKS = ".,;:!?"
+#: All of ASCII's but the apostrophe, which may begin a contraction. A run of them behind letters is one piece.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+#: Runs of marks that are remembered.
+MOST_MARKS = 10_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -29,6 +34,16 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Ids of segments; ``learn`` gives those of one that is not there."""
+
+    def __init__(self, learn: Callable[[str], bytes | None]) -> None:
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes | None:
+        return self.learn(key)
+
+
 class SegmentEncoder:
     """``encode(texts)`` gives an id array for each text.
 
@@ -37,7 +52,7 @@ class SegmentEncoder:
     that frequent segments stay.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs a task per core
@@ -46,7 +61,7 @@ class SegmentEncoder:
         self._tok = Tokenizer.from_file(path)
         self._model = self._tok.model
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
-        self._now: dict[str, bytes] = {}
+        self._now: dict[str, bytes] = _Known(self._learn)
         self._old: dict[str, bytes] = {}
         self._limit = limit
         size = self._tok.get_vocab_size(with_added_tokens=True)
@@ -61,7 +76,7 @@ class SegmentEncoder:
         if self._plain:
             self._alphabet = byte_alphabet()
             self._space = self._alphabet[ord(" ")]
-            self._marks = {m: self._piece(m) for m in MARKS}
+            self._marks: dict[str, bytes] = {}
             self._feed = self._piece("\n")
 
     def _piece(self, text: str) -> bytes:
@@ -76,26 +91,29 @@ class SegmentEncoder:
             return self._feed + self._piece(key[1:])
         return array(self._code, [t.id for t in self._model.tokenize(self._space + key)]).tobytes() if key.isascii() else self._piece(" " + key)
 
-    def _learn(self, keys: set[str]) -> None:
-        now, old, odd = self._now, self._old, []
-        for key in keys:
-            known = old.get(key)
-            if known is not None:
-                now[key] = known
-                continue
-            word = key[1:] if key[0] == "\n" else key
-            if max(word) < "ɐ":  # letters here are letters to every version of the standard
-                if word.isalpha():
-                    now[key] = self._word(key)
-                    continue
-                if word[-1] in self._marks and word[:-1].isalpha():
-                    base = now.get(key[:-1]) or old.get(key[:-1]) or self._word(key[:-1])
-                    now[key[:-1]] = base
-                    now[key] = base + self._marks[word[-1]]
-                    continue
-            odd.append(key)
-        for key, ids in zip(odd, self.whole([k if k[0] == "\n" else " " + k for k in odd])):
-            now[key] = ids.tobytes()
+    def _learn(self, key: str) -> bytes | None:
+        """Ids of a segment, which are remembered from then on; None if it is edged."""
+        now, old, marks = self._now, self._old, self._marks
+        ids = old.get(key)
+        if ids is None:
+            word = key[1:] if key[:1] == "\n" else key
+            base = word.rstrip(MARKS)
+            if base.isalpha() and (base.isascii() or max(base) < "ɐ"):  # letters here are letters to every version of the standard
+                if base == word:
+                    ids = self._word(key)
+                else:
+                    tail = word[len(base) :]
+                    if tail not in marks:
+                        if len(marks) >= MOST_MARKS:
+                            marks.clear()
+                        marks[tail] = self._piece(tail)
+                    ids = now[key[: len(key) - len(tail)]] + marks[tail]
+            elif self._edged(key):
+                return None
+            else:
+                ids = self.whole([key if key[0] == "\n" else " " + key])[0].tobytes()
+        now[key] = ids
+        return ids
 
     @staticmethod
     def _edged(key: str) -> bool:
@@ -103,48 +121,35 @@ class SegmentEncoder:
         word = key[1:] if key[:1] == "\n" else key
         return not word or word[0].isspace() or word[-1].isspace()
 
-    def _between_edges(self, parts: list[str]) -> list[bytes | None]:
-        """What is remembered of a text's segments; its first and last, if they are edged, are encoded by themselves."""
-        values = [None if self._edged(p) else self._now.get(p) for p in parts]
-        if self._edged(parts[0]):
-            values[0] = self._feed + self.whole([parts[0][1:]])[0].tobytes()
-        if len(parts) > 1 and self._edged(parts[-1]):
-            values[-1] = self.whole([parts[-1] if parts[-1][0] == "\n" else " " + parts[-1]])[0].tobytes()
+    def _between_edges(self, text: str) -> list[bytes]:
+        """The ids of a text's segments where some are edged: they are cut where nothing but a single space or line feed stands
+        between other characters, and the first and last, if they are still edged, are encoded by themselves."""
+        parts = _CUT.split(text)
+        parts[0] = "\n" + parts[0]
+        first, last = self._edged(parts[0]), len(parts) > 1 and self._edged(parts[-1])
+        values = list(map(self._now.__getitem__, parts[first : len(parts) - last]))
+        if first:
+            values.insert(0, self._feed + self.whole([parts[0][1:]])[0].tobytes())
+        if last:
+            values.append(self.whole([parts[-1] if parts[-1][0] == "\n" else " " + parts[-1]])[0].tobytes())
         return values
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self._plain:
             return self.whole(texts)
         if len(self._now) > self._limit:
-            self._old, self._now = self._now, {}
-        get = self._now.get
-        found: list[list[bytes | None] | None] = []
-        unknown: list[tuple[list[bytes | None], list[str]]] = []
-        new: set[str] = set()
+            self._old, self._now = self._now, _Known(self._learn)
+        value, width = self._now.__getitem__, len(self._feed)  # of the line feed that is put before a text
+        out = []
         for text in texts:
             if any(s in text for s in self._special):
-                found.append(None)
+                out.append(self.whole([text])[0])
                 continue
-            parts = ("\n" + text.replace("\n", " \n")).split(" ")
-            values = list(map(get, parts))
+            values = list(map(value, ("\n" + text.replace("\n", " \n")).split(" ")))
             if None in values:
-                new.update(p for p, v in zip(parts, values) if v is None)
-                unknown.append((values, parts))
-            found.append(values)
-        edged = {k for k in new if self._edged(k)}
-        if edged:
-            new -= edged
-            for values, parts in unknown:
-                if not edged.isdisjoint(parts):
-                    parts[:] = _CUT.split(" ".join(parts).replace(" \n", "\n")[1:])
-                    parts[0] = "\n" + parts[0]
-                    values[:] = self._between_edges(parts)
-                    new.update(p for p, v in zip(parts, values) if v is None)
-        self._learn(new)
-        for values, parts in unknown:
-            values[:] = [get(p) if v is None else v for p, v in zip(parts, values)]
-        width = len(self._feed)  # the line feed that was put before the text
-        return [self.whole([t])[0] if v is None else np.frombuffer(b"".join(v), self.dtype, offset=width) if len(v) > 1 or len(v[0]) > width else np.zeros(0, self.dtype) for t, v in zip(texts, found)]
+                values = self._between_edges(text)
+            out.append(np.frombuffer(b"".join(values), self.dtype)[width // self.dtype.itemsize :])
+        return out
 
 
 def encoder(path: str) -> SegmentEncoder:

@@ -80,6 +80,20 @@ def test_segment_memory_is_bounded_and_forgetting_is_harmless() -> None:
         assert len(small._now) + len(small._old) < 400
 
 
+def test_runs_of_marks_behind_words_are_known_pieces() -> None:
+    """A word of Latin letters with any run of marks behind it costs the library its letters and the run alone, and gives its own ids."""
+    import random
+
+    rng, enc, own = random.Random(3), encoder_of(default_tokenizer()), encoder_of(default_tokenizer())
+    marks = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
+    words = ["".join(rng.choices("abcdeXYZéßñ", k=rng.randrange(1, 6))) + "".join(rng.choices(marks, k=rng.randrange(5))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=40)).replace(" " + words[0], "\n" + words[0]) for _ in range(300)]
+    enc.whole = None  # the way of a segment whose pieces are not known
+    assert [x.tolist() for x in enc.encode(texts)] == [x.tolist() for x in own.whole(texts)]
+    tails = ["".join(rng.choices(marks + "'ab1 \n", k=rng.randrange(1, 7))) for _ in range(4000)]
+    assert [x.tolist() for x in own.encode(["é" + t for t in tails])] == [x.tolist() for x in own.whole(["é" + t for t in tails])]
+
+
 def check_packed(rows: list, texts: list[tuple]) -> int:
     wanted = Counter()
     for doc_id, text in texts:
