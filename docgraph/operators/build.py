@@ -74,15 +74,21 @@ def find_hubs(elements: DataFrame) -> DataFrame:
 
 
 def classify(elements: DataFrame, objects: list[str] | None = None, associations: list[str] | None = None, sibling_ids: bool = True) -> DataFrame:
-    """Adds is_aug, is_assoc, is_role, is_node and id. ``objects``: the mapped names; None: every complex element."""
+    """Adds is_aug, is_assoc, is_role, is_node and id. ``objects``: the mapped names; None: every complex element.
+
+    Only elements with a uri can be roles and only those named so associations: the others pass no join.
+    """
     e = elements.filter("error IS NULL").withColumn("uri_id", uri_to_id(F.col("suri")))
-    hubs = find_hubs(e).select("doc_id", "uri_id", F.lit(True).alias("hubbed"))
+    hubs = find_hubs(e.filter("suri IS NOT NULL")).select("doc_id", "uri_id", F.lit(True).alias("hubbed"))
+    named = F.lit(False) if associations is not None else F.coalesce(F.col("qname").endswith("Association"), F.lit(False))
+    known = F.lit(False) if not associations else F.col("qname").isin(associations)
+    joined = e.filter(F.col("suri").isNotNull() | named)
     if associations is None:
-        found = detect_associations(e).withColumn("is_assoc", F.lit(True))
-        e = e.join(found, ["doc_id", "ord"], "left")
+        joined = joined.join(detect_associations(e).withColumn("is_assoc", F.lit(True)), ["doc_id", "ord"], "left")
     else:
-        e = e.withColumn("is_assoc", F.col("qname").isin(associations) if associations else F.lit(False))
-    e = e.join(hubs, ["doc_id", "uri_id"], "left").withColumn("is_assoc", F.coalesce("is_assoc", F.lit(False)))
+        joined = joined.withColumn("is_assoc", known)
+    rest = e.filter(F.col("suri").isNull() & ~named).withColumns({"is_assoc": known, "hubbed": F.lit(None).cast("boolean")})
+    e = joined.join(hubs, ["doc_id", "uri_id"], "left").unionByName(rest).withColumn("is_assoc", F.coalesce("is_assoc", F.lit(False)))
     is_complex = F.col("sid").isNotNull() | F.col("suri").isNotNull() | (F.col("n_children") > 0) | (F.size("attrs") > 0)
     nil_ref = (F.col("sref").isNotNull() | F.col("suri").isNotNull()) & F.col("is_nil")
     is_aug = F.col("qname").endswith("Augmentation")
@@ -98,11 +104,19 @@ def classify(elements: DataFrame, objects: list[str] | None = None, associations
 
 
 def with_owner(e: DataFrame) -> DataFrame:
-    """Adds the nearest ancestor that is a node: owner (id), owner_ord, owner_depth, owner_assoc; null at the top."""
-    above = e.select("doc_id", "ord", F.explode("path").alias("a_ord"))
-    nodes = e.filter("is_node").select("doc_id", F.col("ord").alias("a_ord"), F.col("depth").alias("a_depth"), F.col("id").alias("a_id"), F.col("is_assoc").alias("a_assoc"))
-    near = above.join(nodes, ["doc_id", "a_ord"]).groupBy("doc_id", "ord").agg(F.max(F.struct("a_depth", "a_ord", "a_id", "a_assoc")).alias("o"))
-    return e.join(near, ["doc_id", "ord"], "left").select("*", F.col("o.a_id").alias("owner"), F.col("o.a_ord").alias("owner_ord"), F.col("o.a_depth").alias("owner_depth"), F.coalesce("o.a_assoc", F.lit(False)).alias("owner_assoc")).drop("o")
+    """Adds the nearest ancestor that is a node: owner (id), owner_ord, owner_depth, owner_assoc; null at the top.
+
+    What stands right below a root takes it by the root's place, deeper elements look through all that is above them; the wide
+    rows are joined once.
+    """
+    n_above, found = F.coalesce(F.size("path"), F.lit(0)), F.max(F.struct("a_depth", "a_ord", "a_id", "a_assoc")).alias("o")
+    nodes = e.filter("is_node").select("doc_id", F.col("ord").alias("a_ord"), F.col("depth").alias("a_depth"), F.col("id").alias("a_id"), F.col("is_assoc").alias("a_assoc"), n_above.alias("n_above"))
+    roots = nodes.filter("n_above < 1").groupBy("doc_id", "a_ord").agg(found).select("doc_id", F.lit(True).alias("by_root"), F.col("a_ord").alias("place"), "o")
+    above = e.filter(n_above > 1).select("doc_id", "ord", F.explode("path").alias("a_ord"))
+    near = above.join(nodes, ["doc_id", "a_ord"]).groupBy("doc_id", "ord").agg(found).select("doc_id", F.lit(False).alias("by_root"), F.col("ord").alias("place"), "o")
+    placed = e.withColumns({"by_root": F.when(n_above > 0, n_above == 1), "place": F.when(n_above == 1, F.element_at("path", 1)).otherwise(F.col("ord"))})
+    every = placed.join(roots.unionByName(near), ["doc_id", "by_root", "place"], "left").drop("by_root", "place")
+    return every.select("*", F.col("o.a_id").alias("owner"), F.col("o.a_ord").alias("owner_ord"), F.col("o.a_depth").alias("owner_depth"), F.coalesce("o.a_assoc", F.lit(False)).alias("owner_assoc")).drop("o")
 
 
 def flatten_props(e: DataFrame) -> DataFrame:

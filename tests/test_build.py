@@ -77,6 +77,38 @@ def test_documents_are_shredded_once(spark) -> None:  # noqa: ANN001
         assert "MapInPandas" not in plan and "MapInArrow" not in plan
 
 
+def shuffled_rows(df) -> int:  # noqa: ANN001
+    """Rows that the exchanges of a table's plan wrote while it was collected."""
+    df.collect()
+
+    def below(node) -> int:  # noqa: ANN001
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return below(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return below(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(below(node.children().apply(k)) for k in range(node.children().length()))
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+def test_flat_documents_are_joined_once(spark) -> None:  # noqa: ANN001
+    """Elements without uris, of which none is an association, are shuffled once to find their owners."""
+    from docgraph.operators.build import classify, with_owner
+    from docgraph.scratch import written
+
+    flat = docs(spark, *[(str(i), "e.json", "u", f'{{"k": {i}}}') for i in range(500)])
+    elements, kept = written(shred(flat), "elements"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = with_owner(classify(elements))
+        assert shuffled_rows(found) <= 2 * elements.count() == 2000
+        assert found.filter("owner_ord = 0 AND owner_depth = 0 AND ord = 1 AND NOT owner_assoc").count() == 500 == found.filter("owner IS NULL AND ord = 0").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 def test_isolation_errors_and_siblings(spark) -> None:  # noqa: ANN001
     twins = '<a xmlns:s="http://e.org/structures/3.0/"><b><c>1</c></b><b><c>2</c></b><r s:ref="gone"/></a>'
     rows = [("1", "a.xml", "u1", twins), ("2", "a.xml", "u2", twins), ("3", "bad.xml", "u1", "<a><b></a>"), ("4", "dtd.xml", "u1", '<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>'), ("5", "null.xml", "u1", None)]
