@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -114,10 +115,16 @@ _HELD: dict[object, object] = {}
 _STAGE: list[object] = [None]
 
 
+def _forget() -> None:
+    if _HELD:
+        _HELD.clear()
+        gc.collect()  # an encoder and what it has learnt refer to each other
+
+
 def worker_cache(key: object, make: Callable[[], object]) -> object:
     """What a Python worker remembers between the tasks of a stage. ``guarded`` forgets it when the next stage begins."""
     if key not in _HELD:
-        _HELD.clear()
+        _forget()
         _HELD[key] = make()
     return _HELD[key]
 
@@ -126,7 +133,7 @@ def begin_stage() -> None:
     stage = TaskContext.get().stageId()
     if stage != _STAGE[0]:
         _STAGE[0] = stage
-        _HELD.clear()
+        _forget()
 
 
 def give_back() -> None:

@@ -80,6 +80,18 @@ def test_segment_memory_is_bounded_and_forgetting_is_harmless() -> None:
         assert len(small._now) + len(small._old) < 400
 
 
+def test_a_worker_forgets_an_encoder_at_once() -> None:
+    import weakref
+
+    from docgraph.llm.common import worker_cache
+    from docgraph.llm.tokens import encoder
+
+    held = weakref.ref(encoder(default_tokenizer()))
+    assert held() is not None
+    worker_cache("another", dict)
+    assert held() is None
+
+
 def test_runs_of_marks_behind_words_are_known_pieces() -> None:
     """A word of Latin letters with any run of marks behind it costs the library its letters and the run alone, and gives its own ids."""
     import random
